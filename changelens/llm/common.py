@@ -46,3 +46,65 @@ def offsets(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each of n nodes' component under the links a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the links (a, b): root is the least node that they reach.
+
+    Alternates large-star and small-star steps; each is a minimum by node
+    (combined before the shuffle) and a join of the links with it, so that no
+    node's links ever meet in one group. Links are written to the checkpoint
+    folder after each round. Null ends count as no link.
+    """
+    found = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        rows = found.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
+        if tuple(rows) == state or rows[0] == 0:
+            return found.select(F.col("a").alias("node"), F.col("b").alias("root")).union(found.select("b", "b")).distinct()
+        state = tuple(rows)
+        both = found.union(found.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+        found = checkpoint(small)
+
+
+def sorted_groups(batches, key: str):
+    """Groups of a partition that is sorted by ``key``: dicts of numpy arrays, one group at a time.
+
+    Holds a record batch and the group that runs on from it.
+    """
+    rest: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        cuts = np.flatnonzero(np.diff(columns[key])) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for i, (start, end) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            part = {n: v[start:end] for n, v in columns.items()}
+            if i or (rest and rest[0][key][0] != part[key][0]):
+                yield _joined(rest)
+                rest = []
+            rest.append(part)
+    if rest:
+        yield _joined(rest)
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
