@@ -37,9 +37,9 @@ from .common import offsets, take_ranges
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64, 128, 512)
 LONG = BUCKETS[-1]
 #: Pieces that a worker remembers between batches before it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Pieces that are put into arrays at a time.
-BLOCK_PIECES = 500_000
+BLOCK_PIECES = 200_000
 NO_PAIR = np.iinfo(np.int32).max
 
 
