@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
-from .common import table
+from . import bpe, mixing, quality, simhash
+from .common import checkpoint, fold, table
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,76 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labels are learned from rows outside fold 0 of five.
+TRAIN = fold(F.col("doc_id"), 5) != 0
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of four folds of five."""
+    scores = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TRAIN)
+    return scores.select("doc_id", (~TRAIN).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_bpe": op3_bpe}
-ORACLES: dict[str, str] = {}
+#: The tree of the mixture: domain, language, source. Nodes that aren't named weigh 1.
+MIX_PATH = {
+    "domain": F.when(F.col("source") == "src0", "crawl").when(F.length("source") == 4, "reference").otherwise("community"),
+    "lang": F.coalesce("lang", F.lit("")),
+    "source": F.coalesce("source", F.lit("")),
+}
+MIX_WEIGHTS = {
+    ("crawl",): 2, ("reference",): 5, ("community",): 3,
+    ("crawl", "en"): 4, ("reference", "en"): 4, ("community", "en"): 4,
+    ("crawl", "de"): 2, ("reference", "de"): 2, ("community", "de"): 2,
+    ("crawl", "fr"): 2, ("reference", "fr"): 2, ("community", "fr"): 2,
+    ("reference", "en", "src1"): 3,
+}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 7
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for a mixture of 60 % of all tokens, at most two epochs of a source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in MIX_PATH.items()], mixing.words(F.col("text")).alias("n_tokens"))
+    return mixing.copies(checkpoint(docs), [*MIX_PATH], MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED).select("doc_id", *MIX_PATH, "n_tokens", "copies")
+
+
+def _mixing_sql() -> str:
+    """The same budgets and prefixes; places are compared with running sums over whole leaves."""
+    path = list(MIX_PATH)
+    case = lambda i: "CASE " + "".join(f"WHEN {' AND '.join(f"{c} = '{v}'" for c, v in zip(path, k, strict=False))} THEN {w} " for k, w in MIX_WEIGHTS.items() if len(k) == i + 1) + "ELSE 1 END"
+    levels = ""
+    for i, child in enumerate(path):
+        above, here = ", ".join(["root", *path[:i]]), ", ".join(["root", *path[: i + 1]])
+        levels += f"""
+, n{i} AS (SELECT {here}, sum(tokens)::HUGEINT * {MIX_EPOCHS} AS cap, max(w{i})::HUGEINT AS weight FROM leaves GROUP BY ALL)
+, o{i} AS (SELECT *, sum(weight) OVER (PARTITION BY {above}) AS w_all,
+    coalesce(sum(cap) OVER s, 0) AS c_before, coalesce(sum(weight) OVER s, 0) AS w_before, row_number() OVER r AS pos
+  FROM n{i} JOIN b{i} USING ({above})
+  WINDOW s AS (PARTITION BY {above} ORDER BY cap::DOUBLE / weight::DOUBLE, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    r AS (PARTITION BY {above} ORDER BY cap::DOUBLE / weight::DOUBLE, {child}))
+, p{i} AS (SELECT *, min(pos) FILTER (cap * (w_all - w_before) > (budget - c_before) * weight) OVER (PARTITION BY {above}) AS stop FROM o{i})
+, q{i} AS (SELECT *, coalesce(sum(cap) FILTER (stop IS NULL OR pos < stop) OVER (PARTITION BY {above}), 0) AS c_full,
+    coalesce(sum(weight) FILTER (stop IS NULL OR pos < stop) OVER (PARTITION BY {above}), 0) AS w_full FROM p{i})
+, b{i + 1} AS (SELECT {here}, CASE WHEN stop IS NULL OR pos < stop THEN cap ELSE ((budget - c_full) * weight)::HUGEINT // (w_all - w_full)::HUGEINT END::HUGEINT AS budget FROM q{i})"""
+    keys = ", ".join(path)
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'reference' ELSE 'community' END AS domain,
+  coalesce(lang, '') AS lang, coalesce(source, '') AS source, 0 AS root,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)
+, leaves AS (SELECT root, {keys}, sum(n_tokens)::HUGEINT AS tokens, {", ".join(f"{case(i)} AS w{i}" for i in range(len(path)))} FROM d GROUP BY ALL)
+, b0 AS (SELECT root, (sum(tokens)::HUGEINT * {MIX_PERCENT} // 100)::HUGEINT AS budget FROM leaves GROUP BY root){levels}
+, f AS (SELECT {keys}, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END::BIGINT AS whole, budget, tokens FROM b{len(path)} JOIN leaves USING (root, {keys}))
+, k AS (SELECT d.*, whole, (budget - whole * tokens)::BIGINT AS rest,
+  concat(md5(concat('{MIX_SEED}:', whole, ':', coalesce(doc_id::VARCHAR, ''))), ':', coalesce(doc_id::VARCHAR, '')) AS place
+  FROM d JOIN f USING ({keys}))
+, r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY place) AS upto FROM k)
+SELECT doc_id, {keys}, n_tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op7_mixing": op7_mixing}
+ORACLES = {"op7_mixing": _mixing_sql()}
