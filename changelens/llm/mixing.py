@@ -141,9 +141,9 @@ def take(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key
     return _join(rows, leaves.select(*path, "full", "cut"), list(path)).withColumn("copies", (F.col("full") + F.coalesce(extra, F.lit(0))).cast("int")).drop("full", "cut")
 
 
-def mix(df: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...], int], percent: int = 100, max_epochs: int = 4, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` with their columns, each as often as it is taken. path: an expression for each level of the tree."""
-    named = {f"_level{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(path.values())}
+def mix(df: DataFrame, path: dict[str, str], weights: dict[tuple[str, ...], int], percent: int = 100, max_epochs: int = 4, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``df`` with their columns, each as often as it is taken. path: SQL for each level of the tree."""
+    named = {f"_level{i}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for i, c in enumerate(path.values())}
     rows = checkpoint(df.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in named.items()], words(F.col(text)).alias("_tokens")))
     leaves = cuts(rows, checkpoint(plan(rows, [*named], weights, percent, max_epochs, "_tokens")), [*named], seed, "_key", "_tokens")
     out = take(df.withColumns(named | {"_key": F.col(key)}), leaves, [*named], seed, "_key").where("copies > 0")

@@ -150,20 +150,20 @@ def score(statistics: Column, model: Model) -> Column:
     return of(statistics)
 
 
-def labelled(rows: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", label: str = "quality") -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame, train: Column | str, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """Training rows with their label; ``train`` is a condition on the key."""
     known = labels.where(train).groupBy(key).agg(F.min(label).alias("label"))
     return rows.select(key, "statistics").join(known, key)
 
 
-def classify(df: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, train: Column | str, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(key, score) of every row; the statistics are written once, for learning and for scoring."""
     rows = checkpoint(with_statistics(df.select(key, text), text).select(key, "statistics"))
     model = fit(labelled(rows, labels, train, key, label))
     return rows.select(key, score(F.col("statistics"), model).alias("score"))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, train: Column, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def keep_good(df: DataFrame, labels: DataFrame, train: Column | str, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows whose score reaches the threshold, with their columns; learns first, then scores the texts where they are."""
     rows = checkpoint(with_statistics(df.select(key, text), text).select(key, "statistics"))
     model = fit(labelled(rows, labels, train, key, label))

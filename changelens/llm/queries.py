@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
-from .common import checkpoint, fold, table
+from . import bpe, mixing, quality, sharding, simhash
+from .common import checkpoint, table
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Labels are learned from rows outside fold 0 of five.
-TRAIN = fold(F.col("doc_id"), 5) != 0
+TRAIN = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5, 0) != 0"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels of four folds of five."""
     scores = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TRAIN)
-    return scores.select("doc_id", (~TRAIN).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scores.select("doc_id", (~F.expr(TRAIN)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +45,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The tree of the mixture: domain, language, source. Nodes that aren't named weigh 1.
 MIX_PATH = {
-    "domain": F.when(F.col("source") == "src0", "crawl").when(F.length("source") == 4, "reference").otherwise("community"),
-    "lang": F.coalesce("lang", F.lit("")),
-    "source": F.coalesce("source", F.lit("")),
+    "domain": "CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'reference' ELSE 'community' END",
+    "lang": "coalesce(lang, '')",
+    "source": "coalesce(source, '')",
 }
 MIX_WEIGHTS = {
     ("crawl",): 2, ("reference",): 5, ("community",): 3,
@@ -61,7 +61,7 @@ MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 2, 7
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken for a mixture of 60 % of all tokens, at most two epochs of a source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in MIX_PATH.items()], mixing.words(F.col("text")).alias("n_tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[F.expr(c).alias(n) for n, c in MIX_PATH.items()], mixing.words(F.col("text")).alias("n_tokens"))
     return mixing.copies(checkpoint(docs), [*MIX_PATH], MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED).select("doc_id", *MIX_PATH, "n_tokens", "copies")
 
 
@@ -85,8 +85,7 @@ def _mixing_sql() -> str:
 , b{i + 1} AS (SELECT {here}, CASE WHEN stop IS NULL OR pos < stop THEN cap ELSE ((budget - c_full) * weight)::HUGEINT // (w_all - w_full)::HUGEINT END::HUGEINT AS budget FROM q{i})"""
     keys = ", ".join(path)
     return f"""
-WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'reference' ELSE 'community' END AS domain,
-  coalesce(lang, '') AS lang, coalesce(source, '') AS source, 0 AS root,
+WITH d AS (SELECT doc_id, {", ".join(f"{c} AS {n}" for n, c in MIX_PATH.items())}, 0 AS root,
   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)
 , leaves AS (SELECT root, {keys}, sum(n_tokens)::HUGEINT AS tokens, {", ".join(f"{case(i)} AS w{i}" for i in range(len(path)))} FROM d GROUP BY ALL)
 , b0 AS (SELECT root, (sum(tokens)::HUGEINT * {MIX_PERCENT} // 100)::HUGEINT AS budget FROM leaves GROUP BY root){levels}
@@ -98,5 +97,18 @@ WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN length(sou
 SELECT doc_id, {keys}, n_tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r"""
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op7_mixing": op7_mixing}
+SHARDS = 24
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts together and bytes near equal."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group")
+    )
+    out = sharding.assign(rows, SHARDS, F.col("group"), F.col("size"), F.col("doc_id"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
 ORACLES = {"op7_mixing": _mixing_sql()}
