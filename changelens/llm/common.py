@@ -15,6 +15,10 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+#: Rows of a few numbers that one file of a small table holds.
+ROWS_OF_FILE = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,6 +38,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_small(df: DataFrame, rows: int) -> DataFrame:
+    """As ``checkpoint``, in as few files as hold a known number of rows."""
+    return checkpoint(df.coalesce(1 + rows // ROWS_OF_FILE))
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo n; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))
@@ -88,11 +97,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        found = checkpoint(small)
+        found = checkpoint_small(small, 2 * rows[0])  # a round never adds links between more nodes than there are
 
 
-def sorted_groups(batches, key: str):
-    """Groups of a partition that is sorted by ``key``: dicts of numpy arrays, one group at a time.
+def sorted_groups(batches, *keys: str):
+    """Groups of a partition that is sorted by ``keys``: dicts of numpy arrays, one group at a time.
 
     Holds a record batch and the group that runs on from it.
     """
@@ -101,11 +110,11 @@ def sorted_groups(batches, key: str):
         if not batch.num_rows:
             continue
         columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
-        cuts = np.flatnonzero(np.diff(columns[key])) + 1
+        cuts = np.flatnonzero(np.any([np.diff(columns[k]) != 0 for k in keys], axis=0)) + 1
         bounds = [0, *cuts.tolist(), batch.num_rows]
         for i, (start, end) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             part = {n: v[start:end] for n, v in columns.items()}
-            if i or (rest and rest[0][key][0] != part[key][0]):
+            if i or (rest and any(rest[0][k][0] != part[k][0] for k in keys)):
                 yield _joined(rest)
                 rest = []
             rest.append(part)

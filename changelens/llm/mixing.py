@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, checkpoint_small
 
 MAX_LEAVES = 10_000
 #: Hex digits of the digest after which the cut is narrowed down.
@@ -81,7 +81,7 @@ def plan(rows: DataFrame, path: Sequence[str], weights: dict[tuple[str, ...], in
     for i in range(len(path)):
         leaves = leaves.withColumn(f"w{i}", weight([F.col(c) for c in path[: i + 1]], weights).cast(BIG))
     usable = F.expr(" and ".join(f"w{i} > 0" for i in range(len(path))))
-    leaves = checkpoint(leaves.withColumn("cap", F.when(usable, F.col("tokens") * max_epochs).otherwise(0).cast(BIG)))
+    leaves = checkpoint_small(leaves.withColumn("cap", F.when(usable, F.col("tokens") * max_epochs).otherwise(0).cast(BIG)), MAX_LEAVES)
     rooted = leaves.withColumn("_root", F.lit(0))
     nodes = rooted.groupBy("_root").agg(F.expr(f"sum(tokens) * {int(percent)} div 100").cast(BIG).alias("budget"))
     for i in range(len(path)):
@@ -125,14 +125,15 @@ def cuts(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key
         )
         if ends is not None:
             passed = passed.withColumnRenamed("below", "lower").join(ends.select(*path, "below"), path).withColumn("below", F.coalesce("lower", "below")).drop("lower")
-        ends, last = checkpoint(passed), digits
+        ends, last = checkpoint_small(passed, leaves.count()), digits
     # "~" is after every digit and id: a step taken whole, or all of an epoch
-    return checkpoint(leaves.join(ends.select(*path, "below"), path, "left").withColumn("cut", F.when(F.length("below") > 32, F.col("below")).otherwise(F.concat("below", F.lit("~")))).drop("below"))
+    cut = F.when(F.length("below") > 32, F.col("below")).otherwise(F.concat("below", F.lit("~")))
+    return checkpoint_small(leaves.join(ends.select(*path, "below"), path, "left").withColumn("cut", cut).drop("below"), leaves.count())
 
 
 def copies(rows: DataFrame, path: Sequence[str], weights: dict[tuple[str, ...], int], percent: int, max_epochs: int, seed: int, key: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
     """``rows`` (read twice: best written before) with ``copies``: how often each is taken."""
-    leaves = checkpoint(plan(rows, path, weights, percent, max_epochs, tokens))
+    leaves = checkpoint_small(plan(rows, path, weights, percent, max_epochs, tokens), MAX_LEAVES)
     return take(rows, cuts(rows, leaves, path, seed, key, tokens), path, seed, key)
 
 
@@ -145,6 +146,6 @@ def mix(df: DataFrame, path: dict[str, str], weights: dict[tuple[str, ...], int]
     """Rows of ``df`` with their columns, each as often as it is taken. path: SQL for each level of the tree."""
     named = {f"_level{i}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for i, c in enumerate(path.values())}
     rows = checkpoint(df.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in named.items()], words(F.col(text)).alias("_tokens")))
-    leaves = cuts(rows, checkpoint(plan(rows, [*named], weights, percent, max_epochs, "_tokens")), [*named], seed, "_key", "_tokens")
+    leaves = cuts(rows, checkpoint_small(plan(rows, [*named], weights, percent, max_epochs, "_tokens"), MAX_LEAVES), [*named], seed, "_key", "_tokens")
     out = take(df.withColumns(named | {"_key": F.col(key)}), leaves, [*named], seed, "_key").where("copies > 0")
     return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in df.columns])

@@ -156,8 +156,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fingerprint, root) of every distinct fingerprint; ``prints`` has (fingerprint, ...) in any number of rows."""
-    distinct = checkpoint(prints.select("fingerprint").distinct())
+    """(fingerprint, root) of every distinct fingerprint; ``prints`` (read several times) has them in any number of rows."""
+    distinct = prints.select("fingerprint").distinct()
     found = components(links(distinct, radius))
     return distinct.join(found, distinct.fingerprint == found.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     by_print = rows.groupBy("fingerprint").agg(F.min("id").alias("id"))
     tree = groups(rows, radius)
     first = tree.join(by_print, "fingerprint").groupBy("root").agg(F.min("id").alias("id"))
-    of = checkpoint(tree.join(first, "root").select("fingerprint", "id").withColumnRenamed("id", "component_id"))
+    of = tree.join(first, "root").select("fingerprint", F.col("id").alias("component_id"))
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return rows.join(of, "fingerprint").select(known("id").alias(key), "fingerprint", known("component_id").alias("component_id"))
 
@@ -185,5 +185,5 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     by_print = rows.groupBy("fingerprint").agg(F.min(F.struct("id", "row")).alias("best"))
     tree = groups(rows, radius)
     best = tree.join(by_print, "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
-    kept = checkpoint(best.select(F.col("best.row").alias("_row")))
+    kept = best.select(F.col("best.row").alias("_row"))
     return df.withColumn("_row", F.xxhash64(F.col(key), F.col(text))).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
