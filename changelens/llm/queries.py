@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash
+from . import bpe, embedding, mixing, quality, sharding, simhash
 from .common import checkpoint, table
 
 
@@ -43,6 +43,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links within labels at cosine 0.93, for every vector."""
+    return embedding.link(table(spark, sf_dir, "embeddings"))
+
+
 #: The tree of the mixture: domain, language, source. Nodes that aren't named weigh 1.
 MIX_PATH = {
     "domain": "CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'reference' ELSE 'community' END",
@@ -110,5 +115,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
 ORACLES = {"op7_mixing": _mixing_sql()}
