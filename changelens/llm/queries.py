@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, mixing, quality, sharding, simhash
+from . import bpe, embedding, mixing, quality, sharding, simhash, suffix_tree
 from .common import checkpoint, table
 
 
@@ -102,6 +102,19 @@ WITH d AS (SELECT doc_id, {", ".join(f"{c} AS {n}" for n, c in MIX_PATH.items())
 SELECT doc_id, {keys}, n_tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r"""
 
 
+#: The language model learns from rows outside fold 2 of seven.
+LM_TRAIN = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7, 0) != 2"
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the suffix tree and under word counts."""
+    docs = table(spark, sf_dir, "documents")
+    train = docs.where(LM_TRAIN).select("text")
+    counts = checkpoint(suffix_tree.word_counts(train))
+    scores = suffix_tree.score(docs, suffix_tree.learn(train, counts), counts)
+    return scores.select("doc_id", (~F.expr(LM_TRAIN)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 SHARDS = 24
 
 
@@ -115,5 +128,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op7_mixing": op7_mixing, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op7_mixing": op7_mixing, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
 ORACLES = {"op7_mixing": _mixing_sql()}
