@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, mixing, quality, sharding, simhash, suffix_tree
+from . import bpe, embedding, mixing, quality, sharding, simhash, suffix_tree, url_filter
 from .common import checkpoint, table
 
 
@@ -102,6 +102,15 @@ WITH d AS (SELECT doc_id, {", ".join(f"{c} AS {n}" for n, c in MIX_PATH.items())
 SELECT doc_id, {keys}, n_tokens, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM r"""
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "number")
+
+
 #: The language model learns from rows outside fold 2 of seven.
 LM_TRAIN = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7, 0) != 2"
 
@@ -128,5 +137,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op7_mixing": op7_mixing, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
 ORACLES = {"op7_mixing": _mixing_sql()}
