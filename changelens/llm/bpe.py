@@ -24,6 +24,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ from .common import offsets, take_ranges
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64, 128, 512)
 LONG = BUCKETS[-1]
 #: Pieces that a worker remembers between batches before it starts afresh.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Pieces that are put into arrays at a time.
-BLOCK_PIECES = 200_000
+BLOCK_PIECES = 50_000
 NO_PAIR = np.iinfo(np.int32).max
 
 
@@ -85,23 +86,41 @@ class PairTable:
         return out
 
 
+def read_tokens(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+
+
+class Decoder:
+    """The bytes of all tokens end to end."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = offsets(self.lengths)[:-1]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of some ids, as uint8."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
+            raise ValueError("token id outside the vocabulary")
+        return take_ranges(self.bytes, self.starts[ids], self.lengths[ids])
+
+
 class Vocabulary:
     """Ranks of a byte-level BPE, with the tables that encoding and decoding look up."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+        ranks = read_tokens(rank_file)
         self.ranks, self.pieces = ranks, regex.compile(pattern)
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         triples = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, joined = (np.array(x, np.int64) for x in zip(*triples, strict=True))
         self.pairs = PairTable(left, right, joined.astype(np.int32))
-        self.pair_ids = {(a, b): c for a, b, c in triples}
-        self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.token_lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.token_starts = offsets(self.token_lengths)[:-1]
+        self._triples = left, right, joined
+
+    @cached_property
+    def pair_ids(self) -> dict[tuple[int, int], int]:
+        """The pairs once more for the heap; only texts with a very long piece need them."""
+        return {(a, b): c for a, b, c in zip(*(x.tolist() for x in self._triples), strict=True)}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each of some distinct pieces."""
@@ -170,12 +189,6 @@ class Vocabulary:
                     heapq.heappush(heap, (j, a, ids[a], ids[b]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of some ids, as uint8."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
-            raise ValueError("token id outside the vocabulary")
-        return take_ranges(self.token_bytes, self.token_starts[ids], self.token_lengths[ids])
-
 
 class Encoder(dict):
     """Piece text -> row of the arrays; pieces that are new get the next rows and wait in ``fresh``."""
@@ -250,16 +263,25 @@ class Encoder(dict):
         return np.concatenate(out) if out else np.zeros(0, np.int32), counts
 
 
-_made: dict[str, Encoder] = {}
+_made: dict[str, Encoder | Decoder] = {}
 
 
-def _encoder(rank_file: bytes, pattern: str) -> Encoder:
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
+def _of_worker(kind: str, rank_file: bytes, pattern: str = "") -> Encoder | Decoder:
+    """A worker makes each table once."""
+    key = f"{kind} {hashlib.sha256(rank_file + pattern.encode()).hexdigest()}"
     if key not in _made:
-        _made[key] = Encoder(Vocabulary(rank_file, pattern))
+        _made[key] = Encoder(Vocabulary(rank_file, pattern)) if kind == "encoder" else decoder(rank_file)
     return _made[key]
 
 
+def decoder(rank_file: bytes) -> Decoder:
+    ranks = read_tokens(rank_file)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return Decoder(tokens)
+
+
 def read_ranks(spark: SparkSession, path: str):
     """A broadcast of a rank file; its size is that of the vocabulary, whatever the data."""
     with open(path, "rb") as f:
@@ -271,7 +293,7 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", out: str = "i
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(ranks.value, pattern)
+        encoder = _of_worker("encoder", ranks.value, pattern)
         for batch in batches:
             flat, counts = encoder.texts(batch.to_pylist())
             yield pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(flat))
@@ -279,17 +301,17 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", out: str = "i
     return df.withColumn(out, ids(F.col(text)))
 
 
-def decode(df: DataFrame, ranks, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null ids give no bytes."""
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _encoder(ranks.value, pattern).vocabulary
+        known = _of_worker("decoder", ranks.value)
         for batch in batches:
             counts = np.diff(batch.offsets.to_numpy()) if not batch.null_count else batch.value_lengths().fill_null(0).to_numpy()
             flat = batch.flatten().to_numpy(zero_copy_only=False)
-            sizes = offsets(vocabulary.token_lengths[flat])
-            data = vocabulary.decode(flat).tobytes()
+            sizes = offsets(known.lengths[flat])
+            data = known.decode(flat).tobytes()
             ends = sizes[offsets(counts)]
             yield pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 

@@ -18,7 +18,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and the text decoded from them, as digests."""
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    ids = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return ids.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
