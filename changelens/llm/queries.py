@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, mixing, quality, sharding, simhash, suffix_tree, url_filter
+from . import bpe, embedding, html_text, mixing, quality, sharding, simhash, suffix_tree, url_filter
 from .common import checkpoint, table
 
 
@@ -48,6 +48,12 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.link(table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 #: The tree of the mixture: domain, language, source. Nodes that aren't named weigh 1.
 MIX_PATH = {
     "domain": "CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'reference' ELSE 'community' END",
@@ -137,5 +143,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
 ORACLES = {"op7_mixing": _mixing_sql()}
