@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, html_text, mixing, quality, sharding, simhash, suffix_tree, url_filter
+from . import bpe, embedding, html_text, media, mixing, quality, sharding, simhash, suffix_tree, url_filter
 from .common import checkpoint, table
 
 
@@ -48,6 +48,15 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.link(table(spark, sf_dir, "embeddings"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that match those of every hundredth conversation; each turn's text is played as a melody."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    prints = media.fingerprints(turns, media.rendered(F.col("text"))).drop("text")
+    found = media.search(prints, F.col("conv_id") * (1 << 20) + F.col("turn"), F.col("conv_id") % 100 == 0)
+    match = F.col("match_key")
+    return found.select("conv_id", "turn", "n_matches", F.shiftright(match, 20).alias("match_conv_id"), F.pmod(match, F.lit(1 << 20)).alias("match_turn"), "match_offset", "match_error")
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -143,5 +152,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op5_media": op5_media, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
 ORACLES = {"op7_mixing": _mixing_sql()}
