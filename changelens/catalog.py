@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import feed, state, text
+from .plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _part in (text, feed, state):
+    QUERIES |= _part.CATALOG.queries
+    ORACLES |= _part.CATALOG.oracles

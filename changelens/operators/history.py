@@ -1,0 +1,179 @@
+"""Histories of snapshots: a change counts once it is seen twice.
+
+``Machine`` is the rule for one key. ``replay`` runs it over a table of observations,
+``streaming.observe`` over a stream; both keep only a key's state, never its
+observations. What needs no state (streaks of failures, trailing windows, status)
+is a window or a filter.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+OUT = "kind string, date timestamp, confirmed_at timestamp, from_hash string, to_hash string, hashes array<string>"
+FLIPS = 2
+
+
+@dataclass
+class Machine:
+    current: str | None = None
+    tools: int = 0
+    pending: str | None = None
+    pending_since: str | None = None
+    changed_from: str | None = None
+    flips: dict[str, int] = field(default_factory=dict)
+    failing_since: str | None = None
+    failure: str | None = None
+
+    @classmethod
+    def load(cls, text: str) -> Machine:
+        return cls(**json.loads(text))
+
+    def dump(self) -> str:
+        return json.dumps(asdict(self))
+
+    def step(self, at: str, outcome: str, seen: str | None, tools: int) -> Iterator[dict]:
+        """What one observation adds to the history. A failure adds nothing, and leaves what waits to be confirmed."""
+        if outcome == "ok" and tools == 0 and (self.current is None or self.tools > 0):
+            outcome = "empty"
+        if outcome != "ok" or seen is None:
+            if self.failing_since is None or (self.failure == "auth") != (outcome == "auth"):
+                self.failing_since = at
+            self.failure = outcome
+            return
+        self.failing_since = self.failure = None
+        if self.current is None:
+            self.current, self.tools = seen, tools
+            yield {"kind": "first_seen", "date": at, "confirmed_at": at, "to_hash": seen}
+        elif seen == self.pending:
+            old, since, before = self.current, self.pending_since, self.changed_from
+            self.current, self.tools, self.pending, self.pending_since, self.changed_from = seen, tools, None, None, old
+            yield {"kind": "change", "date": since, "confirmed_at": at, "from_hash": old, "to_hash": seen}
+            if before == seen:
+                yield from self._flip(at, old, seen)
+        elif seen != self.current:
+            replaced, self.pending, self.pending_since = self.pending, seen, at
+            if replaced is not None:
+                yield from self._flip(at, replaced, seen)
+        elif self.pending is not None:
+            replaced, self.pending, self.pending_since = self.pending, None, None
+            yield from self._flip(at, replaced, seen)
+
+    def _flip(self, at: str, a: str, b: str) -> Iterator[dict]:
+        pair = sorted([a, b])
+        key = json.dumps(pair)
+        self.flips[key] = self.flips.get(key, 0) + 1
+        if self.flips[key] == FLIPS:  # said once and never again
+            yield {"kind": "unstable", "date": at, "confirmed_at": at, "hashes": pair}
+
+
+def rows(machine: Machine, observations: Iterator[tuple], key: dict) -> list[dict]:
+    """observations: (timestamp, outcome, hash, number of tools) in order."""
+    out = []
+    for at, outcome, seen, tools in observations:
+        for event in machine.step(pd.Timestamp(at).isoformat(), outcome, seen, int(tools)):
+            out.append({"from_hash": None, "to_hash": None, "hashes": None, **event, **key})
+    return out
+
+
+def frame(found: list[dict], columns: Sequence[str]) -> pd.DataFrame:
+    out = pd.DataFrame(found, columns=list(columns))
+    for c in ("date", "confirmed_at"):
+        out[c] = pd.to_datetime(out[c])
+    return out
+
+
+COLUMNS = ("kind", "date", "confirmed_at", "from_hash", "to_hash", "hashes")
+
+
+def replay(observations: DataFrame, key: str, ts: str = "ts", outcome: str = "outcome", seen: str = "hash", tools: str = "tools") -> DataFrame:
+    """The history of each key. A partition is read in the order of key and time, with one key's state at hand."""
+    kind = observations.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, of = Machine(), None
+        for batch in batches:
+            out = []
+            for k, *observation in batch[[key, ts, outcome, seen, tools]].itertuples(index=False):
+                if k != of:
+                    machine, of = Machine(), k
+                out += rows(machine, [tuple(observation)], {key: k})
+            if out:
+                yield frame(out, (key, *COLUMNS))
+
+    ordered = observations.select(key, ts, outcome, seen, tools).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, ts, outcome, seen)
+    return ordered.mapInPandas(run, f"{key} {kind}, {OUT}")
+
+
+def streaks(observations: DataFrame, key: str, ts: str = "ts", outcome: str = "outcome", kinds: Sequence[str] = ("auth",)) -> DataFrame:
+    """Runs of failures: (key, begin, end, failures); one ends with a success, or if it turns to or from ``kinds``."""
+    order = Window.partitionBy(key).orderBy(ts)
+    group = F.when(F.col(outcome) == "ok", "ok").when(F.col(outcome).isin(*kinds), "kind").otherwise("failure")
+    rows = observations.withColumn("_group", group)
+    rows = rows.withColumn("_new", F.when(F.lag("_group").over(order).eqNullSafe(F.col("_group")), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where("_group != 'ok'").groupBy(key, "_run").agg(F.min(ts).alias("begin"), F.max(ts).alias("end"), F.count("*").alias("failures")).drop("_run")
+
+
+def trailing(events: DataFrame, today: str, days: int = 30, date: str = "date") -> DataFrame:
+    """Events of the last days, today included."""
+    day = F.col(date).cast("date")
+    return events.where(day.between(F.date_sub(F.lit(today).cast("date"), days), F.lit(today).cast("date")))
+
+
+def open_flags(events: DataFrame, key: str, today: str, days: int = 30, flag: str = "flag") -> DataFrame:
+    """Each key's distinct flags of the last days, sorted."""
+    return trailing(events, today, days).groupBy(key).agg(F.array_sort(F.collect_set(flag)).alias("flags"))
+
+
+def summary(history: DataFrame, key: str) -> DataFrame:
+    """Changes of each key, and when the last one was."""
+    return history.groupBy(key).agg(F.count_if(F.col("kind") == "change").alias("changes"), F.max(F.when(F.col("kind") == "change", F.col("date"))).alias("last_change"))
+
+
+def status(servers: DataFrame, last: DataFrame, key: str) -> DataFrame:
+    """servers left join their last observation: the status to show."""
+    words = {"auth": "needs_login", "unreachable": "not_reachable", "empty": "empty_tools"}
+    value = F.when(F.col("outcome").isNull(), "pending_first_check").when(F.col("outcome") == "ok", "ok")
+    for outcome, word in words.items():
+        value = value.when(F.col("outcome") == outcome, word)
+    return servers.join(last, key, "left").withColumn("status", value.otherwise("failing"))
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Rows whose key wasn't seen in an earlier run, each key once."""
+    return rows.join(seen.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def find_server(servers: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, slug): the server that each text names: by slug, else registry name, else address, else name."""
+    ways = [("slug", F.col("slug")), ("registry_name", F.col("registry_name")), ("url", F.rtrim(F.lower("url"), F.lit("/"))), ("name", F.lower("name"))]
+    asked = asked.select("asked").distinct()
+    found = None
+    for place, (way, value) in enumerate(ways):
+        wanted = {"url": F.rtrim(F.lower("asked"), F.lit("/")), "name": F.lower("asked")}.get(way, F.col("asked"))
+        rows = asked.withColumn("_k", wanted).join(servers.select(value.alias("_k"), F.col("slug").alias("found")), "_k").select("asked", "found", F.lit(place).alias("place"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("asked").agg(F.min_by("found", F.struct("place", "found")).alias("slug"))
+
+
+#: Phrases that tell a reader of a tool's text what to do.
+PHRASES = ("always use this tool", "before using any other", "do not mention", "do not tell", "don't tell", "ignore previous", "ignore all previous", "instead of other tools", "must use this tool", "never mention", "read the file", "send the contents", "system prompt", "without asking", "without telling")
+HIDDEN = r"[­​-‏‪-‮⁠-⁤﻿\x{e0000}-\x{e007f}]"
+
+
+def new_flags(before: DataFrame, after: DataFrame, key: Sequence[str] = ("server", "name"), text: str = "text") -> DataFrame:
+    """(key, flag, detail): phrases and invisible characters that a tool's text has gained."""
+    squeezed = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    phrases = lambda c: F.array_compact(F.array(*[F.when(squeezed(c).rlike(rf"(?<![a-z0-9]){p}(?![a-z0-9])"), F.lit(p)) for p in PHRASES]))
+    old = before.select(*key, phrases(F.col(text)).alias("_old"), F.col(text).rlike(HIDDEN).alias("_hidden"))
+    both = after.select(*key, phrases(F.col(text)).alias("_new"), F.col(text).rlike(HIDDEN).alias("_now")).join(old, list(key), "left")
+    gained = F.transform(F.array_except("_new", F.coalesce("_old", F.array().cast("array<string>"))), lambda p: F.struct(F.lit("phrase").alias("flag"), p.alias("detail")))
+    hidden = F.when(F.col("_now") & ~F.coalesce("_hidden", F.lit(False)), F.array(F.struct(F.lit("hidden_characters").alias("flag"), F.lit("").alias("detail")))).otherwise(F.array().cast("array<struct<flag:string,detail:string>>"))
+    return both.select(*key, F.explode(F.concat(gained, hidden)).alias("x")).select(*key, "x.*")
