@@ -120,6 +120,8 @@ def _date_of(text: str, year: str | None) -> str | None:
     """``yyyy-MM-dd`` or ``yyyy-MM`` of a heading, with the year of one above if it has none itself."""
     if m := _ISO.search(text):
         return m[1]
+    if re.fullmatch(r"\d{4}-\d{2}", text):
+        return text
     if (m := _MONTH.match(text)) and m[1][:3].lower() in _MONTHS:
         return f"{m[2]}-{_MONTHS[m[1][:3].lower()]:02}"
     for m in _US.finditer(text):
