@@ -301,6 +301,24 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", out: str = "i
     return df.withColumn(out, ids(F.col(text)))
 
 
+def round_trip(df: DataFrame, ranks, pattern: str, text: str = "text", out: str = "ids", exact: str = "exact") -> DataFrame:
+    """Add the ids, and whether they decode to the text's very bytes; both by one worker, which sends no bytes back."""
+
+    @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, known = _of_worker("encoder", ranks.value, pattern), _of_worker("decoder", ranks.value)
+        for batch in batches:
+            texts = batch.to_pylist()
+            flat, counts = encoder.texts(texts)
+            ends = offsets(counts)
+            exact_ = [known.decode(flat[a:b]).tobytes() == (t or "").encode() for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.StructArray.from_arrays([ids, pa.array(exact_, pa.bool_())], ["ids", "exact"])
+
+    named = df.withColumn("_both", both(F.col(text)))
+    return named.withColumns({out: F.col("_both.ids"), exact: F.col("_both.exact")}).drop("_both")
+
+
 def decode(df: DataFrame, ranks, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for; null ids give no bytes."""
 

@@ -40,9 +40,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its very bytes."""
     bound_batches(spark)
     ranks = bpe.read_ranks(spark, public_tokenizers.path(TOKENIZER))
-    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    out = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("tokens", tokenize)]

@@ -51,3 +51,10 @@ def test_edges(spark):
     out = bpe.decode(bpe.encode(df, ranks, public_tokenizers.PATTERN), ranks)
     assert sorted((r.id, len(r.ids), bytes(r.decoded)) for r in out.collect()) == [(1, 0, b""), (2, 0, b""), (3, 2, b"a b"), (3, 2, b"a b")]
     assert bpe.encode(df.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_round_trip(spark):
+    ranks = bpe.read_ranks(spark, PATH)
+    df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b🙂", 5)], "id long, text string, exact int")
+    got = bpe.round_trip(df, ranks, public_tokenizers.PATTERN).collect()
+    assert [(r.id, list(r.ids), r.exact) for r in got] == [(1, [], True), (2, [], True), (3, REFERENCE.encode_ordinary("a b🙂"), True)]
