@@ -52,7 +52,7 @@ def test_service(spark):
     got = {r.asked: (r.records, r.id, r.answer) for r in service.check_models(records, ["NOVA-1", "nova-2-20250101", "/V1/x", "/v1/x"], "2026-05-01").collect()}
     assert got["NOVA-1"] == (2, "a", "NOVA-1 is shut down on Jun 1, 2026") and got["nova-2-20250101"][:2] == (1, "b")
     assert got["/V1/x"][0] == 0 and got["/v1/x"][1] == "c"
-    assert [r.id for r in service.list_upcoming(records, "2026-06-01", 8).collect()] == ["a"]
+    assert [r.id for r in service.list_upcoming(records, "2026-06-01", 7).collect()] == ["a"]
     assert [r.id for r in service.list_upcoming(records, "2026-06-01", 90, "other-co").collect()] == ["c"]
     assert [r.vendor for r in service.vendors_instead(records, "nobody").collect()] == ["Acme", "Other Co"] and service.vendors_instead(records, "acme").count() == 0
     assert [r.id for r in service.search_changes(records, "NOVA").collect()] == ["a", "b"]
