@@ -19,6 +19,7 @@ from changelens.llm.common import bound_batches, checkpoint, table
 from changelens.llm.queries import MIX_EPOCHS, MIX_PATH, MIX_SEED, MIX_WEIGHTS, TRAIN
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+SHINGLE, SIMILARITY = 5, 0.8
 MIX_PERCENT = 100
 
 
@@ -29,7 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one_similar(docs, words=SHINGLE, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ from changelens.llm import queries
 from tests.llm.test_bpe import REFERENCE
 from tests.llm.test_mixing import plain as plain_mix
 from tests.llm.test_quality import plain_scores
-from tests.llm.test_simhash import groups
-from tests.llm.test_simhash import plain as plain_print
+from tests.llm.test_simhash import similar
 
 
 def test_run_against_plain_python(spark, sf_dir):
@@ -16,7 +15,7 @@ def test_run_against_plain_python(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     train = [(r.text, labels[r.doc_id]) for r in docs if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5]
     good = sorted((r for r, s in zip(docs, plain_scores(train, [r.text for r in docs]), strict=True) if s >= 0.3), key=lambda r: r.doc_id)
-    root = groups([plain_print(r.text) for r in good])
+    root = similar([r.text for r in good])
     kept = [r for i, r in enumerate(good) if root[i] == i]
     domain = lambda s: "crawl" if s == "src0" else "reference" if len(s) == 4 else "community"
     rows = [(r.doc_id, (domain(r.source), r.lang, r.source), len((r.text or "").encode().split())) for r in kept]

@@ -29,6 +29,70 @@ def groups(prints, radius=2):
     return label
 
 
+def plain_sketch(text, words=5):
+    """1024 majorities over the set of shingles, bit by bit, and the set."""
+    found = (text or "").encode().lower().split()
+    shingles = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    out = 0
+    for k in range(simhash.PARTS):
+        ones = [0] * 64
+        for s in shingles:
+            z = (xxhash.xxh64_intdigest(s, 42) + k * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            z ^= z >> 31
+            for b in range(64):
+                ones[b] += z >> b & 1
+        out |= sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles)) << 64 * k
+    return out, shingles
+
+
+def similar(texts, similarity=0.8):
+    """Least index of each text's component, by comparing all sketches with all."""
+    near, close = simhash.radius_of(similarity, 64, 3.2), simhash.radius_of(similarity, 1024)
+    known = [plain_sketch(t) for t in texts]
+    tile = [int(np.floor(np.log(max(1, len(s))) / -np.log(similarity) + 1e-9)) for _, s in known]
+    label = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if abs(tile[i] - tile[j]) < 2 and (x := known[i][0] ^ known[j][0]).bit_count() <= close and (x % 2**64).bit_count() <= near]
+    while any(label[i] != label[j] for i, j in links):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_similar_sets_link_and_others_do_not(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for _ in range(40):
+        base = rng.choice(words, rng.integers(60, 400)).tolist()
+        changed, half = list(base), list(base)
+        for i in rng.choice(len(base), len(base) // 60 + 1, replace=False):
+            changed[i] = "other"  # about 8 of 100 shingles
+        half[len(half) // 2 :] = rng.choice(words, len(half) - len(half) // 2).tolist()
+        docs += [base, changed, half]
+    texts = [" ".join(d) for d in docs] + ["", "", None, "two words", "two words", "two other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_similar(df).collect()}
+    label = similar(texts)
+    assert kept == {i for i, x in enumerate(label) if i == x}
+    assert all(i in kept for i in range(0, 120, 3)) and all(i in kept for i in range(2, 120, 3))  # nothing clean goes
+    assert sum(i in kept for i in range(1, 120, 3)) == 0
+    assert kept & set(range(120, 126)) == {120, 123, 125}
+
+
+@pytest.mark.parametrize("size", [1 << 17, 25])
+def test_similar_by_blocks(spark, monkeypatch, sf_dir, size):
+    monkeypatch.setattr(simhash, "SKETCHES", size)
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    df = spark.createDataFrame([*docs, (None, "a text without an id that is like no other one at all"), docs[3]], "doc_id long, text string")
+    label = similar([t for _, t in docs])
+    want = {docs[i][0] for i, x in enumerate(label) if i == x} | {None}
+    got = [r.doc_id for r in simhash.keep_one_similar(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert simhash.keep_one_similar(df.limit(0)).count() == 0
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     prints = [plain(t) for _, t in docs]
