@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 WINDOW, SHARE, ENOUGH = 3, 0.2, 80
 #: Elements whose text isn't shown or isn't prose.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math")
-SKIPPED = {"nav", "footer", "aside", "form", "head", "header", "menu", "button", "select", "dialog", "figcaption", "address", "canvas", "audio", "video", "datalist", "fieldset", "label", "search"}
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object")
+SKIPPED = {"nav", "footer", "aside", "form", "head", "header", "menu", "button", "select", "dialog", "canvas", "audio", "video", "datalist", "fieldset", "label", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "status"}
 NAMES = {
-    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments",
-    "commentlist", "consent", "cookie", "cookies", "discussion", "disqus", "footer", "gdpr", "header", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar",
-    "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related",
+    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
+    "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer", "discussion", "disqus", "footer", "gdpr", "header", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar",
+    "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "paywall", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related",
     "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola",
     "toolbar", "topbar", "widget",
 }
@@ -72,7 +72,7 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            found = NAMES.intersection(_WORD.findall(value))
+            found = NAMES.intersection(_WORD.findall(value) + _WORD.findall(re.sub("[-_]", "", value)))  # side-bar is sidebar
             if found - OF_PAGE or found and not in_article:
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" and name not in INLINE:

@@ -45,6 +45,7 @@ def test_query(spark):
         "<footer><p>All rights reserved, all wrongs reversed, and whatever else one writes down there.</p></footer>",
         '<p class="ad">Buy this thing now, it is much better than the other thing and costs much less.',
         '<div class="promo">Never closed<p>',
+        '<div class="page-side-bar"><p>Other texts that have nothing to do with this one, but are long enough to count.</p></div>',
         '<div style="display: none">Some text that is in the page but never shown to anybody who looks at it at all</div>',
     ],
 )
@@ -67,6 +68,11 @@ def test_short_paragraphs_of_an_article_stay():
     assert main_text(f"<article><p>{P1 * 20}</p><p>a</p><p>b</p><p>c</p><p>d</p></article><p>{P2}</p>").split("\n\n")[1:] == ["a", "b", "c", "d"]
 
 
+def test_captions_tables_and_an_articles_own_header_stay():
+    page = f"<body><article><header><h1>T</h1></header><p>{P1}</p><figure><img alt=x><figcaption>Caption</figcaption></figure><table><tr><td>1<td>2</table><aside>Aside</aside><p>{P2}</p></article>"
+    assert main_text(page) == f"T\n\n{P1}\n\nCaption\n\n1\n\n2\n\n{P2}"
+
+
 def test_references_and_white_space():
     assert main_text("<p>a &amp;lt; b&nbsp;&#233;&#x1F642;\n\t c<br>d <b>e</b>f</p>") == "a &lt; b é🙂 c d ef"
 
