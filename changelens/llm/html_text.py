@@ -72,7 +72,8 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            found = NAMES.intersection(_WORD.findall(value) + _WORD.findall(re.sub("[-_]", "", value)))  # side-bar is sidebar
+            words = _WORD.findall(value)
+            found = NAMES.intersection([*words, *map(str.__add__, words, words[1:])])  # side-bar is sidebar
             if found - OF_PAGE or found and not in_article:
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" and name not in INLINE:
