@@ -49,14 +49,17 @@ def candidates(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], lin
     underscores at their ends); those have their own key: any word that contains it.
     """
     small = F.broadcast(signatures) if signatures.count() <= BROADCAST_ROWS else signatures
-    joined = lines.select(*keep, F.col(line).alias("line"), F.explode(F.array_distinct(_keys(F.col(line)))).alias("word")).join(small, "word")
+    words = lines.select(*keep, F.col(line).alias("line"), F.regexp_extract_all(F.col(line), F.lit("[A-Za-z0-9_]+"), F.lit(0)).alias("_words"))
+    joined = words.select(*keep, "line", F.explode(F.array_distinct(_keys(F.col("_words")))).alias("word")).join(small, "word")
     return joined.where(F.col("line").contains(F.col("written"))).drop("word")
 
 
-def _keys(line: Column) -> Column:
-    words = F.regexp_extract_all(line, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+def _keys(words: Column) -> Column:
     joined = F.filter(words, lambda w: w.contains("__"))
-    return F.concat(words, F.flatten(F.transform(joined, lambda w: F.split(w, "__"))), F.transform(joined, lambda w: F.regexp_extract(w, r"\A.*?mcp__.*?__(.*)\z", 1)), F.transform(words, lambda w: F.regexp_replace(w, r"\A_+|_+\z", "")))
+    inner = F.flatten(F.transform(joined, lambda w: F.split(w, "__")))
+    called = F.transform(joined, lambda w: F.regexp_extract(w, r"\A.*?mcp__.*?__(.*)\z", 1))
+    edged = F.filter(words, lambda w: w.startswith("_") | w.endswith("_"))
+    return F.concat(words, inner, called, F.transform(edged, lambda w: F.regexp_replace(w, r"\A_+|_+\z", "")))
 
 
 def positions(line: Column, signature: Column, model: Column, named: Column) -> Column:
