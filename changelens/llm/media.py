@@ -204,11 +204,11 @@ def search(df: DataFrame, key: Column, asks: Column, fingerprint: str = "fingerp
     least itself. ``key``: a long that names a row.
     """
     keep = [c for c in df.columns if c != fingerprint]
-    rows = df.select(*keep, F.col(fingerprint).alias("_print"), key.alias("_key"), F.coalesce(asks, F.lit(False)).alias("_asks"))
-    known = F.size("_print") > 0
-    hashes = [F.when(known, F.xxhash64("_print")).alias("_h1"), F.when(known, F.hash("_print")).alias("_h2")]
+    rows = df.select(*keep, F.col(fingerprint).alias("__print"), key.alias("__key"), F.coalesce(asks, F.lit(False)).alias("__asks"))
+    known = F.size("__print") > 0
+    hashes = [F.when(known, F.xxhash64("__print")).alias("__h1"), F.when(known, F.hash("__print")).alias("__h2")]
     rows = checkpoint(rows.select("*", *hashes))
-    classes = rows.where(known).groupBy("_h1", "_h2").agg(F.first("_print").alias("fingerprint"), F.count("*").alias("copies"), F.min("_key").alias("least"), F.max("_key").alias("most"), F.max("_asks").alias("asks"))
+    classes = rows.where(known).groupBy("__h1", "__h2").agg(F.first("__print").alias("fingerprint"), F.count("*").alias("copies"), F.min("__key").alias("least"), F.max("__key").alias("most"), F.max("__asks").alias("asks"))
     classes = checkpoint(classes).withColumn("class", F.monotonically_increasing_id())
     n, q = classes.agg(F.count("*"), F.count_if("asks")).head()
     blocks, query_blocks = -(-n // BLOCK) or 1, -(-q // QUERY_BLOCK) or 1
@@ -220,16 +220,16 @@ def search(df: DataFrame, key: Column, asks: Column, fingerprint: str = "fingerp
     found = tiles.mapInArrow(_compare, "class long, matches long, error double, other long, offset long")
     best = F.min(F.when(F.col("other").isNotNull(), F.struct("error", "other", "offset")))
     found = found.groupBy("class").agg(F.sum("matches").alias("matches"), best.alias("best"))
-    of = classes.where("asks").join(found, "class", "left").select("_h1", "_h2", "copies", "least", "most", "matches", "best")
-    out = rows.where("_asks").join(of, ["_h1", "_h2"], "left")
-    copied = F.col("copies") > 1
-    copy = F.when(F.col("least") < F.col("_key"), F.col("least")).otherwise(F.col("most"))
+    of = classes.where("asks").join(found, "class", "left").select("__h1", "__h2", *[F.col(c).alias(f"__{c}") for c in ("copies", "least", "most", "matches", "best")])
+    out = rows.where("__asks").join(of, ["__h1", "__h2"], "left")
+    copied = F.col("__copies") > 1
+    copy = F.when(F.col("__least") < F.col("__key"), F.col("__least")).otherwise(F.col("__most"))
     return out.select(
         *keep,
-        F.coalesce(F.greatest(F.col("matches"), F.col("copies")) - 1, F.lit(0)).cast("long").alias("n_matches"),
-        F.when(copied, copy).otherwise(F.col("best.other")).alias("match_key"),
-        F.when(copied, 0).otherwise(F.col("best.offset")).cast("long").alias("match_offset"),
-        F.when(copied, 0.0).otherwise(F.col("best.error")).alias("match_error"),
+        F.coalesce(F.greatest(F.col("__matches"), F.col("__copies")) - 1, F.lit(0)).cast("long").alias("n_matches"),
+        F.when(copied, copy).otherwise(F.col("__best.other")).alias("match_key"),
+        F.when(copied, 0).otherwise(F.col("__best.offset")).cast("long").alias("match_offset"),
+        F.when(copied, 0.0).otherwise(F.col("__best.error")).alias("match_error"),
     )
 
 

@@ -95,9 +95,9 @@ def plan(rows: DataFrame, path: Sequence[str], weights: dict[tuple[str, ...], in
     return out.withColumn("rest", F.expr("cast(budget - full * tokens as bigint)"))
 
 
-def _order(seed: int, key: Column) -> Column:
+def _order(seed: int, key: Column, epoch: Column) -> Column:
     id_ = F.coalesce(key.cast("string"), F.lit(""))
-    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.col("full").cast("string"), F.lit(":"), id_)), F.lit(":"), id_)
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), id_)), F.lit(":"), id_)
 
 
 def _join(rows: DataFrame, leaves: DataFrame, path: list[str]) -> DataFrame:
@@ -107,7 +107,7 @@ def _join(rows: DataFrame, leaves: DataFrame, path: list[str]) -> DataFrame:
 def cuts(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key: str, tokens: str = "n_tokens") -> DataFrame:
     """The plan with ``cut``: the last place in the order of its last epoch that a leaf takes, null for none."""
     path = list(path)
-    ordered = _join(rows.select(*path, key, tokens), leaves.select(*path, "full", "rest").where("rest > 0"), path).select(*path, _order(seed, F.col(key)).alias("place"), tokens, "rest")
+    ordered = _join(rows.select(*path, key, tokens), leaves.select(*path, "full", "rest").where("rest > 0"), path).select(*path, _order(seed, F.col(key), F.col("full")).alias("place"), tokens, "rest")
     ends = None
     for digits in (*DIGITS, None):
         near = ordered
@@ -134,18 +134,19 @@ def cuts(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key
 def copies(rows: DataFrame, path: Sequence[str], weights: dict[tuple[str, ...], int], percent: int, max_epochs: int, seed: int, key: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
     """``rows`` (read twice: best written before) with ``copies``: how often each is taken."""
     leaves = checkpoint_small(plan(rows, path, weights, percent, max_epochs, tokens), MAX_LEAVES)
-    return take(rows, cuts(rows, leaves, path, seed, key, tokens), path, seed, key)
+    return take(rows, cuts(rows, leaves, path, seed, key, tokens), path, seed, key, "copies")
 
 
-def take(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key: str) -> DataFrame:
-    extra = F.when(_order(seed, F.col(key)) <= F.col("cut"), 1).otherwise(0)
-    return _join(rows, leaves.select(*path, "full", "cut"), list(path)).withColumn("copies", (F.col("full") + F.coalesce(extra, F.lit(0))).cast("int")).drop("full", "cut")
+def take(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key: str, out: str) -> DataFrame:
+    named = leaves.select(*path, F.col("full").alias("__full"), F.col("cut").alias("__cut"))
+    extra = F.when(_order(seed, F.col(key), F.col("__full")) <= F.col("__cut"), 1).otherwise(0)
+    return _join(rows, named, list(path)).withColumn(out, (F.col("__full") + F.coalesce(extra, F.lit(0))).cast("int")).drop("__full", "__cut")
 
 
 def mix(df: DataFrame, path: dict[str, str], weights: dict[tuple[str, ...], int], percent: int = 100, max_epochs: int = 4, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``df`` with their columns, each as often as it is taken. path: SQL for each level of the tree."""
-    named = {f"_level{i}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for i, c in enumerate(path.values())}
-    rows = checkpoint(df.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in named.items()], words(F.col(text)).alias("_tokens")))
-    leaves = cuts(rows, checkpoint_small(plan(rows, [*named], weights, percent, max_epochs, "_tokens"), MAX_LEAVES), [*named], seed, "_key", "_tokens")
-    out = take(df.withColumns(named | {"_key": F.col(key)}), leaves, [*named], seed, "_key").where("copies > 0")
-    return out.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(c) for c in df.columns])
+    named = {f"__level{i}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for i, c in enumerate(path.values())}
+    rows = checkpoint(df.select(F.col(key).alias("__key"), *[c.alias(n) for n, c in named.items()], words(F.col(text)).alias("__tokens")))
+    leaves = cuts(rows, checkpoint_small(plan(rows, [*named], weights, percent, max_epochs, "__tokens"), MAX_LEAVES), [*named], seed, "__key", "__tokens")
+    out = take(df.withColumns(named | {"__key": F.col(key)}), leaves, [*named], seed, "__key", "__copies").where("__copies > 0")
+    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(c) for c in df.columns])

@@ -134,17 +134,17 @@ def _even_cuts(cells: Cells, total: np.ndarray, capacity: int, shards: int) -> l
 
 def assign(df: DataFrame, shards: int, group: Column, size: Column, order: Column) -> DataFrame:
     """Add ``shard`` and ``slot``; ``order`` ranks the rows of a group in their shard."""
-    rows = checkpoint(df.withColumns({"_place": F.xxhash64(group), "_size": F.coalesce(size.cast("long"), F.lit(0)), "_order": order}))
-    groups = checkpoint(rows.groupBy(F.col("_place").alias("place")).agg(F.sum("_size").alias("size")))
+    rows = checkpoint(df.withColumns({"__place": F.xxhash64(group), "__size": F.coalesce(size.cast("long"), F.lit(0)), "__order": order}))
+    groups = checkpoint(rows.groupBy(F.col("__place").alias("place")).agg(F.sum("__size").alias("size")))
     _, cuts = search(groups, shards)
-    shard = sum([(F.col("_place") >= c).cast("int") for c in cuts if c is not None], F.lit(0))
+    shard = sum([(F.col("__place") >= c).cast("int") for c in cuts if c is not None], F.lit(0))
     # rows in their order over many partitions; a group of any size is split by the order, copies of a row by their number
-    rows = rows.withColumns({"shard": shard.cast("int"), "_copy": F.monotonically_increasing_id()})
-    keys = ["shard", "_place", "_order", "_copy"]
-    rows = checkpoint(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_at", 33))
-    parts = rows.groupBy("shard", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))  # a row for each partition and shard in it
-    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("shard", "_part", (before - F.col("_first")).alias("_shift"))
-    out = rows.join(parts, ["shard", "_part"]).withColumn("slot", F.col("_at") + F.col("_shift"))
+    rows = rows.withColumns({"shard": shard.cast("int"), "__copy": F.monotonically_increasing_id()})
+    keys = ["shard", "__place", "__order", "__copy"]
+    rows = checkpoint(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy("shard", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))  # a row for each partition and shard in it
+    before = F.coalesce(F.sum("__rows").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("shard", "__part", (before - F.col("__first")).alias("__shift"))
+    out = rows.join(parts, ["shard", "__part"]).withColumn("slot", F.col("__at") + F.col("__shift"))
     return out.select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")

@@ -290,8 +290,8 @@ def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     sets = checkpoint(equal).withColumn("id", F.monotonically_increasing_id())
     tree = components(similar_links(sets.select("id", "sketch", "shingles"), similarity))
     best = sets.join(tree, sets.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.row").alias("_row"))
-    return df.withColumn("_row", F.xxhash64(F.col(key), F.col(text))).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = best.select(F.col("best.row").alias("__row"))
+    return df.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -300,5 +300,5 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     by_print = rows.groupBy("fingerprint").agg(F.min(F.struct("id", "row")).alias("best"))
     tree = groups(rows, radius)
     best = tree.join(by_print, "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.row").alias("_row"))
-    return df.withColumn("_row", F.xxhash64(F.col(key), F.col(text))).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    kept = best.select(F.col("best.row").alias("__row"))
+    return df.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

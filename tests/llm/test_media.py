@@ -104,7 +104,7 @@ def test_edges(spark):
     rows = [(1, None, "a"), (2, b"", "a"), (3, b"RIFFnonsense", "a"), (4, wav(song(1, 4000, 3), 4000), "a"), (5, good, "a"), (5, good, "a"), (6, good[:-7], "a"), (None, good, "a")]
     df = spark.createDataFrame(rows, "key long, media binary, fingerprint string")
     prints = media.fingerprints(df, F.col("media"))
-    got = sorted((r.key or 0, r.n_matches) for r in media.search(prints.drop("media"), F.col("key"), F.lit(True)).collect())
+    got = sorted((r.key or 0, r.n_matches) for r in media.search(prints.drop("media").withColumns({"best": F.lit(1), "copies": F.lit(2)}), F.col("key"), F.lit(True)).collect())
     assert got[:5] == [(0, 3), (1, 0), (2, 0), (3, 0), (4, 0)] and [x[0] for x in got[5:]] == [5, 5, 6]
     assert media.search(media.fingerprints(df.limit(0), F.col("media")), F.col("key"), F.lit(True)).count() == 0
     silent = media.fingerprint(wav(np.zeros(20_000), 4000))

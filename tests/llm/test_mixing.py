@@ -67,7 +67,7 @@ def test_query_against_its_sql(spark, sf_dir):
 
 def test_edges(spark):
     rows = [(1, None, None, "x"), (2, "", "p", "x"), (3, "a b  c", "p", "x"), (3, "a b  c", "p", "x"), (None, "d e", None, "x"), (None, "d e", None, "x"), (6, "w " * 50_000, "q", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _epoch string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, full string")
     out = mixing.mix(df, {"source": "source"}, {}, 100, 2)
     assert out.columns == df.columns
     sizes = Counter((r.doc_id or 0) for r in out.collect())

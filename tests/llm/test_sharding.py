@@ -63,7 +63,7 @@ def test_query(spark, sf_dir):
 
 def test_edges(spark):
     rows = [(1, None, 5), (1, None, 5), (None, "x" * 200_000, 5), (2, "", 5), (3, "a", 5), (3, "a", 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumns({"_size": F.lit("x"), "place": F.lit("y")})
     args = (24, F.coalesce("text", F.lit("")), F.length("text"), F.col("doc_id"))
     got = sharding.assign(df, *args).collect()
     assert len(got) == 6 and len({r.shard for r in got if not r.text}) == 1 and len({(r.shard, r.slot) for r in got}) == 6
