@@ -17,6 +17,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 #: Rows of a few numbers that one file of a small table holds.
 ROWS_OF_FILE = 200_000
+#: Links up to whose number their nodes are broadcast.
+BROADCAST_LINKS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,11 +94,13 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(rows) == state or rows[0] == 0:
             return found.select(F.col("a").alias("node"), F.col("b").alias("root")).union(found.select("b", "b")).distinct()
         state = tuple(rows)
+        # a broadcast spares the shuffle by node, in which a hub's links would meet; many nodes are joined by a shuffle, which adaptive execution splits
+        spread = F.broadcast if rows[0] <= BROADCAST_LINKS else (lambda df: df)
         both = found.union(found.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(spread(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+        small = large.join(spread(low), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b")).where("a != b").distinct()
         found = checkpoint_small(small, 2 * rows[0])  # a round never adds links between more nodes than there are
 
 
