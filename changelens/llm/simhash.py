@@ -193,6 +193,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 PARTS, SLACK = 16, 2.0
 #: Sketches of a block; a group compares two blocks.
 SKETCHES = 1 << 17
+#: Tiles in which shingle counts of one ratio are dealt; more of them skip more pairs and repeat more rows.
+FINE = 3
 
 
 def sketch(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
@@ -232,16 +234,16 @@ def sketches(df: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
 def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that span the components of sets (id, sketch, shingles) whose sketches say that they are so similar.
 
-    Sets can be so similar only if one has at most 1/similarity times the other's shingles: tiles
-    are ranges of this ratio, and a set meets those of its own range and of the next one up.
+    Sets can be so similar only if one has at most 1/similarity times the other's shingles: FINE tiles
+    make up a range of this ratio, and a set meets those of its own tile and of the next FINE ones up.
     """
-    ratio = float(-np.log(similarity))
+    ratio = float(-np.log(similarity)) / FINE
     near, close = radius_of(similarity, 64, 3.2), radius_of(similarity, 64 * PARTS)
     tile = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.lit(ratio) + F.lit(1e-9)).cast("long")
     rows = rows.withColumn("tile", tile)
     sizes = {r.tile: r.n for r in rows.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # a hundred ranges reach to billions of shingles
     blocks = {t: -(-n // SKETCHES) for t, n in sizes.items()}
-    guests = {t: -(-(n + sizes.get(t - 1, 0)) // SKETCHES) for t, n in sizes.items()}
+    guests = {t: -(-sum(sizes.get(t - k, 0) for k in range(FINE + 1)) // SKETCHES) for t in sizes}
     if not sizes:
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
     pick = lambda table, t: F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in table.items() for x in kv])[t], F.lit(0))
@@ -249,7 +251,7 @@ def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     columns = ["id", "sketch"]
     spread = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long")))))
     home = rows.select(*columns, F.col("tile"), (mixed % pick(blocks, F.col("tile"))).alias("block"), spread(pick(guests, F.col("tile"))).alias("guest"), F.lit(True).alias("home"))
-    visit = rows.select(*columns, F.explode(F.array("tile", F.col("tile") + 1)).alias("tile")).where(pick(blocks, F.col("tile")) > 0)
+    visit = rows.select(*columns, F.explode(F.sequence("tile", F.col("tile") + FINE)).alias("tile")).where(pick(blocks, F.col("tile")) > 0)
     visit = visit.select(*columns, "tile", spread(pick(blocks, F.col("tile"))).alias("block"), (mixed % pick(guests, F.col("tile"))).alias("guest"), F.lit(False).alias("home"))
     keys = ["tile", "block", "guest"]
 

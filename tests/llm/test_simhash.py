@@ -51,9 +51,9 @@ def similar(texts, similarity=0.8):
     """Least index of each text's component, by comparing all sketches with all."""
     near, close = simhash.radius_of(similarity, 64, 3.2), simhash.radius_of(similarity, 1024)
     known = [plain_sketch(t) for t in texts]
-    tile = [int(np.floor(np.log(max(1, len(s))) / -np.log(similarity) + 1e-9)) for _, s in known]
+    tile = [int(np.floor(np.log(max(1, len(s))) / (-np.log(similarity) / simhash.FINE) + 1e-9)) for _, s in known]
     label = list(range(len(texts)))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if abs(tile[i] - tile[j]) < 2 and (x := known[i][0] ^ known[j][0]).bit_count() <= close and (x % 2**64).bit_count() <= near]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if abs(tile[i] - tile[j]) <= simhash.FINE and (x := known[i][0] ^ known[j][0]).bit_count() <= close and (x % 2**64).bit_count() <= near]
     while any(label[i] != label[j] for i, j in links):
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
