@@ -48,6 +48,15 @@ def op4_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.link(table(spark, sf_dir, "embeddings"))
 
 
+_EMBEDDING_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {embedding.COSINE}),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x), n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings that match those of every hundredth conversation; each turn's text is played as a melody."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -153,4 +162,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op5_media": op5_media, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
-ORACLES = {"op7_mixing": _mixing_sql()}
+ORACLES = {"op4_embedding": _EMBEDDING_SQL, "op7_mixing": _mixing_sql()}
