@@ -1,7 +1,8 @@
 """Where records' identifiers occur in lines of code or text.
 
-Signatures are a small dimension (thousands at most); lines are the large side.
-``token_hits`` finds candidates by an equi-join on plain words, so that every
+Signatures are a small dimension; lines are the large side. As far as the signatures are
+few (counted first), ``token_hits`` scans each line once with an automaton of all of them.
+More of them are joined: candidates are found by an equi-join on plain words, so that every
 line meets only signatures whose longest word it holds, and verifies them with
 the exact pattern. A word on a third of all lines is a skewed key of the large
 side only; the dimension's rows are broadcast as far as their size allows, and
@@ -21,6 +22,8 @@ from ..functions.text import token_pattern
 
 #: Rows of a signature table up to which it is broadcast.
 BROADCAST_ROWS = 50_000
+#: Rows of a signature table up to which lines are scanned for all of them at once.
+SCAN_ROWS = 20_000
 
 
 def signature_table(records: DataFrame) -> DataFrame:
@@ -89,19 +92,67 @@ def python_pattern(signature: str, model: bool, named: Sequence[str]) -> str:
     return pattern[pattern.index(re.escape(signature)) :]
 
 
+def is_token(text: str, at: int, signature: str, pattern: re.Pattern[str]) -> bool:
+    """Whether the signature that stands at a place is a token there."""
+    before = text[at - 1] if at else " "
+    free = not (signature[0].isascii() and signature[0].isalnum()) or not (before == "_" or before.isascii() and before.isalnum()) or _JOINED.search(text, 0, at)
+    return bool(free and pattern.match(text, at))
+
+
 def token_positions(text: str, signature: str, pattern: re.Pattern[str]) -> list[int]:
     found, at = [], text.find(signature)
     while at >= 0:
-        before = text[at - 1] if at else " "
-        free = not (signature[0].isascii() and signature[0].isalnum()) or not (before == "_" or before.isascii() and before.isalnum()) or _JOINED.search(text, 0, at)
-        if free and pattern.match(text, at):
+        if is_token(text, at, signature, pattern):
             found.append(at)
         at = text.find(signature, at + 1)
     return found
 
 
+HITS = pa.list_(pa.struct([("written", pa.string()), ("model", pa.bool_()), ("start", pa.int32())]))
+HITS_SQL = "array<struct<written:string,model:boolean,start:int>>"
+
+
+def scan(line: Column, wanted: Sequence[tuple[str, bool]]) -> Column:
+    """All tokens of a few signatures (written form, model) in a line, found by one automaton in one pass."""
+
+    @F.arrow_udf(HITS_SQL)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from ahocorasick import Automaton
+
+        automaton, patterns = Automaton(), {w: re.compile(python_pattern(*w, ())) for w in wanted}
+        forms: dict[str, list[bool]] = {}
+        for written, model in wanted:
+            forms.setdefault(written, []).append(model)
+        for written, models in forms.items():
+            automaton.add_word(written, (written, models))
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for text in batch.to_pylist():
+                found = []
+                for end, (written, models) in automaton.iter(text or ""):
+                    at = end - len(written) + 1
+                    found += [{"written": written, "model": m, "start": at} for m in models if is_token(text, at, written, patterns[written, m])]
+                out.append(found)
+            yield pa.array(out, HITS)
+
+    return of(line)
+
+
 def token_hits(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], named: Column | None = None) -> DataFrame:
-    """A row for each occurrence: ``keep``, the signature's columns, line, start, stop."""
+    """A row for each occurrence: ``keep``, the signature's columns, line, start, stop.
+
+    Up to ``SCAN_ROWS`` signatures are looked for by one automaton in each line; more of them,
+    and those with named variants, by the join of words.
+    """
+    if named is None and signatures.count() <= SCAN_ROWS:
+        wanted = [(r.written, r.model) for r in signatures.select("written", "model").distinct().collect() if r.written]
+        if wanted:
+            found = lines.select(*keep, "line", F.explode(scan(F.col("line"), wanted)).alias("_hit"))
+            small = F.broadcast(signatures.drop("word").withColumnsRenamed({"written": "_written", "model": "_model"}))
+            hits = found.join(small, (F.col("_hit.written") == F.col("_written")) & (F.col("_hit.model") == F.col("_model")))
+            hits = hits.withColumns({"start": F.col("_hit.start"), "stop": F.col("_hit.start") + F.char_length("_written"), "model": F.col("_model")})
+            return hits.drop("_hit", "_written", "_model")
     found = candidates(lines, signatures, keep)
     at = positions(F.col("line"), F.col("written"), F.col("model"), named if named is not None else F.array().cast("array<string>"))
     hits = found.withColumn("start", F.explode(at))

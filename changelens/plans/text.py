@@ -15,7 +15,11 @@ query = CATALOG.query
 
 #: Identifiers to look for, and how bad their change is.
 SIGNATURES = [("breaking", "token"), ("breaking", "moron"), ("silent", "onharent"), ("deprecation", "the"), ("deprecation", "Zu und"), ("additive", "example.com"), ("info", "of them")]
-_LITERALS = ", ".join(f"('{sev}', '{sig}', '(^|[^A-Za-z0-9_]){sig.replace('.', '[.]')}($|[^A-Za-z0-9_])')" for sev, sig in SIGNATURES)
+#: A token's sides in a dialect without look-around: no word character, and no dot with a digit after it.
+_LEFT, _RIGHT = "(^|[^A-Za-z0-9_])", r"($|[^A-Za-z0-9_.\\]|[.]($|[^0-9])|\\($|[^.]|[.]($|[^0-9])))"
+_LITERALS = ", ".join(f"('{sev}', '{sig}', '{_LEFT}{sig.replace('.', '[.]')}{_RIGHT}')" for sev, sig in SIGNATURES)
+#: A line without ``the`` before a dot and a digit, for counting by word boundaries.
+_PLAIN_LINE = r"regexp_replace(line, '\bthe\b(\\?[.][0-9])', 'Q\1', 'g')"
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
@@ -45,7 +49,7 @@ def token_hits_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.groupBy("severity").agg(F.sum("n").alias("sites"), F.countDistinct("doc_id").alias("files"))
 
 
-@query(rf"WITH {_LINES} SELECT doc_id, sum(len(regexp_extract_all(line, '\bof the\b')))::BIGINT AS long_hits, sum(len(regexp_extract_all(replace(line, 'of the', 'Q'), '\bthe\b')))::BIGINT AS short_hits FROM (SELECT doc_id, regexp_replace(line, '\bof the\b', '  ', 'g') AS cut, line FROM l) GROUP BY doc_id HAVING long_hits + short_hits > 0")
+@query(rf"WITH {_LINES} SELECT doc_id, sum(len(regexp_extract_all({_PLAIN_LINE}, '\bof the\b')))::BIGINT AS long_hits, sum(len(regexp_extract_all(replace({_PLAIN_LINE}, 'of the', 'Q'), '\bthe\b')))::BIGINT AS short_hits FROM l GROUP BY doc_id HAVING long_hits + short_hits > 0")
 def longest_signature_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of ``of the``, and of ``the`` outside of them and of the excluded ``of the...``."""
     found = spark.createDataFrame([("r", ["of the", "the"], "rest")], "id string, signatures array<string>, kind string")
@@ -54,7 +58,7 @@ def longest_signature_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count_if(F.col("signature") == "of the").alias("long_hits"), F.count_if(F.col("signature") == "the").alias("short_hits"))
 
 
-@query(rf"WITH {_LINES} SELECT doc_id, sum(len(regexp_extract_all(replace(line, 'of the', 'Q'), '\bthe\b')))::BIGINT AS hits FROM l GROUP BY doc_id HAVING hits > 0")
+@query(rf"WITH {_LINES} SELECT doc_id, sum(len(regexp_extract_all(replace({_PLAIN_LINE}, 'of the', 'Q'), '\bthe\b')))::BIGINT AS hits FROM l GROUP BY doc_id HAVING hits > 0")
 def excluded_span_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of ``the`` that no ``of the`` covers."""
     found = spark.createDataFrame([("r", ["the"], "rest")], "id string, signatures array<string>, kind string")
@@ -146,7 +150,7 @@ def lead_flags_strong_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.flagged(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["moron", "token"], ["with", "from", "pathetic"]).select("doc_id", "flags")
 
 
-@query(rf"WITH {_LINES}, h AS (SELECT doc_id, source, count(*) AS n FROM l JOIN documents USING (doc_id) WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])moron($|[^A-Za-z0-9_])') GROUP BY ALL), p AS (SELECT source, doc_id, n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, sum(n) OVER (PARTITION BY source) AS lines FROM h) SELECT source, doc_id, place::INTEGER AS place, lines::BIGINT AS lines FROM p WHERE place <= 5")
+@query(rf"WITH {_LINES}, h AS (SELECT doc_id, source, count(*) AS n FROM l JOIN documents USING (doc_id) WHERE regexp_matches(line, '{_LEFT}moron{_RIGHT}') GROUP BY ALL), p AS (SELECT source, doc_id, n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, sum(n) OVER (PARTITION BY source) AS lines FROM h) SELECT source, doc_id, place::INTEGER AS place, lines::BIGINT AS lines FROM p WHERE place <= 5")
 def top_n_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's first five documents with a hit, and how many lines hit in all."""
     found = spark.createDataFrame([("r", ["moron"], "rest")], "id string, signatures array<string>, kind string")
@@ -156,7 +160,7 @@ def top_n_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_sites(rows, 5, ["source"], ["doc_id"]).select("source", "doc_id", "place", "lines")
 
 
-@query(rf"WITH {_LINES}, h AS (SELECT doc_id FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')) SELECT doc_id % 10 AS bucket, count(*)::BIGINT AS sites, count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 <> 0)::BIGINT AS in_code, count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 = 0)::BIGINT AS listed, count(*) FILTER (doc_id % 2 = 0)::BIGINT AS in_test FROM h GROUP BY ALL")
+@query(rf"WITH {_LINES}, h AS (SELECT doc_id FROM l WHERE regexp_matches(line, '{_LEFT}the{_RIGHT}')) SELECT doc_id % 10 AS bucket, count(*)::BIGINT AS sites, count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 <> 0)::BIGINT AS in_code, count(*) FILTER (doc_id % 2 = 1 AND doc_id % 3 = 0)::BIGINT AS listed, count(*) FILTER (doc_id % 2 = 0)::BIGINT AS in_test FROM h GROUP BY ALL")
 def scan_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hit, by whether their file (named after the document) is code, a list or a test."""
     found = spark.createDataFrame([("r", ["the"], "rest")], "id string, signatures array<string>, kind string")

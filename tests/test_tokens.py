@@ -51,7 +51,9 @@ def test_model(spark, line, signature, named, hit):
     assert spark.createDataFrame([(line,)], "line string").select(F.col("line").rlike(token_pattern(signature, True, named))).head()[0] == hit
 
 
-def test_join_finds_what_a_scan_of_all_lines_finds(spark):
+@pytest.mark.parametrize("rows_scanned", [0, 20_000])
+def test_join_and_automaton_find_what_a_scan_of_all_lines_finds(spark, monkeypatch, rows_scanned):
+    monkeypatch.setattr(tokens, "SCAN_ROWS", rows_scanned)
     lines = [line for line, *_ in GENERIC + MODEL] + ["", None, "mcp__a__nova-4 and __send_mail__", "x" * 100_000 + " send_mail"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, line string")
     records = spark.createDataFrame([("a", ["nova-4", "send_mail", "create(", "/v1/charges"], "rest"), ("b", ["nova-4"], "model")], "id string, signatures array<string>, kind string")
