@@ -4,7 +4,7 @@
 the components of fingerprints at ``RADIUS`` or fewer differing bits, and
 ``keep_one`` leaves one document of each. ``keep_one_similar`` does so for documents
 whose sets of shingles have a given Jaccard similarity: 64 bits tell copies with a
-changed word or two, similarities of 0.8 need longer sketches.
+changed word or two, similarities of 0.8 need longer sketches, and the sets themselves where these can't tell.
 
 Method: equal fingerprints are one. A tile holds the fingerprints with the same
 population counts of their four 16-bit quarters (at most 17^4 tiles); two tiles
@@ -24,7 +24,9 @@ it. Columns of the input stay, but for one with the name of an output.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -189,36 +191,83 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return rows.join(of, "fingerprint").select(known("id").alias(key), "fingerprint", known("component_id").alias("component_id"))
 
 
-#: 64-bit parts of a sketch, and the standard deviations by which pairs at the similarity may differ more than on average.
-PARTS, SLACK = 16, 2.0
+#: 64-bit parts of a sketch.
+PARTS = 16
+#: Standard deviations by which a pair's bits may differ from the mean at the similarity before its sets aren't compared;
+#: the first is of the first part, and of the first two. SLACK is what ``radius_of`` takes by itself.
+FIRST_SLACK, WIDE_SLACK, SLACK = 5.5, 5.0, 2.0
+#: Sets up to this size have their share of differing bits counted out; no sketch is trusted to link them.
+SMALL = 64
 #: Sketches of a block; a group compares two blocks.
 SKETCHES = 1 << 17
 #: Tiles in which shingle counts of one ratio are dealt; more of them skip more pairs and repeat more rows.
 FINE = 3
 
 
-def sketch(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
-    """PARTS fingerprints of the set of shingles under as many hashes, and the size of the set."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted hashes of the set of shingles."""
     found = (text or "").encode().lower().split()
     if not found:
-        return np.zeros(PARTS, np.uint64), 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(found), max(1, len(found) - words + 1)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts, stops = (ends - lengths)[:n].tolist(), ends[min(words, len(found)) - 1 :].tolist()
-    hashes = np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def sketch(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
+    """PARTS fingerprints of the set of shingles under as many hashes, and the size of the set."""
+    hashes = shingle_set(text, words)
+    if not len(hashes):
+        return np.zeros(PARTS, np.uint64), 0
     mixed = hashes[None] + np.arange(PARTS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
     return _majority(mixed ^ mixed >> np.uint64(31)), len(hashes)
 
 
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two shingle sets, as bytes, have the Jaccard similarity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def radius_of(similarity: float, bits: int, slack: float = SLACK) -> int:
     """Differing bits of two sets at a Jaccard similarity: the mean, and so many standard deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
 
 
+def differing(a: int, b: int, both: int) -> float:
+    """The share of bits in which the majorities of sets of two sizes with so many common members differ, on average."""
+    above = lambda n, least: sum(comb(n, k) for k in range(max(0, least), n + 1)) / 2**n
+    out = 0.0
+    for k in range(both + 1):
+        x, y = above(a - both, a // 2 + 1 - k), above(b - both, b // 2 + 1 - k)
+        out += comb(both, k) / 2**both * (x * (1 - y) + y * (1 - x))
+    return out
+
+
+@lru_cache
+def radii(similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """By size of a set (all from SMALL up as SMALL): bits of the first part, the first two and the sketch beyond which no set is so similar; bits up to which all larger ones are."""
+    high = np.zeros(SMALL + 1)
+    for a in range(1, SMALL + 1):
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            for both in range(ceil(similarity * (a + b) / (1 + similarity) - 1e-9), a + 1):
+                p = differing(a, b, both)
+                high[a] = max(high[a], p)
+                if b <= SMALL:
+                    high[b] = max(high[b], p)
+    limit = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    high = np.maximum(high, limit)
+    of = lambda bits, slack: (bits * high + slack * np.sqrt(bits * high * (1 - high))).astype(np.int64)
+    # above SMALL the share is off its limit by less than a twentieth
+    return of(64, FIRST_SLACK), of(128, FIRST_SLACK), of(64 * PARTS, WIDE_SLACK), radius_of(similarity, 64 * PARTS, -WIDE_SLACK) * 19 // 20
+
+
 def sketches(df: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
     """Add ``sketch`` (binary) and ``shingles``."""
 
@@ -231,24 +280,26 @@ def sketches(df: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
     return df.withColumn("_both", of(F.col(text))).select("*", "_both.sketch", "_both.shingles").drop("_both")
 
 
-def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that span the components of sets (id, sketch, shingles) whose sketches say that they are so similar.
+def similar_links(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Links (a, b, sure) of sets (id, root, sketch, shingles) of different roots whose sketches say that they are, or may be, so similar.
+
+    Sure links span what they connect; of the others a block leaves a forest over that or, if ``every``, each one.
 
     Sets can be so similar only if one has at most 1/similarity times the other's shingles: FINE tiles
     make up a range of this ratio, and a set meets those of its own tile and of the next FINE ones up.
     """
     ratio = float(-np.log(similarity)) / FINE
-    near, close = radius_of(similarity, 64, 3.2), radius_of(similarity, 64 * PARTS)
+    near, nearer, close, trusted = radii(similarity)
     tile = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.lit(ratio) + F.lit(1e-9)).cast("long")
     rows = rows.withColumn("tile", tile)
     sizes = {r.tile: r.n for r in rows.groupBy("tile").agg(F.count("*").alias("n")).collect()}  # a hundred ranges reach to billions of shingles
     blocks = {t: -(-n // SKETCHES) for t, n in sizes.items()}
     guests = {t: -(-sum(sizes.get(t - k, 0) for k in range(FINE + 1)) // SKETCHES) for t in sizes}
     if not sizes:
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("sure"))
     pick = lambda table, t: F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in table.items() for x in kv])[t], F.lit(0))
     mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    columns = ["id", "sketch"]
+    columns = ["id", "root", "sketch", "shingles"]
     spread = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long")))))
     home = rows.select(*columns, F.col("tile"), (mixed % pick(blocks, F.col("tile"))).alias("block"), spread(pick(guests, F.col("tile"))).alias("guest"), F.lit(True).alias("home"))
     visit = rows.select(*columns, F.explode(F.sequence("tile", F.col("tile") + FINE)).alias("tile")).where(pick(blocks, F.col("tile")) > 0)
@@ -258,44 +309,104 @@ def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, *keys):
             wide = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(-1, PARTS)
-            ids, is_home = group["id"], group["home"].astype(bool)
+            ids, is_home, sizes = group["id"], group["home"].astype(bool), np.minimum(group["shingles"], SMALL)
             own, others = np.flatnonzero(is_home), np.flatnonzero(~is_home)
-            every, node = np.unique(ids, return_inverse=True)
-            label = np.arange(len(every))
-            first = np.ascontiguousarray(wide[others, 0])
+            every_id, node = np.unique(ids, return_inverse=True)
+            roots, root = np.unique(group["root"], return_inverse=True)
+            sure = np.arange(len(roots))  # what sure links connect, and what any do
+            label = sure
+            first, reach = np.ascontiguousarray(wide[others, 0]), near[sizes[others]]
             for i in range(0, len(own), STRIP):
-                x, y = np.nonzero(np.bitwise_count(wide[own[i : i + STRIP], :1] ^ first) <= near)
-                a, b = own[i + x], others[y]
-                apart = np.flatnonzero(label[node[a]] != label[node[b]])
+                x, y = np.nonzero(np.bitwise_count(wide[own[i : i + STRIP], :1] ^ first) <= reach)
+                x, y, bits = own[i + x], others[y], np.bitwise_count(wide[own[i + x], 0] ^ first[y])
+                ok = np.bitwise_count(wide[x, 1] ^ wide[y, 1]) + bits <= nearer[sizes[y]]
+                a, b = x[ok], y[ok]
+                apart = np.flatnonzero(sure[root[a]] != sure[root[b]])
                 for k in range(0, len(apart), 1 << 16):
-                    some = apart[k : k + (1 << 16)]
-                    same = np.bitwise_count(wide[a[some]] ^ wide[b[some]]).sum(axis=1, dtype=np.int64) <= close
-                    if same.any():
-                        links_ = node[a[some[same]]], node[b[some[same]]]
-                        label = forest(np.concatenate([links_[0], np.arange(len(every))]), np.concatenate([links_[1], label]), len(every))
-            moved = np.flatnonzero(label != np.arange(len(every)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(every[moved]), pa.array(every[label[moved]])], ["a", "b"])
-
-    return home.unionByName(visit).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+                    u, v = a[apart[k : k + (1 << 16)]], b[apart[k : k + (1 << 16)]]
+                    bits = np.bitwise_count(wide[u] ^ wide[v]).sum(axis=1, dtype=np.int64)
+                    certain = (bits <= trusted) & (sizes[u] == SMALL) & (sizes[v] == SMALL)
+                    link, sure = spanning(root[u], root[v], bits, certain, sure)
+                    if len(link):
+                        yield out(node[u[link]], node[v[link]], every_id, True)
+                        label = forest(np.concatenate([sure, label]), np.concatenate([np.arange(len(roots))] * 2), len(roots))
+                    maybe = ~certain & (bits <= close[sizes[v]]) & (sure[root[u]] != sure[root[v]])
+                    if every:
+                        link = np.flatnonzero(maybe)
+                    else:
+                        link, label = spanning(root[u], root[v], bits, maybe, label)
+                    if len(link):
+                        yield out(node[u[link]], node[v[link]], every_id, False)
+
+    def out(a: np.ndarray, b: np.ndarray, ids: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.maximum(a, b)]), pa.array(ids[np.minimum(a, b)]), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+
+    return home.unionByName(visit).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, sure boolean")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, ok: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links a-b that join what bears different labels, the closest first and none in a circle; the labels then."""
+    found = []
+    at = np.flatnonzero(ok)
+    at = at[np.argsort(bits[at], kind="stable")]
+    while len(at := at[label[a[at]] != label[b[at]]]):
+        high, low = np.maximum(label[a[at]], label[b[at]]), np.minimum(label[a[at]], label[b[at]])
+        hung, which = np.unique(high, return_index=True)  # each label hangs on a smaller one
+        found.append(at[which])
+        to = np.arange(len(label))
+        to[hung] = low[which]
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
+    return (np.concatenate(found) if found else at), label
 
 
 def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The row with the least key of each component of documents with so similar shingle sets, with all its columns.
 
-    The similarity is read off sketches of PARTS times 64 bits, with SLACK to the side of linking: pairs at
-    0.8 are missed in 2 of 100 cases, and as few of those at 0.68 link.
+    Sketches of PARTS times 64 bits tell which sets may be so similar: a pair is passed over only if its bits differ by WIDE_SLACK
+    (in the first part and the first two FIRST_SLACK) standard deviations more than those of any pair at the similarity. Large sets whose bits differ by
+    WIDE_SLACK less link; for all others the shingle sets themselves are compared. That is done first for as many pairs as would
+    connect what may be connected, then for each that is still apart.
     """
     known = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60)))
-    rows = checkpoint(sketches(df.select(known.alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")), "text", words).drop("text"))
+    named = df.select(known.alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    rows = checkpoint(sketches(named, "text", words).drop("text"))
     equal = rows.groupBy("sketch", "shingles").agg(F.min(F.struct("key", "row")).alias("best"))
-    sets = checkpoint(equal).withColumn("id", F.monotonically_increasing_id())
-    tree = components(similar_links(sets.select("id", "sketch", "shingles"), similarity))
+    sets = checkpoint(checkpoint(equal).withColumn("id", F.monotonically_increasing_id()))
+    links_ = tree = None
+    for every in (False, True):
+        root = sets.withColumn("root", F.col("id")) if tree is None else sets.join(tree, sets.id == tree.node, "left").withColumn("root", F.coalesce("root", "id"))
+        found = checkpoint(similar_links(root.select("id", "root", "sketch", "shingles"), similarity, every).groupBy("a", "b").agg(F.max("sure").alias("sure")))
+        more = found.where("sure").select("a", "b").union(_verified(found.where("not sure"), sets, named, words, similarity))
+        links_ = checkpoint(more if links_ is None else links_.union(more))
+        tree = components(links_)
     best = sets.join(tree, sets.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
     kept = best.select(F.col("best.row").alias("__row"))
     return df.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are so similar; only texts of these pairs are read into sets."""
+
+    @F.arrow_udf("binary")
+    def members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch], pa.binary())
+
+    @F.arrow_udf("boolean")
+    def same(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            yield pa.array([alike(a.as_py(), b.as_py(), similarity) for a, b in zip(x, y, strict=True)], pa.bool_())
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    of = sets.join(asked, "id").select("id", F.col("best.row").alias("row"))
+    texts = named.select("row", "text").join(of, "row").dropDuplicates(["id"])
+    held = checkpoint(texts.select("id", members(F.col("text")).alias("members")))
+    left, right = (held.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(same(F.col("members_a"), F.col("members_b"))).select("a", "b")
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The row of each component with the least key, with all its columns."""
     rows = _rows(df, key, text, words)
