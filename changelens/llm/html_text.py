@@ -3,12 +3,13 @@
 ``extract`` adds the main text of a page. Method: markup is stripped into lines, one
 for each block of text; a line's weight is its text outside links, and lines of
 boilerplate elements (``SKIPPED`` tags, ``ROLES``, class or id words in ``NAMES``, hidden
-ones) weigh nothing and have no text. The weights are summed over windows of
+ones) weigh nothing and have no text; an element that only its class or id names stays if it holds
+the bulk of the page's text outside links (a discussion, if there is next to nothing else). The weights are summed over windows of
 ``WINDOW`` lines; where the sum passes a threshold (``SHARE`` of the page's highest, at
 most ``ENOUGH`` characters) the text surges, where it falls below it dives, and the text
 from a surge to its dive is kept if it weighs ``SHARE`` of the heaviest such run. In a
-page with text in ``article`` or ``main`` elements only their lines weigh, and each of
-them as much as the threshold at least, so that short paragraphs stay.
+page whose ``article`` or ``main`` elements outweigh the text that surges outside them only
+their lines weigh, and each of them as much as the threshold at least, so that short paragraphs stay.
 
 Character references are decoded, white space in a block becomes one space, blocks
 are joined by an empty line; nothing else is changed, and no page is cut off.
@@ -42,6 +43,8 @@ NAMES = {
     "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola",
     "toolbar", "topbar", "widget",
 }
+#: Names that a page's own text isn't taken for if there is any other.
+DISCUSSION = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
 #: Headers in an article belong to it.
 OF_PAGE = {"header"}
 WHOLE = {"html", "body", "article", "main"}
@@ -58,31 +61,59 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>'\"]++|\"[^\"]*+\"|'[^']*+'|['\"])*+)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 _WORD = re.compile(r"[a-z]+")
+#: What a class says of the layout, not of the element: has-sidebar, overflow-hidden.
+_LAYOUT = re.compile(r"(?<![a-z0-9])(?:has|no|with|without|overflow)[-_]\S*")
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _hidden(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate, whatever it holds."""
     if name in WHOLE:
         return False
     if name in SKIPPED:
         return not (in_article and name in OF_PAGE)
-    if not attributes or attributes.isspace():
-        return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id"):
-            words = _WORD.findall(value)
-            found = NAMES.intersection([*words, *map(str.__add__, words, words[1:])])  # side-bar is sidebar
-            if found - OF_PAGE or found and not in_article:
-                return True
-        elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" and name not in INLINE:
+        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" and name not in INLINE:
             return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _names(name: str, attributes: str, in_article: bool) -> set[str]:
+    """The boilerplate names in an element's class and id."""
+    out: set[str] = set()
+    if name in WHOLE or not attributes or attributes.isspace():
+        return out
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            words = _WORD.findall(_LAYOUT.sub(" ", value.strip("\"'").lower()))
+            found = NAMES.intersection([*words, *map(str.__add__, words, words[1:])])  # side-bar is sidebar
+            if found - OF_PAGE or found and not in_article:
+                out |= found
+    return out
+
+
+def _weights(tokens: list, closed: dict[int, int]) -> list[int]:
+    """Running sums of the text outside links and hidden elements, up to each token."""
+    out, total, skip_to, articles, links = [], 0, -1, 0, 0
+    for i, (before, name, is_end, attributes) in enumerate(tokens):
+        if before and i > skip_to and not links:
+            total += len(before.strip())
+        out.append(total)
+        if i <= skip_to:
+            continue
+        if name in ("article", "main"):
+            articles = max(0, articles + (-1 if is_end else 1))
+        elif name == "a":
+            links = 0 if is_end else 1
+        if name and not is_end and i in closed and _hidden(name, attributes, articles > 0):
+            skip_to = closed[i]
+    return out
+
+
 def lines(html: str) -> list[tuple[str, int, bool]]:
     """(text, weight, in an article) of each line of a page; blank lines stand for boilerplate."""
     tokens, at = [], 0  # (text before, name, is end, attributes)
@@ -98,6 +129,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                 ends.setdefault(name, []).append(i)
             elif ends.get(name):
                 closed[ends[name].pop()] = i
+    upto = _weights(tokens, closed)
     out: list[tuple[str, int, bool]] = []
     line: list[str] = []
     weight = articles = links = 0
@@ -131,8 +163,17 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             articles = max(0, articles + (-1 if is_end else 1))
         elif name == "a":
             links = 0 if is_end else 1
-        if not is_end and name not in VOID and _boilerplate(name, attributes, articles > 0):
-            if i in closed and not (name in OPEN_ENDED and _next_block(tokens, i) < closed[i]):
+        if is_end or name in VOID:
+            continue
+        hidden, names = _hidden(name, attributes, articles > 0), _names(name, attributes, articles > 0)
+        if hidden or names:
+            whole = i in closed and not (name in OPEN_ENDED and _next_block(tokens, i) < closed[i])
+            if not hidden:
+                held = upto[closed[i] if whole else _next_block(tokens, i, len(tokens) - 1)] - upto[i]
+                rest = upto[-1] - held
+                if held > rest and not (names & DISCUSSION and rest >= ENOUGH):
+                    continue
+            if whole:
                 skip_to = closed[i]
             else:
                 skip_block = True
@@ -141,14 +182,23 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def _next_block(tokens: list, i: int) -> int:
-    return next((k for k in range(i + 1, len(tokens)) if tokens[k][1] and tokens[k][1] not in INLINE), len(tokens))
+def _next_block(tokens: list, i: int, none: int | None = None) -> int:
+    return next((k for k in range(i + 1, len(tokens)) if tokens[k][1] and tokens[k][1] not in INLINE), len(tokens) if none is None else none)
 
 
 def main_text(html: str | None) -> str:
     found = lines(html or "")
     if any(inside and text for text, _, inside in found):
-        found = [x if x[2] else ("", 0, False) for x in found]
+        outside = [("", 0, False) if x[2] else x for x in found]
+        if sum(w for _, w, inside in found if inside) >= sum(found[i][1] for i in _kept(outside)):
+            found = [x if x[2] else ("", 0, False) for x in found]
+        else:
+            found = [(text, w, False) for text, w, _ in found]
+    return "\n\n".join(found[i][0] for i in _kept(found))
+
+
+def _kept(found: list[tuple[str, int, bool]]) -> list[int]:
+    """Places of the lines from each surge to its dive, without the light runs."""
     weights = [w for _, w, _ in found]
     half = WINDOW // 2
     sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(weights))]
@@ -167,8 +217,7 @@ def main_text(html: str | None) -> str:
         while run and not (weights[run[-1]] or found[run[-1]][2]):
             del run[-1]
     heaviest = max((sum(weights[i] for i in run) for run in runs), default=0)
-    kept = [i for run in runs if sum(weights[i] for i in run) >= SHARE * heaviest or any(found[i][2] for i in run) for i in run]
-    return "\n\n".join(found[i][0] for i in kept)
+    return [i for run in runs if sum(weights[i] for i in run) >= SHARE * heaviest or any(found[i][2] for i in run) for i in run]
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
