@@ -4,7 +4,8 @@ Signatures are a small dimension; lines are the large side. As far as the signat
 few (counted first), ``token_hits`` scans each line once with an automaton of all of them.
 More of them are joined: candidates are found by an equi-join on plain words, so that every
 line meets only signatures whose longest word it holds, and verifies them with
-the exact pattern. A word on a third of all lines is a skewed key of the large
+the exact pattern; signatures that may stand inside a word or have none are looked for
+by automata of bounded size beside the join. A word on a third of all lines is a skewed key of the large
 side only; the dimension's rows are broadcast as far as their size allows, and
 adaptive execution splits the join otherwise.
 """
@@ -24,6 +25,8 @@ from ..functions.text import token_pattern
 BROADCAST_ROWS = 50_000
 #: Rows of a signature table up to which lines are scanned for all of them at once.
 SCAN_ROWS = 20_000
+#: Signatures of one automaton beside the join.
+SCAN_BLOCK = 20_000
 
 
 def signature_table(records: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def signature_table(records: DataFrame) -> DataFrame:
 def longest_word(text: Column) -> Column:
     """The longest (of several, the first) run of word characters; null if there is none."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    return F.element_at(F.array_sort(words, lambda a, b: F.char_length(b) - F.char_length(a)), 1)
+    return F.try_element_at(F.array_sort(words, lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(1))
 
 
 def line_words(lines: DataFrame, keep: Sequence[str], line: str = "line") -> DataFrame:
@@ -49,8 +52,39 @@ def candidates(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], lin
     """Lines that hold a signature as a substring, found by its longest word; ``signatures`` has (written, word, ...).
 
     A signature may begin or end inside a word of the line (``mcp__x__name``, names with
-    underscores at their ends); those have their own key: any word that contains it.
+    underscores at their ends); those have their own key: any word that contains it. Signatures
+    without a word, with ``_`` at an end or ``__`` in their word have no such key in every line that
+    holds them, and are found by automata instead.
     """
+    text = F.col("written")
+    keyed = F.coalesce(~(text.startswith("_") | text.endswith("_") | F.col("word").contains("__")), F.lit(False))
+    found = _by_word(lines, signatures.where(keyed), keep, line)
+    odd = signatures.where(~keyed)
+    forms = sorted(r.written for r in odd.select("written").distinct().collect() if r.written)
+    for i in range(0, len(forms), SCAN_BLOCK):
+        held = lines.select(*keep, F.col(line).alias("line"), F.explode(_held(F.col(line), forms[i : i + SCAN_BLOCK])).alias("written"))
+        found = found.unionByName(held.join(odd.drop("word"), "written"))
+    return found
+
+
+def _held(line: Column, forms: Sequence[str]) -> Column:
+    """Which of the texts a line holds."""
+
+    @F.arrow_udf("array<string>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from ahocorasick import Automaton
+
+        automaton = Automaton()
+        for form in forms:
+            automaton.add_word(form, form)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pa.array([sorted({form for _, form in automaton.iter(text or "")}) for text in batch.to_pylist()], pa.list_(pa.string()))
+
+    return of(line)
+
+
+def _by_word(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], line: str) -> DataFrame:
     small = F.broadcast(signatures) if signatures.count() <= BROADCAST_ROWS else signatures
     words = lines.select(*keep, F.col(line).alias("line"), F.regexp_extract_all(F.col(line), F.lit("[A-Za-z0-9_]+"), F.lit(0)).alias("_words"))
     joined = words.select(*keep, "line", F.explode(F.array_distinct(_keys(F.col("_words")))).alias("word")).join(small, "word")
@@ -60,6 +94,7 @@ def candidates(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], lin
 def _keys(words: Column) -> Column:
     joined = F.filter(words, lambda w: w.contains("__"))
     inner = F.flatten(F.transform(joined, lambda w: F.split(w, "__")))
+    inner = F.concat(inner, F.transform(inner, lambda w: F.regexp_replace(w, r"\A_+", "")))
     called = F.transform(joined, lambda w: F.regexp_extract(w, r"\A.*?mcp__.*?__(.*)\z", 1))
     edged = F.filter(words, lambda w: w.startswith("_") | w.endswith("_"))
     return F.concat(words, inner, called, F.transform(edged, lambda w: F.regexp_replace(w, r"\A_+|_+\z", "")))
