@@ -1,15 +1,17 @@
 """HTML extraction by line-block distribution.
 
 ``extract`` adds the main text of a page. Method: markup is stripped into lines, one
-for each block of text; a line's weight is its text outside links, and lines of
-boilerplate elements (``SKIPPED`` tags, ``ROLES``, class or id words in ``NAMES``, hidden
-ones) weigh nothing and have no text; an element that only its class or id names stays if it holds
-the bulk of the page's text outside links (a discussion, if there is next to nothing else). The weights are summed over windows of
+for each block of text; a line weighs as much as it has text outside links. The weights are summed over windows of
 ``WINDOW`` lines; where the sum passes a threshold (``SHARE`` of the page's highest, at
-most ``ENOUGH`` characters) the text surges, where it falls below it dives, and the text
-from a surge to its dive is kept if it weighs ``SHARE`` of the heaviest such run. In a
-page whose ``article`` or ``main`` elements outweigh the text that surges outside them only
-their lines weigh, and each of them as much as the threshold at least, so that short paragraphs stay.
+most ``ENOUGH`` characters) the text surges, where it falls below it dives. The text from a surge to
+its dive is kept, if it weighs ``SHARE`` of the heaviest such run. Windows reach from an element (``SECTIONS``) into those around
+it and in it, not into others beside it, and a light line doesn't dive in the element in which the text
+before or after it surged, or between two surges around it.
+
+Tags and names only take weight away. Lines of boilerplate elements (``SKIPPED`` tags, ``ROLES``, hidden ones, classes or ids that are made of ``NAMES``
+and ``NEUTRAL`` words alone) weigh nothing and are in no run; but an element that holds most of the text of the page's
+articles, or is named only and holds most of the page's text (or is a form that does), weighs what it weighs (a discussion only if there is next to nothing
+else). If the lines in ``article`` and ``main`` outweigh what surges outside them, those outside weigh ``OUTSIDE`` of what they did.
 
 Character references are decoded, white space in a block becomes one space, blocks
 are joined by an empty line; nothing else is changed, and no page is cut off.
@@ -26,12 +28,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SHARE, ENOUGH = 3, 0.2, 80
+WINDOW, SHARE, ENOUGH, OUTSIDE = 3, 0.2, 80, 0.25
 #: Elements whose text isn't shown or isn't prose.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object")
 SKIPPED = {"nav", "footer", "aside", "form", "head", "header", "menu", "button", "select", "dialog", "canvas", "audio", "video", "datalist", "fieldset", "label", "search"}
@@ -43,11 +46,20 @@ NAMES = {
     "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola",
     "toolbar", "topbar", "widget",
 }
+#: Words that stand beside a name without making it another: top-ad, related-posts, comments-area.
+NEUTRAL = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "container", "content", "div", "form", "global", "google", "group", "holder", "inner", "item", "items", "js", "left", "link", "links", "list",
+    "main", "mobile", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "side", "site", "slot", "stories", "story", "sub", "the", "title", "top", "unit", "wrap", "wrapper",
+}
 #: Names that a page's own text isn't taken for if there is any other.
 DISCUSSION = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond"}
 #: Headers in an article belong to it.
 OF_PAGE = {"header"}
 WHOLE = {"html", "body", "article", "main"}
+#: Elements that part a page into sections.
+SECTIONS = {"div", "section", "article", "main", "td", "th"}
+#: Tags that may stand around a whole page.
+AROUND = {"form", "fieldset"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -63,12 +75,28 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 _WORD = re.compile(r"[a-z]+")
-#: What a class says of the layout, not of the element: has-sidebar, overflow-hidden.
-_LAYOUT = re.compile(r"(?<![a-z0-9])(?:has|no|with|without|overflow)[-_]\S*")
+
+
+class Section(NamedTuple):
+    """An element as the places of its tags, and those of the element around it."""
+
+    start: int
+    end: int
+    outer: tuple[int, int]
+
+    def holds(self, other: Section) -> bool:
+        return self.start <= other.start and other.end <= self.end
+
+
+class Line(NamedTuple):
+    text: str
+    weight: float
+    section: Section
+    in_article: bool
 
 
 def _hidden(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate, whatever it holds."""
+    """Whether an element's tag or attributes make it boilerplate."""
     if name in WHOLE:
         return False
     if name in SKIPPED:
@@ -83,39 +111,44 @@ def _hidden(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def _names(name: str, attributes: str, in_article: bool) -> set[str]:
-    """The boilerplate names in an element's class and id."""
+    """The boilerplate names in an element's classes and id, of those that are made of such names and neutral words alone."""
     out: set[str] = set()
     if name in WHOLE or not attributes or attributes.isspace():
         return out
     for key, value in _ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id"):
-            words = _WORD.findall(_LAYOUT.sub(" ", value.strip("\"'").lower()))
-            found = NAMES.intersection([*words, *map(str.__add__, words, words[1:])])  # side-bar is sidebar
-            if found - OF_PAGE or found and not in_article:
+        if key.lower() not in ("class", "id"):
+            continue
+        for one in value.strip("\"'").lower().split():
+            words = _WORD.findall(one)
+            joined = NAMES.intersection(map(str.__add__, words, words[1:]))  # side-bar is sidebar
+            if joined:
+                words = [w for w in words if not any(w in x for x in joined)] + [*joined]
+            found = NAMES.intersection(words)
+            if found and all(w in NAMES or w in NEUTRAL for w in words) and (found - OF_PAGE or not in_article):
                 out |= found
     return out
 
 
-def _weights(tokens: list, closed: dict[int, int]) -> list[int]:
-    """Running sums of the text outside links and hidden elements, up to each token."""
-    out, total, skip_to, articles, links = [], 0, -1, 0, 0
-    for i, (before, name, is_end, attributes) in enumerate(tokens):
-        if before and i > skip_to and not links:
-            total += len(before.strip())
-        out.append(total)
-        if i <= skip_to:
-            continue
+def _weights(tokens: list, closed: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Running sums of the text outside links up to each token: of all, and of what is in articles."""
+    every, inside, total, own, articles, links = [], [], 0, 0, 0, 0
+    for i, (before, name, is_end, _) in enumerate(tokens):
+        if before and not links:
+            n = len(before.strip())
+            total += n
+            own += n if articles else 0
+        every.append(total)
+        inside.append(own)
         if name in ("article", "main"):
-            articles = max(0, articles + (-1 if is_end else 1))
+            if is_end or i in closed:
+                articles = max(0, articles + (-1 if is_end else 1))
         elif name == "a":
             links = 0 if is_end else 1
-        if name and not is_end and i in closed and _hidden(name, attributes, articles > 0):
-            skip_to = closed[i]
-    return out
+    return every, inside
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in an article) of each line of a page; blank lines stand for boilerplate."""
+def lines(html: str) -> list[Line]:
+    """The lines of a page; blank ones stand for boilerplate."""
     tokens, at = [], 0  # (text before, name, is end, attributes)
     for m in _TOKEN.finditer(html):
         tokens.append((html[at : m.start()], (m["name"] or "").lower(), bool(m["end"]), m["attrs"] or ""))
@@ -129,8 +162,10 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                 ends.setdefault(name, []).append(i)
             elif ends.get(name):
                 closed[ends[name].pop()] = i
-    upto = _weights(tokens, closed)
-    out: list[tuple[str, int, bool]] = []
+    every, inside = _weights(tokens, closed)
+    page = Section(-1, len(tokens), (-1, -1))
+    sections = [page]
+    out: list[Line] = []
     line: list[str] = []
     weight = articles = links = 0
     skip_to = -1  # up to this token all is boilerplate
@@ -139,10 +174,13 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     def flush() -> None:
         nonlocal weight
         if text := " ".join("".join(line).split()):
-            out.append((text, weight, articles > 0))
+            out.append(Line(text, weight, sections[-1], articles > 0))
         line.clear()
         weight = 0
 
+    def bulk(sums: list[int], i: int, to: int) -> bool:
+        return 2 * (sums[to] - sums[i]) > sums[-1]
+
     for i, (before, name, is_end, attributes) in enumerate(tokens):
         if before and i > skip_to and not skip_block:
             text = unescape(before)
@@ -157,6 +195,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             skip_block = False
         elif name == "br":
             line.append(" ")
+        while sections[-1].end <= i:
+            sections.pop()
         if i <= skip_to:
             continue
         if name in ("article", "main"):
@@ -168,56 +208,68 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         hidden, names = _hidden(name, attributes, articles > 0), _names(name, attributes, articles > 0)
         if hidden or names:
             whole = i in closed and not (name in OPEN_ENDED and _next_block(tokens, i) < closed[i])
-            if not hidden:
-                held = upto[closed[i] if whole else _next_block(tokens, i, len(tokens) - 1)] - upto[i]
-                rest = upto[-1] - held
-                if held > rest and not (names & DISCUSSION and rest >= ENOUGH):
-                    continue
-            if whole:
-                skip_to = closed[i]
-            else:
-                skip_block = True
-            out.append(("", 0, articles > 0))
+            to = closed[i] if whole else min(_next_block(tokens, i), len(tokens) - 1)
+            held = bulk(inside, i, to) and not articles or (name in AROUND or not hidden) and bulk(every, i, to)
+            if not held or names & DISCUSSION and every[-1] - (every[to] - every[i]) >= ENOUGH:
+                if whole:
+                    skip_to = to
+                else:
+                    skip_block = True
+                out.append(Line("", 0, sections[-1], articles > 0))
+                continue
+        if name in SECTIONS and i in closed:
+            sections.append(Section(i, closed[i], sections[-1][:2]))
     flush()
     return out
 
 
-def _next_block(tokens: list, i: int, none: int | None = None) -> int:
-    return next((k for k in range(i + 1, len(tokens)) if tokens[k][1] and tokens[k][1] not in INLINE), len(tokens) if none is None else none)
+def _next_block(tokens: list, i: int) -> int:
+    return next((k for k in range(i + 1, len(tokens)) if tokens[k][1] and tokens[k][1] not in INLINE), len(tokens))
 
 
 def main_text(html: str | None) -> str:
     found = lines(html or "")
-    if any(inside and text for text, _, inside in found):
-        outside = [("", 0, False) if x[2] else x for x in found]
-        if sum(w for _, w, inside in found if inside) >= sum(found[i][1] for i in _kept(outside)):
-            found = [x if x[2] else ("", 0, False) for x in found]
-        else:
-            found = [(text, w, False) for text, w, _ in found]
-    return "\n\n".join(found[i][0] for i in _kept(found))
+    if any(x.in_article and x.text for x in found):
+        outside = [x._replace(text="", weight=0) if x.in_article else x for x in found]
+        if sum(x.weight for x in found if x.in_article) >= sum(found[i].weight for i in kept(outside)):
+            found = [x if x.in_article else x._replace(weight=OUTSIDE * x.weight) for x in found]
+    return "\n\n".join(found[i].text for i in kept(found))
+
+
+def _related(a: Section, b: Section) -> bool:
+    return a is b or a.holds(b) or b.holds(a)
 
 
-def _kept(found: list[tuple[str, int, bool]]) -> list[int]:
+def kept(found: list[Line]) -> list[int]:
     """Places of the lines from each surge to its dive, without the light runs."""
-    weights = [w for _, w, _ in found]
     half = WINDOW // 2
-    sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(len(weights))]
+    sums = [sum(x.weight for x in found[max(0, i - half) : i + half + 1] if x.weight and _related(x.section, y.section)) for i, y in enumerate(found)]
     threshold = min(ENOUGH, SHARE * max(sums, default=0))
-    on = [bool(text) and (inside or s >= threshold > 0) for (text, _, inside), s in zip(found, sums, strict=True)]
-    runs: list[list[int]] = []  # from a surge to its dive; blank lines don't end a run as long as the windows hold
-    for i, keep in enumerate(on):
-        if keep:
-            if runs and (all(not found[k][0] for k in range(runs[-1][-1] + 1, i))):
+    surges = [i for i, (x, s) in enumerate(zip(found, sums, strict=True)) if x.weight and s >= threshold]
+    on = set(surges)
+    at = 0  # of the next surge
+    for i, line in enumerate(found):
+        while at < len(surges) and surges[at] <= i:
+            at += 1
+        if i not in on and line.text:
+            before, after = (found[surges[k]].section if 0 <= k < len(surges) else None for k in (at - 1, at))
+            here = line.section
+            beside = {before and before[:2], after and after[:2]}
+            around = before and after and (before.holds(here) and after.holds(here) or before.outer == here.outer == after.outer)
+            if around or line.weight and here[:2] in beside:
+                on.add(i)
+    runs: list[list[int]] = []
+    last = -1  # line with a text
+    for i, line in enumerate(found):
+        if i in on:
+            if runs and last == runs[-1][-1] and (_related(found[last].section, line.section) or found[last].section.outer == line.section.outer):
                 runs[-1].append(i)
             else:
                 runs.append([i])
-    for run in runs:  # links alone neither surge nor dive
-        while run and not (weights[run[0]] or found[run[0]][2]):
-            del run[0]
-        while run and not (weights[run[-1]] or found[run[-1]][2]):
-            del run[-1]
-    heaviest = max((sum(weights[i] for i in run) for run in runs), default=0)
-    return [i for run in runs if sum(weights[i] for i in run) >= SHARE * heaviest or any(found[i][2] for i in run) for i in run]
+        if line.text:
+            last = i
+    weights = [sum(found[i].weight for i in run) for run in runs]
+    return [i for run, weight in zip(runs, weights, strict=True) if weight >= SHARE * max(weights) for i in run]
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

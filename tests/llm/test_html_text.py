@@ -2,6 +2,7 @@ import html
 import re
 import time
 
+import numpy as np
 import pytest
 
 from changelens.llm import html_text
@@ -27,6 +28,56 @@ def test_query(spark):
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, plain(pages[r.page_id].html), len(r.text))
 
 
+def test_windows_decide_without_an_article_element(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert main_text(r.html.replace("<article", "<div").replace("</article", "</div")) == plain(r.html)
+
+
+def by_definition(found):
+    """Places of the lines that stay: each window, each light line's neighbours and each pair of neighbouring lines looked at anew."""
+    n, half = len(found), html_text.WINDOW // 2
+    inside = lambda a, b: a.start <= b.start and b.end <= a.end
+    related = lambda a, b: inside(a, b) or inside(b, a)
+    sums = [sum(found[k].weight for k in range(n) if abs(k - i) <= half and related(found[k].section, found[i].section)) for i in range(n)]
+    least = min(html_text.ENOUGH, html_text.SHARE * max(sums, default=0))
+    surge = [found[i].weight > 0 and sums[i] >= least for i in range(n)]
+    stay = []
+    for i in range(n):
+        here = found[i].section
+        before = next((found[k].section for k in range(i - 1, -1, -1) if surge[k]), None)
+        after = next((found[k].section for k in range(i + 1, n) if surge[k]), None)
+        between = before and after and (inside(before, here) and inside(after, here) or before.outer == here.outer == after.outer)
+        same = found[i].weight and any(x and (x.start, x.end) == (here.start, here.end) for x in (before, after))
+        stay.append(bool(found[i].text) and bool(surge[i] or between or same))
+    runs = []
+    for i in (k for k in range(n) if stay[k]):
+        previous = next((k for k in range(i - 1, -1, -1) if found[k].text), None)
+        joined = runs and previous == runs[-1][-1] and (related(found[previous].section, found[i].section) or found[previous].section.outer == found[i].section.outer)
+        runs[-1].append(i) if joined else runs.append([i])
+    heaviest = max((sum(found[i].weight for i in run) for run in runs), default=0)
+    return [i for run in runs if sum(found[i].weight for i in run) >= html_text.SHARE * heaviest for i in run]
+
+
+def test_surges_and_dives_by_definition(spark):
+    rng = np.random.default_rng(6)
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for _ in range(400):  # trees of elements with lines of any weight
+        parts, depth = [], 0
+        for _ in range(int(rng.integers(1, 40))):
+            kind = rng.integers(6)
+            if kind == 0:
+                parts.append(rng.choice(["<div>", "<section>", "<td>", '<div class="ad">']))
+            elif kind == 1:
+                parts.append(rng.choice(["</div>", "</section>", "</td>"]))
+            else:
+                text = "x" * int(rng.choice([1, 5, 20, 70, 200]))
+                parts.append(f"<p><a>{text}</a></p>" if kind == 2 else f"<p>{text}</p>")
+        pages.append("".join(parts))
+    for page in pages:
+        found = html_text.lines(page)
+        assert html_text.kept(found) == by_definition(found)
+
+
 @pytest.mark.parametrize(
     "extra",
     [
