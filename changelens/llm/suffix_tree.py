@@ -6,8 +6,7 @@ probability under it, beside that of the smoothed word counts alone.
 Tokens are the words of the lower-cased text (A-Z, ASCII white space) and one end.
 The root is the distribution (c+1)/(N+V+1) over the V known words and one place for
 all others. A context is a run of up to ``DEPTH`` tokens before the next one, none
-of them beyond the text's begin (which the end token stands for); it is a candidate
-if its share of the tokens is ``MIN_CONTEXT``, and its next symbols are those
+of them beyond the text's begin (which the end token stands for). Its next symbols are those
 with ``MIN_NEXT`` of its occurrences. It becomes a state if its next-symbol
 distribution diverges from that of its longest suffix that is a state: by
 ``MIN_NATS`` a token, and ``MIN_EVIDENCE`` in all. A state's symbols keep their share
@@ -15,17 +14,23 @@ less a discount, and what is left is spread as its suffix spreads it, so that al
 distributions sum to one. A token is scored in the longest suffix of the text
 before it that is a state.
 
-Words are counted over the whole training corpus in Spark; words with less than
-``MIN_SYMBOL`` of all tokens never reach the driver or a broadcast, their counts
-meet their occurrences in a join. By these shares at most 1/MIN_SYMBOL words,
-1/MIN_CONTEXT contexts of each length and 1/MIN_NEXT symbols of each make up the
-model, whatever the data. Contexts are counted one length after another, each from
-those of the length before; a symbol too rare to matter for a context isn't counted
+The tree has a core and a rim. The core are the contexts with a share of ``MIN_CONTEXT`` of all
+tokens: at most 1/MIN_CONTEXT of each length, which every task holds. The rim are the contexts one word
+longer than the core's (or of one word, if that isn't in the core) that occur twice or more: with the corpus their
+number grows without bound, what counts for them is the evidence alone. They are never gathered: each (context, next symbol) of a training
+text goes to its context's bucket, as sorted and packed numbers; there the contexts are tested, and the occurrences to be scored
+meet the states. No context of the rim has more than a share of MIN_CONTEXT of all tokens, so buckets of some
+``BUCKET`` occurrences are even. A map of ``BITS`` bits tells which occurrences need not be sent, as their context is no state.
+
+Words are counted over the whole training corpus in Spark. Next symbols are words with ``MIN_SYMBOL`` of all tokens (at most
+1/MIN_SYMBOL), others follow a state as its suffix has it; their counts never reach the driver or a broadcast, but
+meet their occurrences in a join. Any word may stand in a context of the rim, where 46 bits of its XXH64 name it. Contexts of the core are
+counted one length after another, each from those of the length before; a symbol too rare to matter for a context isn't counted
 with it, which changes no result.
 
 Defined results: null counts as an empty text, which is one end token; without any
 training text N and V are 0; repeated rows count and are scored each; missing ids are
-in fold 0.
+in fold 0; keys may be of any type.
 """
 
 from __future__ import annotations
@@ -38,16 +43,27 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import checkpoint
+from .common import checkpoint, sorted_groups
 
 DEPTH = 3
 MIN_SYMBOL, MIN_CONTEXT, MIN_NEXT = 1e-6, 5e-5, 0.01
 MIN_NATS, MIN_EVIDENCE, DISCOUNT = 0.02, 10.0, 0.5
 #: Distinct keys that a task holds before it hands them on.
 HELD = 500_000
+#: Occurrences that a bucket of the rim is meant to hold, and those that a task packs at a time.
+BUCKET, PACKED = 1 << 22, 1 << 20
+BITS = 1 << 27
+#: Bits of a word's hash in a context of the rim; what stands above is the core's context after it.
+HASH = 46
+#: Stands for a next word that is no symbol; an odd factor, and its inverse modulo 2^64, by which contexts are mixed.
+RARE, MIX = np.int64((1 << 31) - 1), 0x9E3779B97F4A7C15
+UNMIX = np.uint64(pow(MIX, -1, 1 << 64))
 END = b""
 
 
@@ -71,6 +87,10 @@ class Model:
     distinct: int
     levels: list[Level]
     key: str = ""
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of the words
+    buckets: int = 1
+    map_bytes: int = 1  # of a bucket
+    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # by bucket, which contexts of the rim are states
 
     @property
     def logs(self) -> np.ndarray:
@@ -100,15 +120,15 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _symbols(batch: pa.Array, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of an end and then each text's words and its end (-1: a rare word); number of tokens of each text."""
-    flat, lengths, end = [number[END]], np.zeros(len(batch), np.int64), number[END]
+def _symbols(batch: pa.Array, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Symbols of an end and then each text's words and its end (-1: a rare word); number of tokens of each text; the words."""
+    flat, lengths = [END], np.zeros(len(batch), np.int64)
     for i, text in enumerate(batch):
         found = tokens(text.as_py())
-        flat.extend(map(number.get, found, repeat(-1)))
-        flat.append(end)
+        flat.extend(found)
+        flat.append(END)
         lengths[i] = len(found) + 1
-    return np.array(flat, np.int64), lengths
+    return np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat)), lengths, flat
 
 
 def _contexts(symbols: np.ndarray, levels: list[Level], end: int, n_symbols: int) -> Iterator[np.ndarray]:
@@ -163,7 +183,7 @@ def _next_counts(texts: DataFrame, model: Model, least: np.ndarray, spread) -> D
         model, _, wide = sent.value
         number, keys, counts, held = _number(model), [], [], 0
         for batch in batches:
-            symbols, _ = _symbols(batch.column(0), number)
+            symbols, _, _ = _symbols(batch.column(0), number)
             *_, at = _contexts(symbols, model.levels, number[END], n_symbols)
             at, after = at[:-1], symbols[1:]
             ok = (at >= 0) & (after >= 0)
@@ -191,15 +211,16 @@ def _next_counts(texts: DataFrame, model: Model, least: np.ndarray, spread) -> D
     return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(often, "key long, n long")
 
 
-def learn(texts: DataFrame, counts: DataFrame) -> Model:
-    """texts: one column, the training texts; counts: their ``word_counts``, written once."""
+def learn(texts: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The core, and the rim's states by bucket. texts: one column, the training texts; counts: their ``word_counts``, written once."""
     spread = texts.sparkSession.sparkContext.broadcast
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     rows = counts.where((F.col("n") >= MIN_SYMBOL * total) | (F.col("word") == END)).orderBy(F.desc("n"), "word").toArrow()
     words, n = rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(np.int64)
     if END not in words:
         words, n = [*words, END], np.append(n, 0)
-    model = Model(words, n, total, distinct, [], uuid.uuid4().hex)
+    model = Model(words, n, total, distinct, [], uuid.uuid4().hex, np.array([xxh64_intdigest(w) for w in words], np.uint64), -(-total // BUCKET) or 1)
+    model.map_bytes = max(1, min(BITS // 8, 2 * total) // model.buckets)
     n_symbols, end = len(words), words.index(END)
     first = int((n >= MIN_CONTEXT * total).sum()) if total else 0
     runs = [[(i,) for i in range(first)]]  # symbols of each context, by level
@@ -213,7 +234,11 @@ def learn(texts: DataFrame, counts: DataFrame) -> Model:
         deeper = (after >= MIN_CONTEXT * total) & (keys % n_symbols != end)
         level = Level(keys[deeper], after[deeper])
         runs.append([(*runs[-1][k // n_symbols], k % n_symbols) for k in level.keys.tolist()])
-    return model
+    rim = _learn_rim(texts, model)
+    model.bits = np.zeros((model.buckets, model.map_bytes), np.uint8)
+    for r in rim.select("bucket", "bits").toLocalIterator():  # BITS in all
+        model.bits[r.bucket] = np.frombuffer(r.bits, np.uint8)
+    return model, rim
 
 
 def _keep_diverging(model: Model, runs: list[list[tuple[int, ...]]], keys: np.ndarray, counts: np.ndarray) -> None:
@@ -253,12 +278,11 @@ def _keep_diverging(model: Model, runs: list[list[tuple[int, ...]]], keys: np.nd
         level.next_keys, level.next_logs = np.concatenate(next_keys), np.concatenate(next_logs)
 
 
-def _scored(symbols: np.ndarray, model: Model, end: int) -> np.ndarray:
-    """log10 probability of each symbol after the first; a rare word's lacks its share of the root."""
-    n_symbols, after = len(model.words), symbols[1:]
+def _log(model: Model, ats: list[np.ndarray], after: np.ndarray) -> np.ndarray:
+    """log10 probability of each next symbol in the longest context (by level, its index) that is a state; a rare word's lacks its share of the root."""
+    n_symbols = len(model.words)
     out, open_ = np.zeros(len(after)), np.ones(len(after), bool)
-    for level, at in reversed(list(zip(model.levels, _contexts(symbols, model.levels, end, n_symbols), strict=True))):
-        at = at[:-1]
+    for level, at in reversed(list(zip(model.levels, ats, strict=False))):
         places = np.flatnonzero(open_ & (at >= 0))
         places = places[level.state[at[places]]]
         found = np.where(after[places] >= 0, _find(level.next_keys, at[places] * n_symbols + after[places]), -1)
@@ -271,26 +295,215 @@ def _scored(symbols: np.ndarray, model: Model, end: int) -> np.ndarray:
     return out
 
 
+def _rim(symbols: np.ndarray, flat: list[bytes], ats: list[np.ndarray], model: Model, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places after which a word follows whose context in the rim is known, and these contexts, mixed."""
+    hashes = model.hashes[symbols]
+    rare = np.flatnonzero(symbols < 0)
+    hashes[rare] = np.fromiter((xxh64_intdigest(flat[i]) for i in rare.tolist()), np.uint64, len(rare))
+    hashes &= np.uint64((1 << HASH) - 1)
+    code, first = np.zeros(len(symbols), np.int64), 1  # of the core's context: 0 is the root
+    unit, known = np.zeros(len(symbols), np.uint64), np.zeros(len(symbols), bool)
+    open_ = np.ones(len(symbols), bool)
+    open_[-1] = False  # nothing follows
+    for size in range(DEPTH):
+        at = ats[size] if size < len(ats) else np.full(len(symbols), -1, np.int64)
+        here = np.flatnonzero(open_ & (at < 0))
+        here = here[here >= size]
+        unit[here] = code[here].astype(np.uint64) << np.uint64(HASH) | hashes[here - size]
+        known[here] = True
+        open_ &= at >= 0
+        code = first + at
+        first += len(model.levels[size].keys) if size < len(model.levels) else 0
+        ended = np.zeros(len(symbols), bool)
+        ended[size:] = symbols[: len(symbols) - size] == end
+        open_ &= ~ended  # a longer context would reach beyond the begin
+    places = np.flatnonzero(known)
+    return places, unit[places] * np.uint64(MIX)
+
+
+def _core(units: np.ndarray, model: Model) -> list[np.ndarray]:
+    """By level, the core's context after the first word of each context of the rim."""
+    code = ((units * UNMIX) >> np.uint64(HASH)).astype(np.int64) - 1
+    out = [np.full(len(units), -1, np.int64) for _ in model.levels]
+    for size, level in enumerate(model.levels[: DEPTH - 1]):
+        here = np.flatnonzero((code >= 0) & (code < len(level.keys)))
+        at = code[here]
+        for shorter in range(size, -1, -1):  # the context and its suffixes
+            out[shorter][here] = at
+            if shorter:
+                at = _suffix(model, shorter, at)
+        code = np.where(code >= len(level.keys), code - len(level.keys), -1)
+    return out
+
+
+def _suffix(model: Model, size: int, at: np.ndarray) -> np.ndarray:
+    """Index, in the level below, of what follows the first word of each context of a level; the core holds it, as it is as frequent at least."""
+    n_symbols, keys = len(model.words), model.levels[size].keys[at]
+    if size == 1:
+        return keys % n_symbols
+    return _find(model.levels[size - 1].keys, _suffix(model, size - 1, keys // n_symbols) * n_symbols + keys % n_symbols)
+
+
+def _bucket(units: np.ndarray, buckets: int) -> np.ndarray:
+    return ((units >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _bit(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A context's byte and bit in the map of its bucket."""
+    at = (((units ^ units >> np.uint64(29)) * np.uint64(MIX) >> np.uint64(32)) * np.uint64(8 * size) >> np.uint64(32)).astype(np.int64)
+    return at >> 3, (1 << (at & 7)).astype(np.uint8)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values[:, None].view(np.uint8).T).tobytes())
+
+
+def _unpack(packed: list[bytes], kind: type) -> np.ndarray:
+    planes = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1) for x in packed)
+    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(x.T).view(kind).ravel() for x in planes)])
+
+
+def _dealt(units: list[np.ndarray], others: list[list[np.ndarray]], buckets: int) -> Iterator[tuple[int, list[bytes]]]:
+    """By bucket, contexts (sorted, as differences) and what belongs to them, packed."""
+    unit = np.concatenate([np.zeros(0, np.uint64), *units])
+    if not len(unit):
+        return
+    order = np.argsort(unit)
+    unit, rest = unit[order], [np.concatenate(x)[order] for x in others]
+    which = _bucket(unit, buckets)
+    cuts = np.flatnonzero(np.diff(which, prepend=-1)).tolist()
+    for start, stop in zip(cuts, [*cuts[1:], len(unit)], strict=True):
+        yield int(which[start]), [_pack(np.diff(unit[start:stop], prepend=np.uint64(0))), *(_pack(x[start:stop]) for x in rest)]
+
+
+def _units(packed: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack([x], np.uint64), dtype=np.uint64) for x in packed)])
+
+
+def _learn_rim(texts: DataFrame, model: Model) -> DataFrame:
+    """(bucket, units, back, next_units, next_symbols, next_logs, bits): the rim's states; all logs are relative to the core's."""
+    sent, buckets, packed_at, least_share = texts.sparkSession.sparkContext.broadcast(model), model.buckets, PACKED, MIN_NEXT
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        number = _number(model)
+        units: list[np.ndarray] = []
+        nexts: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for bucket, packed in _dealt(units, [nexts], buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["bucket", "units", "nexts"])
+            units.clear()
+            nexts.clear()
+
+        for batch in batches:
+            symbols, _, flat = _symbols(batch.column(0), number)
+            places, unit = _rim(symbols, flat, list(_contexts(symbols, model.levels, number[END], len(model.words))), model, number[END])
+            after = symbols[places + 1]
+            units.append(unit)
+            nexts.append(np.where(after >= 0, after, RARE).astype(np.int32))
+            if sum(map(len, units)) > packed_at:
+                yield from out()
+        yield from out()
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for group in sorted_groups(batches, "bucket"):
+            unit, after = _units(group["units"]), _unpack(group["nexts"], np.int32)
+            found, of, n = np.unique(unit, return_inverse=True, return_counts=True)
+            often = n[of] > 1
+            pairs, c = np.unique(of[often] << 31 | after[often], return_counts=True)
+            of, after = pairs >> 31, pairs & RARE
+            ok = (after != RARE) & (c >= least_share * n[of])
+            of, after, c = of[ok], after[ok], c[ok]
+            share, log = (c - DISCOUNT) / n[of], _log(model, _core(found[of], model), after)
+            total = lambda x, of=of, size=len(found): np.bincount(of, x, size)
+            rest, suffix_rest = np.maximum(1e-9, 1 - total(share)), np.maximum(1e-9, 1 - total(10**log))
+            nats = total(share * (np.log(share) - log * np.log(10))) + rest * np.log(rest / suffix_rest)
+            state = (nats >= MIN_NATS) & (nats * n >= MIN_EVIDENCE) & (total(np.ones(len(of))) > 0)
+            kept = state[of]
+            bits = np.zeros(model.map_bytes, np.uint8)
+            np.bitwise_or.at(bits, *_bit(found[state], len(bits)))
+            columns = [_pack(np.diff(found[state], prepend=np.uint64(0))), _pack(np.log10(rest / suffix_rest)[state]), _pack((np.cumsum(state) - 1)[of[kept]].astype(np.int64)), _pack(after[kept].astype(np.int64)), _pack((np.log10(share) - log)[kept])]
+            yield pa.RecordBatch.from_arrays([pa.array([group["bucket"][0]], pa.int64()), *(pa.array([x], pa.binary()) for x in [*columns, bits.tobytes()])], ["bucket", "units", "back", "at", "symbols", "logs", "bits"])
+
+    dealt = texts.mapInArrow(occurrences, "bucket long, units binary, nexts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return checkpoint(dealt.mapInArrow(states, "bucket long, units binary, back binary, at binary, symbols binary, logs binary, bits binary"))
+
+
+def _in_rim(asked: DataFrame, rim: DataFrame, buckets: int) -> DataFrame:
+    """(uid, rim): what the rim's states add to each text's score. asked: (bucket, units, nexts, uids)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "bucket"):
+            known, asks = group["back"] != None, group["uids"] != None  # noqa: E711
+            if not known.any() or not asks.any():
+                continue
+            units, back = _units(group["units"][known]), _unpack(group["back"][known], np.float64)
+            keys, logs = _unpack(group["at"][known], np.int64) << 31 | _unpack(group["symbols"][known], np.int64), _unpack(group["logs"][known], np.float64)
+            unit, after, uid = _units(group["units"][asks]), _unpack(group["nexts"][asks], np.int32), _unpack(group["uids"][asks], np.int64)
+            at = _find(units, unit)
+            here = at >= 0
+            at, after, uid = at[here], after[here], uid[here]
+            place = _find(keys, at << 31 | after)
+            value = np.where(place >= 0, logs[place] if len(logs) else 0, back[at])
+            found, which = np.unique(uid, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(which, value, len(found)))], ["uid", "rim"])
+
+    blank = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    both = rim.select("bucket", "units", "back", "at", "symbols", "logs", *blank("nexts", "uids")).union(asked.select("bucket", "units", *blank("back", "at", "symbols", "logs"), "nexts", "uids"))
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "uid long, rim double").groupBy("uid").agg(F.sum("rim").alias("rim"))
+
+
 def _row(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text)).alias("row")
 
 
-def score(df: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, learned: tuple[Model, DataFrame], counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row; counts: the words' counts that the model was learned with."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    model, rim = learned
+    sent, buckets, packed_at = df.sparkSession.sparkContext.broadcast(model), model.buckets, PACKED
     floor = model.total + model.distinct + 1
+    fields = ["key", "row", "uid", "n_tokens", "known", "base", "score", "bucket", "units", "nexts", "uids"]
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and packed occurrences (with a bucket) of contexts that may be states of the rim."""
         model = sent.value
         number, logs = _number(model), model.logs
+        uid, kind = TaskContext.get().partitionId() << 40, None
+        held: list[list[np.ndarray]] = [[], [], []]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for bucket, packed in _dealt(held[0], held[1:], buckets):
+                blank = [pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array([bucket], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], fields)
+            for x in held:
+                x.clear()
+
         for batch in batches:
-            symbols, lengths = _symbols(batch.column(2), number)
+            kind = batch.column(0).type
+            symbols, lengths, flat = _symbols(batch.column(2), number)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             common = symbols[1:] >= 0
             base = np.where(common, logs[symbols[1:]], 0)
             known = common & (model.word_counts[symbols[1:]] > 0)
-            sums = [np.bincount(owner, x, len(lengths)) for x in (known, base, _scored(symbols, model, number[END]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "row", "n_tokens", "known", "base", "score"])
+            ats = list(_contexts(symbols, model.levels, number[END], len(model.words)))
+            sums = [np.bincount(owner, x, len(lengths)) for x in (known, base, _log(model, [at[:-1] for at in ats], symbols[1:]))]
+            places, unit = _rim(symbols, flat, ats, model, number[END])
+            at, bit = _bit(unit, model.bits.shape[1])
+            wanted = (model.bits[_bucket(unit, buckets), at] & bit) > 0
+            places = places[wanted]
+            after = symbols[places + 1]
+            for x, values in zip(held, (unit[wanted], np.where(after >= 0, after, RARE).astype(np.int32), uid + owner[places]), strict=True):
+                x.append(values)
+            none = [pa.nulls(len(lengths), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(uid + np.arange(len(lengths))), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *none], fields)
+            uid += len(lengths)
+            if sum(map(len, held[0])) > packed_at:
+                yield from out()
+        if kind is not None:
+            yield from out()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _number(sent.value)
@@ -303,15 +516,19 @@ def score(df: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", t
                 n.extend(found.values())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["row", "word", "m"])
 
-    typed = F.col(key).cast("long").alias("key")
-    often = checkpoint(df.select(typed, _row(key, text), text).mapInArrow(frequent, "key long, row long, n_tokens long, known long, base double, score double"))
+    typed = f"key {df.schema[key].dataType.simpleString()}, row long, uid long, n_tokens long, known long, base double, score double, bucket long, units binary, nexts binary, uids binary"
+    first = checkpoint(df.select(F.col(key).alias("key"), _row(key, text), text).mapInArrow(frequent, typed))
+    often = first.where("bucket is null").select(*fields[:7])
+    rims = _in_rim(first.where("bucket is not null").select("bucket", "units", "nexts", "uids"), rim, buckets)
+    often = often.join(rims, "uid", "left")
     seldom = df.select(_row(key, text), text).mapInArrow(rare, "row long, word binary, m long").join(counts.where(F.col("n") < MIN_SYMBOL * model.total), "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(floor)))
     seldom = seldom.groupBy("row").agg(F.sum(F.col("m") * each).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("rare_known"))
-    copies = often.groupBy("row").agg(F.count("*").alias("copies"))  # equal rows share a number, and have added up
+    copies = first.where("bucket is null").groupBy("row").agg(F.count("*").alias("copies"))  # equal rows share a number, and have added up
     seldom = seldom.join(copies, "row").select(F.col("row").alias("at"), (F.col("rare") / F.col("copies")).alias("rare"), F.expr("rare_known div copies").alias("rare_known"))
     out = often.join(seldom, often.row == seldom.at, "left")
     rest, rest_known = F.coalesce("rare", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     return out.select(
-        F.col("key").alias(key), "n_tokens", (F.col("known") + rest_known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("score") + rest).alias("score")
-    )
+        F.col("key").alias(key), "n_tokens", (F.col("known") + rest_known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + rest).alias("base_score"), (F.col("score") + rest + F.coalesce("rim", F.lit(0.0))).alias("score"),
+    )

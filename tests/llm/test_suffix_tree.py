@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from changelens.llm import suffix_tree as st
 from changelens.llm.queries import op9_lm_score
@@ -24,9 +25,11 @@ def plain(train, texts):
         for size in range(1, st.DEPTH + 1):
             for i in range(len(run) - size):
                 context = tuple(run[i : i + size])
-                if END not in context[1:] and symbols.issuperset(context):
+                if END not in context[1:]:
                     after[context][run[i + size]] += 1
                     seen[context] += 1
+    core = {c for c, n in seen.items() if n >= st.MIN_CONTEXT * total and symbols.issuperset(c)}
+    rim = {c for c, n in seen.items() if c not in core and n > 1 and (len(c) == 1 or c[1:] in core)}
     states = {}
 
     def probability(context, w):
@@ -36,10 +39,11 @@ def plain(train, texts):
                 return own[w] if w in own else rest * probability(context[k + 1 :], w)
         return root(w)
 
-    for size in range(1, st.DEPTH + 1):
+    for size, of in [*((size, core) for size in range(1, st.DEPTH + 1)), (None, rim)]:
         new = {}
-        for context, n in seen.items():
-            if len(context) != size or n < st.MIN_CONTEXT * total:
+        for context in of:
+            n = seen[context]
+            if size not in (None, len(context)):
                 continue
             own = {w: (c - st.DISCOUNT) / n for w, c in after[context].items() if w in symbols and c >= max(1, st.MIN_NEXT * n)}
             if not own:
@@ -55,18 +59,18 @@ def plain(train, texts):
         run = [END, *split(t)]
         score = sum(math.log10(probability(tuple(run[max(0, i - st.DEPTH) : i]), run[i])) for i in range(1, len(run)))
         out.append((len(run) - 1, sum(counts[w] > 0 for w in run[1:]), sum(math.log10(root(w)) for w in run[1:]), score))
-    return out, total, states
+    return out, total, {c for c in states if c in rim}, {c for c in states if c in core}
 
 
-@pytest.mark.parametrize("shares", [(1e-6, 5e-5, 0.01), (2e-4, 1e-3, 0.05)])
-def test_query_against_the_definition(spark, sf_dir, monkeypatch, shares):
-    for name, value in zip(("MIN_SYMBOL", "MIN_CONTEXT", "MIN_NEXT"), shares, strict=True):
+@pytest.mark.parametrize("values", [(1e-6, 5e-5, 0.01, 1 << 22, 1 << 20, 1 << 27), (2e-4, 1e-3, 0.05, 5000, 2000, 1 << 10), (1e-6, 2e-3, 0.01, 20_000, 1 << 20, 1 << 18)])
+def test_query_against_the_definition(spark, sf_dir, monkeypatch, values):
+    for name, value in zip(("MIN_SYMBOL", "MIN_CONTEXT", "MIN_NEXT", "BUCKET", "PACKED", "BITS"), values, strict=True):
         monkeypatch.setattr(st, name, value)
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    want, total, states = plain([t for i, t in docs if not held(i)], [t for _, t in docs])
+    want, total, rim, core = plain([t for i, t in docs if not held(i)], [t for _, t in docs])
     got = {r.doc_id: r for r in op9_lm_score(spark, sf_dir).collect()}
-    assert len(got) == len(docs) and states
+    assert len(got) == len(docs) and rim and core and max(map(len, rim)) > 1
     for (i, _), (n, known, base, score) in zip(docs, want, strict=True):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), n, known, total)
@@ -79,10 +83,19 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_distributions_sum_to_one():
-    text = "the cat sat on the mat the cat ran the dog sat on the mat"
-    _, _, states = plain([text] * 20, [])
-    assert states and all(sum(own.values()) < 1 for own, _ in states.values())
+def test_what_repeats_is_learned_at_any_size(spark):
+    """A passage of rare words that occurs three times in a large corpus is a run of states."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 400)) for _ in range(200)]
+    passage = " ".join(f"w{k}" for k in rng.integers(0, 3000, 60))
+    texts += [f"{passage} {texts[i][:500]}" for i in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, passage])], "doc_id long, text string")
+    train = df.where(f"doc_id < {len(texts)}").select("text")
+    counts = st.checkpoint(st.word_counts(train))
+    got = {r.doc_id: r for r in st.score(df, st.learn(train, counts), counts).collect()}
+    assert got[len(texts)].score > got[len(texts)].base_score / 2
+    want = plain(texts, [passage])[0][0]
+    assert got[len(texts)].score == pytest.approx(want[3])
 
 
 def test_edges(spark):
@@ -95,6 +108,8 @@ def test_edges(spark):
     end, a, b, new = (math.log10(x / 12) for x in (3, 5, 3, 1))
     want = [(0, 1, 1, 8, end), (1, 1, 1, 8, end), (1, 1, 1, 8, end), (3, 4, 4, 8, 2 * a + b + end), (3, 4, 4, 8, 2 * a + b + end), (4, 50_001, 1, 8, 50_000 * new + end)]
     assert got == [(*w[:4], round(w[4], 6)) for w in want]
+    named = df.select(F.concat(F.lit("id "), "doc_id").alias("name"), "text", "score")
+    assert {r.name for r in st.score(named, st.learn(train, counts), counts, "name").collect()} == {None, "id 1", "id 3", "id 4"}
     none = st.checkpoint(st.word_counts(train.limit(0)))
     assert [r.base_score for r in st.score(df.where("doc_id = 3"), st.learn(train.limit(0), none), none).collect()] == [0.0, 0.0]
     assert st.score(df.limit(0), st.learn(train, counts), counts).count() == 0
