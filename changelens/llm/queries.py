@@ -144,7 +144,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     train = docs.where(LM_TRAIN).select("text")
     counts = checkpoint(suffix_tree.word_counts(train))
-    scores = suffix_tree.score(docs, suffix_tree.learn(train, counts), counts)
+    scores = suffix_tree.score(docs, suffix_tree.learn(train, counts), counts, F.expr(LM_TRAIN))
     return scores.select("doc_id", (~F.expr(LM_TRAIN)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,7 +1,7 @@
 """Language-model scoring: a probabilistic suffix tree over words.
 
-``learn`` counts a corpus and builds the tree, ``score`` gives each text's log10
-probability under it, beside that of the smoothed word counts alone.
+``learn`` counts a corpus and builds the core of the tree, ``score`` gives each text's log10
+probability under the tree, beside that of the smoothed word counts alone.
 
 Tokens are the words of the lower-cased text (A-Z, ASCII white space) and one end.
 The root is the distribution (c+1)/(N+V+1) over the V known words and one place for
@@ -17,14 +17,14 @@ before it that is a state.
 The tree has a core and a rim. The core are the contexts with a share of ``MIN_CONTEXT`` of all
 tokens: at most 1/MIN_CONTEXT of each length, which every task holds. The rim are the contexts one word
 longer than the core's (or of one word, if that isn't in the core) that occur twice or more: with the corpus their
-number grows without bound, what counts for them is the evidence alone. They are never gathered: each (context, next symbol) of a training
-text goes to its context's bucket, as sorted and packed numbers; there the contexts are tested, and the occurrences to be scored
-meet the states. No context of the rim has more than a share of MIN_CONTEXT of all tokens, so buckets of some
-``BUCKET`` occurrences are even. A map of ``BITS`` bits tells which occurrences need not be sent, as their context is no state.
+number grows without bound, what counts for them is the evidence alone. They are never gathered: each (context, next symbol)
+of a text goes to its context's bucket, as sorted and packed numbers; there the contexts are tested by what the training
+texts have, and all texts' occurrences are scored in them. No context of the rim has more than a share of MIN_CONTEXT of
+all tokens, so buckets of some ``BUCKET`` occurrences are even.
 
 Words are counted over the whole training corpus in Spark. Next symbols are words with ``MIN_SYMBOL`` of all tokens (at most
 1/MIN_SYMBOL), others follow a state as its suffix has it; their counts never reach the driver or a broadcast, but
-meet their occurrences in a join. Any word may stand in a context of the rim, where 46 bits of its XXH64 name it. Contexts of the core are
+meet their occurrences in a join. Any word may stand in a context of the rim, where 40 bits of its XXH64 name it beside the core's context. Contexts of the core are
 counted one length after another, each from those of the length before; a symbol too rare to matter for a context isn't counted
 with it, which changes no result.
 
@@ -43,10 +43,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from .common import checkpoint, sorted_groups
@@ -57,10 +59,9 @@ MIN_NATS, MIN_EVIDENCE, DISCOUNT = 0.02, 10.0, 0.5
 #: Distinct keys that a task holds before it hands them on.
 HELD = 500_000
 #: Occurrences that a bucket of the rim is meant to hold, and those that a task packs at a time.
-BUCKET, PACKED = 1 << 22, 1 << 20
-BITS = 1 << 27
+BUCKET, PACKED = 1 << 22, 1 << 21
 #: Bits of a word's hash in a context of the rim; what stands above is the core's context after it.
-HASH = 46
+HASH = 40
 #: Stands for a next word that is no symbol; an odd factor, and its inverse modulo 2^64, by which contexts are mixed.
 RARE, MIX = np.int64((1 << 31) - 1), 0x9E3779B97F4A7C15
 UNMIX = np.uint64(pow(MIX, -1, 1 << 64))
@@ -88,9 +89,6 @@ class Model:
     levels: list[Level]
     key: str = ""
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of the words
-    buckets: int = 1
-    map_bytes: int = 1  # of a bucket
-    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # by bucket, which contexts of the rim are states
 
     @property
     def logs(self) -> np.ndarray:
@@ -211,16 +209,15 @@ def _next_counts(texts: DataFrame, model: Model, least: np.ndarray, spread) -> D
     return texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(often, "key long, n long")
 
 
-def learn(texts: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """The core, and the rim's states by bucket. texts: one column, the training texts; counts: their ``word_counts``, written once."""
+def learn(texts: DataFrame, counts: DataFrame) -> Model:
+    """The core. texts: one column, the training texts; counts: their ``word_counts``, written once."""
     spread = texts.sparkSession.sparkContext.broadcast
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     rows = counts.where((F.col("n") >= MIN_SYMBOL * total) | (F.col("word") == END)).orderBy(F.desc("n"), "word").toArrow()
     words, n = rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(np.int64)
     if END not in words:
         words, n = [*words, END], np.append(n, 0)
-    model = Model(words, n, total, distinct, [], uuid.uuid4().hex, np.array([xxh64_intdigest(w) for w in words], np.uint64), -(-total // BUCKET) or 1)
-    model.map_bytes = max(1, min(BITS // 8, 2 * total) // model.buckets)
+    model = Model(words, n, total, distinct, [], uuid.uuid4().hex, np.array([xxh64_intdigest(w) for w in words], np.uint64))
     n_symbols, end = len(words), words.index(END)
     first = int((n >= MIN_CONTEXT * total).sum()) if total else 0
     runs = [[(i,) for i in range(first)]]  # symbols of each context, by level
@@ -234,11 +231,7 @@ def learn(texts: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
         deeper = (after >= MIN_CONTEXT * total) & (keys % n_symbols != end)
         level = Level(keys[deeper], after[deeper])
         runs.append([(*runs[-1][k // n_symbols], k % n_symbols) for k in level.keys.tolist()])
-    rim = _learn_rim(texts, model)
-    model.bits = np.zeros((model.buckets, model.map_bytes), np.uint8)
-    for r in rim.select("bucket", "bits").toLocalIterator():  # BITS in all
-        model.bits[r.bucket] = np.frombuffer(r.bits, np.uint8)
-    return model, rim
+    return model
 
 
 def _keep_diverging(model: Model, runs: list[list[tuple[int, ...]]], keys: np.ndarray, counts: np.ndarray) -> None:
@@ -348,12 +341,6 @@ def _bucket(units: np.ndarray, buckets: int) -> np.ndarray:
     return ((units >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _bit(units: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A context's byte and bit in the map of its bucket."""
-    at = (((units ^ units >> np.uint64(29)) * np.uint64(MIX) >> np.uint64(32)) * np.uint64(8 * size) >> np.uint64(32)).astype(np.int64)
-    return at >> 3, (1 << (at & 7)).astype(np.uint8)
-
-
 def _pack(values: np.ndarray) -> bytes:
     """Numbers as planes of their bytes, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values[:, None].view(np.uint8).T).tobytes())
@@ -381,108 +368,72 @@ def _units(packed: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack([x], np.uint64), dtype=np.uint64) for x in packed)])
 
 
-def _learn_rim(texts: DataFrame, model: Model) -> DataFrame:
-    """(bucket, units, back, next_units, next_symbols, next_logs, bits): the rim's states; all logs are relative to the core's."""
-    sent, buckets, packed_at, least_share = texts.sparkSession.sparkContext.broadcast(model), model.buckets, PACKED, MIN_NEXT
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        number = _number(model)
-        units: list[np.ndarray] = []
-        nexts: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for bucket, packed in _dealt(units, [nexts], buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["bucket", "units", "nexts"])
-            units.clear()
-            nexts.clear()
-
-        for batch in batches:
-            symbols, _, flat = _symbols(batch.column(0), number)
-            places, unit = _rim(symbols, flat, list(_contexts(symbols, model.levels, number[END], len(model.words))), model, number[END])
-            after = symbols[places + 1]
-            units.append(unit)
-            nexts.append(np.where(after >= 0, after, RARE).astype(np.int32))
-            if sum(map(len, units)) > packed_at:
-                yield from out()
-        yield from out()
-
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for group in sorted_groups(batches, "bucket"):
-            unit, after = _units(group["units"]), _unpack(group["nexts"], np.int32)
-            found, of, n = np.unique(unit, return_inverse=True, return_counts=True)
-            often = n[of] > 1
-            pairs, c = np.unique(of[often] << 31 | after[often], return_counts=True)
-            of, after = pairs >> 31, pairs & RARE
-            ok = (after != RARE) & (c >= least_share * n[of])
-            of, after, c = of[ok], after[ok], c[ok]
-            share, log = (c - DISCOUNT) / n[of], _log(model, _core(found[of], model), after)
-            total = lambda x, of=of, size=len(found): np.bincount(of, x, size)
-            rest, suffix_rest = np.maximum(1e-9, 1 - total(share)), np.maximum(1e-9, 1 - total(10**log))
-            nats = total(share * (np.log(share) - log * np.log(10))) + rest * np.log(rest / suffix_rest)
-            state = (nats >= MIN_NATS) & (nats * n >= MIN_EVIDENCE) & (total(np.ones(len(of))) > 0)
-            kept = state[of]
-            bits = np.zeros(model.map_bytes, np.uint8)
-            np.bitwise_or.at(bits, *_bit(found[state], len(bits)))
-            columns = [_pack(np.diff(found[state], prepend=np.uint64(0))), _pack(np.log10(rest / suffix_rest)[state]), _pack((np.cumsum(state) - 1)[of[kept]].astype(np.int64)), _pack(after[kept].astype(np.int64)), _pack((np.log10(share) - log)[kept])]
-            yield pa.RecordBatch.from_arrays([pa.array([group["bucket"][0]], pa.int64()), *(pa.array([x], pa.binary()) for x in [*columns, bits.tobytes()])], ["bucket", "units", "back", "at", "symbols", "logs", "bits"])
-
-    dealt = texts.mapInArrow(occurrences, "bucket long, units binary, nexts binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return checkpoint(dealt.mapInArrow(states, "bucket long, units binary, back binary, at binary, symbols binary, logs binary, bits binary"))
-
-
-def _in_rim(asked: DataFrame, rim: DataFrame, buckets: int) -> DataFrame:
-    """(uid, rim): what the rim's states add to each text's score. asked: (bucket, units, nexts, uids)."""
+@dataclass
+class Rim:
+    """The states of a bucket: sorted contexts, and keys of (place of the context, next symbol); logs are relative to the core's."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "bucket"):
-            known, asks = group["back"] != None, group["uids"] != None  # noqa: E711
-            if not known.any() or not asks.any():
-                continue
-            units, back = _units(group["units"][known]), _unpack(group["back"][known], np.float64)
-            keys, logs = _unpack(group["at"][known], np.int64) << 31 | _unpack(group["symbols"][known], np.int64), _unpack(group["logs"][known], np.float64)
-            unit, after, uid = _units(group["units"][asks]), _unpack(group["nexts"][asks], np.int32), _unpack(group["uids"][asks], np.int64)
-            at = _find(units, unit)
-            here = at >= 0
-            at, after, uid = at[here], after[here], uid[here]
-            place = _find(keys, at << 31 | after)
-            value = np.where(place >= 0, logs[place] if len(logs) else 0, back[at])
-            found, which = np.unique(uid, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.bincount(which, value, len(found)))], ["uid", "rim"])
-
-    blank = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-    both = rim.select("bucket", "units", "back", "at", "symbols", "logs", *blank("nexts", "uids")).union(asked.select("bucket", "units", *blank("back", "at", "symbols", "logs"), "nexts", "uids"))
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "uid long, rim double").groupBy("uid").agg(F.sum("rim").alias("rim"))
+    units: np.ndarray
+    back: np.ndarray
+    keys: np.ndarray
+    logs: np.ndarray
+
+    def add(self, unit: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """What the states add to the core's log of each occurrence."""
+        at = _find(self.units, unit)
+        known = np.flatnonzero(at >= 0)
+        place = _find(self.keys, at[known] << 31 | after[known])
+        out = np.zeros(len(unit))
+        out[known] = np.where(place >= 0, self.logs[place] if len(self.logs) else 0, self.back[at[known]])
+        return out
+
+
+def _rim_of(unit: np.ndarray, after: np.ndarray, model: Model, least_share: float) -> Rim:
+    """The states among the contexts of a bucket's training occurrences."""
+    found, of, n = np.unique(unit, return_inverse=True, return_counts=True)
+    often = n[of] > 1
+    pairs, c = np.unique(of[often] << 31 | after[often], return_counts=True)
+    of, after = pairs >> 31, pairs & RARE
+    ok = (after != RARE) & (c >= least_share * n[of])
+    of, after, c = of[ok], after[ok], c[ok]
+    share, log = (c - DISCOUNT) / n[of], _log(model, _core(found[of], model), after)
+    total = lambda x: np.bincount(of, x, len(found))
+    rest, suffix_rest = np.maximum(1e-9, 1 - total(share)), np.maximum(1e-9, 1 - total(10**log))
+    nats = total(share * (np.log(share) - log * np.log(10))) + rest * np.log(rest / suffix_rest)
+    state = (nats >= MIN_NATS) & (nats * n >= MIN_EVIDENCE) & (total(np.ones(len(of))) > 0)
+    kept = state[of]
+    return Rim(found[state], np.log10(rest / suffix_rest)[state], (np.cumsum(state) - 1)[of[kept]] << 31 | after[kept], (np.log10(share) - log)[kept])
 
 
 def _row(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text)).alias("row")
 
 
-def score(df: DataFrame, learned: tuple[Model, DataFrame], counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, base_score, score) of every row; counts: the words' counts that the model was learned with."""
-    model, rim = learned
-    sent, buckets, packed_at = df.sparkSession.sparkContext.broadcast(model), model.buckets, PACKED
-    floor = model.total + model.distinct + 1
-    fields = ["key", "row", "uid", "n_tokens", "known", "base", "score", "bucket", "units", "nexts", "uids"]
+def score(df: DataFrame, model: Model, counts: DataFrame, trains: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) of every row. trains: whether a row is a training text; counts: the
+    words' counts that the model was learned with.
+    """
+    sent, packed_at, least_share = df.sparkSession.sparkContext.broadcast(model), PACKED, MIN_NEXT
+    buckets, floor = -(-model.total // BUCKET) or 1, model.total + model.distinct + 1
+    key_type = df.schema[key].dataType.simpleString()
+    kind, kept = to_arrow_type(df.schema[key].dataType), ["uid", "key", "row", "n_tokens", "known", "base", "score"]
+    typed = f"bucket long, uid long, key {key_type}, row long, n_tokens long, known long, base double, score double, units binary, nexts binary, uids binary"
+    names = [x.split()[0] for x in typed.split(", ")]
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and packed occurrences (with a bucket) of contexts that may be states of the rim."""
+        """A row for each text, and packed occurrences of contexts of the rim."""
         model = sent.value
         number, logs = _number(model), model.logs
-        uid, kind = TaskContext.get().partitionId() << 40, None
+        uid = TaskContext.get().partitionId() << 40
         held: list[list[np.ndarray]] = [[], [], []]
 
         def out() -> Iterator[pa.RecordBatch]:
             for bucket, packed in _dealt(held[0], held[1:], buckets):
-                blank = [pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array([bucket], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], fields)
+                blank = [pa.nulls(1, t) for t in (pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *blank, *(pa.array([x], pa.binary()) for x in packed)], names)
             for x in held:
                 x.clear()
 
         for batch in batches:
-            kind = batch.column(0).type
             symbols, lengths, flat = _symbols(batch.column(2), number)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             common = symbols[1:] >= 0
@@ -490,20 +441,46 @@ def score(df: DataFrame, learned: tuple[Model, DataFrame], counts: DataFrame, ke
             known = common & (model.word_counts[symbols[1:]] > 0)
             ats = list(_contexts(symbols, model.levels, number[END], len(model.words)))
             sums = [np.bincount(owner, x, len(lengths)) for x in (known, base, _log(model, [at[:-1] for at in ats], symbols[1:]))]
+            uids = uid + np.arange(len(lengths))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uids % buckets), pa.array(uids), batch.column(0), batch.column(1), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *(pa.nulls(len(lengths), pa.binary()) for _ in range(3))],
+                names,
+            )
             places, unit = _rim(symbols, flat, ats, model, number[END])
-            at, bit = _bit(unit, model.bits.shape[1])
-            wanted = (model.bits[_bucket(unit, buckets), at] & bit) > 0
-            places = places[wanted]
             after = symbols[places + 1]
-            for x, values in zip(held, (unit[wanted], np.where(after >= 0, after, RARE).astype(np.int32), uid + owner[places]), strict=True):
+            learns = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)[owner[places]]
+            for x, values in zip(held, (unit, np.where(after >= 0, after, RARE).astype(np.int32), (uid + owner[places]) << 1 | learns), strict=True):
                 x.append(values)
-            none = [pa.nulls(len(lengths), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(uid + np.arange(len(lengths))), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *none], fields)
             uid += len(lengths)
             if sum(map(len, held[0])) > packed_at:
                 yield from out()
-        if kind is not None:
-            yield from out()
+        yield from out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts' rows as they are, and what the rim adds to texts."""
+        model, texts = sent.value, []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                text = batch.column("units").is_null()
+                texts.append(batch.filter(text).select(kept))
+                yield batch.filter(pc.invert(text)).select(["bucket", "units", "nexts", "uids"])
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            while texts:
+                batch = texts.pop()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.float64())], [*kept, "rim"])
+
+        for group in sorted_groups(packed(), "bucket"):
+            yield from whole()
+            unit, after, uid = _units(group["units"]), _unpack(group["nexts"], np.int32), _unpack(group["uids"], np.int64)
+            learns = (uid & 1).astype(bool)
+            value = _rim_of(unit[learns], after[learns], model, least_share).add(unit, after)
+            found, which = np.unique(uid[value != 0] >> 1, return_inverse=True)
+            n = len(found)
+            blank = [pa.nulls(n, kind), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *blank, pa.array(np.bincount(which, value[value != 0], n).astype(np.float64))], [*kept, "rim"])
+        yield from whole()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _number(sent.value)
@@ -516,15 +493,13 @@ def score(df: DataFrame, learned: tuple[Model, DataFrame], counts: DataFrame, ke
                 n.extend(found.values())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["row", "word", "m"])
 
-    typed = f"key {df.schema[key].dataType.simpleString()}, row long, uid long, n_tokens long, known long, base double, score double, bucket long, units binary, nexts binary, uids binary"
-    first = checkpoint(df.select(F.col(key).alias("key"), _row(key, text), text).mapInArrow(frequent, typed))
-    often = first.where("bucket is null").select(*fields[:7])
-    rims = _in_rim(first.where("bucket is not null").select("bucket", "units", "nexts", "uids"), rim, buckets)
-    often = often.join(rims, "uid", "left")
+    dealt = df.select(F.col(key).alias("key"), _row(key, text), text, F.coalesce(trains, F.lit(False)).alias("trains")).mapInArrow(frequent, typed)
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"uid long, key {key_type}, row long, n_tokens long, known long, base double, score double, rim double")
+    often = checkpoint(met.groupBy("uid").agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept[1:]], F.sum("rim").alias("rim")))
     seldom = df.select(_row(key, text), text).mapInArrow(rare, "row long, word binary, m long").join(counts.where(F.col("n") < MIN_SYMBOL * model.total), "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(floor)))
     seldom = seldom.groupBy("row").agg(F.sum(F.col("m") * each).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("rare_known"))
-    copies = first.where("bucket is null").groupBy("row").agg(F.count("*").alias("copies"))  # equal rows share a number, and have added up
+    copies = often.groupBy("row").agg(F.count("*").alias("copies"))  # equal rows share a number, and have added up
     seldom = seldom.join(copies, "row").select(F.col("row").alias("at"), (F.col("rare") / F.col("copies")).alias("rare"), F.expr("rare_known div copies").alias("rare_known"))
     out = often.join(seldom, often.row == seldom.at, "left")
     rest, rest_known = F.coalesce("rare", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
