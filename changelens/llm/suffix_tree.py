@@ -59,7 +59,7 @@ MIN_NATS, MIN_EVIDENCE, DISCOUNT = 0.02, 10.0, 0.5
 #: Distinct keys that a task holds before it hands them on.
 HELD = 500_000
 #: Occurrences that a bucket of the rim is meant to hold, and those that a task packs at a time.
-BUCKET, PACKED = 1 << 22, 1 << 21
+BUCKET, PACKED = 1 << 21, 1 << 20
 #: Bits of a word's hash in a context of the rim; what stands above is the core's context after it.
 HASH = 40
 #: Stands for a next word that is no symbol; an odd factor, and its inverse modulo 2^64, by which contexts are mixed.
