@@ -414,10 +414,12 @@ def score(df: DataFrame, model: Model, counts: DataFrame, trains: Column, key: s
     """
     sent, packed_at, least_share = df.sparkSession.sparkContext.broadcast(model), PACKED, MIN_NEXT
     buckets, floor = -(-model.total // BUCKET) or 1, model.total + model.distinct + 1
+    parts = -(-buckets // 8)
     key_type = df.schema[key].dataType.simpleString()
     kind, kept = to_arrow_type(df.schema[key].dataType), ["uid", "key", "row", "n_tokens", "known", "base", "score"]
-    typed = f"bucket long, uid long, key {key_type}, row long, n_tokens long, known long, base double, score double, units binary, nexts binary, uids binary"
-    names = [x.split()[0] for x in typed.split(", ")]
+    fields = f"key {key_type}, row long, n_tokens long, known long, base double, score double"
+    typed = f"bucket long, uid long, {fields}, units binary, nexts binary, uids binary"
+    names = ["bucket", *kept, "units", "nexts", "uids"]
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and packed occurrences of contexts of the rim."""
@@ -457,8 +459,10 @@ def score(df: DataFrame, model: Model, counts: DataFrame, trains: Column, key: s
         yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts' rows as they are, and what the rim adds to texts."""
+        """The texts' rows as they are, and what the rim adds to texts, packed by part."""
         model, texts = sent.value, []
+        found: list[np.ndarray] = []
+        values: list[np.ndarray] = []
 
         def packed() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -469,18 +473,55 @@ def score(df: DataFrame, model: Model, counts: DataFrame, trains: Column, key: s
         def whole() -> Iterator[pa.RecordBatch]:
             while texts:
                 batch = texts.pop()
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.float64())], [*kept, "rim"])
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy() % parts), *batch.columns, *(pa.nulls(batch.num_rows, pa.binary()) for _ in range(2))], ["part", *kept, "uids", "rims"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            uid, value = np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate([np.zeros(0), *values])
+            which = uid % parts
+            order = np.argsort(which, kind="stable")
+            cuts = np.flatnonzero(np.diff(which[order], prepend=-1)).tolist()
+            for start, stop in zip(cuts, [*cuts[1:], len(order)], strict=False):
+                at = order[start:stop]
+                blank = [pa.nulls(1, t) for t in (pa.int64(), kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(which[at[:1]]), *blank, *(pa.array([_pack(x[at])], pa.binary()) for x in (uid, value))], ["part", *kept, "uids", "rims"])
+            found.clear()
+            values.clear()
 
         for group in sorted_groups(packed(), "bucket"):
             yield from whole()
             unit, after, uid = _units(group["units"]), _unpack(group["nexts"], np.int32), _unpack(group["uids"], np.int64)
             learns = (uid & 1).astype(bool)
             value = _rim_of(unit[learns], after[learns], model, least_share).add(unit, after)
-            found, which = np.unique(uid[value != 0] >> 1, return_inverse=True)
-            n = len(found)
-            blank = [pa.nulls(n, kind), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *blank, pa.array(np.bincount(which, value[value != 0], n).astype(np.float64))], [*kept, "rim"])
+            own, which = np.unique(uid[value != 0] >> 1, return_inverse=True)
+            found.append(own)
+            values.append(np.bincount(which, value[value != 0], len(own)).astype(np.float64))
+            if sum(map(len, found)) > packed_at:
+                yield from out()
         yield from whole()
+        yield from out()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's row with all that the rim adds to it; in a part, packed rows come first."""
+        part, held, table = None, [], None
+        for batch in batches:
+            parts_, text = batch.column("part").to_numpy(), batch.column("uids").is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(parts_) | np.diff(text)) + 1).tolist(), len(parts_)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == stop:
+                    continue
+                if parts_[start] != part:
+                    part, held, table = parts_[start], [], None
+                rows = batch.slice(start, stop - start)
+                if not text[start]:
+                    held += [(_unpack([u.as_py()], np.int64), _unpack([v.as_py()], np.float64)) for u, v in zip(rows.column("uids"), rows.column("rims"), strict=True)]
+                    continue
+                if table is None:
+                    found, which = np.unique(np.concatenate([np.zeros(0, np.int64), *(u for u, _ in held)]), return_inverse=True)
+                    table = found, np.bincount(which, np.concatenate([np.zeros(0), *(v for _, v in held)]), len(found))
+                    held = []
+                at = _find(table[0], rows.column("uid").to_numpy())
+                sums = np.where(at >= 0, table[1][at] if len(table[1]) else 0.0, 0.0).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*rows.select(kept[1:]).columns, pa.array(sums)], [*kept[1:], "rim"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _number(sent.value)
@@ -494,8 +535,8 @@ def score(df: DataFrame, model: Model, counts: DataFrame, trains: Column, key: s
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["row", "word", "m"])
 
     dealt = df.select(F.col(key).alias("key"), _row(key, text), text, F.coalesce(trains, F.lit(False)).alias("trains")).mapInArrow(frequent, typed)
-    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"uid long, key {key_type}, row long, n_tokens long, known long, base double, score double, rim double")
-    often = checkpoint(met.groupBy("uid").agg(*[F.first(c, ignorenulls=True).alias(c) for c in kept[1:]], F.sum("rim").alias("rim")))
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"part long, uid long, {fields}, uids binary, rims binary")
+    often = checkpoint(met.repartition(parts, "part").sortWithinPartitions("part", F.col("uids").isNull()).mapInArrow(gather, f"{fields}, rim double"))
     seldom = df.select(_row(key, text), text).mapInArrow(rare, "row long, word binary, m long").join(counts.where(F.col("n") < MIN_SYMBOL * model.total), "word", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(floor)))
     seldom = seldom.groupBy("row").agg(F.sum(F.col("m") * each).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("rare_known"))
@@ -505,5 +546,5 @@ def score(df: DataFrame, model: Model, counts: DataFrame, trains: Column, key: s
     rest, rest_known = F.coalesce("rare", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
     return out.select(
         F.col("key").alias(key), "n_tokens", (F.col("known") + rest_known).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("score") + rest + F.coalesce("rim", F.lit(0.0))).alias("score"),
+        (F.col("base") + rest).alias("base_score"), (F.col("score") + rest + F.col("rim")).alias("score"),
     )
