@@ -18,7 +18,8 @@ all its pairs.
 Defined results: null and empty texts have fingerprint zero, which links like any
 other; repeated rows are copies of each other; a document without an id counts as
 one with an id above all others, and its component is null if nothing else is in
-it. Columns of the input stay, but for one with the name of an output.
+it. Ids are whole numbers below 2^62; name rows of other kinds by numbers first. Of rows that only differ in other columns
+the one with the least hash of all columns stays. Columns of the input stay, but for one with the name of an output.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpoint, components, forest, sorted_groups
+from .common import checkpoint, components, forest, sorted_groups, take_ranges
 
 RADIUS = 2
 #: Ids that stand for missing ones begin here.
@@ -174,10 +176,15 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.join(found, distinct.fingerprint == found.node, "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
+def _row(df: DataFrame) -> Column:
+    """A hash of a whole row (but for maps, which have no order)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def _rows(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, row, fingerprint) of every row, written once: row tells rows with another id or text apart."""
+    """(id, row, fingerprint) of every row, written once."""
     known = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60)))
-    return checkpoint(fingerprints(df.select(known.alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text")), "text", words=words).drop("text"))
+    return checkpoint(fingerprints(df.select(known.alias("id"), _row(df).alias("row"), F.col(text).alias("text")), "text", words=words).drop("text"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -200,6 +207,8 @@ FIRST_SLACK, WIDE_SLACK, SLACK = 5.5, 5.0, 2.0
 SMALL = 64
 #: Sketches of a block; a group compares two blocks.
 SKETCHES = 1 << 17
+#: Sets, and bytes of sets, of a side of an exact comparison.
+EXACT, EXACT_BYTES = 2048, 16 << 20
 #: Tiles in which shingle counts of one ratio are dealt; more of them skip more pairs and repeat more rows.
 FINE = 3
 
@@ -227,13 +236,6 @@ def sketch(text: str | None, words: int = 5) -> tuple[np.ndarray, int]:
     return _majority(mixed ^ mixed >> np.uint64(31)), len(hashes)
 
 
-def alike(a: bytes, b: bytes, similarity: float) -> bool:
-    """Whether two shingle sets, as bytes, have the Jaccard similarity."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both)
-
-
 def radius_of(similarity: float, bits: int, slack: float = SLACK) -> int:
     """Differing bits of two sets at a Jaccard similarity: the mean, and so many standard deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -280,10 +282,11 @@ def sketches(df: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
     return df.withColumn("_both", of(F.col(text))).select("*", "_both.sketch", "_both.shingles").drop("_both")
 
 
-def similar_links(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """Links (a, b, sure) of sets (id, root, sketch, shingles) of different roots whose sketches say that they are, or may be, so similar.
+def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Sets (id, sketch, shingles) that are so similar, or may be, by their sketches.
 
-    Sure links span what they connect; of the others a block leaves a forest over that or, if ``every``, each one.
+    Rows with a group of null are links (a, b) that span what sketches connect for sure. In each other group stand the sets (a) of pairs
+    about which the sketches can't tell, apart by side (home): at most EXACT of a side, and each set once, however many pairs it is in.
 
     Sets can be so similar only if one has at most 1/similarity times the other's shingles: FINE tiles
     make up a range of this ratio, and a set meets those of its own tile and of the next FINE ones up.
@@ -296,10 +299,10 @@ def similar_links(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
     blocks = {t: -(-n // SKETCHES) for t, n in sizes.items()}
     guests = {t: -(-sum(sizes.get(t - k, 0) for k in range(FINE + 1)) // SKETCHES) for t in sizes}
     if not sizes:
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("sure"))
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").alias("group"), F.lit(True).alias("home"))
     pick = lambda table, t: F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in table.items() for x in kv])[t], F.lit(0))
     mixed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    columns = ["id", "root", "sketch", "shingles"]
+    columns = ["id", "sketch", "shingles"]
     spread = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0).cast("long")))))
     home = rows.select(*columns, F.col("tile"), (mixed % pick(blocks, F.col("tile"))).alias("block"), spread(pick(guests, F.col("tile"))).alias("guest"), F.lit(True).alias("home"))
     visit = rows.select(*columns, F.explode(F.sequence("tile", F.col("tile") + FINE)).alias("tile")).where(pick(blocks, F.col("tile")) > 0)
@@ -307,41 +310,48 @@ def similar_links(rows: DataFrame, similarity: float, every: bool) -> DataFrame:
     keys = ["tile", "block", "guest"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32  # of the next group
         for group in sorted_groups(batches, *keys):
             wide = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(-1, PARTS)
             ids, is_home, sizes = group["id"], group["home"].astype(bool), np.minimum(group["shingles"], SMALL)
             own, others = np.flatnonzero(is_home), np.flatnonzero(~is_home)
+            if not len(own) or not len(others):
+                continue
+            side = max(1, min(EXACT, EXACT_BYTES // (8 * max(1, int(group["shingles"].max())))))
+            asked, guests = np.zeros((len(own), -(-len(others) // side)), bool), np.zeros((len(others), -(-len(own) // side)), bool)
             every_id, node = np.unique(ids, return_inverse=True)
-            roots, root = np.unique(group["root"], return_inverse=True)
-            sure = np.arange(len(roots))  # what sure links connect, and what any do
-            label = sure
+            sure = np.arange(len(every_id))  # what sure links connect
             first, reach = np.ascontiguousarray(wide[others, 0]), near[sizes[others]]
             for i in range(0, len(own), STRIP):
                 x, y = np.nonzero(np.bitwise_count(wide[own[i : i + STRIP], :1] ^ first) <= reach)
-                x, y, bits = own[i + x], others[y], np.bitwise_count(wide[own[i + x], 0] ^ first[y])
-                ok = np.bitwise_count(wide[x, 1] ^ wide[y, 1]) + bits <= nearer[sizes[y]]
-                a, b = x[ok], y[ok]
-                apart = np.flatnonzero(sure[root[a]] != sure[root[b]])
-                for k in range(0, len(apart), 1 << 16):
-                    u, v = a[apart[k : k + (1 << 16)]], b[apart[k : k + (1 << 16)]]
+                x += i
+                u, v = own[x], others[y]
+                ok = np.bitwise_count(wide[u, 1] ^ wide[v, 1]) + np.bitwise_count(wide[u, 0] ^ first[y]) <= nearer[sizes[v]]
+                ok &= sure[node[u]] != sure[node[v]]
+                x, y = x[ok], y[ok]
+                for k in range(0, len(x), 1 << 16):
+                    u, v = own[x[k : k + (1 << 16)]], others[y[k : k + (1 << 16)]]
                     bits = np.bitwise_count(wide[u] ^ wide[v]).sum(axis=1, dtype=np.int64)
                     certain = (bits <= trusted) & (sizes[u] == SMALL) & (sizes[v] == SMALL)
-                    link, sure = spanning(root[u], root[v], bits, certain, sure)
-                    if len(link):
-                        yield out(node[u[link]], node[v[link]], every_id, True)
-                        label = forest(np.concatenate([sure, label]), np.concatenate([np.arange(len(roots))] * 2), len(roots))
-                    maybe = ~certain & (bits <= close[sizes[v]]) & (sure[root[u]] != sure[root[v]])
-                    if every:
-                        link = np.flatnonzero(maybe)
-                    else:
-                        link, label = spanning(root[u], root[v], bits, maybe, label)
+                    link, sure = spanning(node[u], node[v], bits, certain, sure)
                     if len(link):
-                        yield out(node[u[link]], node[v[link]], every_id, False)
+                        yield out(every_id[np.maximum(node[u[link]], node[v[link]])], every_id[np.minimum(node[u[link]], node[v[link]])])
+                    maybe = k + np.flatnonzero(~certain & (bits <= close[sizes[v]]) & (sure[node[u]] != sure[node[v]]))
+                    asked[x[maybe], y[maybe] // side] = True
+                    guests[y[maybe], x[maybe] // side] = True
+            for h in range(guests.shape[1]):
+                mine = slice(h * side, (h + 1) * side)
+                for g in np.flatnonzero(asked[mine].any(axis=0)).tolist():
+                    theirs = slice(g * side, (g + 1) * side)
+                    for home, which in ((True, own[mine][asked[mine, g]]), (False, others[theirs][guests[theirs, h]])):
+                        yield out(ids[which], None, number, home)
+                    number += 1
 
-    def out(a: np.ndarray, b: np.ndarray, ids: np.ndarray, sure: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids[np.maximum(a, b)]), pa.array(ids[np.minimum(a, b)]), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+    def out(a: np.ndarray, b: np.ndarray | None, group: int | None = None, home: bool | None = None) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.array([group] * n, pa.int64()), pa.array([home] * n, pa.bool_())], ["a", "b", "group", "home"])
 
-    return home.unionByName(visit).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, sure boolean")
+    return home.unionByName(visit).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, group long, home boolean")
 
 
 def spanning(a: np.ndarray, b: np.ndarray, bits: np.ndarray, ok: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,45 +376,58 @@ def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     Sketches of PARTS times 64 bits tell which sets may be so similar: a pair is passed over only if its bits differ by WIDE_SLACK
     (in the first part and the first two FIRST_SLACK) standard deviations more than those of any pair at the similarity. Large sets whose bits differ by
-    WIDE_SLACK less link; for all others the shingle sets themselves are compared. That is done first for as many pairs as would
-    connect what may be connected, then for each that is still apart.
+    WIDE_SLACK less link; for all others the shingle sets themselves are compared, block by block, so that what is sent
+    are sets, never pairs.
     """
     known = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 60)))
-    named = df.select(known.alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    named = df.select(known.alias("key"), _row(df).alias("row"), F.col(text).alias("text"))
     rows = checkpoint(sketches(named, "text", words).drop("text"))
     equal = rows.groupBy("sketch", "shingles").agg(F.min(F.struct("key", "row")).alias("best"))
     sets = checkpoint(checkpoint(equal).withColumn("id", F.monotonically_increasing_id()))
-    links_ = tree = None
-    for every in (False, True):
-        root = sets.withColumn("root", F.col("id")) if tree is None else sets.join(tree, sets.id == tree.node, "left").withColumn("root", F.coalesce("root", "id"))
-        found = checkpoint(similar_links(root.select("id", "root", "sketch", "shingles"), similarity, every).groupBy("a", "b").agg(F.max("sure").alias("sure")))
-        more = found.where("sure").select("a", "b").union(_verified(found.where("not sure"), sets, named, words, similarity))
-        links_ = checkpoint(more if links_ is None else links_.union(more))
-        tree = components(links_)
+    found = checkpoint(similar_links(sets.select("id", "sketch", "shingles"), similarity))
+    tree = components(found.where("group is null").select("a", "b").union(_exact(found.where("group is not null"), sets, named, words, similarity)))
     best = sets.join(tree, sets.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
     kept = best.select(F.col("best.row").alias("__row"))
-    return df.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return df.withColumn("__row", _row(df)).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are so similar; only texts of these pairs are read into sets."""
+def _exact(asked: DataFrame, sets: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span what the shingle sets of each group's two sides connect at the similarity; only these texts are read into sets."""
 
     @F.arrow_udf("binary")
     def members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([shingle_set(t.as_py(), words).tobytes() for t in batch], pa.binary())
 
-    @F.arrow_udf("boolean")
-    def same(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in batches:
-            yield pa.array([alike(a.as_py(), b.as_py(), similarity) for a, b in zip(x, y, strict=True)], pa.bool_())
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    of = sets.join(asked, "id").select("id", F.col("best.row").alias("row"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "group"):
+            held, home = [np.frombuffer(x, np.uint64) for x in group["members"]], group["home"].astype(bool)
+            ids, node = np.unique(group["id"], return_inverse=True)
+            others = np.flatnonzero(~home)
+            label, sizes = np.arange(len(ids)), np.array([len(held[i]) for i in others], np.int64)
+            owner, values = np.repeat(np.arange(len(others)), sizes), np.concatenate([np.zeros(0, np.uint64), *(held[i] for i in others)])
+            order = np.argsort(values, kind="stable")
+            owner = owner[order]
+            keys, starts, lengths = np.unique(values[order], return_index=True, return_counts=True)
+            for i in np.flatnonzero(home).tolist():
+                apart = label[node[others]] != label[node[i]]
+                if not apart.any() or not len(keys):
+                    continue
+                at = np.minimum(np.searchsorted(keys, held[i]), len(keys) - 1)
+                at = at[keys[at] == held[i]]
+                both = np.bincount(take_ranges(owner, starts[at], lengths[at]), minlength=len(others))
+                linked = others[apart & (both >= similarity * (len(held[i]) + sizes - both))]
+                labels, one = np.unique(label[node[linked]], return_index=True)
+                if len(labels):
+                    a, b = np.full(len(one), group["id"][i]), group["id"][linked[one]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                    joined = [*labels.tolist(), int(label[node[i]])]
+                    label[np.isin(label, joined)] = min(joined)
+
+    of = sets.join(asked.select(F.col("a").alias("id")).distinct(), "id").select("id", F.col("best.row").alias("row"))
     texts = named.select("row", "text").join(of, "row").dropDuplicates(["id"])
     held = checkpoint(texts.select("id", members(F.col("text")).alias("members")))
-    left, right = (held.select(F.col("id").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(same(F.col("members_a"), F.col("members_b"))).select("a", "b")
+    return asked.select("group", "home", F.col("a").alias("id")).join(held, "id").repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -414,4 +437,4 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     tree = groups(rows, radius)
     best = tree.join(by_print, "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
     kept = best.select(F.col("best.row").alias("__row"))
-    return df.withColumn("__row", F.xxhash64(F.col(key), F.col(text))).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return df.withColumn("__row", _row(df)).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

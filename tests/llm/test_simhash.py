@@ -48,12 +48,10 @@ def plain_sketch(text, words=5):
 
 
 def similar(texts, similarity=0.8):
-    """Least index of each text's component, by comparing all sketches with all."""
-    near, close = simhash.radius_of(similarity, 64, 3.2), simhash.radius_of(similarity, 1024)
-    known = [plain_sketch(t) for t in texts]
-    tile = [int(np.floor(np.log(max(1, len(s))) / (-np.log(similarity) / simhash.FINE) + 1e-9)) for _, s in known]
+    """Least index of each text's component, by the true similarity of all pairs."""
+    sets = [plain_sketch(t)[1] for t in texts]
     label = list(range(len(texts)))
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if abs(tile[i] - tile[j]) <= simhash.FINE and (x := known[i][0] ^ known[j][0]).bit_count() <= close and (x % 2**64).bit_count() <= near]
+    links = [(i, j) for i, x in enumerate(map(set, sets)) for j, y in enumerate(map(set, sets[:i])) if len(x & y) >= similarity * len(x | y)]
     while any(label[i] != label[j] for i, j in links):
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
@@ -77,7 +75,7 @@ def test_similar_sets_link_and_others_do_not(spark):
     label = similar(texts)
     assert kept == {i for i, x in enumerate(label) if i == x}
     assert all(i in kept for i in range(0, 120, 3)) and all(i in kept for i in range(2, 120, 3))  # nothing clean goes
-    assert sum(i in kept for i in range(1, 120, 3)) == 0
+    assert sum(i in kept for i in range(1, 120, 3)) < 5  # a few changed short texts have less than 0.8 in common with theirs
     assert kept & set(range(120, 126)) == {120, 123, 125}
 
 
