@@ -9,8 +9,9 @@ of frames and classes (twelve twice, so that filters wrap around) each of sixtee
 box filters gives two bits (Gray code of its value against minus its step, 0 and its step) for
 each stretch of ``SPAN`` frames; they are packed into an integer for each frame. A query
 and a recording that share integers vote for the offsets at which they do (a run of
-equal integers votes once, with its begin); at the offsets with the most votes the
-bits that differ over the overlap are counted. They match if the share of these bits is
+equal integers votes once, with its begin); at each offset with a vote the
+bits that differ over the overlap are counted. Recordings that match without one equal integer at the right offset are
+not found; tests measure how few these are against all offsets of all pairs. They match if the share of these bits is
 ``MAX_ERROR`` or less over ``MIN_OVERLAP`` integers or, if either has fewer, all of the
 shorter one.
 
@@ -44,7 +45,7 @@ FRAME, HOP, SPAN = 0.512, 0.128, 8
 #: Steps of the four kinds of filters: about half of all values lie between minus and plus a step.
 STEPS = (0.07, 0.025, 0.06, 0.12)
 LOW_HZ, HIGH_HZ = 60.0, 2000.0
-MAX_ERROR, MIN_OVERLAP, OFFSETS = 0.15, 12, 3
+MAX_ERROR, MIN_OVERLAP = 0.15, 12
 QUERY_BLOCK, BLOCK = 1024, 2048
 
 
@@ -160,12 +161,11 @@ def matches(queries: list[np.ndarray], others: list[np.ndarray]):
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
         # a histogram of offsets for each recording
         shift = np.repeat(own, n) - place[at]
-        votes, count = np.unique(np.stack([owner[at], shift]), axis=1, return_counts=True) if len(at) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        best = np.lexsort((votes[1], -count, votes[0]))
-        rank = np.arange(len(best)) - np.searchsorted(votes[0][best], votes[0][best])
+        reach = 1 << 32
+        cells = np.unique(owner[at] * reach + shift + (reach >> 1))
+        votes = np.stack([cells // reach, cells % reach - (reach >> 1)])
         found: dict[int, tuple[float, int]] = {}
-        for k in best[rank < OFFSETS].tolist():
-            other, offset = int(votes[0][k]), int(votes[1][k])
+        for other, offset in zip(*votes.tolist(), strict=True):
             bits, overlap = error(query, others[other], offset)
             if overlap >= min(MIN_OVERLAP, len(query), len(others[other])) and bits <= MAX_ERROR * 32 * overlap:
                 found[other] = min(found.get(other, (2.0, 0)), (bits / (32 * overlap), offset))

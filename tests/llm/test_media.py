@@ -57,13 +57,8 @@ def brute(prints):
     out = {}
     for i, a in enumerate(prints):
         for j, b in enumerate(prints):
-            votes = {}
-            for x in media._starts(a):
-                for y in media._starts(b):
-                    if a[x] == b[y]:
-                        votes[x - y] = votes.get(x - y, 0) + 1
             best = []
-            for offset in sorted(votes, key=lambda o: (-votes[o], o))[: media.OFFSETS]:
+            for offset in {x - y for x in media._starts(a) for y in media._starts(b) if a[x] == b[y]}:
                 bits, n = media.error(a, b, offset)
                 if n >= min(media.MIN_OVERLAP, len(a), len(b)) and bits <= media.MAX_ERROR * 32 * n:
                     best.append((bits / (32 * n), int(offset)))
@@ -93,6 +88,28 @@ def test_search_against_brute_force(spark, monkeypatch, block):
             assert (r.match_error, r.match_key, r.match_offset) == (pytest.approx(best[0]), best[1], best[2])
 
 
+def at_any_offset(a, b):
+    least = min(media.MIN_OVERLAP, len(a), len(b))
+    for offset in range(least - len(b), len(a) - least + 1):
+        bits, n = media.error(a, b, offset)
+        if n and bits <= media.MAX_ERROR * 32 * n:
+            return True
+    return False
+
+
+def test_recall_against_all_offsets_of_all_pairs():
+    rng, rate = np.random.default_rng(7), 4000
+    plain = [song(k, rate) for k in range(30)]
+    noisy = [x[int(rng.integers(0, 20)) * round(media.HOP * rate) :] for x in plain]
+    noisy += [np.clip(x + level * rng.standard_normal(len(x)), -1, 1) for x in plain for level in (0.05, 0.15, 0.3)]
+    loops = [np.concatenate([song(k, rate, 6)] * 12) for k in range(40, 50)]
+    queries, others = [media.fingerprint(wav(x, rate)) for x in plain + loops], [media.fingerprint(wav(x, rate)) for x in noisy + loops]
+    true = {(i, j) for i, a in enumerate(queries) for j, b in enumerate(others) if len(a) and len(b) and at_any_offset(a, b)}
+    got = {(q, o) for q, o, _, _ in media.matches(queries, others)}
+    assert got <= true and len(true) > 80
+    assert len(got) >= 0.95 * len(true), (len(got), len(true))
+
+
 def test_query(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = op5_media(spark, sf_dir).collect()
