@@ -73,7 +73,8 @@ def is_ignored(path: Column, patterns: Sequence[str]) -> Column:
     found = []
     for p in patterns:
         if p.endswith("/"):
-            found.append(F.concat(F.lit("/"), path).contains("/" + p) if "/" not in p[:-1] else path.startswith(p))
+            folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+            found.append(F.exists(folders, _fits(glob_pattern(p[:-1]))) if "/" not in p[:-1] else path.rlike(glob_pattern(p + "*")))
         else:
             found.append(path.rlike(glob_pattern(p)))
             if "/" not in p:
@@ -93,15 +94,16 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 #: Names of test folders and files.
-TEST_DIRS = ("test", "tests", "__tests__", "testing", "spec", "specs", "fixtures", "testdata", "e2e", "mocks", "__mocks__")
-TEST_FILE = r"(?i)\A(?:test_.*|conftest\..*|.*(?:_test|\.test|\.spec|_spec)\.[a-z0-9]+)\z"
+TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs", "testdata", "fixtures", "__fixtures__", "__mocks__", "__snapshots__", "cassettes")
+TEST_BEGIN = "test_"
+TEST_ENDS = ("_test.py", "_test.go", ".test.ts", ".test.js", ".spec.ts", ".spec.js", ".test.tsx", ".spec.tsx")
 
 
 def in_test(path: Column) -> Column:
     """Whether a file is a test: by its folders' names, or by its own."""
-    parts = F.split(path, "/")
-    folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.lower)
-    return F.arrays_overlap(folders, F.array(*map(F.lit, TEST_DIRS))) | F.element_at(parts, -1).rlike(TEST_FILE)
+    parts = F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/")
+    folders, name = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1)
+    return F.arrays_overlap(folders, F.array(*map(F.lit, TEST_DIRS))) | name.startswith(TEST_BEGIN) | _any([name.endswith(x) for x in TEST_ENDS])
 
 
 def vendor_slug(name: Column) -> Column:
@@ -150,8 +152,11 @@ def normalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def canonical(value: str | None) -> str | None:
-    """JSON with sorted keys, without spaces, escaped to ASCII."""
-    return None if value is None else json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"))
+    """JSON with sorted keys, without spaces, escaped to ASCII; null for what is no JSON."""
+    try:
+        return None if value is None else json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"))
+    except (ValueError, RecursionError):
+        return None
 
 
 @F.arrow_udf(T.StringType())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Line comment, block comments and quotes of each language; fixed values.
-HASH, SLASH = ("py", "rb", "sh", "yaml", "yml", "toml"), ("js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java", "kt", "rs", "cs", "php")
+HASH, SLASH = ("py", "rb", "sh", "yaml", "yml", "toml", "ini", "cfg", ""), ("js", "jsx", "mjs", "cjs", "ts", "mts", "cts", "tsx", "go", "java", "kt", "rs", "cs", "php", "swift")
 _PY = r"(?P<text>[rbfuRBFU]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))|(?P<comment>\#[^\n]*)"
 _C = r"(?P<text>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
 _LEXERS = {**{s: re.compile(_PY, re.S) for s in HASH}, **{s: re.compile(_C, re.S) for s in SLASH}}
@@ -42,14 +42,17 @@ def comment_spans(suffix: str, text: str) -> list[dict]:
     lexer = _LEXERS.get(suffix.lstrip("."))
     if lexer is None:
         return []
-    starts, out, n = _line_starts(text), [], 0
+    starts, out, n, at, opened = _line_starts(text), [], 0, 0, ""  # opened: the last character before, outside comments
     for m in lexer.finditer(text):
+        opened = text[at : m.start()].rstrip()[-1:] or opened
+        at = m.end()
         while n + 1 < len(starts) and starts[n + 1] <= m.start():
             n += 1
         alone = m["text"] and suffix.lstrip(".") == "py" and not text[starts[n] : m.start()].strip() and re.match(r"[ \t]*(?:#[^\n]*)?(?:\n|\Z)", text[m.end() : m.end() + 200])
-        opened = text[: m.start()].rstrip()[-1:] if alone and m.start() < 10_000 else ""
         if m["comment"] or (alone and opened not in ("(", "[", "{", ",", "=")):
             out += _by_line(text, m.start(), m.end(), starts, n)
+        if m["text"]:
+            opened = text[at - 1]
     return out
 
 
@@ -63,7 +66,7 @@ def list_spans(suffix: str, text: str) -> list[dict]:
     for m in [*lexer.finditer(text), None]:
         for c in re.finditer(r"[\[\](){}]", text[at : m.start() if m else len(text)]):
             if c[0] in "[({":
-                before = text[: at + c.start()][-40:].rstrip()
+                before = text[max(0, at + c.start() - 40) : at + c.start()].rstrip()
                 depth.append((c[0], bool(re.search(r"[\w)\]]\Z", before)) and not re.search(r"\b(?:in|return|yield|of)\Z", before)))
             elif depth:
                 depth.pop()

@@ -68,14 +68,22 @@ def flatten(shape: dict, path: str = "$") -> Iterator[dict]:
         yield from flatten(shape["items"], f"{path}[]")
 
 
+def _loaded(text: str | None, of) -> list | None:
+    """What ``of`` makes of a JSON text; null for null and for what is no JSON (or nests beyond measure)."""
+    try:
+        return None if text is None else list(of(json.loads(text)))
+    except (ValueError, RecursionError):
+        return None
+
+
 def schema_paths(body: Column) -> Column:
-    """The paths of a JSON text with their types."""
+    """The paths of a JSON text with their types; null for what is no JSON."""
 
     @F.arrow_udf(PATHS)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("path", pa.string()), ("type", pa.string()), ("nullable", pa.bool_()), ("optional", pa.bool_())]))
         for batch in batches:
-            yield pa.array([None if x is None else list(flatten(infer(json.loads(x)))) for x in batch.to_pylist()], kind)
+            yield pa.array([_loaded(x, lambda v: flatten(infer(v))) for x in batch.to_pylist()], kind)
 
     return of(body)
 
@@ -189,12 +197,12 @@ def schema_nodes(schema: Any) -> list[dict]:
 
 
 def tool_params(schema: Column) -> Column:
-    """The rows of ``schema_nodes`` of a JSON text; null for null."""
+    """The rows of ``schema_nodes`` of a JSON text; null for null and for what is no JSON."""
 
     @F.arrow_udf(NODE_SQL)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([None if x is None else schema_nodes(json.loads(x)) for x in batch.to_pylist()], NODE)
+            yield pa.array([_loaded(x, schema_nodes) for x in batch.to_pylist()], NODE)
 
     return of(schema)
 

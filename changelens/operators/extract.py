@@ -49,7 +49,7 @@ def retirements(pages: DataFrame, text: str = "markdown") -> DataFrame:
     names = lambda c: F.when(F.size(F.regexp_extract_all(c, F.lit(CODE), F.lit(1))) > 0, F.regexp_extract_all(c, F.lit(CODE), F.lit(1))).otherwise(F.filter(F.split(F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\s*(?:,|<br\s*/?>|\bor\b)\s*"), lambda x: x.rlike(r"\A[a-zA-Z0-9][\w.:@/-]*\d[\w.:@/-]*\z")))
     rows = rows.where("_m > 0 and _d > 0").select("vendor", "section", "line_no", "source", names(cell("_m")).alias("ids"), parse_date(cell("_d")).alias("shutdown"), F.coalesce(names(cell("_r")), F.array().cast("array<string>")).alias("replacements"))
     rows = rows.where(F.col("shutdown").isNotNull() & (F.size("ids") > 0))
-    rows = rows.select("*", F.col("ids")[0].alias("model"), F.slice("ids", 2, 1000).alias("aliases"))
+    rows = rows.select("*", F.col("ids")[0].alias("model"), F.slice("ids", 2, F.size("ids")).alias("aliases"))
     dated = parse_date(F.coalesce("section", F.lit(""))).isNotNull()
     by = Window.partitionBy("vendor", "model", "shutdown")
     order = by.orderBy(dated.desc(), "source", "line_no")
@@ -75,14 +75,17 @@ def drafts(retired: DataFrame, today: str, horizon: int = 180, shown: int = 4) -
     return group.withColumns({"title": title, "severity": F.when(near, "breaking").otherwise("deprecation")})
 
 
-#: Words of a changelog entry that matter alone, and those that matter in pairs.
-STRONG = ("breaking change", "deprecated", "deprecation", "end of life", "removed", "retired", "shut down", "shutdown", "sunset", "no longer supported")
-WEAK = ("changed", "default", "migrate", "renamed", "replaced", "required", "stricter", "upgrade")
+#: Patterns of words of a changelog entry that matter alone, and of those that matter in pairs.
+STRONG = (
+    "(?<!non-)breaking", "(?<!not )deprecat[a-z]*", "remov(?:ed|es|al|ing)", "retir[a-z]*", "renam[a-z]*", "sunset[a-z]*", "no longer", "end[- ]of[- ]life", "shut(?:ting)? ?down", "discontinu[a-z]*",
+    "will default", "default[a-z]* (?:will )?change[a-z]*", "will be served by",
+)
+WEAK = ("remove", "migrat[a-z]*", "redirect[a-z]*", "replaced by", "now requires?", "defaults? to", "drop(?:s|ped)?", "instead of", "previously", "now returns?")
 
 
 def terms(text: Column, words: Sequence[str]) -> Column:
-    """Which of the words occur as such, sorted."""
-    pattern = "(?i)(?<![A-Za-z0-9_])(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")(?![A-Za-z0-9_])"
+    """What occurs of the patterns as whole words, in lower case, sorted."""
+    pattern = r"(?i)\b(" + "|".join(words) + r")\b(?!_)"
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)))
 
 
@@ -95,7 +98,7 @@ def flagged(entries: DataFrame, text: str = "text", strong: Sequence[str] = STRO
 
 def entry_key(source: Column, date_text: Column, title: Column, text: Column) -> Column:
     """What tells entries apart from run to run."""
-    squeezed = F.lower(F.regexp_replace(F.concat(title, F.lit(" "), F.substring(text, 1, 200)), r"(?U)\W+", " "))
+    squeezed = F.trim(F.lower(F.regexp_replace(F.concat(title, F.lit(" | "), F.substring(text, 1, 200)), r"(?U)\W+", " ")))
     return F.concat_ws("|", source, date_text, F.substring(F.sha1(squeezed), 1, 16))
 
 

@@ -148,12 +148,21 @@ def relatable_urls(urls: DataFrame, over: int = 2) -> DataFrame:
     return urls.join(index_pages(urls, over).select("url"), "url", "left_anti")
 
 
-def json_feed(records: DataFrame, title: str, home: str) -> DataFrame:
-    """One row: the feed as JSON, in the site's order."""
-    item = F.struct(
+def _item(home: str) -> Column:
+    return F.struct(
         F.col("id"), F.concat(F.lit(f"{home}/"), F.col("id"), F.lit(".html")).alias("url"), F.col("summary").alias("title"), F.col("detail").alias("content_text"),
         F.date_format("effective", "yyyy-MM-dd").alias("date"), F.array("vendor", "severity", "kind").alias("tags"),
     )
+
+
+def feed_items(records: DataFrame, home: str) -> DataFrame:
+    """(id, effective, item): each record's item of a JSON Feed, a row each, for feeds of any length."""
+    return records.select("id", "effective", F.to_json(_item(home)).alias("item"))
+
+
+def json_feed(records: DataFrame, title: str, home: str) -> DataFrame:
+    """One row: the feed as one JSON document, in the site's order (a page's worth of records; ``feed_items`` for more)."""
+    item = _item(home)
     place = F.row_number().over(Window.orderBy(*feed_order(tie=["id"])))
     items = records.select(place.alias("place"), item.alias("item")).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x.item).alias("items"))
     return items.select(F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.lit(title).alias("title"), F.lit(home).alias("home_page_url"), "items")).alias("feed"))

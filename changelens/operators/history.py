@@ -164,14 +164,23 @@ def find_server(servers: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 #: Phrases that tell a reader of a tool's text what to do.
-PHRASES = ("always use this tool", "before using any other", "do not mention", "do not tell", "don't tell", "ignore previous", "ignore all previous", "instead of other tools", "must use this tool", "never mention", "read the file", "send the contents", "system prompt", "without asking", "without telling")
+PHRASES = (
+    "ignore previous", "ignore all previous", "ignore all prior", "ignore the above", "disregard previous", "do not tell the user", "don't tell the user", "do not mention", "don't mention",
+    "before using any other tool", "system prompt", "<important>", "~/.ssh", ".env", "id_rsa",
+)
 HIDDEN = r"[­​-‏‪-‮⁠-⁤﻿\x{e0000}-\x{e007f}]"
 
 
+def _phrase(phrase: str) -> str:
+    """A phrase as whole words, the last one in the singular or plural; signs at an end set no border."""
+    left, right = r"(?<![a-z0-9_])" if phrase[0].isalnum() else "", r"s?(?![a-z0-9_])" if phrase[-1].isalnum() else ""
+    return rf"{left}\Q{phrase}\E{right}"
+
+
 def new_flags(before: DataFrame, after: DataFrame, key: Sequence[str] = ("server", "name"), text: str = "text") -> DataFrame:
     """(key, flag, detail): phrases and invisible characters that a tool's text has gained."""
-    squeezed = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    phrases = lambda c: F.array_compact(F.array(*[F.when(squeezed(c).rlike(rf"(?<![a-z0-9]){p}(?![a-z0-9])"), F.lit(p)) for p in PHRASES]))
+    squeezed = lambda c: F.regexp_replace(F.lower(F.translate(F.regexp_replace(c, HIDDEN, ""), "\u2018\u2019", "''")), r"\s+", " ")
+    phrases = lambda c: F.array_compact(F.array(*[F.when(squeezed(c).rlike(_phrase(p)), F.lit(p)) for p in PHRASES]))
     old = before.select(*key, phrases(F.col(text)).alias("_old"), F.col(text).rlike(HIDDEN).alias("_hidden"))
     both = after.select(*key, phrases(F.col(text)).alias("_new"), F.col(text).rlike(HIDDEN).alias("_now")).join(old, list(key), "left")
     gained = F.transform(F.array_except("_new", F.coalesce("_old", F.array().cast("array<string>"))), lambda p: F.struct(F.lit("phrase").alias("flag"), p.alias("detail")))

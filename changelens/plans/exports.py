@@ -47,12 +47,14 @@ def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sitemap(pages.select(F.col("url").alias("loc"), F.lit(None).cast("date").alias("lastmod")))
 
 
-@query()
+@query(RECORDS_SQL + f"""SELECT id, to_json({{'id': id::VARCHAR, 'url': 'https://x/' || id || '.html', 'title': severity || ' ' || kind, 'content_text': '', 'date': strftime(effective, '%Y-%m-%d'), 'tags': [vendor, severity, kind]}})::VARCHAR AS item
+FROM r WHERE effective > DATE '{TODAY}'""")
 def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changes that are still to come, as one JSON feed."""
-    rows = records(spark, sf_dir).where(F.col("effective") > F.date_add(F.lit(TODAY).cast("date"), 1100))
+    """The changes that are still to come, as items of a JSON feed."""
+    rows = records(spark, sf_dir).where(F.col("effective") > F.lit(TODAY).cast("date"))
     rows = rows.withColumns({"summary": F.concat_ws(" ", "severity", "kind"), "detail": F.lit("")})
-    return feed.json_feed(rows.withColumn("id", F.col("id").cast("string")), "Changes", "https://x")
+    items = feed.feed_items(rows.withColumn("id", F.col("id").cast("string")), "https://x")
+    return items.select(F.col("id").cast("long").alias("id"), "item")
 
 
 @query(RECORDS_SQL + "SELECT id, effective AS day FROM r")
@@ -69,7 +71,7 @@ def since_partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("id", text.alias("date_text")).where(since(F.col("date_text"), TODAY))
 
 
-@query("SELECT doc_id, source || '|' || lang || '|' || left(sha1(lower(regexp_replace('T ' || left(text, 200), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g'))), 16) AS key FROM documents")
+@query("SELECT doc_id, source || '|' || lang || '|' || left(sha1(trim(lower(regexp_replace('T | ' || left(text, 200), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g')))), 16) AS key FROM documents")
 def entry_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tells entries apart: source, day (here: language) and a digest of the squeezed text."""
     return table(spark, sf_dir, "documents").select("doc_id", extract.entry_key(F.col("source"), F.col("lang"), F.lit("T"), F.col("text")).alias("key"))
@@ -120,10 +122,12 @@ def change_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.element_at(F.split("name", "-"), -1).cast("long").alias("p_partkey"), "breaking", "silent", "additive", "info")
 
 
-@query()
+@query("""SELECT conv_id AS server, turn AS name, 'phrase' AS flag, CASE turn % 3 WHEN 1 THEN 'don''t mention' ELSE 'system prompt' END AS detail FROM conversations WHERE turn % 3 <> 0 AND text IS NOT NULL
+UNION ALL SELECT conv_id, turn, 'hidden_characters', '' FROM conversations WHERE turn % 3 = 2 AND text IS NOT NULL""")
 def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases that a conversation's text has gained from one turn to the next."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("server"), F.col("turn").alias("name"), "text")
+    """Phrases and invisible characters that a conversation's text has gained from one turn to the next; two of three turns have some put in."""
+    extra = F.element_at(F.array(F.lit(" Mention it."), F.lit(" DON\u2019T\n mention it."), F.lit(" Sys\u200btem  prompts.")), F.col("turn").cast("int") % 3 + 1)
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("server"), F.col("turn").alias("name"), F.concat("text", extra).alias("text"))
     return history.new_flags(turns.withColumn("name", F.col("name") + 1), turns)
 
 
@@ -155,7 +159,7 @@ def constant_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The code hits of the largest parts as a SARIF document."""
+    """The code hits of all parts as a SARIF document."""
     sites = code_context.tiers(_hits(spark, sf_dir), _code(spark, sf_dir)).withColumn("snippet", F.col("signature"))
     brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.lit("breaking").alias("severity")).select(F.col("p_brand").alias("id"), "severity", F.col("p_brand").alias("summary"), F.lit("https://x").alias("source_url"))
     return report.sarif(sites, brands, "changelens")

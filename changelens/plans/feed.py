@@ -80,10 +80,10 @@ def vendor_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("vendor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.text), ", ").alias("description"))
 
 
-@query(RECORDS_SQL + "SELECT id, row_number() OVER (ORDER BY effective DESC, rank DESC, id)::INTEGER AS export_place, row_number() OVER (ORDER BY effective DESC, rank, id)::INTEGER AS site_place FROM r WHERE severity <> 'info'")
+@query(RECORDS_SQL + "SELECT id, row_number() OVER (ORDER BY effective DESC, rank DESC, id)::INTEGER AS export_place, row_number() OVER (ORDER BY effective DESC, rank, id)::INTEGER AS site_place FROM r")
 def feed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export's order and the site's, side by side."""
-    rows = records(spark, sf_dir).where("severity != 'info'")
+    rows = records(spark, sf_dir)
     return rows.select("id", F.row_number().over(Window.orderBy(*feed.export_order(["id"]))).alias("export_place"), F.row_number().over(Window.orderBy(*feed.feed_order(tie=["id"]))).alias("site_place"))
 
 

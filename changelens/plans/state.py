@@ -38,7 +38,7 @@ def param_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.param_changes(*sides(spark, sf_dir), "tool", "param")
 
 
-_RENAMED = "a AS (SELECT DISTINCT l_orderkey % 900 AS tool, l_suppkey % 40 AS param FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 900 < 500), b AS (SELECT DISTINCT l_orderkey % 900 + 300 AS tool, l_suppkey % 40 AS param FROM lineitem WHERE l_linenumber > 2 AND l_orderkey % 900 < 500)"
+_RENAMED = "a AS (SELECT DISTINCT l_orderkey % 900 AS tool, l_suppkey % 40 AS param FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT DISTINCT l_orderkey % 900 + 300 AS tool, l_suppkey % 40 AS param FROM lineitem WHERE l_linenumber > 2)"
 
 
 @query(f"""WITH {_RENAMED}, g AS (SELECT * FROM a ANTI JOIN b USING (tool)), n AS (SELECT * FROM b ANTI JOIN a USING (tool)),
@@ -46,7 +46,7 @@ gl AS (SELECT tool, list(param) AS p FROM g GROUP BY tool), nl AS (SELECT tool,
 m AS (SELECT gl.tool AS old, nl.tool AS new, len(list_intersect(gl.p, nl.p)) / len(list_distinct(list_concat(gl.p, nl.p))) AS similarity FROM gl, nl)
 SELECT old, min(new) AS new, min(similarity) AS similarity FROM m WHERE similarity >= 0.5 GROUP BY old HAVING count(*) = 1""")
 def likely_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 900 < 500")
+    rows = table(spark, sf_dir, "lineitem")
     param = (F.col("l_suppkey") % 40).alias("param")
     before = rows.where("l_linenumber <= 2").select((F.col("l_orderkey") % 900).alias("tool"), param).distinct()
     after = rows.where("l_linenumber > 2").select((F.col("l_orderkey") % 900 + 300).alias("tool"), param).distinct()

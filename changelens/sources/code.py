@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import is_ignored, lines
 
-#: Suffixes of code and data files, and folders of other people's code.
-SUFFIXES = (".py", ".ipynb", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".go", ".rb", ".java", ".kt", ".php", ".rs", ".cs", ".sh", ".json", ".yaml", ".yml", ".toml")
-SKIPPED = (".git", "node_modules", ".venv", "venv", "dist", "build", "__pycache__", "vendor", ".next", "target")
+#: Suffixes of code and data files, and folders that hold no calls of a repository's own.
+SUFFIXES = (".py", ".js", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx", ".jsx", ".go", ".rb", ".java", ".kt", ".cs", ".php", ".rs", ".swift", ".sh", ".yml", ".yaml", ".json", ".toml", ".ini", ".cfg", ".ipynb")
+SKIPPED = (".git", "node_modules", ".venv", "venv", "dist", "build", "out", "__pycache__", "site-packages", ".next", "coverage", ".tox", ".mypy_cache", ".pytest_cache", "vendor", "locales", "i18n")
 
 
 @F.arrow_udf(T.StringType())
@@ -24,11 +24,17 @@ def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
 
 
+def is_env(path: Column) -> Column:
+    """``.env`` and ``.env.*``: settings without a suffix."""
+    return F.element_at(F.split(path, "/"), -1).rlike(r"\A\.env(?:\..*)?\z")
+
+
 def is_code(path: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
     parts = F.split(path, "/")
-    lower, good = F.lower(path), F.lit(False)
+    name = F.element_at(parts, -1)
+    good = is_env(path)
     for s in suffixes:
-        good = good | lower.endswith(s)
+        good = good | (name.endswith(s) & (name != s))
     return good & ~F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), F.array(*map(F.lit, SKIPPED)))
 
 
@@ -38,7 +44,7 @@ def files(spark: SparkSession, root: str, ignored: Sequence[str] = ()) -> DataFr
     place = F.concat(F.lit(root.rstrip("/").split("://")[-1].replace("file:", "")), F.lit("/"))
     path = F.element_at(F.split(F.col("path"), F.concat(F.lit("\\Q"), place, F.lit("\\E"))), -1)
     found = found.select(path.alias("path"), "content").where(is_code(F.col("path")) & ~is_ignored(F.col("path"), ignored))
-    return found.select("path", F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1)).alias("suffix"), decoded(F.col("content")).alias("text"))
+    return found.select("path", F.when(is_env(F.col("path")), "").otherwise(F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1))).alias("suffix"), decoded(F.col("content")).alias("text"))
 
 
 def code_lines(files: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: File name -> (ecosystem, whether it locks versions).
+#: File name in lower case -> (ecosystem, whether it locks versions).
 FILES = {
     "package.json": ("npm", False), "package-lock.json": ("npm", True), "npm-shrinkwrap.json": ("npm", True), "yarn.lock": ("npm", True), "pnpm-lock.yaml": ("npm", True),
-    "pyproject.toml": ("pypi", False), "Pipfile": ("pypi", False), "Pipfile.lock": ("pypi", True), "poetry.lock": ("pypi", True), "uv.lock": ("pypi", True),
-    "composer.json": ("composer", False), "composer.lock": ("composer", True), "go.mod": ("go", False), "Gemfile.lock": ("gem", True), "Cargo.lock": ("cargo", True),
+    "pyproject.toml": ("pypi", False), "pipfile": ("pypi", False), "pipfile.lock": ("pypi", True), "poetry.lock": ("pypi", True), "uv.lock": ("pypi", True),
+    "composer.json": ("packagist", False), "composer.lock": ("packagist", True), "go.mod": ("go", False), "gemfile.lock": ("rubygems", True), "cargo.lock": ("cargo", True),
 }
-REQUIREMENTS = re.compile(r"(?i)\A(?:requirements|constraints)[\w.-]*\.(?:txt|in)\Z")
+#: Patterns of paths of requirement lists, in lower case.
+REQUIREMENTS = (r"(?:^|/)(?:[^/]*requirements[^/]*|constraints[^/]*)\.(?:txt|in)$", r"(?:^|/)requirements/[^/]*\.(?:txt|in)$")
 _REQUIREMENT = re.compile(r"\A\s*([A-Za-z0-9][\w.-]*)\s*(?:\[[^\]]*\])?\s*\(?\s*([^;#()]*)")
 _BOUND = re.compile(r"(===?|~=|>=|\^|~|>)?\s*v?(\d[\w.+!-]*)")
 
@@ -61,7 +62,7 @@ def _json(name: str, data: dict) -> Iterator[tuple[str, str]]:
         yield from ((n, v) for n, v in _tables(data, "require", "require-dev") if "/" in n)
     elif name == "composer.lock":
         yield from ((p["name"], str(p.get("version", "")).lstrip("v")) for k in ("packages", "packages-dev") for p in data.get(k) or [])
-    elif name == "Pipfile.lock":
+    elif name == "pipfile.lock":
         for k in ("default", "develop"):
             yield from ((python_name(n), version(v.get("version"))) for n, v in (data.get(k) or {}).items())
     else:
@@ -72,10 +73,10 @@ def _json(name: str, data: dict) -> Iterator[tuple[str, str]]:
 
 
 def _toml(name: str, data: dict) -> Iterator[tuple[str, str]]:
-    if name in ("poetry.lock", "uv.lock", "Cargo.lock"):
-        tidy = str if name == "Cargo.lock" else python_name
+    if name in ("poetry.lock", "uv.lock", "cargo.lock"):
+        tidy = str if name == "cargo.lock" else python_name
         yield from ((tidy(p["name"]), str(p.get("version", ""))) for p in data.get("package") or [])
-    elif name == "Pipfile":
+    elif name == "pipfile":
         yield from ((python_name(n), v) for n, v in _tables(data, "packages", "dev-packages"))
     else:
         project = data.get("project") or {}
@@ -98,19 +99,19 @@ _GO_REPLACE = re.compile(r"(?m)^\s*(?:replace\s+)?(\S+)(?:\s+v\S+)?\s+=>\s+(\S+)
 
 def pins(path: str, text: str) -> list[tuple[str, str]]:
     """(name, version) of a dependency file, sorted; none of one that can't be read."""
-    name = path.rsplit("/", 1)[-1]
+    name = path.rsplit("/", 1)[-1].lower()
     try:
-        if REQUIREMENTS.match(name):
+        if any(re.search(p, path.lower()) for p in REQUIREMENTS):
             found = list(_python(text.splitlines()))
-        elif name.endswith(".json") or name in ("composer.lock", "Pipfile.lock"):
+        elif name.endswith(".json") or name in ("composer.lock", "pipfile.lock"):
             found = list(_json(name, json.loads(text)))
-        elif name.endswith(".toml") or name in ("poetry.lock", "uv.lock", "Cargo.lock", "Pipfile"):
+        elif name.endswith(".toml") or name in ("poetry.lock", "uv.lock", "cargo.lock", "pipfile"):
             found = list(_toml(name, tomllib.loads(text)))
         elif name == "yarn.lock":
             found = [(_YARN_NAME.match(m[0])[1], m[1]) for m in _YARN.finditer(text) if _YARN_NAME.match(m[0])]
         elif name == "pnpm-lock.yaml":
             found = _PNPM.findall(text)
-        elif name == "Gemfile.lock":
+        elif name == "gemfile.lock":
             found = _GEM.findall(text)
         elif name == "go.mod":
             replaced = {old: (new, v) for old, new, v in _GO_REPLACE.findall(text)}
@@ -129,9 +130,11 @@ def name_of(path: Column) -> Column:
 
 def ecosystem(path: Column) -> Column:
     """(ecosystem, is_lock) by file name; null for other files."""
-    out = F.when(name_of(path).rlike(REQUIREMENTS.pattern.replace("\\Z", "\\z")), F.struct(F.lit("pypi").alias("ecosystem"), F.lit(False).alias("is_lock")))
+    name_ = F.lower(name_of(path))
+    listed = F.lower(path).rlike(REQUIREMENTS[0]) | F.lower(path).rlike(REQUIREMENTS[1])
+    out = F.when(listed, F.struct(F.lit("pypi").alias("ecosystem"), F.lit(False).alias("is_lock")))
     for name, (eco, lock) in FILES.items():
-        out = out.when(name_of(path) == name, F.struct(F.lit(eco).alias("ecosystem"), F.lit(lock).alias("is_lock")))
+        out = out.when(name_ == name, F.struct(F.lit(eco).alias("ecosystem"), F.lit(lock).alias("is_lock")))
     return out
 
 

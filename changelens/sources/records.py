@@ -30,12 +30,22 @@ def parse(text: str) -> dict:
     return out
 
 
+def parse_safely(text: str | None) -> dict:
+    """``parse``, or only ``error`` for a file that is no record."""
+    import yaml
+
+    try:
+        return parse(text or "") | {"error": None}
+    except (yaml.YAMLError, AttributeError, TypeError, ValueError, RecursionError) as e:
+        return {"error": f"{type(e).__name__}: {e}"[:500]}
+
+
 _KIND = pa.struct(
     [(n, pa.string()) for n in (*TEXTS, "effective", "verified_on")]
     + [("verified", pa.bool_()), ("illustrative", pa.bool_())]
     + [(n, pa.list_(pa.string())) for n in ("signatures", "files", "exclude")]
     + [(n, pa.list_(pa.list_(pa.string()))) for n in ("context", "repo_context")]
-    + [("evidence", pa.list_(pa.struct([("url", pa.string()), ("text", pa.string())])))]
+    + [("evidence", pa.list_(pa.struct([("url", pa.string()), ("text", pa.string())]))), ("error", pa.string())]
 )
 
 
@@ -43,12 +53,12 @@ RAW = "struct<" + ",".join(f"{f.name}:{str(f.type).replace('item: ', '').replace
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of a folder: ``*.yml`` by name, then ``*.yaml``; ``load_ordinal`` is their place."""
+    """All records of a folder: ``*.yml`` by name, then ``*.yaml``; ``load_ordinal`` is their place. A malformed file is a row of nulls with ``error``."""
 
     @F.arrow_udf(RAW)
     def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(list(map(parse, batch.to_pylist())), _KIND)
+            yield pa.array(list(map(parse_safely, batch.to_pylist())), _KIND)
 
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{yml,yaml}").select(F.col("_metadata.file_name").alias("_name"), "value")
     order = Window.orderBy(F.col("_name").endswith(".yaml").asc(), "_name")  # a folder of records, some hundred files
