@@ -133,8 +133,11 @@ def cuts(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key
 
 def copies(rows: DataFrame, path: Sequence[str], weights: dict[tuple[str, ...], int], percent: int, max_epochs: int, seed: int, key: str = "doc_id", tokens: str = "n_tokens") -> DataFrame:
     """``rows`` (read twice: best written before) with ``copies``: how often each is taken."""
-    leaves = checkpoint_small(plan(rows, path, weights, percent, max_epochs, tokens), MAX_LEAVES)
-    return take(rows, cuts(rows, leaves, path, seed, key, tokens), path, seed, key, "copies")
+    inner = [f"__level{i}" for i in range(len(path))]  # names that no helper column has
+    wide = rows.withColumns({n: F.col(c) for n, c in zip([*inner, "__key", "__tokens"], [*path, key, tokens], strict=True)})
+    small = wide.select(*inner, "__key", "__tokens")
+    leaves = checkpoint_small(plan(small, inner, weights, percent, max_epochs, "__tokens"), MAX_LEAVES)
+    return take(wide, cuts(small, leaves, inner, seed, "__key", "__tokens"), inner, seed, "__key", "copies").drop(*inner, "__key", "__tokens")
 
 
 def take(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, key: str, out: str) -> DataFrame:

@@ -78,3 +78,13 @@ def test_edges(spark):
     with pytest.raises(ValueError, match="negative"):
         mixing.mix(df, {"source": "source"}, {("p",): -1})
     assert [r[0] for r in df.select(mixing.words(F.col("text"))).collect()] == [0, 0, 3, 3, 2, 2, 50_000]
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    names = ["budget", "rest", "cap"]
+    rows = spark.createDataFrame([(i, f"d{i % 2}", f"l{i % 3}", f"s{i % 5}", 10 + i) for i in range(60)], "full long, budget string, rest string, cap string, at long")
+    same = rows.toDF("doc_id", "a", "b", "c", "n_tokens")
+    weights = {("d0",): 3, ("d1", "l1"): 2}
+    got = {r["full"]: r.copies for r in mixing.copies(rows, names, weights, 70, 2, 5, "full", "at").collect()}
+    want = {r.doc_id: r.copies for r in mixing.copies(same, ["a", "b", "c"], weights, 70, 2, 5).collect()}
+    assert got == want and set(want.values()) > {1}
