@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import canonical
+from ..functions.text import canonical, canonical_json, safe_name
 
 PATHS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("type", T.StringType()), T.StructField("nullable", T.BooleanType()), T.StructField("optional", T.BooleanType())]))
 
@@ -141,58 +141,60 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def likely_renames(before: DataFrame, after: DataFrame, tool: str, param: str, least: float = 0.5) -> DataFrame:
-    """Removed tools with exactly one added tool that shares at least half of all their parameters.
+def likely_renames(before: DataFrame, after: DataFrame, tool: str, param: str, least: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """(by, old, new, similarity): removed tools with exactly one added tool, of the same ``by``, that shares at least half of all their parameters.
 
     Pairs are found through the parameters that they share; a tool without
     parameters is no candidate.
     """
-    gone = before.join(after.select(tool).distinct(), tool, "left_anti").select(F.col(tool).alias("old"), F.col(param).alias("p")).distinct()
-    new = after.join(before.select(tool).distinct(), tool, "left_anti").select(F.col(tool).alias("new"), F.col(param).alias("p")).distinct()
-    shared = gone.join(new, "p").groupBy("old", "new").agg(F.count("*").alias("shared"))
-    sizes = lambda df, c: df.groupBy(c).agg(F.count("*").alias(f"{c}_n"))
-    pairs = shared.join(sizes(gone, "old"), "old").join(sizes(new, "new"), "new")
+    keys = [*by, tool]
+    lacking = lambda a, b, c: a.join(b.select(*keys).distinct(), keys, "left_anti").where(F.col(param).isNotNull()).select(*by, F.col(tool).alias(c), F.col(param).alias("p")).distinct()
+    gone, new = lacking(before, after, "old"), lacking(after, before, "new")
+    shared = gone.join(new, [*by, "p"]).groupBy(*by, "old", "new").agg(F.count("*").alias("shared"))
+    sizes = lambda df, c: df.groupBy(*by, c).agg(F.count("*").alias(f"{c}_n"))
+    pairs = shared.join(sizes(gone, "old"), [*by, "old"]).join(sizes(new, "new"), [*by, "new"])
     pairs = pairs.withColumn("similarity", F.col("shared") / (F.col("old_n") + F.col("new_n") - F.col("shared"))).where(F.col("similarity") >= least)
-    return pairs.withColumn("_n", F.count("*").over(Window.partitionBy("old"))).where("_n = 1").select("old", "new", "similarity")
+    return pairs.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "old"))).where("_n = 1").select(*by, "old", "new", "similarity")
 
 
 #: Keywords that combine JSON Schemas.
 COMBINATORS = ("anyOf", "oneOf", "allOf", "not", "if", "then", "else")
-NODE = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "type")] + [("required", pa.bool_()), ("enum", pa.list_(pa.string())), ("combined", pa.string())]))
-NODE_SQL = "array<struct<path:string,type:string,required:boolean,enum:array<string>,combined:string>>"
-
-
-def _resolved(node: Any, root: Any) -> dict:
-    for _ in range(20):
-        if not isinstance(node, dict):
-            return {}
-        ref = node.get("$ref")
-        if not (isinstance(ref, str) and ref.startswith("#/")):
-            return node
-        node = root
+NODE = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "type")] + [("required", pa.bool_()), ("enum", pa.list_(pa.string())), ("combined", pa.string()), ("empty", pa.bool_())]))
+NODE_SQL = "array<struct<path:string,type:string,required:boolean,enum:array<string>,combined:string,empty:boolean>>"
+
+
+def _resolved(node: Any, root: Any, above: tuple[str, ...]) -> tuple[dict, tuple[str, ...]]:
+    """A schema with what it refers to in the same document, and the references on the way; what is not found, or refers to itself, stays."""
+    node = node if isinstance(node, dict) else {}
+    while isinstance(ref := node.get("$ref"), str) and ref.startswith("#/") and ref not in above:
+        target = root
         for part in ref[2:].split("/"):
-            node = node.get(part.replace("~1", "/").replace("~0", "~"), {}) if isinstance(node, dict) else {}
-    return {}
+            target = target.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(target, dict) else None
+        if not isinstance(target, dict):
+            break
+        above = (*above, ref)
+        node = target | {k: v for k, v in node.items() if k != "$ref"}
+    return node, above
 
 
 def schema_nodes(schema: Any) -> list[dict]:
-    """Every parameter of a JSON Schema as a row: path, type (several: sorted, by |), required, enum, combinators."""
+    """Every parameter of a JSON Schema as a row: path, type (none: any; several: sorted, by |), required, enum, combinators, empty."""
     out: list[dict] = []
 
-    def walk(node: Any, path: str, required: bool, depth: int) -> None:
-        node = _resolved(node, schema)
+    def walk(node: Any, path: str, required: bool, above: tuple[str, ...]) -> None:
+        node, above = _resolved(node, schema, above)
         kind = node.get("type")
         kind = "|".join(sorted(map(str, kind))) if isinstance(kind, list) else kind
         enum = node.get("enum")
         combined = {k: node[k] for k in COMBINATORS if k in node}
-        out.append({"path": path, "type": kind, "required": required, "enum": [json.dumps(x) for x in enum] if isinstance(enum, list) else None, "combined": canonical(json.dumps(combined)) if combined else None})
-        if depth < 64:
-            for name, child in (node.get("properties") or {}).items():
-                walk(child, f"{path}.{name}" if path else name, name in (node.get("required") or []), depth + 1)
-            if kind == "array" and isinstance(node.get("items"), dict):
-                walk(node["items"], f"{path}[]", False, depth + 1)
-
-    walk(schema, "", False, 0)
+        out.append({"path": path, "type": str(kind or "any"), "required": required, "enum": [json.dumps(x) for x in enum] if isinstance(enum, list) else None, "combined": canonical(json.dumps(combined)) if combined else None, "empty": not node})
+        properties, needed = node.get("properties"), node.get("required")
+        for name, child in (properties.items() if isinstance(properties, dict) else ()):
+            walk(child, f"{path}.{name}" if path else name, isinstance(needed, list) and name in needed, above)
+        if kind == "array" and isinstance(node.get("items"), dict):
+            walk(node["items"], f"{path}[]", False, above)
+
+    walk(schema, "", False, ())
     return out
 
 
@@ -210,57 +212,138 @@ def tool_params(schema: Column) -> Column:
 def schema_events(before: DataFrame, after: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     """Events of the parameters of schemas in two tables (``keys``, node columns).
 
-    side: ``input`` is judged as callers see it (a new required parameter or a narrower
-    enum breaks), ``output`` as readers do (what is gone breaks, new enum values add).
+    side: ``input`` is judged as callers see it (a new required parameter or an enum that is
+    narrower or new breaks), ``output`` as readers do (what is gone breaks, a new enum value
+    is silent; a schema where there was none only adds). before and after hold types, JSON of enum values, true or false.
     """
-    rename = lambda df, n: df.select(*keys, "path", *[F.col(c).alias(f"{c}{n}") for c in ("type", "required", "enum", "combined")], F.lit(True).alias(f"here{n}"))
+    rename = lambda df, n: df.select(*keys, "path", *[F.col(c).alias(f"{c}{n}") for c in ("type", "required", "enum", "combined", "empty")], F.lit(True).alias(f"here{n}"))
     both = rename(before, 0).join(rename(after, 1), [*keys, "path"], "full_outer")
     caller = side == "input"
     here0, here1 = F.coalesce("here0", F.lit(False)), F.coalesce("here1", F.lit(False))
     kept = here0 & here1
-    retyped = kept & ~F.col("type0").eqNullSafe(F.col("type1"))
-    event = lambda when, change, severity, old=None, new=None: F.when(when, F.struct(F.lit(change).alias("change"), F.lit(severity).alias("severity"), (F.lit(None).cast("string") if old is None else old).alias("before"), (F.lit(None).cast("string") if new is None else new).alias("after")))
+    begun, ended = kept & F.col("empty0") & ~F.col("empty1") & F.lit(not caller), kept & ~F.col("empty0") & F.col("empty1") & F.lit(not caller)
+    kept_on = kept & ~begun & ~ended
+    retyped = kept_on & (F.col("type0") != F.col("type1"))
+    same = kept_on & ~retyped
+    none = F.lit(None).cast("string")
+    event = lambda when, change, severity, old=none, new=none: F.when(when, F.struct(F.lit(change).alias("change"), F.lit(severity).alias("severity"), old.alias("before"), new.alias("after")))
+    values = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
     gone, new = F.array_except("enum0", "enum1"), F.array_except("enum1", "enum0")
-    both_enums = kept & F.col("enum0").isNotNull() & F.col("enum1").isNotNull()
+    both_enums = same & F.col("enum0").isNotNull() & F.col("enum1").isNotNull()
+    false, true = F.lit("false"), F.lit("true")
+    needed = ~here0 & here1 & F.col("required1") & F.lit(caller)
     events = [
-        event(here0 & ~here1, "removed", "breaking"),
-        event(~here0 & here1 & F.col("required1") & F.lit(caller), "added_required", "breaking"),
-        event(~here0 & here1 & ~(F.col("required1") & F.lit(caller)), "added", "additive"),
+        event((here0 & ~here1) | ended, "removed", "breaking", F.col("type0")),
+        event(needed, "added_required", "breaking", none, F.col("type1")),
+        event((~here0 & here1 & ~needed) | begun, "added", "additive", none, F.col("type1")),
         event(retyped, "type_changed", "breaking", F.col("type0"), F.col("type1")),
-        event(kept & ~F.col("required0") & F.col("required1"), "became_required", "breaking" if caller else "additive"),
-        event(kept & F.col("required0") & ~F.col("required1"), "became_optional", "additive" if caller else "silent"),
-        event(both_enums & (F.size(gone) > 0) & ~retyped, "enum_removed", "breaking", F.array_join(gone, ", ")),
-        event(both_enums & (F.size(new) > 0) & ~retyped, "enum_added", "additive", None, F.array_join(new, ", ")),
-        event(kept & F.col("enum0").isNull() & F.col("enum1").isNotNull() & ~retyped & F.lit(caller), "enum_imposed", "breaking"),
-        event(kept & ~F.col("combined0").eqNullSafe(F.col("combined1")) & (~retyped | F.lit(not caller)), "combinators_changed", "silent"),
+        event(kept & ~F.col("required0") & F.col("required1"), "became_required", "breaking" if caller else "additive", false, true),
+        event(kept & F.col("required0") & ~F.col("required1"), "became_optional", "additive" if caller else "silent", true, false),
+        event(both_enums & (F.size(gone) > 0), "enum_values_removed", "breaking" if caller else "additive", values(gone)),
+        event(both_enums & (F.size(new) > 0), "enum_values_added", "additive" if caller else "silent", none, values(new)),
+        event(same & F.col("enum0").isNull() & F.col("enum1").isNotNull() & F.lit(caller), "enum_added", "breaking", none, values(F.col("enum1"))),
+        event((same if caller else kept_on) & ~F.col("combined0").eqNullSafe(F.col("combined1")), "combinator_changed", "silent", F.col("combined0"), F.col("combined1")),
     ]
     out = both.withColumn("e", F.explode(F.array_compact(F.array(*events)))).select(*keys, "path", "e.*")
     tops = out.where(F.col("change").isin("removed", "added", "added_required", "type_changed")).select(*keys, F.col("path").alias("parent"))
-    steps = out.select(*keys, "path", F.explode(_parents(F.concat(F.lit("$."), F.col("path")))).alias("parent")).withColumn("parent", F.substring("parent", 3, 1 << 20))
+    steps = out.where("path != ''").select(*keys, "path", F.explode(_parents(F.concat(F.lit("$."), F.col("path")))).alias("parent")).withColumn("parent", F.substring("parent", 3, 1 << 20))
     hidden = steps.join(tops, [*keys, "parent"], "left_semi").select(*keys, "path").distinct()
     return out.join(hidden, [*keys, "path"], "left_anti")
 
 
+def _values(json_object: Column) -> Column:
+    """The values of a JSON object by key, as JSON; a key with null is none. Empty for what is no object."""
+    found = F.try_variant_get(F.try_parse_json(json_object), "$", "map<string,variant>")
+    found = F.map_filter(F.transform_values(found, lambda _, v: F.to_json(v)), lambda _, v: v.isNotNull() & (v != "null"))
+    return F.coalesce(found, F.create_map().cast("map<string,string>"))
+
+
 def tool_events(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Events of two tool lists (server, name, title, description, input, output, annotations as JSON): path, change, severity, before, after.
+    """(server, name, path, change, severity, before, after): events of two tool lists (server, name, title, description, input, output, annotations as JSON).
 
-    Texts are events of their own (info); a tool that differs without any event is ``changed_unclassified``.
+    Changed texts and annotations are events of their own (info), as is a removed tool's likely new name;
+    a tool whose JSON differs without any event is ``changed_unclassified``. Null and ``{}`` are the same schema.
     """
     key = ["server", "name"]
     tool = F.concat(F.lit("tool:"), F.col("name"))
-    sides = set_diff(before, after, key).select(*key, tool.alias("path"), "change", F.when(F.col("change") == "removed", "breaking").otherwise("additive").alias("severity"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
+    none = F.lit(None).cast("string")
+    removed = F.col("change") == "removed"
+    sides = set_diff(before, after, key).select(*key, tool.alias("path"), "change", F.when(removed, "breaking").otherwise("additive").alias("severity"), F.when(removed, F.col("name")).alias("before"), F.when(~removed, F.col("name")).alias("after"))
     columns = ["title", "description", "annotations", "input", "output"]
     both = before.select(*key, *[F.col(c).alias(f"{c}0") for c in columns]).join(after.select(*key, *[F.col(c).alias(f"{c}1") for c in columns]), key)
-    text = lambda c: F.when(~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")), F.lit(c))
-    texts = both.select(*key, F.explode(F.array_compact(F.array(*map(text, ("title", "description", "annotations"))))).alias("what"))
-    texts = texts.select(*key, F.concat(tool, F.lit("."), F.col("what")).alias("path"), F.lit("changed").alias("change"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
-    out = sides.unionByName(texts)
+    event = lambda when, path, change, old, new: F.when(when, F.struct(path.alias("path"), F.lit(change).alias("change"), F.lit("info").alias("severity"), old.alias("before"), new.alias("after")))
+    differ = lambda c: F.coalesce(f"{c}0", F.lit("")) != F.coalesce(f"{c}1", F.lit(""))
+    texts = [event(differ(c), F.concat(tool, F.lit(f".{c}")), f"{c}_changed", F.col(f"{c}0"), F.col(f"{c}1")) for c in ("description", "title")]
+    hints = F.transform(F.array_union(F.map_keys("_a"), F.map_keys("_b")), lambda k: event(~F.col("_a")[k].eqNullSafe(F.col("_b")[k]), F.concat(tool, F.lit(".annotations."), k), "annotation_changed", F.col("_a")[k], F.col("_b")[k]))
+    noted = both.withColumns({"_a": _values(F.col("annotations0")), "_b": _values(F.col("annotations1"))})
+    noted = noted.select(*key, F.explode(F.array_compact(F.concat(F.array(*texts), hints))).alias("x")).select(*key, "x.*")
+    # a tool's parameters are the names of its schema's properties
+    params = lambda df: df.select(*key, F.explode_outer(F.json_object_keys(F.get_json_object("input", "$.properties"))).alias("param"))
+    renamed = likely_renames(params(before), params(after), "name", "param", by=["server"])
+    renamed = renamed.select("server", F.col("old").alias("name"), F.concat(F.lit("tool:"), "old").alias("path"), F.lit("possible_rename").alias("change"), F.lit("info").alias("severity"), F.col("old").alias("before"), F.col("new").alias("after"))
+    out = sides.unionByName(noted).unionByName(renamed)
     for side in ("input", "output"):
-        nodes = lambda n, side=side: both.select(*key, F.explode(tool_params(F.col(f"{side}{n}"))).alias("x")).select(*key, "x.*")
+        nodes = lambda n, side=side: both.select(*key, F.explode(tool_params(F.coalesce(f"{side}{n}", F.lit("{}")))).alias("x")).select(*key, "x.*")
         found = schema_events(nodes(0), nodes(1), key, side)
-        dot = F.when(F.col("path") == "", "").otherwise(F.concat(F.lit("."), F.col("path")))
+        dot = F.when(F.col("path") == "", "").when(F.col("path").startswith("["), F.col("path")).otherwise(F.concat(F.lit("."), F.col("path")))
         out = out.unionByName(found.withColumn("path", F.concat(tool, F.lit(f".{side}"), dot)).select(*out.columns))
-    differs = [~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")) for c in ("input", "output")]
-    silent = both.where(differs[0] | differs[1]).join(out.where(~F.col("change").isin("removed", "added") | F.col("path").contains(".")).select(*key), key, "left_anti")
-    silent = silent.select(*key, tool.alias("path"), F.lit("changed_unclassified").alias("change"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
-    return out.unionByName(silent)
+    differs = F.lit(False)
+    for c in ("annotations", "input", "output"):
+        differs = differs | (~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")) & ~canonical_json(F.col(f"{c}0")).eqNullSafe(canonical_json(F.col(f"{c}1"))))
+    silent = both.where(differs).select(*key).join(out.select(*key), key, "left_anti")
+    return out.unionByName(silent.select(*key, tool.alias("path"), F.lit("changed_unclassified").alias("change"), F.lit("info").alias("severity"), none.alias("before"), none.alias("after")))
+
+
+def server_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(server, path, change, severity, before, after): another version or protocol (server, version, protocolVersion); nothing if either side says none."""
+    both = before.select("server", *[F.col(c).alias(f"{c}0") for c in ("version", "protocolVersion")]).join(after.select("server", *[F.col(c).alias(f"{c}1") for c in ("version", "protocolVersion")]), "server")
+    event = lambda c, change: F.when((F.col(f"{c}0") != "") & (F.col(f"{c}1") != "") & (F.col(f"{c}0") != F.col(f"{c}1")), F.struct(F.lit(f"server.{c}").alias("path"), F.lit(change).alias("change"), F.lit("info").alias("severity"), F.col(f"{c}0").alias("before"), F.col(f"{c}1").alias("after")))
+    return both.select("server", F.explode(F.array_compact(F.array(event("version", "version_changed"), event("protocolVersion", "protocol_changed")))).alias("x")).select("server", "x.*")
+
+
+def _words(names: dict[str, str], column: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[column]
+
+
+#: What an event is called, of tools, of parameters and of output fields.
+TOOL_WORDS = {"removed": "Tool removed", "added": "Tool added"}
+INPUT_WORDS = {"removed": "Parameter removed", "added": "Optional parameter added", "became_required": "Parameter became required", "became_optional": "Parameter became optional"}
+OUTPUT_WORDS = {"removed": "Output field removed", "added": "Output field added", "became_required": "Output field became required", "became_optional": "Output field no longer required"}
+EVENT_WORDS = {
+    "possible_rename": "Possibly renamed (an added tool shares most of its parameters)",
+    "added_required": "New required parameter",
+    "type_changed": "Type changed",
+    "enum_values_removed": "Allowed values removed",
+    "enum_values_added": "Allowed values added",
+    "enum_added": "Allowed values newly imposed",
+    "combinator_changed": "anyOf, oneOf or allOf changed (not judged yet)",
+    "description_changed": "Description changed",
+    "title_changed": "Title changed",
+    "annotation_changed": "Annotation changed",
+    "protocol_changed": "Protocol version changed",
+    "era_changed": "Protocol era changed",
+    "changed_unclassified": "Changed in a way the probe does not classify yet (for example a parameter description)",
+}
+
+
+def event_words(change: Column, path: Column, tool: Column) -> Column:
+    """An event in words; of a change without any, its name."""
+    own = F.when(path == F.concat(F.lit("tool:"), tool), _words(TOOL_WORDS, change))
+    place = F.when(path.contains(".output"), _words(OUTPUT_WORDS, change)).otherwise(_words(INPUT_WORDS, change))
+    plain = F.replace(change, F.lit("_"), F.lit(" "))
+    return F.coalesce(own, place, _words(EVENT_WORDS, change), F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 1 << 20))))
+
+
+def public_events(events: DataFrame) -> DataFrame:
+    """Events without texts of others: unsafe names and paths as hashes, texts as lengths and hashes, no other values."""
+    safe = F.col("path").rlike(r"\A[A-Za-z0-9_.\-/\[\]]{0,256}\z")
+    prefix = F.concat(F.lit("tool:"), "name")
+    rest = F.substr("path", F.char_length(prefix) + 1)
+    head = F.regexp_extract(rest, r"\A\.(?:input|output|annotations)", 0)
+    rest = F.when(rest.rlike(r"\A[A-Za-z0-9_.\-/\[\]]{0,256}\z"), rest).otherwise(F.concat(head, F.lit(".sha256:"), F.sha2(rest, 256)))
+    name = safe_name(F.col("name"), r"\A[A-Za-z0-9_.\-/]{1,128}\z")
+    path = F.when(F.coalesce("name", F.lit("")) == "", F.when(safe, F.col("path")).otherwise(F.concat(F.lit("sha256:"), F.sha2("path", 256)))).otherwise(F.concat(F.lit("tool:"), name, rest))
+    text = F.col("change").isin("description_changed", "title_changed")
+    sizes = {f"{side}_len": F.when(text, F.char_length(F.coalesce(c, F.lit("")))) for side, c in (("old", "before"), ("new", "after"))}
+    hashes = {f"{side}_sha256": F.when(text, F.sha2(F.coalesce(c, F.lit("")), 256)) for side, c in (("old", "before"), ("new", "after"))}
+    return events.withColumns({"_path": path, "_name": F.when(F.coalesce("name", F.lit("")) == "", "").otherwise(name), **sizes, **hashes}).withColumns({"path": F.col("_path"), "name": F.col("_name")}).drop("_path", "_name", "before", "after")

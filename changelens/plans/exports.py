@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions.dates import parse_date, since
-from ..operators import code_context, diff, extract, feed, history, report, service, tokens
+from ..operators import code_context, extract, feed, report, service, tokens
 from .base import RECORDS_SQL, TODAY, Catalog, records, table
 
 CATALOG = Catalog()
@@ -101,36 +101,6 @@ def changelog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.changelog(pages).select("vendor", "date_text", F.regexp_replace("text", r"\A- ", "").alias("title"))
 
 
-@query()
-def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as tools with JSON Schemas, before and after a change of their sizes."""
-    parts = table(spark, sf_dir, "part")
-
-    def side(size: str) -> DataFrame:
-        n = F.expr(size).cast("string")
-        schema = F.concat(F.lit('{"type": "object", "properties": {"size": {"type": "integer", "enum": ['), n, F.lit(']}, "p'), n, F.lit('": {"type": "string"}}, "required": ["size"]}'))
-        none = F.lit(None).cast("string")
-        return parts.select(F.col("p_brand").alias("server"), F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("name"), none.alias("title"), F.col("p_type").alias("description"), schema.alias("input"), none.alias("output"), none.alias("annotations"))
-
-    return diff.tool_events(side("p_size"), side("case when p_partkey % 3 = 0 then p_size + 1 else p_size end")).select("server", "name", "path", "change", "severity")
-
-
-@query("WITH p AS (SELECT p_partkey, p_partkey % 3 = 0 AS changed FROM part) SELECT p_partkey, 2::BIGINT AS breaking, 0::BIGINT AS silent, 2::BIGINT AS additive, 0::BIGINT AS info FROM p WHERE changed")
-def change_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many events of each severity a part's change has."""
-    rows = service.change_summary(tool_events(spark, sf_dir), "name")
-    return rows.select(F.element_at(F.split("name", "-"), -1).cast("long").alias("p_partkey"), "breaking", "silent", "additive", "info")
-
-
-@query("""SELECT conv_id AS server, turn AS name, 'phrase' AS flag, CASE turn % 3 WHEN 1 THEN 'don''t mention' ELSE 'system prompt' END AS detail FROM conversations WHERE turn % 3 <> 0 AND text IS NOT NULL
-UNION ALL SELECT conv_id, turn, 'hidden_characters', '' FROM conversations WHERE turn % 3 = 2 AND text IS NOT NULL""")
-def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases and invisible characters that a conversation's text has gained from one turn to the next; two of three turns have some put in."""
-    extra = F.element_at(F.array(F.lit(" Mention it."), F.lit(" DON\u2019T\n mention it."), F.lit(" Sys\u200btem  prompts.")), F.col("turn").cast("int") % 3 + 1)
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("server"), F.col("turn").alias("name"), F.concat("text", extra).alias("text"))
-    return history.new_flags(turns.withColumn("name", F.col("name") + 1), turns)
-
-
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a Python file that uses, lists, comments on and exports its brand."""
     brand, n = F.concat(F.lit('"'), "p_brand", F.lit('"')), F.col("p_partkey").cast("string")

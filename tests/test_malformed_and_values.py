@@ -69,7 +69,7 @@ def test_phrases_and_flags(spark):
     rows = [("a", "Do not tell the users, and don\u2019t  mention it"), ("b", "reads .env and ~/.ssh"), ("c", "undo not mentioned"), ("d", "disre\u200bgard previous")]
     after = spark.createDataFrame(rows, "name string, text string").withColumn("server", F.lit(1))
     got = {(r.name, r.flag, r.detail) for r in history.new_flags(after.withColumn("text", F.lit("")), after).collect()}
-    assert got == {("a", "phrase", "do not tell the user"), ("a", "phrase", "don't mention"), ("b", "phrase", ".env"), ("b", "phrase", "~/.ssh"), ("d", "phrase", "disregard previous"), ("d", "hidden_characters", "")}
+    assert got == {("a", "instruction_like_text", "do not tell the user"), ("a", "instruction_like_text", "don't mention"), ("b", "instruction_like_text", ".env"), ("b", "instruction_like_text", "~/.ssh"), ("d", "instruction_like_text", "disregard previous"), ("d", "hidden_characters", "U+200B")}
 
 
 def test_strong_and_weak_words(spark):
