@@ -34,16 +34,18 @@ def token_pattern(signature: str, model: bool = False, named: Iterable[str] = ()
     A side that ends in a letter or digit must not touch one or an underscore; a
     dot and a digit (also escaped) don't follow, as those make another version.
     ``mcp__server__`` may stand before it. model: ids with a further ``-suffix`` are
-    others, but for snapshots (dates, three digits, latest) and ``named`` suffixes.
+    others, but for snapshots (dates, three digits, latest) and those that ``named`` has, as whole ids or as ``-suffixes``.
     """
     left = rf"(?:(?<![{WORD}])|(?<=mcp__[{WORD}-]{{0,100}}__))" if _edge(signature[0]) else ""
     right = rf"(?![{WORD}])(?!\.\d)(?!\\\.\d)" if _edge(signature[-1]) else ""
     if model and right:
-        suffixes = [n[len(signature) :] if n.startswith(signature + "-") else n for n in named]
-        suffixes = "|".join(re.escape(s) for s in sorted({s for s in suffixes if s.startswith("-")}, key=lambda s: (-len(s), s)))
-        after = rf"(?:{suffixes})(?![{WORD}]|[-.][a-zA-Z0-9])" if suffixes else r"(?!)"
-        snapshot = rf"-(?:\d{{8}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|\d{{3}}|latest)(?![{WORD}]|\.\d)(?:(?!-[a-z])|(?={after}))"
-        right += rf"(?:(?!-)|(?={snapshot})|(?={after}))"
+        names = sorted({n.lower() for n in named}, key=lambda n: (-len(n), n))
+        ids = "|".join(re.escape(n[len(signature) :]) for n in names if n.startswith(signature.lower() + "-"))
+        ends = "|".join(re.escape(n) for n in names if n.startswith("-"))
+        whole = rf"(?i:{ids})(?![{WORD}]|[-.][a-zA-Z0-9])" if ids else "(?!)"
+        end = rf"(?i:{ends})(?![a-zA-Z0-9])" if ends else "(?!)"
+        snapshot = rf"-(?:\d{{8}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|\d{{3}}|latest)(?![{WORD}]|\.)(?:(?!-[a-zA-Z])|(?={end}))"
+        right += rf"(?:(?!-)|(?={snapshot})|(?={whole})|(?={end}))"
     return left + re.escape(signature) + right
 
 

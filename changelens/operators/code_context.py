@@ -7,6 +7,8 @@ find meets hits in joins on file and line.
 from __future__ import annotations
 
 import ast
+import bisect
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -144,21 +146,78 @@ def python_names(text: str) -> list[dict]:
     return out
 
 
+#: Suffixes of JavaScript and TypeScript, a constant that holds a string, and named imports; fixed values.
+SCRIPTS = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx")
+_SCRIPT_CONST = re.compile(r"^([^\S\n]*)(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?=['\"`])", re.M)
+_SCRIPT_IMPORT = re.compile(r"import\s*(?:type\s+)?\{([^}]*)\}\s*from\s*['\"](\.[^'\"]*)['\"]")
+_WHOLE_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--)")
+
+
+def _block_end(text: str, at: int) -> int:
+    """Where the block ends in which a place stands; strings and comments don't count."""
+    depth = 0
+    while at < len(text):
+        skip = _SCRIPT_SKIP.match(text, at)
+        if skip:
+            at = skip.end()
+            continue
+        depth += {"{": 1, "}": -1}.get(text[at], 0)
+        if depth < 0:
+            return at
+        at += 1
+    return len(text)
+
+
+_SCRIPT_SKIP = re.compile(rf"{_C}|[^{{}}\"'`/]+", re.S)
+
+
+def script_names(path: str, text: str) -> list[dict]:
+    """The same of a script: constants with strings, imports from relative paths, and uses of either.
+
+    A constant that is indented and not exported holds for the rest of its block. The key of an object is no use.
+    """
+    starts, out = _line_starts(text), []
+    line_of = lambda at: bisect.bisect_right(starts, at)
+    row = lambda name, kind, of, line, scope=(None, None): out.append({"name": name, "kind": kind, "of": of, "line": line, "scope_start": scope[0], "scope_end": scope[1]})
+    for m in _SCRIPT_CONST.finditer(text):
+        n = line_of(m.start(3))
+        local = m[1] and not m[2]
+        row(m[3], "const", text[m.end() :].split("\n", 1)[0] if m.end() - m.start() < 10_000 else "", n, (n + 1, line_of(_block_end(text, m.end()))) if local else (None, None))
+    for m in _SCRIPT_IMPORT.finditer(text):
+        module = posixpath.normpath(posixpath.join(posixpath.dirname(path), m[2]))
+        module = module.removesuffix(next((s for s in SCRIPTS if module.endswith(s)), ""))
+        for part in m[1].split(","):
+            name, _, alias = (x.strip() for x in part.partition(" as "))
+            for home in (module, f"{module}/index") if name else ():
+                row(alias or name, "import", f"{home.replace('/', '.')}:{name}", line_of(m.start()))
+    known = sorted({r["name"] for r in out})
+    if known:
+        use = re.compile(rf"(?<![\w$.])(?:{'|'.join(map(re.escape, known))})(?![\w$])")
+        for n, line in enumerate(text.split("\n"), 1):
+            if _WHOLE_COMMENT.match(line) or line.lstrip().startswith("import "):
+                continue
+            for name in {m[0] for m in use.finditer(line) if not re.match(r"\s*:(?!:)", line[m.end() :]) or re.search(r"\?\s*\Z|\bcase\s+\Z", line[: m.start()])}:
+                row(name, "load", None, n)
+    return out
+
+
 def names(files: DataFrame) -> DataFrame:
-    """(file, name, kind, of, line, scope_start, scope_end) of Python files."""
+    """(file, name, kind, of, line, scope_start, scope_end) of Python files and scripts."""
 
     @F.arrow_udf(NAME_SQL)
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([python_names(x or "") for x in batch.to_pylist()], NAME)
+    def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for paths, suffixes, texts in batches:
+            rows = zip(paths.to_pylist(), suffixes.to_pylist(), texts.to_pylist(), strict=True)
+            yield pa.array([python_names(t or "") if s == ".py" else script_names(p or "", t or "") for p, s, t in rows], NAME)
 
-    return files.where("suffix = '.py'").select(F.col("path").alias("file"), F.inline(of(F.col("text"))))
+    known = files.where(F.col("suffix").isin(".py", *SCRIPTS))
+    return known.select(F.col("path").alias("file"), F.inline(of(F.col("path"), F.col("suffix"), F.col("text"))))
 
 
 def constant_uses(hits: DataFrame, files: DataFrame) -> DataFrame:
     """(record_id, signature, file, line, via): loads of constants whose string is a hit's, in their scope or where they are imported.
 
-    The nearest constant of a name wins; the line of a direct hit is no use.
+    The nearest constant of a name wins; the line of a direct hit is no use. Python and scripts.
     """
     found = names(files)
     consts = found.where("kind = 'const'").select("file", "name", F.col("of").alias("value"), F.col("line").alias("defined"), F.col("scope_start").alias("a"), F.col("scope_end").alias("b"))
@@ -167,12 +226,16 @@ def constant_uses(hits: DataFrame, files: DataFrame) -> DataFrame:
     loads = found.where("kind = 'load'").select("file", "name", "line")
     here = hit.join(loads, ["file", "name"]).where("a is null or line between a and b")
     # a module is named by the end of its file's path
-    module = F.regexp_replace(F.regexp_replace("file", r"(?:/__init__)?\.py\z", ""), "/", ".")
+    module = F.regexp_replace(F.regexp_replace("file", rf"(?:/__init__)?\.py\z|(?:{'|'.join(s[1:] for s in SCRIPTS)})\z", ""), "/", ".")
+    module = F.rtrim(module, F.lit("."))
     last = F.element_at(F.split(module, r"\."), -1)
     exported = hit.where("a is null").withColumns({"_module": module, "_key": last}).withColumnRenamed("file", "home").withColumnRenamed("name", "exported")
     imports = found.where("kind = 'import'").select("file", "name", F.split_part("of", F.lit(":"), F.lit(1)).alias("from"), F.split_part("of", F.lit(":"), F.lit(2)).alias("exported"))
     imports = imports.withColumn("_key", F.element_at(F.split("from", r"\."), -1))
-    linked = exported.join(imports, ["_key", "exported"]).where((F.col("_module") == F.col("from")) | F.col("_module").endswith(F.concat(F.lit("."), F.col("from"))))
+    # a script names the whole path, and no other language's files
+    script = lambda c: F.regexp_extract(c, r"\.[^./]*\z", 0).isin(*SCRIPTS)
+    fits = (F.col("_module") == F.col("from")) | (~script("file") & F.col("_module").endswith(F.concat(F.lit("."), F.col("from"))))
+    linked = exported.join(imports, ["_key", "exported"]).where((script("file") == script("home")) & fits)
     there = linked.select("record_id", "signature", "file", "name", "home", "defined").join(loads, ["file", "name"])
     columns = ["record_id", "signature", "file", "name", "line", F.col("home"), "defined"]
     both = here.withColumn("home", F.col("file")).select(*columns).unionByName(there.select(*columns))
