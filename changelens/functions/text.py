@@ -114,7 +114,8 @@ def vendor_slug(name: Column) -> Column:
 
 
 def id_slug(name: Column) -> Column:
-    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
+    """Lower case; anything but letters, digits and underscores becomes a hyphen, of several one, and none at an end."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "(?:[^a-z0-9_-]|-)+", "-"), r"\A[-_]+|[-_]+\z", "")
     return F.when(slug == "index", "index-id").otherwise(slug)
 
 

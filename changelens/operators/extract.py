@@ -114,6 +114,7 @@ def releases(pages: DataFrame, body: str = "body") -> DataFrame:
 _HEADING = re.compile(r"\A(#{1,6})\s+(.*?)\s*#*\s*\Z")
 _MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
 _US = re.compile(r"\b([A-Z][a-z]{2,8})\.?\s+(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+(\d{4}))?\b")
+_DAY_FIRST = re.compile(r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Z][a-z]{2,8})\.?,?\s+(\d{4})\b")
 _MONTH = re.compile(r"\A([A-Z][a-z]{2,8})\.?,?\s+(\d{4})\Z")
 _ISO = re.compile(r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)")
 _UPDATE = re.compile(r"<Update\s+label=\"([^\"]+)\"[^>]*>")
@@ -127,45 +128,90 @@ def _date_of(text: str, year: str | None) -> str | None:
         return text
     if (m := _MONTH.match(text)) and m[1][:3].lower() in _MONTHS:
         return f"{m[2]}-{_MONTHS[m[1][:3].lower()]:02}"
+    if (m := _DAY_FIRST.search(text)) and m[2][:3].lower() in _MONTHS:
+        return f"{m[3]}-{_MONTHS[m[2][:3].lower()]:02}-{int(m[1]):02}"
     for m in _US.finditer(text):
         if m[1][:3].lower() in _MONTHS and (m[3] or year):
             return f"{m[3] or year}-{_MONTHS[m[1][:3].lower()]:02}-{int(m[2]):02}"
     return None
 
 
+#: Lines above a heading among whose last three with text its date may stand, and how long such a line is at most.
+LOOK_BACK, DATE_LINE = 30, 30
+_LINK = re.compile(r"\[([^\[\]]{1,300})\]\((https?://[^)\s]{1,2000})\)")
+_OWN_PAGE = re.compile(r"(?i)learn more|read more|changelog")
+
+
+def _shown(text: str) -> str:
+    """Markdown as it is read: links by their text, no marks, single spaces."""
+    text = re.sub(r"(?m)^\s*(?:>\s?)+", "", _LINK.sub(r"\1", text))
+    return " ".join(re.sub(r"[*`|#]+", " ", re.sub(r"\A\s*[-*]\s+", "", text)).split())
+
+
+def _link(text: str) -> str:
+    """An entry's own page: a link that says so, else the first."""
+    links = list(_LINK.finditer(text))
+    return next((m[2] for m in links if _OWN_PAGE.search(m[0])), links[0][2] if links else "")
+
+
+def _section(title: str, date: str, lines: list[str], pure: bool) -> Iterator[dict]:
+    """Entries of a section: its rows with links, or the bullets under a date and what stands beside them, or the whole."""
+    entry = lambda shown, text, url: {"title": shown[:140], "date_text": date, "text": text, "url": url}
+    rows = [x for x in lines if x.lstrip().startswith("|") and _LINK.search(x)]
+    if rows:
+        for x in rows:
+            m = _LINK.search(x)
+            yield entry(_shown(m[1]), _shown(x), m[2])
+        return
+    bullets: list[str] = []
+    loose, inside = [], False
+    for x in lines:
+        if x[:2] in ("- ", "* "):
+            bullets.append(x[2:].strip())
+            inside = True
+        elif inside and (not x.strip() or x[0] in " \t"):
+            bullets[-1] = f"{bullets[-1]} {x.strip()}".strip()
+        else:
+            inside = False
+            loose.append(x.strip())
+    body = "\n".join(x.strip() for x in lines if x.strip())
+    if pure and len(bullets) > 1:
+        if prose := _shown(" ".join(loose)):
+            yield entry(prose, prose, _link(title + "\n" + body))
+        for x in bullets:
+            yield entry(_shown(x), x, _link(x))
+    elif body:
+        yield entry(_shown(body) if pure else title, body, _link(title) or _link(body))
+
+
 def _entries(text: str) -> Iterator[dict]:
-    """Sections of a changelog page: (title, date_text, text, url); bullets right under a date are entries of their own."""
+    """Entries of a changelog page: (title, date_text, text, url); a date is a heading's, one above, or a line just before it."""
     above: list[tuple[int, str | None]] = []
-    section: dict | None = None
-
-    def done(s: dict | None) -> Iterator[dict]:
-        if s is None or not (s["lines"] or s["title"]):
-            return
-        bullets = [x[2:].strip() for x in s["lines"] if x[:2] in ("- ", "* ")]
-        link = lambda t: (re.search(r"\]\((https?://[^)\s]+)\)", t) or [None, ""])[1]
-        if s["pure"] and len(bullets) > 1:
-            for b in bullets:
-                yield {"title": re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", b)[:140], "date_text": s["date"] or "", "text": b, "url": link(b)}
-        elif s["lines"]:
-            body = "\n".join(s["lines"])
-            yield {"title": s["title"], "date_text": s["date"] or "", "text": body, "url": link(body)}
-
-    for line in text.splitlines():
-        line = _UPDATE.sub(r"## \1", line)
+    section: tuple[str, str, list[str], bool] | None = None
+    before: list[tuple[int, str]] = []  # the last three lines with text
+    for n, line in enumerate(text.splitlines()):
+        line = _UPDATE.sub(r"## \1", line).replace("</Update>", "")
         if m := _HEADING.match(line):
-            yield from done(section)
+            if section:
+                yield from _section(*section)
             level, title = len(m[1]), m[2]
             while above and above[-1][0] >= level:
                 above.pop()
             inherited = next((d for _, d in reversed(above) if d), None)
             found = _date_of(title, inherited[:4] if inherited else None) or (title if re.fullmatch(r"\d{4}", title) else None)
             date = found or inherited
+            if not date or len(date) == 4:
+                near = (_date_of(x, None) for at, x in reversed(before) if n - at <= LOOK_BACK and len(x) <= DATE_LINE and not x.startswith("#"))
+                date = next((d for d in near if d and len(d) == 10), date)
             above.append((level, date))
             pure = bool(found) and len(re.sub(r"[\w,.:-]+", "", title).split()) == 0 and len(title) <= 30
-            section = {"title": title, "date": date if date and len(date) > 4 else None, "lines": [], "pure": pure}
-        elif section is not None and line.strip():
-            section["lines"].append(line.strip())
-    yield from done(section)
+            section = title, date if date and len(date) > 4 else "", [], pure
+        elif section is not None:
+            section[2].append(line)
+        if line.strip():
+            before = [*before[-2:], (n, line.strip())]
+    if section:
+        yield from _section(*section)
 
 
 def changelog(pages: DataFrame, body: str = "body") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import id_slug
 from ..schemas import SEVERITIES, rank
 
 
@@ -117,6 +118,67 @@ def identifiers(records: DataFrame, slug: Column) -> DataFrame:
     return rows.groupBy("slug").agg(spelling.alias("spellings"), F.transform(F.array_sort(F.collect_set(F.struct("effective", "id"))), lambda x: x.id).alias("records"))
 
 
+#: What an identifier with a page of its own looks like, and its least length.
+IDENTIFIER = r"\A/?[A-Za-z0-9][A-Za-z0-9._/-]*[A-Za-z0-9]\z"
+IDENTIFIER_LENGTH = 4
+
+
+def page_identifiers(records: DataFrame) -> DataFrame:
+    """(record's columns, signature): identifiers of models that get a page, from records without a scope; code fragments get none."""
+    bare = F.lit(True)
+    for c in ("context", "files", "repo_context"):
+        bare = bare & (F.size(F.coalesce(F.col(c), F.array())) == 0)
+    rows = records.where((F.col("kind") == "model") & bare).withColumn("signature", F.explode(F.array_distinct("signatures")))
+    return rows.where((F.char_length("signature") >= IDENTIFIER_LENGTH) & F.col("signature").rlike(IDENTIFIER) & F.col("signature").rlike("[A-Za-z]"))
+
+
+def identifiers_by_vendor(records: DataFrame, today: str) -> DataFrame:
+    """(vendor, slug, spelling, id, effective, severity): each identifier's page under the vendor of the record that leads it."""
+    rows = page_identifiers(records).withColumn("slug", id_slug(F.col("signature")))
+    shown = rows.groupBy("slug").agg(F.min_by("signature", F.struct(F.lower("signature"), F.lower("signature") != F.col("signature"), F.col("signature"))).alias("spelling"))
+    led = lead(rows.dropDuplicates(["slug", "id"]), ["slug"], today).select("slug", "vendor", "id", "effective", "severity")
+    return led.join(shown, "slug").select("vendor", "slug", "spelling", "id", "effective", "severity").orderBy(F.lower("vendor"), "vendor", F.lower("spelling"), "spelling")
+
+
+def lookup_order(found: DataFrame) -> DataFrame:
+    """What a lookup answers: by date, then id."""
+    return found.orderBy("effective", "id")
+
+
+def lead_order(entries: DataFrame) -> DataFrame:
+    """Leads of a changelog: by source and date, the last first."""
+    return entries.orderBy(F.desc("source"), F.desc("date_text"))
+
+
+#: Alternatives of a scope that are named before the rest is counted.
+SCOPE_SHOWN = 4
+
+
+def scope_text(context: Column, files: Column, repo_context: Column) -> Column:
+    """In which files and repositories a record counts, as a sentence; empty if everywhere.
+
+    Contexts are alternatives of words that must all occur; ``dep:ecosystem:name@16.`` is a dependency.
+    """
+    groups = lambda c: F.coalesce(c, F.array().cast("array<array<string>>"))
+    quoted = lambda w: F.when(w.contains('"'), F.concat(F.lit("'"), w, F.lit("'"))).otherwise(F.concat(F.lit('"'), w, F.lit('"')))
+    more = lambda c: F.when(F.size(c) > SCOPE_SHOWN, F.concat(F.lit(" or "), (F.size(c) - SCOPE_SHOWN).cast("string"), F.lit(" more"))).otherwise("")
+    words = lambda c: F.concat(F.array_join(F.slice(F.transform(c, lambda g: F.array_join(F.transform(g, quoted), " and ")), 1, SCOPE_SHOWN), " or "), more(c))
+    pinned = lambda g: (F.size(g) == 1) & g[0].startswith("dep:")
+    pin = r"\Adep:(?:(\w+):)?(.+)@(.+)"
+    part = lambda g, n: F.regexp_extract(g[0], pin, n)
+    owner = lambda g: F.when(part(g, 1) == "", "").otherwise(F.concat(F.lit(" ("), part(g, 1), F.lit(")")))
+    depends = F.transform(F.filter(groups(repo_context), lambda g: pinned(g) & g[0].rlike(pin)), lambda g: F.concat(quoted(F.concat(part(g, 2), F.lit(" "), F.rtrim(part(g, 3), F.lit(".")), F.lit(".x"))), owner(g)))
+    rest = F.filter(groups(repo_context), lambda g: ~pinned(g))
+    globs = F.coalesce(files, F.array().cast("array<string>"))
+    parts = F.array_compact(F.array(
+        F.when(F.size(globs) > 0, F.concat(F.lit("files matching "), F.array_join(F.transform(globs, quoted), ", "))),
+        F.when(F.size(groups(context)) > 0, F.concat(F.lit("files that mention "), words(groups(context)))),
+        F.when(F.size(depends) > 0, F.concat(F.lit("repos that depend on "), F.array_join(depends, " or "))),
+        F.when(F.size(rest) > 0, F.concat(F.when(F.size(depends) > 0, "or ").otherwise(""), F.lit("repos that mention "), words(rest), F.lit(" (including dependency manifests)"))),
+    ))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("Applies only in "), F.array_join(parts, "; "), F.lit("."))).otherwise("")
+
+
 def search(records: DataFrame, text: str, vendor: str | None = None, limit: int = 20) -> DataFrame:
     """Records that name a text in their summary, vendor or identifiers, without regard to case; in the feed's order."""
     wanted = text.lower()

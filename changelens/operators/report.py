@@ -70,3 +70,11 @@ def sarif(sites: DataFrame, records: DataFrame, tool: str) -> DataFrame:
     )
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), "results")
     return both.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
+
+
+def scan_items(sites: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, file, line, signature, item): each site as a line of JSON with its record, for scans of any length."""
+    own = records.select(F.col("id").alias("record_id"), F.struct("id", "vendor", "severity", F.date_format("effective", "yyyy-MM-dd").alias("effective"), "summary", "source_url").alias("_record"))
+    rows = sites.join(own, "record_id")
+    site = F.struct("file", "line", "signature", F.coalesce("via", F.lit("")).alias("via"), in_test(F.col("file")).alias("in_test"))
+    return rows.select("record_id", "file", "line", "signature", F.to_json(F.struct(F.col("_record").alias("record"), site.alias("site"))).alias("item"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..operators import scan, tokens
+from ..operators import extract, feed, report, scan, tokens
 from . import state
-from .base import Catalog, table
+from .base import RECORDS_SQL, TODAY, Catalog, records, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -102,3 +102,56 @@ def changed_files_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to look for in code after each event of ``schema_diff``."""
     return scan.drift_signatures(state.schema_diff(spark, sf_dir)).select("pair", "path", "signature")
+
+
+@query(f"""WITH {_ALL_SITES} SELECT record_id, file, line, signature, '{{"record":{{"id":"' || record_id || '","vendor":"V","severity":"breaking","effective":"2026-01-02","summary":"gone","source_url":"https://x"}},"site":{{"file":"' || file || '","line":' || line || ',"signature":"' || signature || '","via":"' || via || '","in_test":false}}}}' AS item FROM u""")
+def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of ``all_sites`` as lines of JSON, each with its record."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct()
+    records = brands.select("id", F.lit("V").alias("vendor"), F.lit("breaking").alias("severity"), F.lit("2026-01-02").cast("date").alias("effective"), F.lit("gone").alias("summary"), F.lit("https://x").alias("source_url"))
+    return report.scan_items(all_sites(spark, sf_dir), records)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 AND p_partkey % 5 = 0 THEN '' ELSE 'Applies only in ' || array_to_string(list_filter([
+  CASE WHEN p_partkey % 2 = 1 THEN 'files matching "*.py", "' || p_brand || '"' END, CASE p_partkey % 3 WHEN 1 THEN 'files that mention "a" and "b"' WHEN 2 THEN 'files that mention "a" or ''b"'' or "c" or "d" or 2 more' END,
+  CASE p_partkey % 5 WHEN 1 THEN 'repos that depend on "x ' || p_size || '.x" (pypi) or "y 2.x"' WHEN 2 THEN 'repos that depend on "x 1.x"; or repos that mention "z" (including dependency manifests)' WHEN 3 THEN 'repos that mention "z" (including dependency manifests)' WHEN 4 THEN 'repos that mention "z" and "w" (including dependency manifests)' END], lambda x: x IS NOT NULL), '; ') || '.' END AS scope FROM part""")
+def scope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which files and repositories a record counts, in words."""
+    words = lambda *groups: F.array(*[F.array(*[g if isinstance(g, Column) else F.lit(g) for g in group]) for group in groups])
+    k = F.col("p_partkey")
+    context = F.when(k % 3 == 1, words(["a", "b"])).when(k % 3 == 2, words(["a"], ['b"'], ["c"], ["d"], ["e"], ["f"]))
+    files = F.when(k % 2 == 1, F.array(F.lit("*.py"), F.col("p_brand")))
+    own = F.concat(F.lit("dep:pypi:x@"), F.col("p_size").cast("string"), F.lit("."))
+    repos = F.when(k % 5 == 1, words([own], ["dep:y@2."])).when(k % 5 == 2, words(["z"], ["dep:x@1"])).when(k % 5 == 3, words(["z"])).when(k % 5 == 4, words(["z", "w"]))
+    return table(spark, sf_dir, "part").select("p_partkey", feed.scope_text(context, files, repos).alias("scope"))
+
+
+@query(RECORDS_SQL + f"""
+, s AS (SELECT *, 'Part.' || (price % 500) AS signature FROM r WHERE kind = 'model' AND id % 5 <> 0), f AS (SELECT replace(lower(signature), '.', '-') AS slug, * FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY effective > DATE '{TODAY}' DESC, CASE WHEN effective > DATE '{TODAY}' THEN effective END ASC, CASE WHEN effective > DATE '{TODAY}' THEN id END ASC, effective DESC, id DESC) AS place FROM f)
+SELECT vendor, slug, signature AS spelling, id, effective, severity FROM p WHERE place = 1""")
+def identifiers_by_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers with a page, under the vendor of the record that leads them; every fifth record has a scope, and every record a fragment of code."""
+    price = (F.col("price") % 500).cast("string")
+    none = F.array().cast("array<array<string>>")
+    rows = records(spark, sf_dir).withColumns({
+        "signatures": F.array(F.concat(F.lit("Part."), price), F.concat(F.lit("x"), price, F.lit("={")), F.lit("abc"), F.lit("1234")), "context": F.when(F.col("id") % 5 == 0, F.array(F.array(F.lit("c")))).otherwise(none),
+        "files": F.lit(None).cast("array<string>"), "repo_context": none,
+    })
+    return feed.identifiers_by_vendor(rows, TODAY)
+
+
+@query(RECORDS_SQL + """
+SELECT 'c' || customer AS vendor, strftime(effective, '%Y-%m-%d') AS date_text, 'order ' || id AS title, 'https://x/' || id AS url FROM r""")
+def changelog_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as a changelog in one of three layouts: a line with the day above a heading, a table of links under a day, or a linked row under a day that begins with its number."""
+    day = F.date_format("effective", "MMM d, yyyy")
+    link = F.concat(F.lit("[order "), F.col("id").cast("string"), F.lit("](https://x/"), F.col("id").cast("string"), F.lit(")"))
+    layout = F.col("customer") % 3
+    above = F.concat(day, F.lit("\n\n## order "), F.col("id").cast("string"), F.lit("\nSee "), link, F.lit("\n\n"))
+    rows = F.concat(F.lit("# "), day, F.lit("\n| What | Why |\n|--|--|\n| "), link, F.lit(" | "), "severity", F.lit(" |\n"))
+    bullets = F.concat(F.lit("## "), F.date_format("effective", "d MMMM yyyy"), F.lit("\n| "), link, F.lit(" |\n"))
+    text = F.when(layout == 0, above).when(layout == 1, rows).otherwise(bullets)
+    pages = records(spark, sf_dir).groupBy("customer").agg(F.array_join(F.collect_list(text), "").alias("body"))
+    pages = pages.select(F.lit("log").alias("source"), F.concat(F.lit("c"), F.col("customer").cast("string")).alias("vendor"), "body")
+    return extract.changelog(pages).select("vendor", "date_text", "title", "url")

@@ -144,7 +144,7 @@ def test_changelogs(spark):
     mdx = '<Update label="June 1, 2026">\nA breaking change.\n</Update>\n'
     pages = spark.createDataFrame([("s", "v", body), ("m", "v", mdx), ("e", "v", None)], "source string, vendor string, body string")
     got = {(r.source, r.date_text, r.title, r.url) for r in extract.changelog(pages).collect()}
-    assert got == {("s", "2026-03-04", "one a", "https://x/1"), ("s", "2026-03-04", "two", ""), ("s", "2026-02", "2026-02", ""), ("m", "2026-06-01", "June 1, 2026", "")}
+    assert got == {("s", "2026-03-04", "one a", "https://x/1"), ("s", "2026-03-04", "two", ""), ("s", "2026-02", "Prose about it .", ""), ("m", "2026-06-01", "A breaking change.", "")}
     releases = json.dumps([{"name": "", "tag_name": "v1", "body": "x", "html_url": "u", "published_at": "2026-01-02T00:00:00Z", "draft": False, "prerelease": False}, {"tag_name": "v2", "draft": True}])
     assert [(r.date_text, r.title) for r in extract.releases(spark.createDataFrame([("g", "v", releases)], "source string, vendor string, body string")).collect()] == [("2026-01-02", "v1")]
     assert extract.leads(extract.changelog(pages), "2026-05-01").count() == 1

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.functions.text import token_pattern
-from changelens.operators import code_context, scan, tokens
+from changelens.operators import code_context, extract, feed, scan, tokens
 
 
 def test_names_of_a_record(spark):
@@ -98,3 +98,22 @@ def test_drift_files_and_ignore_lines(spark):
     rows = spark.createDataFrame([("a\\b.py",), ("a/c.py",), (None,)], "file string")
     assert [r.file for r in scan.only_files(rows, spark.createDataFrame([("/a/b.py",), ("/a/b.py",)], "path string")).collect()] == ["a\\b.py"]
     assert scan.ignore_patterns(" a/ \n# c\n\n*.snap") == ["a/", "*.snap"] and scan.ignore_patterns(None) == []
+
+
+def test_pages_of_identifiers(spark):
+    kind = "id string, vendor string, kind string, severity string, effective date, signatures array<string>, context array<array<string>>, files array<string>, repo_context array<array<string>>"
+    from datetime import date
+
+    rows = [("a", "v", "model", "breaking", date(2026, 1, 1), ["Nova-4", "x={y", "abc", "1234", "nova_4"], [], None, []), ("b", "W", "model", "info", date(2027, 1, 1), ["nova-4"], None, [], None), ("c", "v", "rest", "info", date(2027, 1, 1), ["nova-5"], None, None, None), ("d", "v", "model", "info", date(2027, 1, 1), ["nova-6"], None, ["*.py"], None)]
+    got = [tuple(r)[:4] for r in feed.identifiers_by_vendor(spark.createDataFrame(rows, kind), "2026-06-01").collect()]
+    assert got == [("v", "nova_4", "nova_4", "a"), ("W", "nova-4", "nova-4", "b")]
+
+
+def test_changelog_layouts():
+    page = "Sep 23, 2026\nx\n\n## Deprecating it\nProse [a](https://x/a), [learn more](https://x/b)\n" + "\n" * 40 + "# 4 March 2026\nBeside.\n- one\n  and on\n- two [z](https://x/z)\n## Sub\n- one\n"
+    got = [(e["title"], e["date_text"], e["url"]) for e in extract._entries(page)]
+    assert got == [("Deprecating it", "2026-09-23", "https://x/b"), ("Beside.", "2026-03-04", "https://x/z"), ("one and on", "2026-03-04", ""), ("two z", "2026-03-04", "https://x/z"), ("Sub", "2026-03-04", "")]
+    far = "Sep 23, 2026\n" + "\n" * 31 + "## Title\ntext\n"
+    assert [e["date_text"] for e in extract._entries(far)] == [""]
+    rows = "# 2026-01-02\n| a | b |\n|--|--|\n| [t](https://x/t) | why |\n"
+    assert [(e["title"], e["text"], e["url"]) for e in extract._entries(rows)] == [("t", "t why", "https://x/t")]
