@@ -240,7 +240,9 @@ def leads(entries: DataFrame, first: str, seen: DataFrame | None = None) -> Data
 
 def related(entries: DataFrame, records: DataFrame, urls: DataFrame, least: int = 6) -> DataFrame:
     """(key, id): records of an entry's vendor (names may be prefixes) that share its address or whose identifier its text names."""
-    pairs = entries.alias("e").join(F.broadcast(records.select("id", F.col("vendor").alias("v"), "signatures")), F.col("vendor").startswith(F.col("v")) | F.col("v").startswith(F.col("vendor")))
+    # only vendors' names meet each with each; entries and records are joined by them
+    vendors = entries.select("vendor").distinct().join(records.select(F.col("vendor").alias("v")).distinct(), F.col("vendor").startswith(F.col("v")) | F.col("v").startswith(F.col("vendor")))
+    pairs = entries.join(vendors, "vendor").join(records.select("id", F.col("vendor").alias("v"), "signatures"), "v")
     own = pairs.join(urls.withColumnRenamed("url", "_url"), "id", "left").groupBy("key", "id", "url", "text", "signatures").agg(F.collect_set("_url").alias("_urls"))
     named = F.exists("signatures", lambda s: (F.char_length(s) >= least) & F.col("text").contains(s))
     return own.where(F.array_contains("_urls", F.split_part("url", F.lit("#"), F.lit(1))) | named).select("key", "id")
