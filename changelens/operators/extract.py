@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, since
 from ..functions.text import lines
+from .tokens import positions
 
 CODE = r"`([^`]+)`"
 
@@ -58,11 +59,23 @@ def retirements(pages: DataFrame, text: str = "markdown") -> DataFrame:
     return rows.where("_place = 1").select("vendor", "model", "aliases", "shutdown", "replacements", "section")
 
 
-def uncovered(retired: DataFrame, records: DataFrame) -> DataFrame:
-    """Retirements that no record of the vendor and date names."""
-    known = records.select("vendor", F.col("effective").alias("shutdown"), F.explode("signatures").alias("model"))
-    names = retired.withColumn("_name", F.explode(F.concat(F.array("model"), "aliases")))
-    hit = names.join(known.withColumnRenamed("model", "_name"), ["vendor", "shutdown", "_name"], "left_semi").select("vendor", "shutdown", "model").distinct()
+def code_id(model: Column) -> Column:
+    """How an id is written in code: pages write ``ft-`` where code has ``ft:``."""
+    return F.when(model.startswith("ft-"), F.concat(F.lit("ft:"), F.substr(model, F.lit(4)))).otherwise(model)
+
+
+def uncovered(retired: DataFrame, records: DataFrame, first: str | None = None) -> DataFrame:
+    """Retirements (from a day on) in whose ids no identifier of a record of the vendor and date stands as a token."""
+    if first is not None:
+        retired = retired.where(F.col("shutdown") >= F.lit(first).cast("date"))
+    known = records.select("vendor", F.col("effective").alias("shutdown"), F.explode("signatures").alias("_signature")).where("_signature != ''").distinct()
+    names = retired.select("vendor", "shutdown", "model", F.explode(F.array_distinct(F.concat(F.array("model"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("_name")).withColumn("_name", code_id(F.col("_name")))
+    pairs = names.join(known, ["vendor", "shutdown"]).where(F.col("_name").contains(F.col("_signature")))
+    same = pairs.where(F.col("_name") == F.col("_signature"))
+    # the token rule decides where an id only holds the identifier
+    longer = pairs.where(F.col("_name") != F.col("_signature"))
+    longer = longer.where(F.size(positions(F.col("_name"), F.col("_signature"), F.lit(False), F.array().cast("array<string>"))) > 0)
+    hit = same.unionByName(longer).select("vendor", "shutdown", "model").distinct()
     return retired.join(hit, ["vendor", "shutdown", "model"], "left_anti")
 
 

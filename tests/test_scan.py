@@ -117,3 +117,13 @@ def test_changelog_layouts():
     assert [e["date_text"] for e in extract._entries(far)] == [""]
     rows = "# 2026-01-02\n| a | b |\n|--|--|\n| [t](https://x/t) | why |\n"
     assert [(e["title"], e["text"], e["url"]) for e in extract._entries(rows)] == [("t", "t why", "https://x/t")]
+
+
+def test_uncovered_retirements_by_the_token_rule(spark):
+    from datetime import date
+
+    day = date(2026, 3, 1)
+    gone = spark.createDataFrame([("v", "nova-4-0613", [], day), ("v", "nova-4o", [], day), ("v", "ft-x-1", None, day), ("v", "other", ["nova-4"], day), ("w", "nova-4", [], day), ("v", "nova-4.5", [], date(2026, 1, 1))], "vendor string, model string, aliases array<string>, shutdown date")
+    records = spark.createDataFrame([("v", day, ["nova-4", "ft:x-1", ""]), ("v", date(2026, 1, 1), ["nova-4"])], "vendor string, effective date, signatures array<string>")
+    assert sorted((r.vendor, r.model) for r in extract.uncovered(gone, records).collect()) == [("v", "nova-4.5"), ("v", "nova-4o"), ("w", "nova-4")]
+    assert sorted(r.model for r in extract.uncovered(gone, records, "2026-02-01").collect()) == ["nova-4", "nova-4o"]
