@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +50,24 @@ def checkpoint_small(df: DataFrame, rows: int) -> DataFrame:
     return checkpoint(df.coalesce(1 + rows // ROWS_OF_FILE))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as compressed Parquet to the shared checkpoint folder and read it from there from now on."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo n; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0))

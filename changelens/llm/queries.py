@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, html_text, media, mixing, quality, sharding, simhash, suffix_tree, url_filter
+from . import alignment, bpe, embedding, html_text, lexical, line_dedup, media, mixing, quality, sharding, simhash, suffix_tree, url_filter
 from .common import checkpoint, table
 
 
@@ -161,5 +161,55 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op5_media": op5_media, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding}
-ORACLES = {"op4_embedding": _EMBEDDING_SQL, "op7_mixing": _mixing_sql()}
+#: Lines of at least one code point that stand in ten documents go; the table is read in four batches.
+LINE_DOCS, LINE_CHARS, LINE_BATCHES = 10, 1, 4
+
+
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the lines that many documents share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(LINE_BATCHES))
+    kept = line_dedup.drop_repeated(docs, batch, LINE_BATCHES, LINE_DOCS, min_chars=LINE_CHARS)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT id, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+r AS (SELECT key FROM k WHERE length(key) >= {LINE_CHARS} GROUP BY key HAVING count(DISTINCT id) >= {LINE_DOCS}),
+m AS (SELECT k.*, r.key IS NOT NULL AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY id, doc_id"""
+
+
+#: Documents that are returned for an item.
+BEST = 50
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"), BEST)
+    return found.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
+_SEARCH_SQL = rf"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id), c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, c WHERE term IN (SELECT term FROM i) GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN w USING (term) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= {BEST}"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in every document."""
+    files = alignment.read_tokenizers(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.document_links(table(spark, sf_dir, "documents").select("doc_id", "text"), files, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_bpe": op3_bpe, "op4_embedding": op4_embedding, "op5_media": op5_media, "op6_html_text": op6_html_text, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_lm_score": op9_lm_score, "op10_sharding": op10_sharding, "op11_lines": op11_lines, "op12_search": op12_search, "op13_alignment": op13_alignment}
+ORACLES = {"op4_embedding": _EMBEDDING_SQL, "op7_mixing": _mixing_sql(), "op11_lines": _LINES_SQL, "op12_search": _SEARCH_SQL}
