@@ -3,9 +3,9 @@
 A is a byte-level BPE (a JSON file), B a SentencePiece model that puts a space before a text. Both read
 space+text; byte offsets at which tokens of both end cut a text into groups, and tokens of A and B that end together are linked.
 
-Method: Python only tokenises (``tokens``): ids and byte ends. From there on Spark's higher-order functions do all:
-``array_intersect`` of the ends gives the cuts, ``transform`` and ``flatten`` the token at each cut (each token's number, repeated over its
-bytes, is looked up at the cut's byte, so nothing is searched for), ``sequence``, ``transform`` and ``slice`` the groups.
+Method: Python only tokenises (``tokens``): ids, byte ends, and each byte's token. From there on Spark's higher-order functions do all:
+``array_intersect`` of the ends gives the cuts, ``transform`` the token that ends at each (looked up by its last byte, so nothing is searched for and
+the work grows with the text's length), ``transform``, ``slice`` and ``zip_with`` the groups and links.
 Links are counted over all documents by id pair, which partial sums combine before the shuffle.
 
 Tokenising: neither tokenizer joins across a single space between two other characters (A's pattern begins a piece there; no piece of B has
@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,13 @@ from .common import checkpoint, let, offsets, take_ranges, written
 #: Id pairs up to which they are broadcast (three numbers each); more of them are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 #: Stretches, and their characters, that a worker remembers before it starts afresh.
-CACHE_STRETCHES, CACHE_CHARS = 200_000, 16_000_000
+CACHE_STRETCHES, CACHE_CHARS = 400_000, 16_000_000
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Characters of texts that are put into arrays at a time.
+PART_CHARS = 1_000_000
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-TOKENS = "struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>"
+TOKENS = "struct<a:array<int>,a_ends:array<int>,a_at:array<int>,b:array<int>,b_ends:array<int>,b_at:array<int>>"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -60,13 +64,15 @@ class Tokenizers(dict):
 
         made, chars = json.loads(a_file), byte_of_char()
         special = {t["content"] for t in made["added_tokens"]}
-        self.a_bytes = {i: bytes(map(chars.__getitem__, t)) for t, i in made["model"]["vocab"].items() if t not in special}
-        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={t: i for i, t in self.a_bytes.items()}, special_tokens={})
+        a_bytes = {i: bytes(map(chars.__getitem__, t)) for t, i in made["model"]["vocab"].items() if t not in special}
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={t: i for i, t in a_bytes.items()}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece of B has a space after another character, so texts can't be split at spaces")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = {"a": [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)], "b": b_bytes}
+        self.lengths = {side: np.array([len(t) for t in known], np.int64) for side, known in self.bytes.items()}
         self.reset()
 
     def reset(self) -> None:
@@ -84,27 +90,54 @@ class Tokenizers(dict):
         return row
 
     def _learn(self) -> None:
-        written_as = [b" " + s.encode() for s in self.fresh]
-        found = {"a": [self.a.encode_ordinary(f" {s}") for s in self.fresh], "b": self.b.encode(self.fresh, num_threads=1)}
-        good = np.ones(len(self.fresh), bool)
-        for side, known in (("a", self.a_bytes), ("b", self.b_bytes)):
-            parts = [[known[i] for i in ids] for ids in found[side]]
-            good &= [b"".join(p) == w for p, w in zip(parts, written_as, strict=True)]
-            counts = np.array([len(p) for p in parts], np.int64)
-            ends = [np.cumsum([len(t) for t in p], dtype=np.int32) for p in parts]
-            ids = np.array([i for x in found[side] for i in x], np.int32)
-            self.starts[side] = np.concatenate([self.starts[side], len(self.flat[side][0]) + offsets(counts)[:-1]])
+        """Tokens of the new stretches, as arrays end to end."""
+        said = [b" " + s.encode() for s in self.fresh]
+        size = np.array([len(w) for w in said], np.int64)
+        found = self.b.encode(self.fresh, num_threads=1)
+        tokens = {"a": self._all_a(said), "b": (np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64))}
+        good = np.ones(len(said), bool)
+        for side, (ids, counts) in tokens.items():
+            known, lengths = self.bytes[side], self.lengths[side][ids]
+            ends, firsts = offsets(lengths), offsets(counts)
+            bounds = ends[firsts]
+            same = np.diff(bounds) == size
+            joined = b"".join(map(known.__getitem__, ids.tolist()))
+            if not same.all() or joined != b"".join(said):
+                good &= same & np.array([joined[x:y] == w for x, y, w in zip(bounds[:-1].tolist(), bounds[1:].tolist(), said, strict=True)])
+            self.starts[side] = np.concatenate([self.starts[side], len(self.flat[side][0]) + firsts[:-1]])
             self.counts[side] = np.concatenate([self.counts[side], counts])
-            self.flat[side] = tuple(np.concatenate([old, new]) for old, new in zip(self.flat[side], (ids, np.concatenate(ends)), strict=True))
+            within = ends[1:] - np.repeat(bounds[:-1], counts)
+            self.flat[side] = tuple(np.concatenate([old, new.astype(np.int32)]) for old, new in zip(self.flat[side], (ids, within), strict=True))
         self.good = np.concatenate([self.good, good])
-        self.size = np.concatenate([self.size, [len(w) for w in written_as]])
+        self.size = np.concatenate([self.size, size])
         self.fresh = []
 
+    def _all_a(self, said: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of the stretches, and how many each has. Those without white space at an end are one text, whose tokens are dealt out by their ends."""
+        plain = np.fromiter((not (s[0].isspace() or s[-1].isspace()) for s in self.fresh), bool, len(said))
+        counts, parts = np.zeros(len(said), np.int64), [None] * len(said)
+        for i in np.flatnonzero(~plain).tolist():
+            parts[i] = self.a.encode_ordinary(said[i].decode())
+        for i, x in enumerate(parts):
+            counts[i] = len(x) if x is not None else 0
+        together = [said[i] for i in np.flatnonzero(plain).tolist()]
+        ids = np.array(self.a.encode_ordinary(b"".join(together).decode()) if together else [], np.int32)
+        ends = np.cumsum(self.lengths["a"][ids])
+        counts[plain] = np.diff(np.searchsorted(ends, offsets(np.array([len(w) for w in together], np.int64))[1:], "right"), prepend=0)
+        if plain.all():
+            return ids, counts
+        places = offsets(counts)
+        out = np.zeros(places[-1], np.int32)
+        out[np.repeat(plain, counts)] = ids
+        for i in np.flatnonzero(~plain).tolist():
+            out[places[i] : places[i + 1]] = parts[i]
+        return out, counts
+
     def texts(self, texts: list[str | None]) -> pa.StructArray:
         if len(self) > CACHE_STRETCHES or self.chars > CACHE_CHARS:
             self.reset()
         stretches = [_CUT.split(t) if t else [] for t in texts]
-        rows = np.fromiter((self[s] for some in stretches for s in some), np.int64)
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(stretches)), np.int64)
         if self.fresh:
             self._learn()
         bounds = offsets(np.array([len(s) for s in stretches], np.int64))
@@ -114,13 +147,30 @@ class Tokenizers(dict):
         before = offsets(self.size[rows])[:-1]  # bytes of the batch before each stretch
         first = np.searchsorted(text, np.arange(len(texts)))
         before = before - before[first[text]] if len(rows) else before
-        out = []
+        listed = lambda values, counts: pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(values.astype(np.int32)))
+        out = {}
         for side in "ab":
             counts = self.counts[side][rows]
             ids, ends = (take_ranges(x, self.starts[side][rows], counts) for x in self.flat[side])
-            places = pa.array(offsets(np.bincount(text, counts, len(texts)).astype(np.int64)).astype(np.int32))
-            out += [pa.ListArray.from_arrays(places, pa.array(x.astype(np.int32))) for x in (ids, ends + np.repeat(before, counts))]
-        return pa.StructArray.from_arrays(out, ["a", "a_ends", "b", "b_ends"])
+            each = np.bincount(text, counts, len(texts)).astype(np.int64)
+            number = np.arange(len(ids)) - np.repeat(offsets(each)[:-1], each)
+            size = np.bincount(text, self.size[rows], len(texts)).astype(np.int64)
+            # a byte's place is counted from 1, as ends are
+            at = np.insert(np.repeat(number, self.lengths[side][ids]), offsets(size)[:-1], 0)
+            out |= {side: listed(ids, each), f"{side}_ends": listed(ends + np.repeat(before, counts), each), f"{side}_at": listed(at, size + 1)}
+        return pa.StructArray.from_arrays([*out.values()], [*out])
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in parts of about ``PART_CHARS``; a longer text is a part of its own."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or "") > PART_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    yield part
 
 
 _made: dict[str, Tokenizers] = {}
@@ -134,55 +184,43 @@ def _of_worker(files: tuple[bytes, bytes], pattern: str) -> Tokenizers:
 
 
 def tokens(text: Column, files, pattern: str) -> Column:
-    """Ids and byte ends of both tokenizers for space+text. files: from ``read_tokenizers``; pattern: how A splits texts."""
+    """Ids, byte ends and each byte's token number of both tokenizers for space+text. files: from ``read_tokenizers``; pattern: how A splits texts."""
 
     @F.arrow_udf(TOKENS)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         both = _of_worker(files.value, pattern)
         for batch in batches:
-            yield both.texts(batch.to_pylist())
+            yield pa.concat_arrays([both.texts(part) for part in _parts(batch.to_pylist())])
 
     return of(text)
 
 
-def _token_at_byte(ends: Column) -> Column:
-    """For each byte the number of its token."""
-    return let(ends, lambda all_: F.flatten(F.transform(all_, lambda end, i: F.array_repeat(i, end - F.coalesce(F.get(all_, i - 1), F.lit(0))))))
-
-
-def cuts(token: Column) -> Column:
-    """(a, b): for each group the numbers of its last tokens. token: of ``tokens``."""
-    ends = F.array_intersect(token["a_ends"], token["b_ends"])
-    at = F.struct(ends.alias("ends"), _token_at_byte(token["a_ends"]).alias("a"), _token_at_byte(token["b_ends"]).alias("b"))
-    last = lambda x, side: F.transform(x["ends"], lambda e: F.get(x[side], e - 1)).alias(side)
-    return let(at, lambda x: F.struct(last(x, "a"), last(x, "b")))
-
-
-def groups(token: Column, cut: Column) -> Column:
-    """Each group as text: ids of A and of B, parted by commas, with a bar between."""
-    both = F.struct(*[token[s].cast("array<string>").alias(s) for s in "ab"], cut["a"].alias("a_last"), cut["b"].alias("b_last"))
-
-    def group(x: Column, g: Column) -> Column:
-        def side(s: str) -> Column:
-            start, last = F.when(g == 0, F.lit(0)).otherwise(F.get(x[f"{s}_last"], g - 1) + 1), F.get(x[f"{s}_last"], g)
-            return F.when(start == last, F.get(x[s], last)).otherwise(F.array_join(F.slice(x[s], start + 1, last - start + 1), ","))
+def last_tokens(token: Column, ends: Column, side: str) -> Column:
+    """For each end of a group the number of the side's token that ends there."""
+    return let(token[f"{side}_at"], lambda at: F.transform(ends, lambda e: F.get(at, e)))
 
-        return F.concat(side("a"), F.lit("|"), side("b"))
 
-    return F.when(F.size(cut["a"]) == 0, F.array().cast("array<string>")).otherwise(let(both, lambda x: F.transform(F.sequence(F.lit(0), F.size(x["a_last"]) - 1), lambda g: group(x, g))))
+def parts(ids: Column, last: Column) -> Column:
+    """For each group a side's ids, parted by commas. last: of ``last_tokens``."""
+    firsts = F.slice(F.concat(F.array(F.lit(0)), F.transform(last, lambda i: i + 1)), F.lit(1), F.size(last))
+    one, two = (lambda all_, a, b: F.get(all_, a)), (lambda all_, a, b: F.concat(F.get(all_, a), F.lit(","), F.get(all_, b)))
+    part = lambda all_, a, b: F.when(a == b, one(all_, a, b)).when(a + 1 == b, two(all_, a, b)).otherwise(F.array_join(F.slice(all_, a + 1, b - a + 1), ","))
+    return let(ids.cast("array<string>"), lambda all_: F.zip_with(firsts, last, lambda a, b: part(all_, a, b)))
 
 
-def linked(token: Column, cut: Column, side: str) -> Column:
-    """The side's ids that are linked, group by group: those whose tokens end together."""
-    return let(F.struct(token[side].alias("ids"), cut[side].alias("last")), lambda x: F.transform(x["last"], lambda i: F.get(x["ids"], i)))
+def linked(ids: Column, last: Column) -> Column:
+    """A side's ids that are linked, group by group: those whose tokens end together."""
+    return let(ids, lambda all_: F.transform(last, lambda i: F.get(all_, i)))
 
 
 def align(docs: DataFrame, files, pattern: str, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with the lists ``a`` and ``b`` of linked ids, ``n_a``, ``n_b``, ``n_groups`` and the ``groups``."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), tokens(F.col(text), files, pattern).alias("token"))
-    rows = rows.withColumn("cut", cuts(F.col("token")))
-    token, cut = F.col("token"), F.col("cut")
-    results = [F.size(token["a"]).cast("long").alias("n_a"), F.size(token["b"]).cast("long").alias("n_b"), F.size(cut["a"]).cast("long").alias("n_groups"), groups(token, cut).alias("groups"), linked(token, cut, "a").alias("a"), linked(token, cut, "b").alias("b")]
+    token, ends = F.col("token"), F.col("ends")
+    rows = rows.withColumn("ends", F.array_intersect(token["a_ends"], token["b_ends"]))
+    rows = rows.select("row", "token", F.size("ends").cast("long").alias("n_groups"), *[last_tokens(token, ends, s).alias(s) for s in "ab"])
+    both = F.zip_with(parts(token["a"], F.col("a")), parts(token["b"], F.col("b")), lambda x, y: F.concat(x, F.lit("|"), y))
+    results = [*[F.size(token[s]).cast("long").alias(f"n_{s}") for s in "ab"], "n_groups", both.alias("groups"), *[linked(token[s], F.col(s)).alias(s) for s in "ab"]]
     names = {"a", "b", "n_a", "n_b", "n_groups", "groups", text.lower()}
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in names], *results)
 
@@ -210,7 +248,10 @@ def document_links(docs: DataFrame, files, pattern: str, text: str = "text") ->
     others = [c for c in docs.columns if c.lower() not in (*results, text.lower())]
     found = align(docs.select(F.struct(*others).alias("row"), F.col(text).alias("text")), files, pattern)
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.array_join("groups", ";"), 256))
+    keep = docs.sparkSession.conf.get(BATCH_BYTES)
+    docs.sparkSession.conf.set(BATCH_BYTES, str(2 << 20))  # a text comes back as some ten times its bytes
     found = written(found.withColumns({"groups_sha256": digest, "id": F.monotonically_increasing_id()}).drop("groups"), "aligned")
+    docs.sparkSession.conf.set(BATCH_BYTES, keep)
     pairs = checkpoint(pair_counts(found))
     sums = count_links(found, pairs, "id")
     joined = found.drop("a", "b").join(sums, "id", "left").na.fill(0, ["n_links", "n_best", "count_sum"])

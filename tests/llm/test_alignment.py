@@ -103,4 +103,5 @@ def test_a_small_cache_gives_the_same(plain, monkeypatch):
     texts = ["one two three", "three two", "four \n\n five"]
     whole = both.texts(texts).to_pylist()
     monkeypatch.setattr(alignment, "CACHE_STRETCHES", 1)
+    monkeypatch.setattr(alignment, "PART_CHARS", 10)
     assert [both.texts([t]).to_pylist()[0] for t in texts] == whole and whole[0]["a"] == plain(texts[0])[0]
