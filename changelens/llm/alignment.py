@@ -33,10 +33,10 @@ from .common import checkpoint, let, offsets, take_ranges, written
 #: Id pairs up to which they are broadcast (three numbers each); more of them are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 #: Stretches, and their characters, that a worker remembers before it starts afresh.
-CACHE_STRETCHES, CACHE_CHARS = 400_000, 16_000_000
+CACHE_STRETCHES, CACHE_CHARS = 200_000, 8_000_000
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Characters of texts that are put into arrays at a time.
-PART_CHARS = 1_000_000
+PART_CHARS = 500_000
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 TOKENS = "struct<a:array<int>,a_ends:array<int>,a_at:array<int>,b:array<int>,b_ends:array<int>,b_at:array<int>>"
@@ -249,7 +249,7 @@ def document_links(docs: DataFrame, files, pattern: str, text: str = "text") ->
     found = align(docs.select(F.struct(*others).alias("row"), F.col(text).alias("text")), files, pattern)
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.array_join("groups", ";"), 256))
     keep = docs.sparkSession.conf.get(BATCH_BYTES)
-    docs.sparkSession.conf.set(BATCH_BYTES, str(2 << 20))  # a text comes back as some ten times its bytes
+    docs.sparkSession.conf.set(BATCH_BYTES, str(1 << 20))  # a text comes back as some ten times its bytes
     found = written(found.withColumns({"groups_sha256": digest, "id": F.monotonically_increasing_id()}).drop("groups"), "aligned")
     docs.sparkSession.conf.set(BATCH_BYTES, keep)
     pairs = checkpoint(pair_counts(found))
