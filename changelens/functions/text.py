@@ -37,6 +37,11 @@ def token_pattern(signature: str, model: bool = False, named: Iterable[str] = ()
     others, but for snapshots (dates, three digits, latest) and those that ``named`` has, as whole ids or as ``-suffixes``.
     """
     left = rf"(?:(?<![{WORD}])|(?<=mcp__[{WORD}-]{{0,100}}__))" if _edge(signature[0]) else ""
+    return left + re.escape(signature) + token_end(signature, model, named)
+
+
+def token_end(signature: str, model: bool = False, named: Iterable[str] = ()) -> str:
+    """The part of ``token_pattern`` that looks at what follows the signature."""
     right = rf"(?![{WORD}])(?!\.\d)(?!\\\.\d)" if _edge(signature[-1]) else ""
     if model and right:
         names = sorted({n.lower() for n in named}, key=lambda n: (-len(n), n))
@@ -46,7 +51,7 @@ def token_pattern(signature: str, model: bool = False, named: Iterable[str] = ()
         end = rf"(?i:{ends})(?![a-zA-Z0-9])" if ends else "(?!)"
         snapshot = rf"-(?:\d{{8}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}|\d{{3}}|latest)(?![{WORD}]|\.)(?:(?!-[a-zA-Z])|(?={end}))"
         right += rf"(?:(?!-)|(?={snapshot})|(?={whole})|(?={end}))"
-    return left + re.escape(signature) + right
+    return right
 
 
 def glob_pattern(glob: str) -> str:

@@ -16,11 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Line comment, block comments and quotes of each language; fixed values.
-HASH, SLASH = ("py", "rb", "sh", "yaml", "yml", "toml", "ini", "cfg", ""), ("js", "jsx", "mjs", "cjs", "ts", "mts", "cts", "tsx", "go", "java", "kt", "rs", "cs", "php", "swift")
-_PY = r"(?P<text>[rbfuRBFU]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))|(?P<comment>\#[^\n]*)"
-_C = r"(?P<text>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
-_LEXERS = {**{s: re.compile(_PY, re.S) for s in HASH}, **{s: re.compile(_C, re.S) for s in SLASH}}
+from . import lexing
+
 SPAN = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
 SPAN_SQL = "array<struct<line:int,start:int,stop:int>>"
 
@@ -39,47 +36,58 @@ def _line_starts(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer("\n", text))]
 
 
-def comment_spans(suffix: str, text: str) -> list[dict]:
-    """Comments, and strings that stand alone as statements (documentation), line by line."""
-    lexer = _LEXERS.get(suffix.lstrip("."))
-    if lexer is None:
-        return []
-    starts, out, n, at, opened = _line_starts(text), [], 0, 0, ""  # opened: the last character before, outside comments
-    for m in lexer.finditer(text):
-        opened = text[at : m.start()].rstrip()[-1:] or opened
-        at = m.end()
-        while n + 1 < len(starts) and starts[n + 1] <= m.start():
-            n += 1
-        alone = m["text"] and suffix.lstrip(".") == "py" and not text[starts[n] : m.start()].strip() and re.match(r"[ \t]*(?:#[^\n]*)?(?:\n|\Z)", text[m.end() : m.end() + 200])
-        if m["comment"] or (alone and opened not in ("(", "[", "{", ",", "=")):
-            out += _by_line(text, m.start(), m.end(), starts, n)
-        if m["text"]:
-            opened = text[at - 1]
+def _code(suffix: str, text: str) -> list[lexing.Token]:
+    return [t for t in lexing.tokens(suffix, text) if t.kind != "comment"]
+
+
+def _statement_strings(text: str) -> list[tuple[int, int]] | None:
+    """Places of the strings that are statements of their own, by Python's syntax tree; none of a text that has no such tree."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    rows = text.split("\n")
+    starts = _line_starts(text)
+    place = lambda line, column: starts[line - 1] + len(rows[line - 1].encode()[:column].decode(errors="ignore"))  # noqa: E731  columns are counted in bytes
+    found = (n.value for n in ast.walk(tree) if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str))
+    return [(place(n.lineno, n.col_offset), place(n.end_lineno, n.end_col_offset)) for n in found]
+
+
+def _alone(text: str, code: list[lexing.Token]) -> list[tuple[int, int]]:
+    """Places of the strings that stand alone on their lines, outside brackets and not as values."""
+    around = [None, *code, None]
+    apart = lambda a, b: "\n" in text[a:b]
+    out = []
+    for before, t, after in zip(around, around[1:], around[2:], strict=False):
+        if t and t.kind == "text" and (before is None or (apart(before.end, t.start) and before.kind != "open" and before.value not in (",", "="))) and (after is None or apart(t.end, after.start)):
+            out.append((t.start, t.end))
     return out
 
 
+def comment_spans(suffix: str, text: str) -> list[dict]:
+    """Comments, and in Python strings that stand alone as statements (documentation), line by line."""
+    found = list(lexing.tokens(suffix, text))
+    places = [(t.start, t.end) for t in found if t.kind == "comment"]
+    if suffix.lstrip(".") == "py":
+        said = _statement_strings(text)
+        places += _alone(text, [t for t in found if t.kind != "comment"]) if said is None else said
+    starts = _line_starts(text)
+    return [row for a, b in sorted(places) for row in _by_line(text, a, b, starts, bisect.bisect_right(starts, a) - 1)]
+
+
 def list_spans(suffix: str, text: str) -> list[dict]:
     """Strings that are items of a list, set or map of literals at any depth, line by line: tables rather than uses."""
-    lexer = _LEXERS.get(suffix.lstrip("."))
-    if lexer is None:
-        return []
-    starts, out, n, at = _line_starts(text), [], 0, 0
-    depth: list[tuple[str, bool]] = []
-    for m in [*lexer.finditer(text), None]:
-        for c in re.finditer(r"[\[\](){}]", text[at : m.start() if m else len(text)]):
-            if c[0] in "[({":
-                before = text[max(0, at + c.start() - 40) : at + c.start()].rstrip()
-                depth.append((c[0], bool(re.search(r"[\w)\]]\Z", before)) and not re.search(r"\b(?:in|return|yield|of)\Z", before)))
-            elif depth:
-                depth.pop()
-        if m is None:
-            break
-        at = m.end()
-        while n + 1 < len(starts) and starts[n + 1] <= m.start():
-            n += 1
-        after = text[m.end() : m.end() + 20].lstrip()
-        if m["text"] and depth and depth[-1][0] in "[{" and not depth[-1][1] and (after[:1] in ",]}" or not after):
-            out += _by_line(text, m.start(), m.end(), starts, n)
+    starts, out, brackets = _line_starts(text), [], lexing.Brackets()
+    code = _code(suffix, text)
+    tables: set[int] = set()  # where brackets open that are no subscripts and no bodies of calls
+    for before, t, after in zip([None, *code], code, [*code[1:], None], strict=False):
+        brackets.read(t)
+        if t.kind == "open" and t.value != "(":
+            subscript = before and (before.value in (")", "]") or (before.kind == "word" and before.value not in lexing.BEFORE_VALUE))
+            if not subscript:
+                tables.add(t.start)
+        elif t.kind == "text" and brackets.open and brackets.open[-1].start in tables and (after is None or after.value in (",", "]", "}")):
+            out += _by_line(text, t.start, t.end, starts, bisect.bisect_right(starts, t.start) - 1)
     return out
 
 
@@ -111,12 +119,14 @@ def covered(hits: DataFrame, spans: DataFrame) -> DataFrame:
 
 def tiers(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits outside comments, with ``tier``: listed for items of literal tables, else use."""
+    files = files.join(hits.select(F.col("file").alias("path")).distinct(), "path", "left_semi")  # others needn't be read
     live = covered(hits, spans(files, "comment")).where("not covered").drop("covered")
     return covered(live, spans(files, "list")).withColumn("tier", F.when(F.col("covered"), "listed").otherwise("use")).drop("covered")
 
 
-NAME = pa.list_(pa.struct([(n, pa.string()) for n in ("name", "kind", "of")] + [("line", pa.int32()), ("scope_start", pa.int32()), ("scope_end", pa.int32())]))
-NAME_SQL = "array<struct<name:string,kind:string,of:string,line:int,scope_start:int,scope_end:int>>"
+_NAMES = (("name", pa.string()), ("kind", pa.string()), ("of", pa.string()), ("line", pa.int32()), ("scope_start", pa.int32()), ("scope_end", pa.int32()), ("bound", pa.int32()))
+NAME = pa.list_(pa.struct(_NAMES))
+NAME_SQL = "array<struct<name:string,kind:string,of:string,line:int,scope_start:int,scope_end:int,bound:int>>"
 
 
 def python_names(text: str) -> list[dict]:
@@ -128,7 +138,7 @@ def python_names(text: str) -> list[dict]:
     out: list[dict] = []
 
     def walk(node: ast.AST, scope: tuple[int | None, int | None]) -> None:
-        row = lambda name, kind, of, line: out.append({"name": name, "kind": kind, "of": of, "line": line, "scope_start": scope[0], "scope_end": scope[1]})
+        row = lambda name, kind, of, line: out.append({"name": name, "kind": kind, "of": of, "line": line, "scope_start": scope[0], "scope_end": scope[1], "bound": None})
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.Assign | ast.AnnAssign) and isinstance(child.value, ast.Constant) and isinstance(child.value.value, str):
                 for target in child.targets if isinstance(child, ast.Assign) else [child.target]:
@@ -146,59 +156,153 @@ def python_names(text: str) -> list[dict]:
     return out
 
 
-#: Suffixes of JavaScript and TypeScript, a constant that holds a string, and named imports; fixed values.
-SCRIPTS = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx")
-_SCRIPT_CONST = re.compile(r"^([^\S\n]*)(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?=['\"`])", re.M)
-_SCRIPT_IMPORT = re.compile(r"import\s*(?:type\s+)?\{([^}]*)\}\s*from\s*['\"](\.[^'\"]*)['\"]")
-_WHOLE_COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|<!--)")
+#: Suffixes of JavaScript and TypeScript.
+SCRIPTS = tuple(f".{s}" for s in lexing.SCRIPT)
 
 
-def _block_end(text: str, at: int) -> int:
-    """Where the block ends in which a place stands; strings and comments don't count."""
-    depth = 0
-    while at < len(text):
-        skip = _SCRIPT_SKIP.match(text, at)
-        if skip:
-            at = skip.end()
-            continue
-        depth += {"{": 1, "}": -1}.get(text[at], 0)
-        if depth < 0:
-            return at
-        at += 1
-    return len(text)
+class _Script:
+    """Names of a script, read token by token.
 
+    Blocks are those of the brackets: a constant in one holds from its declaration to the block's end, and what is declared
+    anew further inside hides it there, whatever its value. So each use is bound to its declaration as it is read.
+    """
 
-_SCRIPT_SKIP = re.compile(rf"{_C}|[^{{}}\"'`/]+", re.S)
+    def __init__(self, path: str, text: str):
+        self.path, self.text, self.starts = path, text, _line_starts(text)
+        self.rows: list[dict] = []
+        self.uses: set[tuple[str, int, int | None]] = set()
+        self.known: set[str] = set()
+        self.brackets = lexing.Brackets()
+        self.declared: list[list[str]] = [[]]  # names by open block
+        self.local: dict[str, list[dict | None]] = {}  # a name's declarations in open blocks, the innermost last
+
+    def line(self, at: int) -> int:
+        return bisect.bisect_right(self.starts, at)
+
+    def row(self, name: str, kind: str, of: str | None, line: int, bound: int | None = None) -> dict:
+        found = {"name": name, "kind": kind, "of": of, "line": line, "scope_start": None, "scope_end": None, "bound": bound}
+        self.rows.append(found)
+        return found
+
+    def read(self) -> list[dict]:
+        code = _code(".js", self.text)
+        end = len(code)
+        at = 0
+        while at < end:
+            t = code[at]
+            opened = self.brackets.read(t)
+            if t.kind == "open":
+                self.declared.append([])
+            elif opened:
+                self.leave(self.line(t.start))
+            elif t.kind == "word":
+                before, after = code[at - 1] if at else None, code[at + 1] if at + 1 < end else None
+                if t.value == "import" and (before is None or before.value != "."):
+                    at = self.imported(code, at)
+                    continue
+                if t.value in ("const", "let", "var") and after and after.kind == "word":
+                    at = self.declare(code, at)
+                    continue
+                if self.is_use(before, t, after):
+                    self.use(t)
+            at += 1
+        while len(self.declared) > 1:
+            self.leave(len(self.starts))
+        found = [{"name": n, "kind": "load", "of": None, "line": line, "scope_start": None, "scope_end": None, "bound": bound} for n, line, bound in sorted(self.uses, key=str) if n in self.known]
+        return self.rows + found
+
+    def leave(self, line: int) -> None:
+        for name in self.declared.pop():
+            const = self.local[name].pop()
+            if const:
+                const["scope_end"] = line
+
+    def is_use(self, before: lexing.Token | None, t: lexing.Token, after: lexing.Token | None) -> bool:
+        if before and (before.value == "." and before.end == t.start):
+            return False
+        key = after and after.value == ":" and self.text[after.end : after.end + 1] != ":"
+        return not key or bool(before and before.value not in ("{", "}", ",", "(", ";") and (before.value == "case" or before.kind != "word"))
+
+    def use(self, t: lexing.Token) -> None:
+        line, inner = self.line(t.start), self.local.get(t.value)
+        if not inner:
+            self.uses.add((t.value, line, None))
+        elif inner[-1]:
+            self.uses.add((t.value, line, inner[-1]["line"]))
+
+    def declare(self, code: list[lexing.Token], at: int) -> int:
+        """A declaration: its name, and its string if that is all of its value's beginning. The place at which to read on."""
+        name, first = code[at + 1], code[at - 1] if at and code[at - 1].value == "export" else code[at]
+        own_line = not self.text[self.starts[self.line(first.start) - 1] : first.start].strip()
+        depth, i, value = 0, at + 2, None
+        while i < len(code):  # over a type, to the equals sign
+            t = code[i]
+            if t.value == "=" and not depth:
+                if self.text[t.end : t.end + 1] not in ("=", ">"):
+                    value = code[i + 1] if i + 1 < len(code) else None
+                    break
+            elif i == at + 2 and t.value not in (":", "!") or t.value in (";", "const", "let", "var"):
+                break
+            elif not depth and t.value not in ("=", "|", "&") and code[i - 1].value not in (":", "|", "&") and "\n" in self.text[code[i - 1].end : t.start]:
+                break  # the line ends without a value
+            depth += {"open": 1, "close": -1}.get(t.kind, 0)
+            if depth < 0:
+                break
+            i += 1
+        line = self.line(name.start)
+        const = None
+        if value and value.kind == "text" and value.value[0] in "'\"`" and own_line:
+            const = self.row(name.value, "const", self.string(code, i + 1), line)
+            self.known.add(name.value)
+        inside = len(self.declared) > 1
+        if inside:
+            self.declared[-1].append(name.value)
+            self.local.setdefault(name.value, []).append(const)
+            if const and first.value != "export":
+                const["scope_start"] = line + 1
+        return i + 1 if i < len(code) and code[i].value == "=" else at + 2
+
+    def string(self, code: list[lexing.Token], i: int) -> str:
+        """A literal; of a template also the pieces after its code."""
+        begun = code[i]
+        if begun.value[0] != "`" or begun.value.endswith("`") and len(begun.value) > 1:
+            return begun.value
+        depth = 0
+        for t in code[i + 1 :]:
+            depth += {"open": 1, "close": -1}.get(t.kind, 0)
+            if t.kind == "text" and not depth and not t.value.endswith("${"):
+                return self.text[begun.start : t.end]
+        return self.text[begun.start :]
+
+    def imported(self, code: list[lexing.Token], at: int) -> int:
+        """An import of names from a relative path. The place at which to read on."""
+        names: list[list[str]] = [[]]
+        i, inside = at + 1, False
+        while i < len(code) and code[i].kind != "text" and code[i].value not in (";", "(", "="):
+            t = code[i]
+            inside = t.kind == "open" or inside and t.kind != "close"
+            if t.value == ",":
+                names.append([])
+            elif inside and t.kind == "word":
+                names[-1].append(t.value)
+            i += 1
+        if i < len(code) and code[i].kind == "text" and code[i - 1].value == "from":
+            target = code[i].value[1:-1]
+            if target.startswith("."):
+                home = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), target))
+                home = next((home.removesuffix(s) for s in SCRIPTS if home.endswith(s)), home).replace("/", ".")
+                for words in names:
+                    words = words[1:] if len(words) in (2, 4) and words[0] == "type" else words
+                    for module in (home, f"{home}.index") if words else ():
+                        self.row(words[-1], "import", f"{module}:{words[0]}", self.line(code[at].start))
+                        self.known.add(words[-1])
+            return i + 1
+        return i
 
 
 def script_names(path: str, text: str) -> list[dict]:
-    """The same of a script: constants with strings, imports from relative paths, and uses of either.
-
-    A constant that is indented and not exported holds for the rest of its block. The key of an object is no use.
-    """
-    starts, out = _line_starts(text), []
-    line_of = lambda at: bisect.bisect_right(starts, at)
-    row = lambda name, kind, of, line, scope=(None, None): out.append({"name": name, "kind": kind, "of": of, "line": line, "scope_start": scope[0], "scope_end": scope[1]})
-    for m in _SCRIPT_CONST.finditer(text):
-        n = line_of(m.start(3))
-        local = m[1] and not m[2]
-        row(m[3], "const", text[m.end() :].split("\n", 1)[0] if m.end() - m.start() < 10_000 else "", n, (n + 1, line_of(_block_end(text, m.end()))) if local else (None, None))
-    for m in _SCRIPT_IMPORT.finditer(text):
-        module = posixpath.normpath(posixpath.join(posixpath.dirname(path), m[2]))
-        module = module.removesuffix(next((s for s in SCRIPTS if module.endswith(s)), ""))
-        for part in m[1].split(","):
-            name, _, alias = (x.strip() for x in part.partition(" as "))
-            for home in (module, f"{module}/index") if name else ():
-                row(alias or name, "import", f"{home.replace('/', '.')}:{name}", line_of(m.start()))
-    known = sorted({r["name"] for r in out})
-    if known:
-        use = re.compile(rf"(?<![\w$.])(?:{'|'.join(map(re.escape, known))})(?![\w$])")
-        for n, line in enumerate(text.split("\n"), 1):
-            if _WHOLE_COMMENT.match(line) or line.lstrip().startswith("import "):
-                continue
-            for name in {m[0] for m in use.finditer(line) if not re.match(r"\s*:(?!:)", line[m.end() :]) or re.search(r"\?\s*\Z|\bcase\s+\Z", line[: m.start()])}:
-                row(name, "load", None, n)
-    return out
+    """The same of a script: constants with strings, named imports from relative paths, and uses of either, bound to their declaration if that stands in a block."""
+    return _Script(path, text).read()
 
 
 def names(files: DataFrame) -> DataFrame:
@@ -221,10 +325,14 @@ def constant_uses(hits: DataFrame, files: DataFrame) -> DataFrame:
     """
     found = names(files)
     consts = found.where("kind = 'const'").select("file", "name", F.col("of").alias("value"), F.col("line").alias("defined"), F.col("scope_start").alias("a"), F.col("scope_end").alias("b"))
-    hit = consts.join(hits.select("record_id", "signature", "file", F.col("line").alias("defined")).distinct(), ["file", "defined"])
-    hit = hit.where(F.col("value").contains(F.col("signature")))
-    loads = found.where("kind = 'load'").select("file", "name", "line")
-    here = hit.join(loads, ["file", "name"]).where("a is null or line between a and b")
+    # a literal may go over several lines
+    last = F.col("defined") + F.size(F.split("value", "\n")) - 1
+    spread = consts.withColumn("at", F.explode(F.sequence(F.col("defined"), last)))
+    hit = spread.join(hits.select("record_id", "signature", "file", F.col("line").alias("at")).distinct(), ["file", "at"])
+    hit = hit.where(F.col("value").contains(F.col("signature"))).drop("at").distinct()
+    loads = found.where("kind = 'load'").select("file", "name", "line", "bound")
+    # a use in a script that is bound to a block's declaration is no other's
+    here = hit.join(loads, ["file", "name"]).where("if(bound is null, a is null or (line between a and b and file rlike '[.]py$'), bound = defined)")
     # a module is named by the end of its file's path
     module = F.regexp_replace(F.regexp_replace("file", rf"(?:/__init__)?\.py\z|(?:{'|'.join(s[1:] for s in SCRIPTS)})\z", ""), "/", ".")
     module = F.rtrim(module, F.lit("."))
@@ -236,7 +344,7 @@ def constant_uses(hits: DataFrame, files: DataFrame) -> DataFrame:
     script = lambda c: F.regexp_extract(c, r"\.[^./]*\z", 0).isin(*SCRIPTS)
     fits = (F.col("_module") == F.col("from")) | (~script("file") & F.col("_module").endswith(F.concat(F.lit("."), F.col("from"))))
     linked = exported.join(imports, ["_key", "exported"]).where((script("file") == script("home")) & fits)
-    there = linked.select("record_id", "signature", "file", "name", "home", "defined").join(loads, ["file", "name"])
+    there = linked.select("record_id", "signature", "file", "name", "home", "defined").join(loads.where("bound is null"), ["file", "name"])
     columns = ["record_id", "signature", "file", "name", "line", F.col("home"), "defined"]
     both = here.withColumn("home", F.col("file")).select(*columns).unionByName(there.select(*columns))
     direct = hits.select("record_id", "file", "line").distinct()

@@ -45,7 +45,7 @@ def named_signatures(records: DataFrame) -> DataFrame:
 
 def not_partner(hits: DataFrame, keys: list[str], vendor: str = "vendor") -> DataFrame:
     """Drop a line's hits of a model's id (``keys`` name record, line and signature) if all of them are partners' forms of it."""
-    after = F.substr("line", F.col("stop") + 1, F.lit(64))
+    after = F.substr("line", F.col("stop") + 1)
     own = F.lit(True)
     for name, form in PARTNERS.items():
         own = own & ~(F.col("model") & (F.col(vendor) == name) & after.rlike(form))
@@ -53,44 +53,44 @@ def not_partner(hits: DataFrame, keys: list[str], vendor: str = "vendor") -> Dat
     return hits.withColumn("_own", any_own).where("_own").drop("_own")
 
 
-_QUOTED = re.compile(r"\"(?P<double>(?:[^\"\\]|\\.?)*)(?:\"|\Z)|(?<![^\s:\-\[,{=])'(?P<single>(?:[^'\\]|\\.?)*)(?:'|\Z)")
-_DOUBLE = re.compile(r"\"(?P<double>(?:[^\"\\]|\\.?)*)(?:\"|\Z)")
-_LED = [re.compile(p) for p in (FLAG, ITEM, KEY, OPENER)]
+#: What a quoted string of a data file holds, and what a single quote begins; JSON has double quotes alone.
+_INSIDE, _SINGLE = {'"': r"(?:[^\"\\]|\\.?)*+", "'": r"(?:[^'\\]|\\.?)*+"}, r"(?<![^\s:\-\[,{=])'"
 
 
-def _plain(text: str) -> int:
-    return sum(bool(re.fullmatch(r"[A-Za-z]{2,}", w.strip(".,;:!?()"))) for w in text.split())
+def _plain_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(".,;:!?()")).rlike(r"\A[A-Za-z]{2,}\z")))
 
 
-def is_prose(line: str, start: int, stop: int, suffix: str) -> bool:
-    """Whether what stands at a place of a data file is talked about in a sentence, rather than set."""
-    low, high = 0, max(len(line.split(" #", 1)[0]), stop)
-    for m in (_DOUBLE if suffix == ".json" else _QUOTED).finditer(line):
-        a, b = m.span("double") if m["double"] is not None else m.span("single")
-        if a <= start < b:
-            low, high = a, b
-            break
-    text, before, after = line[low:high], line[low:start], line[stop:high]
-    flag, item, key, opener = (p.search(before) for p in _LED)
-    if flag or item or (key and _plain(re.split("[\"',}\\]]", after, maxsplit=1)[0]) < AFTER_KEY):
-        return False
-    if opener and _plain(before[max(before.rfind("["), before.rfind("{")) + 1 :]) < BEFORE_OPENER:
-        return False
-    least, words, plain = SENTENCE
-    return len(text.strip()) >= least and len(text.split()) >= words and _plain(text) >= plain
+def prose(line: Column, start: Column, stop: Column, suffix: Column) -> Column:
+    """Whether what stands at a place of a data file is talked about in a sentence, rather than set.
 
-
-@F.arrow_udf(T.BooleanType())
-def prose(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([is_prose(*row) for row in zip(*(c.to_pylist() for c in batch), strict=True)], pa.bool_())
+    What is quoted before the place is taken out; a quote that remains is the one that the place stands in, and
+    the sentence is what it quotes. Else it is the line, up to a comment. All are built-in expressions.
+    """
+    left, right = F.substr(line, F.lit(1), start), F.substr(line, stop + 1)
+    double, single = _INSIDE['"'], _INSIDE["'"]
+    json_file = suffix == ".json"
+    rest = F.when(json_file, F.regexp_replace(left, f'"{double}"', "s")).otherwise(F.regexp_replace(left, f"\"{double}\"|{_SINGLE}{single}'", "s"))
+    opened = F.when(json_file, F.regexp_extract(rest, f'(")({double})\\z', 1)).otherwise(F.regexp_extract(rest, f"(?:(\"){double}|(?:{_SINGLE}){single})\\z", 0))
+    quote = F.substr(opened, F.lit(1), F.lit(1))
+    quoted = quote != ""
+    held = F.when(json_file, F.regexp_extract(rest, f'"({double})\\z', 1)).otherwise(F.substr(opened, F.lit(2)))
+    before = F.when(quoted, held).otherwise(left)
+    comment = F.coalesce(F.nullif(F.instr(line, " #"), F.lit(0)) - 1, F.char_length(line))
+    tail = F.substr(line, stop + 1, F.greatest(comment - stop, F.lit(0)))
+    after = F.when(quote == '"', F.regexp_extract(right, rf"\A{double}", 0)).when(quote == "'", F.regexp_extract(right, rf"\A{single}", 0)).otherwise(tail)
+    text = F.concat(before, F.substr(line, start + 1, stop - start), after)
+    words, value = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.regexp_extract(after, r"\A[^\"',}\]]*", 0)
+    least, all_words, plain = SENTENCE
+    set_ = before.rlike(FLAG) | before.rlike(ITEM) | (before.rlike(KEY) & (_plain_words(value) < AFTER_KEY))
+    listed = before.rlike(OPENER) & (_plain_words(F.regexp_extract(before, r"(?s)([^\[{]*)\z", 1)) < BEFORE_OPENER)
+    return ~set_ & ~listed & (F.char_length(F.regexp_replace(text, r"\A\s+|\s+\z", "")) >= least) & (words >= all_words) & (_plain_words(text) >= plain)
 
 
 def not_prose(hits: DataFrame, suffix: str = "suffix") -> DataFrame:
-    """Drop hits of models' ids in sentences of data files; other hits never reach Python."""
-    asked = F.col("model") & F.col(suffix).isin(*DATA)
-    settled = hits.where(~F.coalesce(asked, F.lit(False)))
-    return settled.unionByName(hits.where(asked).where(~prose(F.col("line"), F.col("start"), F.col("stop"), F.col(suffix))))
+    """Drop hits of models' ids in sentences of data files."""
+    asked = F.coalesce(F.col("model") & F.col(suffix).isin(*DATA), F.lit(False))
+    return hits.where(F.when(asked, ~prose(F.col("line"), F.col("start"), F.col("stop"), F.col(suffix))).otherwise(True))
 
 
 def call_text(lines: list[str], at: int) -> str:

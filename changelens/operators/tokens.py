@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_pattern
+from ..functions.text import token_end
 
 #: Rows of a signature table up to which it is broadcast.
 BROADCAST_ROWS = 50_000
@@ -123,8 +123,7 @@ _JOINED = re.compile(r"mcp__[A-Za-z0-9_-]{0,100}__\Z")
 
 def python_pattern(signature: str, model: bool, named: Sequence[str]) -> str:
     """The pattern without its look-behinds, which Python can't vary in length; ``token_positions`` does their work."""
-    pattern = token_pattern(signature, model, named)
-    return pattern[pattern.index(re.escape(signature)) :]
+    return re.escape(signature) + token_end(signature, model, named)
 
 
 def is_token(text: str, at: int, signature: str, pattern: re.Pattern[str]) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..operators import extract, feed, report, scan, tokens
+from ..operators import code_context, extract, feed, report, scan, tokens
 from . import state
 from .base import RECORDS_SQL, TODAY, Catalog, records, table
 
@@ -62,6 +62,54 @@ def excluded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.not_called(hits, rows).select(F.col("file").alias("p_partkey"), "line_no")
 
 
+@query("""SELECT p_partkey, 'mcp' AS signature, 0::INTEGER AS start FROM part
+UNION ALL SELECT p_partkey, s, 4 FROM part JOIN (SELECT DISTINCT p_size::VARCHAR AS s FROM part) ON s = p_partkey::VARCHAR""")
+def short_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' numbers behind a word, for records of that word and of every size: one letter or digit is a signature too."""
+    parts = table(spark, sf_dir, "part")
+    signatures = parts.select(F.col("p_size").cast("string").alias("s")).union(parts.select(F.lit("mcp"))).distinct()
+    wanted = signatures.select(F.col("s").alias("id"), F.array("s").alias("signatures"), F.lit("rest").alias("kind"))
+    rows = parts.select("p_partkey", F.concat(F.lit("mcp "), F.col("p_partkey").cast("string"), F.lit(" x")).alias("line"))
+    return tokens.token_hits(rows, tokens.signature_table(wanted), ["p_partkey"]).select("p_partkey", "signature", "start")
+
+
+@query("""WITH s AS (SELECT DISTINCT 'L' || l_orderkey || '-' || l_linenumber AS s FROM lineitem),
+l AS (SELECT o_orderkey, unnest([['0', '-1'], ['1', '-2']]) AS x FROM orders)
+SELECT o_orderkey, s AS signature, CASE x[1] WHEN '0' THEN 4 ELSE 12 + length(o_orderkey::VARCHAR) END::INTEGER AS start FROM l JOIN s ON s = 'L' || o_orderkey || x[2]""")
+def many_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name two line items, and a third as a part of another name, for a record of each line item: more signatures than an automaton takes."""
+    item = lambda key, n: F.concat(F.lit("L"), F.col(key).cast("string"), F.lit("-"), n)
+    names = table(spark, sf_dir, "lineitem").select(item("l_orderkey", F.col("l_linenumber").cast("string")).alias("s")).distinct()
+    wanted = names.select(F.col("s").alias("id"), F.array("s").alias("signatures"), F.lit("rest").alias("kind"))
+    key = "o_orderkey"
+    line = F.concat(F.lit("see "), item(key, F.lit("1")), F.lit(" and "), item(key, F.lit("2")), F.lit(", not "), item(key, F.lit("3x")))
+    rows = table(spark, sf_dir, "orders").select(key, line.alias("line"))
+    return tokens.token_hits(rows, tokens.signature_table(wanted), [key]).select(key, "signature", "start")
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_brand AS b, p_partkey % 6 AS m FROM part), u AS (SELECT k, b, unnest(CASE m WHEN 0 THEN [2] WHEN 1 THEN [4, 5] WHEN 2 THEN [3] WHEN 3 THEN [2] WHEN 4 THEN [4, 5] ELSE [6] END) AS line, m FROM t)
+SELECT k AS p_partkey, b AS signature, line::INTEGER AS line, 'M (f' || k || CASE m % 2 WHEN 0 THEN '.ts:' ELSE '.js:' END || CASE m WHEN 4 THEN 2 WHEN 5 THEN 4 ELSE 1 END || ')' AS via FROM u""")
+def script_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's brand as a script's constant: under a long type, in a template of several lines, among keys, hidden in a block, within a block, beside a pattern."""
+    b = F.col("p_brand")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [
+        text("const M: ", F.repeat(F.lit("string | "), F.col("p_size") * 40), "null = '", b, "'\ng(M)\n"),
+        text("export const M = `\n", b, "\n`\ng(`${M}`)\nx ? M : y\n"),
+        text("const M = '", b, "'\ng({ M: 1 })\ng({ a: M })\n// M\n"),
+        text("const M = '", b, "'\nif (M) {\n  const M = other()\n  g(M)\n}\n"),
+        text("function f(x) {\n  const M = '", b, "'; if (x) {\n  }\n  switch (x) { case M: break }\n  g(M)\n}\ng(M)\n"),
+        text("x = a / b\ny = c.replace(/[{'`]/g, '')\nif (y) {\n  const M = `", b, "`\n  const o = {\n    a: M\n  }\n}\n"),
+    ]
+    suffix = F.when(F.col("p_partkey") % 2 == 0, ".ts").otherwise(".js")
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), suffix).alias("path"), suffix.alias("suffix"), F.element_at(F.array(*forms), F.col("p_partkey").cast("int") % 6 + 1).alias("text"))
+    brands = table(spark, sf_dir, "part").select(b.alias("id"), F.array(b).alias("signatures"), F.lit("rest").alias("kind")).dropDuplicates(["id"])
+    rows = lines(files, "text", ["path"]).select(F.col("path").alias("file"), F.col("line_no").alias("n"), "line")
+    hits = tokens.token_hits(rows, tokens.signature_table(brands), ["file", "n"]).drop("line").withColumnRenamed("n", "line")
+    found = code_context.constant_uses(hits, files)
+    return found.select(F.regexp_extract("file", "[0-9]+", 0).cast("long").alias("p_partkey"), "signature", "line", "via")
+
+
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a script that defines its brand, in a block and for others; and one that takes it from there."""
     n = F.col("p_partkey").cast("string")

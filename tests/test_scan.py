@@ -50,10 +50,10 @@ PROSE = [
 ]
 
 
-@pytest.mark.parametrize(("line", "suffix", "talk"), PROSE)
-def test_prose_in_data(line, suffix, talk):
-    at = line.index("nova-4")
-    assert scan.is_prose(line, at, at + 6, suffix) == talk
+def test_prose_in_data(spark):
+    rows = spark.createDataFrame([(i, line, line.index("nova-4"), line.index("nova-4") + 6, suffix) for i, (line, suffix, _) in enumerate(PROSE)], "i int, line string, start int, stop int, suffix string")
+    got = {r.i: r.p for r in rows.select("i", scan.prose(F.col("line"), F.col("start"), F.col("stop"), F.col("suffix")).alias("p")).collect()}
+    assert [got[i] for i in range(len(PROSE))] == [talk for *_, talk in PROSE]
 
 
 def test_only_models_in_data_are_asked_for_prose(spark):
