@@ -6,7 +6,8 @@ for each block of text; a line weighs as much as it has text outside links. The
 most ``ENOUGH`` characters) the text surges, where it falls below it dives. The text from a surge to
 its dive is kept, if it weighs ``SHARE`` of the heaviest such run. Windows reach from an element (``SECTIONS``) into those around
 it and in it, not into others beside it, and a light line doesn't dive in the element in which the text
-before or after it surged, or between two surges around it.
+before or after it surged, or between two surges around it. Where the lines in articles are trusted (below), articles are one story:
+windows reach over their parts, nothing of them dives once any of it surges, and the share is that of all of them.
 
 Tags and names only take weight away. Lines of boilerplate elements (``SKIPPED`` tags, ``ROLES``, hidden ones, classes or ids that are made of ``NAMES``
 and ``NEUTRAL`` words alone) weigh nothing and are in no run; but an element that holds most of the text of the page's
@@ -92,7 +93,8 @@ class Line(NamedTuple):
     text: str
     weight: float
     section: Section
-    in_article: bool
+    in_article: bool  # or in main
+    in_story: bool  # in an article proper
 
 
 def _hidden(name: str, attributes: str, in_article: bool) -> bool:
@@ -167,14 +169,14 @@ def lines(html: str) -> list[Line]:
     sections = [page]
     out: list[Line] = []
     line: list[str] = []
-    weight = articles = links = 0
+    weight = articles = stories = links = 0
     skip_to = -1  # up to this token all is boilerplate
     skip_block = False  # up to the next block
 
     def flush() -> None:
         nonlocal weight
         if text := " ".join("".join(line).split()):
-            out.append(Line(text, weight, sections[-1], articles > 0))
+            out.append(Line(text, weight, sections[-1], articles > 0, stories > 0))
         line.clear()
         weight = 0
 
@@ -201,6 +203,8 @@ def lines(html: str) -> list[Line]:
             continue
         if name in ("article", "main"):
             articles = max(0, articles + (-1 if is_end else 1))
+            if name == "article":
+                stories = max(0, stories + (-1 if is_end else 1))
         elif name == "a":
             links = 0 if is_end else 1
         if is_end or name in VOID:
@@ -215,7 +219,7 @@ def lines(html: str) -> list[Line]:
                     skip_to = to
                 else:
                     skip_block = True
-                out.append(Line("", 0, sections[-1], articles > 0))
+                out.append(Line("", 0, sections[-1], articles > 0, stories > 0))
                 continue
         if name in SECTIONS and i in closed:
             sections.append(Section(i, closed[i], sections[-1][:2]))
@@ -228,24 +232,26 @@ def _next_block(tokens: list, i: int) -> int:
 
 
 def main_text(html: str | None) -> str:
-    found = lines(html or "")
+    found, trusted = lines(html or ""), False
     if any(x.in_article and x.text for x in found):
         outside = [x._replace(text="", weight=0) if x.in_article else x for x in found]
         if sum(x.weight for x in found if x.in_article) >= sum(found[i].weight for i in kept(outside)):
-            found = [x if x.in_article else x._replace(weight=OUTSIDE * x.weight) for x in found]
-    return "\n\n".join(found[i].text for i in kept(found))
+            found, trusted = [x if x.in_article else x._replace(weight=OUTSIDE * x.weight) for x in found], True
+    return "\n\n".join(found[i].text for i in kept(found, trusted))
 
 
 def _related(a: Section, b: Section) -> bool:
     return a is b or a.holds(b) or b.holds(a)
 
 
-def kept(found: list[Line]) -> list[int]:
-    """Places of the lines from each surge to its dive, without the light runs."""
+def kept(found: list[Line], trusted: bool = False) -> list[int]:
+    """Places of the lines from each surge to its dive, without the light runs. trusted: whether articles are one story, whatever parts they have."""
     half = WINDOW // 2
-    sums = [sum(x.weight for x in found[max(0, i - half) : i + half + 1] if x.weight and _related(x.section, y.section)) for i, y in enumerate(found)]
+    one = lambda x, y: trusted and x.in_story and y.in_story
+    sums = [sum(x.weight for x in found[max(0, i - half) : i + half + 1] if x.weight and (_related(x.section, y.section) or one(x, y))) for i, y in enumerate(found)]
     threshold = min(ENOUGH, SHARE * max(sums, default=0))
     surges = [i for i, (x, s) in enumerate(zip(found, sums, strict=True)) if x.weight and s >= threshold]
+    story = trusted and any(found[i].in_story for i in surges)
     on = set(surges)
     at = 0  # of the next surge
     for i, line in enumerate(found):
@@ -256,20 +262,22 @@ def kept(found: list[Line]) -> list[int]:
             here = line.section
             beside = {before and before[:2], after and after[:2]}
             around = before and after and (before.holds(here) and after.holds(here) or before.outer == here.outer == after.outer)
-            if around or line.weight and here[:2] in beside:
+            if around or line.weight and here[:2] in beside or story and line.in_story:
                 on.add(i)
-    runs: list[list[int]] = []
+    runs: list[list[int]] = [[]]  # the first is the story's
     last = -1  # line with a text
     for i, line in enumerate(found):
         if i in on:
-            if runs and last == runs[-1][-1] and (_related(found[last].section, line.section) or found[last].section.outer == line.section.outer):
+            if story and line.in_story:
+                runs[0].append(i)
+            elif len(runs) > 1 and last == runs[-1][-1] and (_related(found[last].section, line.section) or found[last].section.outer == line.section.outer):
                 runs[-1].append(i)
             else:
                 runs.append([i])
         if line.text:
             last = i
     weights = [sum(found[i].weight for i in run) for run in runs]
-    return [i for run, weight in zip(runs, weights, strict=True) if weight >= SHARE * max(weights) for i in run]
+    return sorted(i for run, weight in zip(runs, weights, strict=True) if weight >= SHARE * max(weights) for i in run)
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

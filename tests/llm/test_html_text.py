@@ -33,14 +33,16 @@ def test_windows_decide_without_an_article_element(spark):
         assert main_text(r.html.replace("<article", "<div").replace("</article", "</div")) == plain(r.html)
 
 
-def by_definition(found):
+def by_definition(found, trusted=False):
     """Places of the lines that stay: each window, each light line's neighbours and each pair of neighbouring lines looked at anew."""
     n, half = len(found), html_text.WINDOW // 2
     inside = lambda a, b: a.start <= b.start and b.end <= a.end
     related = lambda a, b: inside(a, b) or inside(b, a)
-    sums = [sum(found[k].weight for k in range(n) if abs(k - i) <= half and related(found[k].section, found[i].section)) for i in range(n)]
+    told = lambda i: trusted and found[i].in_story
+    sums = [sum(found[k].weight for k in range(n) if abs(k - i) <= half and (related(found[k].section, found[i].section) or (told(k) and told(i)))) for i in range(n)]
     least = min(html_text.ENOUGH, html_text.SHARE * max(sums, default=0))
     surge = [found[i].weight > 0 and sums[i] >= least for i in range(n)]
+    story = any(surge[i] and told(i) for i in range(n))
     stay = []
     for i in range(n):
         here = found[i].section
@@ -48,14 +50,34 @@ def by_definition(found):
         after = next((found[k].section for k in range(i + 1, n) if surge[k]), None)
         between = before and after and (inside(before, here) and inside(after, here) or before.outer == here.outer == after.outer)
         same = found[i].weight and any(x and (x.start, x.end) == (here.start, here.end) for x in (before, after))
-        stay.append(bool(found[i].text) and bool(surge[i] or between or same))
-    runs = []
-    for i in (k for k in range(n) if stay[k]):
+        stay.append(bool(found[i].text) and bool(surge[i] or between or same or (story and told(i))))
+    runs, mine = [], [i for i in range(n) if stay[i] and story and told(i)]
+    for i in (k for k in range(n) if stay[k] and k not in mine):
         previous = next((k for k in range(i - 1, -1, -1) if found[k].text), None)
         joined = runs and previous == runs[-1][-1] and (related(found[previous].section, found[i].section) or found[previous].section.outer == found[i].section.outer)
         runs[-1].append(i) if joined else runs.append([i])
+    runs += [mine] if mine else []
     heaviest = max((sum(found[i].weight for i in run) for run in runs), default=0)
-    return [i for run in runs if sum(found[i].weight for i in run) >= html_text.SHARE * heaviest for i in run]
+    return sorted(i for run in runs if sum(found[i].weight for i in run) >= html_text.SHARE * heaviest for i in run)
+
+
+LONG = "A paragraph of the story that is a good deal longer than all the others, as the story has much to say here. " * 8
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        (f"<section><p>{LONG}</p></section><section><h2>Sec</h2><p>A small note of text.</p></section>", [LONG.strip(), "Sec", "A small note of text."]),
+        (f"<section><p>{LONG}</p></section><section><p>One.</p></section><section><p>Two.</p></section><div><div><p>Three.</p></div></div>", [LONG.strip(), "One.", "Two.", "Three."]),
+        (f"<p>{LONG}</p></article><article><p>Another article that has no more than sixty characters in it.</p>", [LONG.strip(), "Another article that has no more than sixty characters in it."]),
+        (f"<p>{LONG}</p><ul><li><a href=/a>First link</a></li><li><a href=/b>Second link</a></li></ul>", [LONG.strip(), "First link", "Second link"]),
+        (f"<div><p>{LONG}</p></div><div><p><a href=/c>A paragraph that is one link</a></p></div>", [LONG.strip(), "A paragraph that is one link"]),
+    ],
+)
+def test_nothing_of_an_article_is_lost(inner, text):
+    page = "<html><body><nav><a href=/>Home</a></nav><div><p>Beside the story.</p></div><article>{}</article><div class=sidebar><p>More of it all.</p></div><footer>All rights</footer></body></html>"
+    assert main_text(page.format(inner)).split("\n\n") == text
+    assert main_text(page.format(inner.replace("<p>A", '<p class="ad">Buy</p><p>A', 1))).split("\n\n") == text
 
 
 def test_surges_and_dives_by_definition(spark):
@@ -66,16 +88,17 @@ def test_surges_and_dives_by_definition(spark):
         for _ in range(int(rng.integers(1, 40))):
             kind = rng.integers(6)
             if kind == 0:
-                parts.append(rng.choice(["<div>", "<section>", "<td>", '<div class="ad">']))
+                parts.append(rng.choice(["<div>", "<section>", "<td>", '<div class="ad">', "<article>"]))
             elif kind == 1:
-                parts.append(rng.choice(["</div>", "</section>", "</td>"]))
+                parts.append(rng.choice(["</div>", "</section>", "</td>", "</article>"]))
             else:
                 text = "x" * int(rng.choice([1, 5, 20, 70, 200]))
                 parts.append(f"<p><a>{text}</a></p>" if kind == 2 else f"<p>{text}</p>")
         pages.append("".join(parts))
     for page in pages:
         found = html_text.lines(page)
-        assert html_text.kept(found) == by_definition(found)
+        for trusted in (False, True):
+            assert html_text.kept(found, trusted) == by_definition(found, trusted)
 
 
 @pytest.mark.parametrize(
