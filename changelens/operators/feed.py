@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import id_slug
 from ..schemas import SEVERITIES, rank
+from . import ranks
 
 
 def _day(today: str) -> Column:
@@ -223,8 +225,8 @@ def feed_items(records: DataFrame, home: str) -> DataFrame:
 
 
 def json_feed(records: DataFrame, title: str, home: str) -> DataFrame:
-    """One row: the feed as one JSON document, in the site's order (a page's worth of records; ``feed_items`` for more)."""
-    item = _item(home)
-    place = F.row_number().over(Window.orderBy(*feed_order(tie=["id"])))
-    items = records.select(place.alias("place"), item.alias("item")).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x.item).alias("items"))
-    return items.select(F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.lit(title).alias("title"), F.lit(home).alias("home_page_url"), "items")).alias("feed"))
+    """(place, line): the feed as the lines of one JSON document, in the site's order, an item a line."""
+    text = lambda x: json.dumps(x, ensure_ascii=False)
+    items = ranks.placed(records, feed_order(tie=["id"])).select("place", F.to_json(_item(home)).alias("line"))
+    head = ["{" + f'"version":"https://jsonfeed.org/version/1.1","title":{text(title)},"home_page_url":{text(home)},"items":[']
+    return ranks.document(head, [items], [], ["]}"])

@@ -127,9 +127,21 @@ def constant_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_context.constant_uses(code_context.tiers(_hits(spark, sf_dir), files), files).select("file", "record_id", "line", "via")
 
 
-@query()
+_RULE = """b AS (SELECT DISTINCT p_brand AS b FROM part),
+rule AS (SELECT row_number() OVER (ORDER BY b) AS i, count(*) OVER () AS n, to_json({'id': b, 'name': b, 'shortDescription': {'text': 'V: ' || b}, 'fullDescription': {'text': 'About ' || b}, 'help': {'text': 'See source.' || chr(10) || chr(10) || 'Source: https://x (unreviewed draft: confirm before acting)'}, 'helpUri': 'https://x',
+  'defaultConfiguration': {'level': 'error'}, 'properties': {'tags': ['V', 'rest', 'breaking'], 'effective': '2026-01-02'}})::VARCHAR AS line FROM b),
+s AS (SELECT p_brand AS b, 'src/p' || p_partkey || '.py' AS file, x[1]::INTEGER AS l FROM part, (SELECT unnest([[2], [3], [6]]) AS x)),
+result AS (SELECT row_number() OVER (ORDER BY b, file, l) AS i, count(*) OVER () AS n, to_json({'ruleId': b, 'level': CASE l WHEN 3 THEN 'note' ELSE 'error' END, 'message': {'text': 'V breaking change effective 2026-01-02: ' || b || ' (`' || b || '`)' || CASE l WHEN 3 THEN ' [listed in a table or enum, not a request]' ELSE '' END},
+  'locations': [{'physicalLocation': {'artifactLocation': {'uri': file}, 'region': {'startLine': l}}}], 'partialFingerprints': {'site': sha256(b || ':' || file || ':' || b || ':' || b)}, 'properties': {'inTest': false, 'tier': CASE l WHEN 3 THEN 'listed' ELSE 'use' END}})::VARCHAR AS line FROM s)"""
+
+
+@query(f"""WITH {_RULE}, k AS (SELECT count(*) AS rules FROM rule), m AS (SELECT count(*) AS results FROM result)
+SELECT 1::BIGINT AS place, '{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"changelens","rules":[' AS line UNION ALL SELECT i + 1, line || CASE WHEN i < n THEN ',' ELSE '' END FROM rule
+UNION ALL SELECT rules + 2, ']}}}},"results":[' FROM k UNION ALL SELECT rules + 2 + i, line || CASE WHEN i < n THEN ',' ELSE '' END FROM result, k UNION ALL SELECT rules + results + 3, ']}}]}}' FROM k, m""")
 def sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The code hits of all parts as a SARIF document."""
-    sites = code_context.tiers(_hits(spark, sf_dir), _code(spark, sf_dir)).withColumn("snippet", F.col("signature"))
-    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.lit("breaking").alias("severity")).select(F.col("p_brand").alias("id"), "severity", F.col("p_brand").alias("summary"), F.lit("https://x").alias("source_url"))
-    return report.sarif(sites, brands, "changelens")
+    """The code hits of all parts as the lines of a SARIF document."""
+    sites = code_context.tiers(_hits(spark, sf_dir), _code(spark, sf_dir)).withColumns({"snippet": F.col("signature"), "via": F.lit("")})
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct()
+    known = {"vendor": "V", "kind": "rest", "severity": "breaking", "fix_hint": "", "source_url": "https://x", "verified": False, "verified_by": None}
+    rows = brands.select("id", F.col("id").alias("summary"), F.concat(F.lit("About "), "id").alias("detail"), F.lit("2026-01-02").cast("date").alias("effective"), F.lit(None).cast("date").alias("verified_on"), *[F.lit(v).cast("boolean" if v is False else "string").alias(k) for k, v in known.items()])
+    return report.sarif(sites, rows, "changelens")

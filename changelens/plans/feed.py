@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import id_slug, vendor_slug
-from ..operators import extract, feed, history
+from ..operators import extract, feed, history, ranks
 from ..schemas import rank
 from .base import RECORDS_SQL, TODAY, Catalog, records, table
 
@@ -83,8 +83,30 @@ def vendor_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RECORDS_SQL + "SELECT id, row_number() OVER (ORDER BY effective DESC, rank DESC, id)::INTEGER AS export_place, row_number() OVER (ORDER BY effective DESC, rank, id)::INTEGER AS site_place FROM r")
 def feed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export's order and the site's, side by side."""
+    rows = records(spark, sf_dir).select("id", "effective", "severity")
+    export = ranks.placed(rows, feed.export_order(["id"]), "export_place").select("id", F.col("export_place").cast("int"))
+    site = ranks.placed(rows, feed.feed_order(tie=["id"]), "site_place").select("id", F.col("site_place").cast("int"))
+    return export.join(site, "id")
+
+
+@query(RECORDS_SQL + """, l AS (SELECT rank, effective, id, 'order ' || id || ' is ' || severity || ' for ' || vendor AS line FROM r),
+s AS (SELECT row_number() OVER w AS place, line, sum(length(line) + 1) OVER w AS upto, length(line) + 1 AS n FROM l WINDOW w AS (ORDER BY effective DESC, rank, id))
+SELECT place::BIGINT AS place, left(line, least(length(line), 200000 - (upto - n))::INTEGER) AS line FROM s WHERE upto - n < 200000""")
+def lines_to_a_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each change in the site's order, as far as 200,000 characters go."""
     rows = records(spark, sf_dir)
-    return rows.select("id", F.row_number().over(Window.orderBy(*feed.export_order(["id"]))).alias("export_place"), F.row_number().over(Window.orderBy(*feed.feed_order(tie=["id"]))).alias("site_place"))
+    line = F.concat(F.lit("order "), F.col("id").cast("string"), F.lit(" is "), "severity", F.lit(" for "), "vendor")
+    return ranks.cut(rows.select("effective", "severity", "id", line.alias("line")), feed.feed_order(tie=["id"]), 200_000)
+
+
+@query(RECORDS_SQL + """, p AS (SELECT *, row_number() OVER (ORDER BY effective DESC, rank, id) AS i, count(*) OVER () AS n FROM r)
+SELECT (i + 1)::BIGINT AS place, to_json({'id': id::VARCHAR, 'url': 'https://x/' || id || '.html', 'title': severity, 'content_text': kind, 'date': strftime(effective, '%Y-%m-%d'), 'tags': [vendor, severity, kind]})::VARCHAR || CASE WHEN i < n THEN ',' ELSE '' END AS line FROM p
+UNION ALL SELECT 1, '{"version":"https://jsonfeed.org/version/1.1","title":"All","home_page_url":"https://x","items":[' UNION ALL SELECT count(*) + 2, ']}' FROM r""")
+def feed_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes as the lines of one JSON feed, in the site's order."""
+    rows = records(spark, sf_dir).withColumns({"id": F.lpad(F.col("id").cast("string"), 12, "0"), "summary": F.col("severity"), "detail": F.col("kind")})
+    found = feed.json_feed(rows, "All", "https://x")
+    return found.withColumn("line", F.regexp_replace("line", '(?<=\"id\":\"|https://x/)0+(?=[0-9])', ""))
 
 
 @query("SELECT p_partkey AS id, p_name AS summary, p_brand AS vendor FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring') ORDER BY p_size DESC, p_partkey LIMIT 50")

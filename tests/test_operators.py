@@ -235,6 +235,10 @@ def test_reports(spark):
     assert (r.sites, r.in_code, r.listed, r.in_test) == (3, 1, 1, 1)
     assert tuple(report.totals(sites, known).head()) == (1, 1, 0)
     assert report.fit_sites(sites, 10_000) == 5 and report.fit_sites(sites, 1) == 0
-    out = json.loads(report.sarif(sites, known, "changelens").head().sarif)
+    more = known.select("*", F.lit("V").alias("vendor"), F.lit("rest").alias("kind"), F.lit("").alias("detail"), F.lit(None).cast("string").alias("fix_hint"), F.lit(True).alias("verified"), F.lit("A. Person").alias("verified_by"), F.lit(None).cast("date").alias("verified_on"))
+    lines = report.sarif(sites, more, "changelens").collect()
+    assert sorted(r.place for r in lines) == list(range(1, len(lines) + 1))
+    out = json.loads("\n".join(r.line for r in sorted(lines, key=lambda r: r.place)))
+    assert out["runs"][0]["tool"]["driver"]["rules"][0]["help"]["text"] == "See source.\n\nSource: u (verified by A. Person)"
     assert [x["level"] for x in out["runs"][0]["results"]] == ["error", "note", "error"] and len(out["runs"][0]["tool"]["driver"]["rules"]) == 1
     assert report.first_by_line(sites).count() == 3
