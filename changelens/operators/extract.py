@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date, since
 from ..functions.text import lines
+from . import tokens
 from .tokens import positions
 
 CODE = r"`([^`]+)`"
@@ -252,10 +253,21 @@ def leads(entries: DataFrame, first: str, seen: DataFrame | None = None) -> Data
 
 
 def related(entries: DataFrame, records: DataFrame, urls: DataFrame, least: int = 6) -> DataFrame:
-    """(key, id): records of an entry's vendor (names may be prefixes) that share its address or whose identifier its text names."""
+    """(key, id): records of an entry's vendor (names may be prefixes) that share its address or whose identifier its title or text names.
+
+    An identifier is named as a token, in an entry that has the record's context, and not if an exclude of the record that
+    holds it stands there too. records: (id, vendor, signatures, and context and exclude where there are any).
+    """
+    array_ = {"context": "array<array<string>>", "exclude": "array<string>"}
+    known = records.select("id", F.col("vendor").alias("v"), "signatures", *[(F.col(c) if c in records.columns else F.lit(None).cast(t)).alias(c) for c, t in array_.items()])
+    blob = F.concat_ws("\n", *[c for c in ("title", "text") if c in entries.columns])
+    rows = entries.select("key", "vendor", F.split_part("url", F.lit("#"), F.lit(1)).alias("own"), blob.alias("line"))
     # only vendors' names meet each with each; entries and records are joined by them
-    vendors = entries.select("vendor").distinct().join(records.select(F.col("vendor").alias("v")).distinct(), F.col("vendor").startswith(F.col("v")) | F.col("v").startswith(F.col("vendor")))
-    pairs = entries.join(vendors, "vendor").join(records.select("id", F.col("vendor").alias("v"), "signatures"), "v")
-    own = pairs.join(urls.withColumnRenamed("url", "_url"), "id", "left").groupBy("key", "id", "url", "text", "signatures").agg(F.collect_set("_url").alias("_urls"))
-    named = F.exists("signatures", lambda s: (F.char_length(s) >= least) & F.col("text").contains(s))
-    return own.where(F.array_contains("_urls", F.split_part("url", F.lit("#"), F.lit(1))) | named).select("key", "id")
+    vendors = rows.select("vendor").distinct().join(known.select("v").distinct(), F.col("vendor").startswith(F.col("v")) | F.col("v").startswith(F.col("vendor")))
+    hits = lambda column, size: tokens.token_hits(rows.select("key", "line"), tokens.signature_table(known.select("id", F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda s: F.char_length(s) >= size).alias("signatures"), F.lit("rest").alias("kind"))), ["key"]).select("key", F.col("record_id").alias("id"), "signature").distinct()
+    named, excluded = hits("signatures", least), hits("exclude", 1).withColumnRenamed("signature", "_other")
+    covered = named.join(excluded, ["key", "id"]).where(F.col("_other").contains(F.col("signature"))).select("key", "id", "signature")
+    left = named.join(covered, ["key", "id", "signature"], "left_anti").select("key", "id").distinct()
+    in_context = left.join(rows.join(vendors, "vendor"), "key").join(known.select("id", "v", "context"), ["id", "v"]).where(tokens.context_matches(F.col("line"), F.coalesce("context", F.array().cast("array<array<string>>"))))
+    cited = rows.join(vendors, "vendor").join(urls.select("id", F.col("url").alias("own")), "own").join(known.select("id", "v"), ["id", "v"])
+    return in_context.select("key", "id").union(cited.select("key", "id")).distinct()

@@ -62,13 +62,13 @@ def candidates(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], lin
     odd = signatures.where(~keyed)
     forms = sorted(r.written for r in odd.select("written").distinct().collect() if r.written)
     for i in range(0, len(forms), SCAN_BLOCK):
-        held = lines.select(*keep, F.col(line).alias("line"), F.explode(_held(F.col(line), forms[i : i + SCAN_BLOCK])).alias("written"))
-        found = found.unionByName(held.join(odd.drop("word"), "written"))
+        found_here = lines.select(*keep, F.col(line).alias("line"), F.explode(held(F.col(line), forms[i : i + SCAN_BLOCK])).alias("written"))
+        found = found.unionByName(found_here.join(odd.drop("word"), "written"))
     return found
 
 
-def _held(line: Column, forms: Sequence[str]) -> Column:
-    """Which of the texts a line holds."""
+def held(line: Column, forms: Sequence[str]) -> Column:
+    """Which of some texts a line or a whole text holds, by one automaton of all of them."""
 
     @F.arrow_udf("array<string>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -225,9 +225,25 @@ def repo_words(files: DataFrame, words: Sequence[str], repo: str = "repo", text:
 
 
 def repo_context(records: DataFrame, repos: DataFrame) -> DataFrame:
-    """(id, repo) pairs whose repository has all words of a group."""
-    need = F.exists("repo_context", lambda g: F.size(F.array_except(g, F.col("words"))) == 0)
-    return repos.join(F.broadcast(records.select("id", "repo_context")), (F.size(F.coalesce("repo_context", F.array())) == 0) | need).select("id", "repo")
+    """(id, repo) pairs of the records with a context whose repository has all words of a group, and of those without one with every repository.
+
+    repos: (repo, words). Words meet in a join, so no record is held against every repository but those that hold for all of them.
+    """
+    groups = records.select("id", F.posexplode("repo_context").alias("_group", "_words")).select("id", "_group", F.array_distinct("_words").alias("_words"))
+    need = groups.select("id", "_group", F.size("_words").alias("_n"), F.explode("_words").alias("word"))
+    has = repos.select("repo", F.explode(F.array_distinct("words")).alias("word"))
+    full = need.join(has, "word").groupBy("id", "_group", "_n", "repo").agg(F.count("*").alias("_found")).where("_found = _n").select("id", "repo")
+    empty = groups.where(F.size("_words") == 0).select("id").union(records.where(F.size(F.coalesce("repo_context", F.array())) == 0).select("id")).distinct()
+    everywhere = repos.select("repo", F.explode(F.array(F.lit(0))).alias("_all")).join(empty.withColumn("_all", F.lit(0)), "_all").select("id", "repo")
+    return full.unionByName(everywhere).distinct()
+
+
+def gated(hits: DataFrame, records: DataFrame, repos: DataFrame) -> DataFrame:
+    """hits (record_id, repo, ...) of records without a context, or in a repository (repo, words) that has it."""
+    asked = records.where(F.size(F.coalesce("repo_context", F.array())) > 0)
+    pairs = repo_context(asked, repos).withColumnRenamed("id", "record_id")
+    free = hits.join(asked.select(F.col("id").alias("record_id")), "record_id", "left_anti")
+    return free.unionByName(hits.join(pairs, ["record_id", "repo"], "left_semi").select(*free.columns))
 
 
 def whole_line_comment(line: Column) -> Column:

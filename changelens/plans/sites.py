@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines
 from ..operators import code_context, extract, feed, report, scan, tokens
+from ..sources import code
 from . import state
 from .base import RECORDS_SQL, TODAY, Catalog, records, table
 
@@ -203,3 +204,56 @@ def changelog_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = records(spark, sf_dir).groupBy("customer").agg(F.array_join(F.collect_list(text), "").alias("body"))
     pages = pages.select(F.lit("log").alias("source"), F.concat(F.lit("c"), F.col("customer").cast("string")).alias("vendor"), "body")
     return extract.changelog(pages).select("vendor", "date_text", "title", "url")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS b, p_partkey % 5 AS n FROM part)
+SELECT k AS p_partkey, b AS signature, x[1]::INTEGER AS line_no, 'cell ' || x[2] || ', line ' || x[3] AS cell, (x[4] + n)::INTEGER AS raw_line FROM p, (SELECT unnest([[2, 2, 2, 8], [5, 3, 2, 12]]) AS x)""")
+def notebook_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's brand in the cells of a notebook, and where it stands there and in the file; prose and shell commands don't count."""
+    b = F.col("p_brand")
+    text = F.concat(
+        F.repeat(F.lit("\n"), F.col("p_partkey").cast("int") % 5), F.lit('{\n "cells": [\n  {"cell_type": "markdown", "source": ["use '), b, F.lit('"]},\n  {\n   "cell_type": "code",\n   "source": [\n    "!x '), b, F.lit('\\n",\n    "f(\\"'), b,
+        F.lit('\\")\\n",\n    "g"\n   ]\n  },\n  {"source": "a\\n'), b, F.lit('", "outputs": [{"source": "'), b, F.lit('"}], "cell_type": "code"}\n ]\n}\n'),
+    )
+    notebooks = table(spark, sf_dir, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string"), F.lit(".ipynb")).alias("path"), F.lit(".ipynb").alias("suffix"), text.alias("text"))
+    brands = table(spark, sf_dir, "part").select(b.alias("id"), F.array(b).alias("signatures"), F.lit("rest").alias("kind")).dropDuplicates(["id"])
+    hits = tokens.token_hits(code.code_lines(notebooks), tokens.signature_table(brands), ["path", "line_no", "cell", "raw_line"])
+    return hits.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("p_partkey"), "signature", "line_no", "cell", "raw_line")
+
+
+@query("""SELECT s_suppkey AS repo, r AS record_id FROM supplier, (SELECT unnest(['manifest', 'lock', 'both', 'free']) AS r)
+WHERE CASE r WHEN 'manifest' THEN s_suppkey % 3 <> 0 AND s_suppkey % 4 = 1 WHEN 'lock' THEN s_suppkey % 3 = 0 WHEN 'both' THEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 ELSE true END""")
+def dependency_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as repositories with code, manifests and some lock files; which records' contexts they have."""
+    k = F.col("s_suppkey")
+    known = table(spark, sf_dir, "supplier").select(k.alias("repo"), F.explode(F.array_compact(F.array(
+        F.struct(F.lit("src/a.py").alias("path"), F.when(k % 2 == 0, "import Lib").otherwise("pass").alias("text")),
+        F.struct(F.lit("web/package.json").alias("path"), F.concat(F.lit('{"dependencies": {"lib": "^1.'), (k % 4).cast("string"), F.lit('"}}')).alias("text")),
+        F.when(k % 3 == 0, F.struct(F.lit("web/package-lock.json").alias("path"), F.concat(F.lit('{"packages": {"node_modules/lib": {"version": "2.0.'), k.cast("string"), F.lit('"}}}')).alias("text"))),
+        F.struct(F.lit("node_modules/x/package.json").alias("path"), F.lit('{"dependencies": {"lib": "^9.9"}}').alias("text")),
+        F.struct(F.lit("notes.txt").alias("path"), F.lit("import lib dep:npm:lib@1.1").alias("text")),
+    ))).alias("f")).select("repo", "f.*")
+    contexts = [("manifest", [["dep:npm:lib@1.1"], ["dep:npm:lib@9."]]), ("lock", [["dep:lib@2.0."]]), ("both", [["IMPORT LIB", "dep:lib@2."]]), ("free", None)]
+    records_ = spark.createDataFrame(contexts, "id string, repo_context array<array<string>>")
+    wanted = sorted({w for _, groups in contexts for g in groups or () for w in g})
+    words = tokens.repo_words(code.context_texts(known), wanted)
+    hits = known.where("path = 'src/a.py'").select("repo", F.explode(F.array(*[F.lit(i) for i, _ in contexts])).alias("record_id"))
+    return tokens.gated(hits, records_, words).select("repo", "record_id")
+
+
+@query(RECORDS_SQL + """, e AS (SELECT id, vendor, price % 500 + 1 AS k, id % 4 AS form, id % 700 AS u FROM r),
+p AS (SELECT p_partkey AS part, 'NATION_' || (p_partkey % 10) AS v FROM part)
+SELECT e.id AS key, part AS id FROM e JOIN p ON part = e.u AND (left(vendor, length(v)) = v OR left(v, length(vendor)) = vendor)
+UNION SELECT e.id, part FROM e JOIN p ON part = e.k AND (left(vendor, length(v)) = v OR left(v, length(vendor)) = vendor) WHERE form = 0 OR (form = 2 AND part % 3 <> 0 AND part % 4 <> 0)""")
+def related_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as changelog entries, and the parts of their nations (names may be prefixes) that they name as tokens or share an address with."""
+    k = (F.col("price") % 500 + 1).cast("string")
+    name = F.concat(F.lit("model-"), k)
+    form = F.col("id") % 4
+    text = F.when(form == 0, F.concat(name, F.lit(" is Gone"))).when(form == 1, F.concat(name, F.lit("x is gone"))).when(form == 2, F.concat(name, F.lit(" and "), name, F.lit("-old"))).otherwise(F.concat(F.lit("MODEL-"), k, F.lit(" is gone")))
+    entries = records(spark, sf_dir).select(F.col("id").alias("key"), "vendor", F.lit("News").alias("title"), text.alias("text"), F.concat(F.lit("https://x/"), (F.col("id") % 700).cast("string"), F.lit("#a")).alias("url"))
+    n = F.col("p_partkey")
+    model = F.concat(F.lit("model-"), n.cast("string"))
+    known = table(spark, sf_dir, "part").select(n.alias("id"), F.concat(F.lit("NATION_"), (n % 10).cast("string")).alias("vendor"), F.array(model).alias("signatures"), F.when(n % 3 == 0, F.array(F.concat(model, F.lit("-old")))).alias("exclude"), F.when(n % 4 == 0, F.array(F.array(F.lit("gone")))).alias("context"))
+    urls = known.select("id", F.concat(F.lit("https://x/"), F.col("id").cast("string")).alias("url"))
+    return extract.related(entries, known, urls)

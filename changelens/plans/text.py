@@ -91,6 +91,17 @@ def corpus_gate_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.containment(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id").groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
+@query("""WITH q AS (SELECT doc_id, regexp_extract(text, '(?s)^([^ ]* [^ ]*)', 1) AS a FROM documents), w AS (SELECT DISTINCT a FROM q WHERE a <> '' AND length(a) BETWEEN 12 AND 400),
+d AS (SELECT DISTINCT text FROM documents) SELECT a AS quote, count(*)::BIGINT AS texts FROM w JOIN d ON contains(text, a) GROUP BY a""")
+def short_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many different texts the first two words of each document stand."""
+    documents = table(spark, sf_dir, "documents")
+    first = documents.select(F.regexp_extract("text", r"(?s)\A([^ ]* [^ ]*)", 1).alias("text")).distinct().where("text != '' and char_length(text) between 12 and 400")
+    texts = documents.select(F.sha2("text", 256).alias("t"), "text").dropDuplicates(["t"])
+    found = evidence.containment(first.select(F.col("text").alias("quote"), "text"), texts, "quote", "t")
+    return found.groupBy("quote").agg(F.count("*").alias("texts"))
+
+
 @query(f"SELECT b.item_id, CASE WHEN c.item_id IS NULL THEN 'missing' ELSE 'ok' END AS status FROM benchmark b LEFT JOIN (SELECT DISTINCT item_id FROM ({_CONTAINED})) c USING (item_id)")
 def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
@@ -98,7 +109,8 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id").join(found.withColumn("_ok", F.lit(True)), "item_id", "left").select("item_id", F.when(F.col("_ok"), "ok").otherwise("missing").alias("status"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id AS id, contains(html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS ok FROM pages)
+SELECT id, CASE WHEN ok THEN 'ok' ELSE 'missing' END AS status, []::VARCHAR[] AS missing, []::VARCHAR[] AS errors FROM p""")
 def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each page's own title stands in it, in normal form (each page quotes itself)."""
     pages = table(spark, sf_dir, "pages")

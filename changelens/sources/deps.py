@@ -55,9 +55,18 @@ def _nested(packages: dict) -> Iterator[tuple[str, str]]:
             yield from _nested(value.get("dependencies") or {})
 
 
+def _npm(name: str, wanted: str) -> tuple[str, str]:
+    """A package and its version; of one under another name (``npm:package@version``), the package's own."""
+    own, at, range_ = wanted.removeprefix("npm:").rpartition("@")
+    if not wanted.startswith("npm:"):
+        return name, version(wanted)
+    return (own, version(range_)) if own else (f"{at}{range_}", "")
+
+
 def _json(name: str, data: dict) -> Iterator[tuple[str, str]]:
     if name == "package.json":
-        yield from _tables(data, "dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+        for kind in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
+            yield from (_npm(n, str(v)) for n, v in (data.get(kind) or {}).items())
     elif name == "composer.json":
         yield from ((n, v) for n, v in _tables(data, "require", "require-dev") if "/" in n)
     elif name == "composer.lock":
@@ -68,7 +77,7 @@ def _json(name: str, data: dict) -> Iterator[tuple[str, str]]:
     else:
         for place, value in (data.get("packages") or {}).items():
             if place:
-                yield place.rsplit("node_modules/", 1)[-1], str(value.get("version", ""))
+                yield value.get("name") or place.rsplit("node_modules/", 1)[-1], str(value.get("version", ""))  # one under another name has its own, too
         yield from _nested(data.get("dependencies") or {})
 
 
@@ -148,7 +157,7 @@ def dependency_pins(files: DataFrame) -> DataFrame:
             yield pa.array([[{"name": n, "version": v} for n, v in pins(p, t or "")] for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True)], kind)
 
     rows = files.withColumn("_e", ecosystem(F.col("path"))).where("_e is not null")
-    folder = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
+    folder = F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)
     return rows.select("path", folder.alias("dir"), "_e.*", F.inline(of(F.col("path"), F.col("text"))))
 
 

@@ -56,3 +56,16 @@ def test_report_has_a_hard_stop(spark):
     text = "".join(f"{x}\n" for x in whole)
     short = [r.line for r in report.hard_stop(lines, 1000).orderBy("place").collect()]
     assert "\n".join(short).startswith(text[:799]) and len("\n".join(short)) <= 800
+
+
+def test_containment_in_all_its_ways(spark, monkeypatch):
+    from changelens.operators import evidence, tokens
+
+    texts = [(1, "a b c d e f g"), (2, "x a b c d e f"), (3, "a b"), (4, None), (5, ""), (6, "la " * 5000), (7, "a b c d e fg")]
+    quotes = [(1, "a b c d e f"), (2, "b"), (3, ""), (4, None), (5, "la la la la la la"), (6, "b c d e f"), (7, "no such words in any of them"), (8, "a b"), (9, "c d e f g")]
+    want = {(q, t) for q, x in quotes for t, y in texts if x is not None and y is not None and x in y}
+    tables = spark.createDataFrame(quotes, "q int, text string"), spark.createDataFrame(texts, "t int, text string")
+    for bounds in ((500_000, 20_000, 20_000), (0, 0, 1)):
+        for (module, name), n in zip(((evidence, "BROADCAST_RUNS"), (evidence, "BROADCAST_NEAR"), (tokens, "SCAN_BLOCK")), bounds, strict=True):
+            monkeypatch.setattr(module, name, n)
+        assert {tuple(r) for r in evidence.containment(*tables, "q", "t").collect()} == want
