@@ -34,9 +34,15 @@ def write_table(df: DataFrame, path: str) -> None:
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{name}")
     fs, mark, jvm = _fs(spark, f"{path}/current")
-    out = fs.create(mark, True)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}/.current-{uuid.uuid4().hex}")
+    out = fs.create(beside, False)
     out.write(bytearray(name.encode()))
     out.close()
+    # readers see the old name or the new one, never a file that is being written
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, mark, how)
 
 
 def insert_absent(df: DataFrame, path: str, key: Sequence[str]) -> DataFrame:

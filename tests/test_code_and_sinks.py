@@ -83,3 +83,23 @@ def test_exports(spark, tmp_path):
     blocks = {r.record_id: r.block for r in sinks.markdown(counts, sites).collect()}
     assert blocks["a"].endswith("- `f.py:3` x \\| y") and "Jun 1, 2026: 1 in code" in blocks["a"]
     assert sinks.gate(records, F.col("severity") == "breaking") == 1 and sinks.gate(records, F.lit(False)) == 0
+
+
+def test_a_crash_before_the_new_name_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    first, second = spark.range(3), spark.range(5)
+    sinks.write_table(first, path)
+    held = sinks._fs
+
+    def fails(session, place):
+        if place.endswith("/current"):
+            raise OSError("crashed")
+        return held(session, place)
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_fs", fails)
+        with pytest.raises(OSError):
+            sinks.write_table(second, path)
+    assert sinks.read_table(spark, path).count() == 3
+    sinks.write_table(second, path)
+    assert sinks.read_table(spark, path).count() == 5 and not [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith(".current") and not p.name.endswith(".crc")]
