@@ -151,5 +151,7 @@ def mix(df: DataFrame, path: dict[str, str], weights: dict[tuple[str, ...], int]
     named = {f"__level{i}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for i, c in enumerate(path.values())}
     rows = checkpoint(df.select(F.col(key).alias("__key"), *[c.alias(n) for n, c in named.items()], words(F.col(text)).alias("__tokens")))
     leaves = cuts(rows, checkpoint_small(plan(rows, [*named], weights, percent, max_epochs, "__tokens"), MAX_LEAVES), [*named], seed, "__key", "__tokens")
-    out = take(df.withColumns(named | {"__key": F.col(key)}), leaves, [*named], seed, "__key", "__copies").where("__copies > 0")
-    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(c) for c in df.columns])
+    # whole rows travel as one column, so none of theirs is taken for one of these
+    whole = df.select(F.struct(*df.columns).alias("__doc"), *[c.alias(n) for n, c in named.items()], F.col(key).alias("__key"))
+    out = take(whole, leaves, [*named], seed, "__key", "__copies").where("__copies > 0")
+    return out.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__doc.*")

@@ -150,6 +150,10 @@ def score(statistics: Column, model: Model) -> Column:
     return of(statistics)
 
 
+#: Labels (two numbers each) up to which they are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
+
+
 def labelled(rows: DataFrame, labels: DataFrame, train: Column | str, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """Training rows with their label; ``train`` is a condition on the key."""
     known = labels.where(train).groupBy(key).agg(F.min(label).alias("label"))
@@ -164,7 +168,8 @@ def classify(df: DataFrame, labels: DataFrame, train: Column | str, key: str = "
 
 
 def keep_good(df: DataFrame, labels: DataFrame, train: Column | str, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows whose score reaches the threshold, with their columns; learns first, then scores the texts where they are."""
-    rows = checkpoint(with_statistics(df.select(key, text), text).select(key, "statistics"))
-    model = fit(labelled(rows, labels, train, key, label))
+    """The rows whose score reaches the threshold, with their columns; learns from the labelled texts alone, then scores each text where it is."""
+    known = checkpoint(labels.where(train).groupBy(key).agg(F.min(label).alias("label")))
+    small = F.broadcast if known.count() <= BROADCAST_LABELS else (lambda rows: rows)
+    model = fit(with_statistics(df.select(key, text).join(small(known), key), text))
     return df.where(score(_statistics(F.col(text)), model) >= threshold)

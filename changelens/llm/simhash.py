@@ -387,8 +387,7 @@ def keep_one_similar(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     found = checkpoint(similar_links(sets.select("id", "sketch", "shingles"), similarity))
     tree = components(found.where("group is null").select("a", "b").union(_exact(found.where("group is not null"), sets, named, words, similarity)))
     best = sets.join(tree, sets.id == tree.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.row").alias("__row"))
-    return df.withColumn("__row", _row(df)).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return _of_rows(df, best.select("best.row"))
 
 
 def _exact(asked: DataFrame, sets: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -430,11 +429,16 @@ def _exact(asked: DataFrame, sets: DataFrame, named: DataFrame, words: int, simi
     return asked.select("group", "home", F.col("a").alias("id")).join(held, "id").repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
 
 
+def _of_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of df for each of some marks of rows (of ``_row``), with all its columns, whatever their names."""
+    mark = "_" * (1 + max(map(len, df.columns)))  # longer than any other column's name
+    return df.withColumn(mark, _row(df)).join(rows.toDF(mark), mark, "left_semi").dropDuplicates([mark]).drop(mark)
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The row of each component with the least key, with all its columns."""
     rows = _rows(df, key, text, words)
     by_print = rows.groupBy("fingerprint").agg(F.min(F.struct("id", "row")).alias("best"))
     tree = groups(rows, radius)
     best = tree.join(by_print, "fingerprint").groupBy("root").agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.row").alias("__row"))
-    return df.withColumn("__row", _row(df)).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return _of_rows(df, best.select("best.row"))

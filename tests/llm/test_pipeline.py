@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from changelens.llm import queries
 from tests.llm.test_bpe import REFERENCE
@@ -35,3 +37,23 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, sf_dir).count() <= 2 * odd.count()
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+CLASHING = ("__row", "_", "__key", "__doc", "__copies", "__epoch", "__level0", "__tokens", "statistics", "label", "row", "id", "ids", "exact", "_both", "n_tokens", "sketch")
+
+
+def test_stages_keep_extra_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "src0", 0), (7, "a", "en", "src0", 1), (7, "b", "en", "src0", 1)], docs.schema))
+    extra = odd.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHING})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, extra, sf_dir)
+        assert got.columns == extra.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHING)
+        plain = Counter(r.doc_id for r in stage(spark, odd, sf_dir).collect())
+        assert Counter(r.doc_id for r in rows) == plain
+    last = corpus_pipeline.STAGES[-1][1](spark, extra, sf_dir)
+    assert last.count() == extra.count() and last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "exact"]
+    by_text = {r.doc_id: r for r in last.collect()}
+    assert all(isinstance(r.ids, list) and r.exact for r in by_text.values())
