@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import canonical, canonical_json, safe_name
+from ..session import checkpoint
 
 PATHS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("type", T.StringType()), T.StructField("nullable", T.BooleanType()), T.StructField("optional", T.BooleanType())]))
 
@@ -271,6 +272,8 @@ def tool_events(before: DataFrame, after: DataFrame) -> DataFrame:
     sides = set_diff(before, after, key).select(*key, tool.alias("path"), "change", F.when(removed, "breaking").otherwise("additive").alias("severity"), F.when(removed, F.col("name")).alias("before"), F.when(~removed, F.col("name")).alias("after"))
     columns = ["title", "description", "annotations", "input", "output"]
     both = before.select(*key, *[F.col(c).alias(f"{c}0") for c in columns]).join(after.select(*key, *[F.col(c).alias(f"{c}1") for c in columns]), key)
+    both = checkpoint(both)  # read again for each part and side
+    other = lambda c: ~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1"))
     event = lambda when, path, change, old, new: F.when(when, F.struct(path.alias("path"), F.lit(change).alias("change"), F.lit("info").alias("severity"), old.alias("before"), new.alias("after")))
     differ = lambda c: F.coalesce(f"{c}0", F.lit("")) != F.coalesce(f"{c}1", F.lit(""))
     texts = [event(differ(c), F.concat(tool, F.lit(f".{c}")), f"{c}_changed", F.col(f"{c}0"), F.col(f"{c}1")) for c in ("description", "title")]
@@ -283,14 +286,15 @@ def tool_events(before: DataFrame, after: DataFrame) -> DataFrame:
     renamed = renamed.select("server", F.col("old").alias("name"), F.concat(F.lit("tool:"), "old").alias("path"), F.lit("possible_rename").alias("change"), F.lit("info").alias("severity"), F.col("old").alias("before"), F.col("new").alias("after"))
     out = sides.unionByName(noted).unionByName(renamed)
     for side in ("input", "output"):
-        nodes = lambda n, side=side: both.select(*key, F.explode(tool_params(F.coalesce(f"{side}{n}", F.lit("{}")))).alias("x")).select(*key, "x.*")
+        # the same text is the same schema, and isn't walked
+        nodes = lambda n, side=side: both.where(other(side)).select(*key, F.explode(tool_params(F.coalesce(f"{side}{n}", F.lit("{}")))).alias("x")).select(*key, "x.*")
         found = schema_events(nodes(0), nodes(1), key, side)
         dot = F.when(F.col("path") == "", "").when(F.col("path").startswith("["), F.col("path")).otherwise(F.concat(F.lit("."), F.col("path")))
         out = out.unionByName(found.withColumn("path", F.concat(tool, F.lit(f".{side}"), dot)).select(*out.columns))
     differs = F.lit(False)
     for c in ("annotations", "input", "output"):
         differs = differs | (~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")) & ~canonical_json(F.col(f"{c}0")).eqNullSafe(canonical_json(F.col(f"{c}1"))))
-    silent = both.where(differs).select(*key).join(out.select(*key), key, "left_anti")
+    silent = both.where(other("annotations") | other("input") | other("output")).where(differs).select(*key).join(out.select(*key), key, "left_anti")
     return out.unionByName(silent.select(*key, tool.alias("path"), F.lit("changed_unclassified").alias("change"), F.lit("info").alias("severity"), none.alias("before"), none.alias("after")))
 
 
