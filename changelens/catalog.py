@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import exports, feed, sites, state, surface, text
+from .plans import exports, feed, served, sites, state, surface, text
 from .plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _part in (text, feed, state, surface, sites, exports):
+for _part in (text, feed, state, surface, sites, exports, served):
     QUERIES |= _part.CATALOG.queries
     ORACLES |= _part.CATALOG.oracles

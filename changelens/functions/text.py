@@ -135,6 +135,36 @@ def safe_name(name: Column, pattern: str = r"\A[A-Za-z0-9_.:/-]{1,128}\z") -> Co
     return F.when(name.rlike(pattern), name).otherwise(F.concat(F.lit("sha256:"), F.sha2(name, 256)))
 
 
+#: Forms of a tool's plain name, of a hashed one, of paths and of what follows a tool's name in one.
+TOOL_NAME = r"\A[A-Za-z0-9_.\-/]{1,128}\z"
+HASHED = r"\Asha256:[0-9a-f]{64}\z"
+PATH = r"\A[A-Za-z0-9_.\-/\[\]:]{1,600}\z"
+PATH_REST = r"\A[A-Za-z0-9_.\-/\[\]]{0,256}\z"
+UNSHOWN = r"[\x00-\x1f\x7f-\x9f\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
+
+
+def safe_tool(name: Column) -> Column:
+    """A plain or hashed name as it is, any other as its hash; none for null."""
+    kept = name.rlike(TOOL_NAME) | name.rlike(HASHED)
+    return F.when(F.coalesce(name, F.lit("")) == "", "").when(kept, name).otherwise(F.concat(F.lit("sha256:"), F.sha2(name, 256)))
+
+
+def safe_path(path: Column, tool: Column) -> Column:
+    """A path of plain characters as it is, any other as a hash; below a tool only what is odd is hashed."""
+    path, head = F.coalesce(path, F.lit("")), F.concat(F.lit("tool:"), tool)
+    below = F.coalesce((tool != "") & path.startswith(head), F.lit(False))
+    rest = F.substr(path, F.char_length(head) + 1)
+    part = F.regexp_extract(rest, r"\A\.(?:input|output|annotations)", 0)
+    rest = F.when(rest.rlike(PATH_REST), rest).otherwise(F.concat(part, F.lit(".sha256:"), F.sha2(rest, 256)))
+    alone = F.when(path.rlike(PATH), path).otherwise(F.concat(F.lit("sha256:"), F.sha2(path, 256)))
+    return F.when(path == "", "").when(below, F.concat(F.lit("tool:"), safe_tool(tool), rest)).otherwise(alone)
+
+
+def plain_text(text: Column, size: int) -> Column:
+    """At most ``size`` characters of a text without control and invisible ones; empty for null."""
+    return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), UNSHOWN, ""), 1, size)
+
+
 _DROPPED = re.compile(r"(?is)<style\b.*?</style\s*>|<script\b.*?</script\s*>|<!--.*?-->")
 _SHOWN = re.compile(r"(?i)\b(?:label|title|alt|aria-label|datetime)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _INLINE = re.compile(r"(?i)</?(?:a|abbr|b|code|em|i|kbd|mark|s|small|span|strong|sub|sup|u|var|wbr)\b[^<>]*>")
