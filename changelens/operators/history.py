@@ -36,6 +36,10 @@ class Machine:
     flips: dict[str, int] = field(default_factory=dict)
     failing_since: str | None = None
     failure: str | None = None
+    protocol: str | None = None
+    since: str | None = None
+    last_checked: str | None = None
+    last_ok: str | None = None
 
     @classmethod
     def load(cls, text: str) -> Machine:
@@ -44,8 +48,12 @@ class Machine:
     def dump(self) -> str:
         return json.dumps(asdict(self))
 
-    def step(self, at: str, outcome: str, seen: str | None, tools: int) -> Iterator[dict]:
-        """What one observation adds to the history. A failure adds nothing, and leaves what waits to be confirmed."""
+    def step(self, at: str, outcome: str, seen: str | None, tools: int, protocol: str | None = None) -> Iterator[dict]:
+        """What one observation adds to the history. A failure adds nothing, and leaves what waits to be confirmed.
+
+        The same tools by another protocol are no change; the state takes the protocol on.
+        """
+        self.last_checked = at
         if outcome == "ok" and tools == 0 and (self.current is None or self.tools > 0):
             outcome = "empty"
         if outcome != "ok" or seen is None:
@@ -54,12 +62,15 @@ class Machine:
             self.failure = outcome
             return
         self.failing_since = self.failure = None
+        self.last_ok = at
+        if self.current is None or seen in (self.current, self.pending):
+            self.protocol = protocol
         if self.current is None:
-            self.current, self.tools = seen, tools
+            self.current, self.tools, self.since = seen, tools, at
             yield {"kind": "first_seen", "date": at, "confirmed_at": at, "to_hash": seen}
         elif seen == self.pending:
             old, since, before = self.current, self.pending_since, self.changed_from
-            self.current, self.tools, self.pending, self.pending_since, self.changed_from = seen, tools, None, None, old
+            self.current, self.tools, self.pending, self.pending_since, self.changed_from, self.since = seen, tools, None, None, old, at
             yield {"kind": "change", "date": since, "confirmed_at": at, "from_hash": old, "to_hash": seen}
             if before == seen:
                 yield from self._flip(at, old, seen)
@@ -117,6 +128,63 @@ def replay(observations: DataFrame, key: str, ts: str = "ts", outcome: str = "ou
     return ordered.mapInPandas(run, f"{key} {kind}, {OUT}")
 
 
+STATE = "hash string, tools bigint, protocol string, since timestamp, pending string, pending_since timestamp, failing_since timestamp, failure string, last_checked timestamp, last_ok timestamp"
+
+
+def current(observations: DataFrame, key: str, ts: str = "ts", outcome: str = "outcome", seen: str = "hash", tools: str = "tools", protocol: str = "protocol") -> DataFrame:
+    """(key, STATE): what is known of each key after its last observation; the columns of ``seen`` and what only a key's failures know are null.
+
+    Read as in ``replay``, a key's state at hand and no more. Observations of one stamp are taken in the order of outcome, hash and protocol.
+    """
+    kind = observations.schema[key].dataType.simpleString()
+    names = [c.split(" ")[0] for c in STATE.split(", ")]
+
+    def row(k: Any, m: Machine) -> dict:
+        return {**asdict(m), key: k, "hash": m.current, "tools": None if m.current is None else m.tools}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, of = None, None
+        for batch in batches:
+            out = []
+            for k, at, *observation in batch[[key, ts, outcome, seen, tools, protocol]].itertuples(index=False):
+                if machine is None or k != of:
+                    out += [] if machine is None else [row(of, machine)]
+                    machine, of = Machine(), k
+                for _ in machine.step(pd.Timestamp(at).isoformat(), observation[0], observation[1], int(observation[2]), observation[3]):
+                    pass
+            if out:
+                yield _states(out)
+        if machine is not None:
+            yield _states([row(of, machine)])
+
+    def _states(found: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=[key, *names])
+        for c in ("since", "pending_since", "failing_since", "last_checked", "last_ok"):
+            out[c] = pd.to_datetime(out[c], format="ISO8601")
+        return out.astype({"tools": "Int64"})
+
+    ordered = observations.select(key, ts, outcome, seen, tools, protocol).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, ts, outcome, seen, protocol)
+    return ordered.mapInPandas(run, f"{key} {kind}, {STATE}")
+
+
+def settled(history: DataFrame, key: str) -> DataFrame:
+    """A history in which a change that was applied again, as its run had died before it named the new list, stands once.
+
+    Two changes of a key from and to the same lists can't follow on one another; those that do are one change, dated by the run that
+    first saw it and confirmed by the last. First sights and unstable pairs of the same lists stand once too, by their first run.
+    Changes of one stamp are taken in the order of their dates and lists.
+    """
+    columns = [key, *COLUMNS]
+    order = Window.partitionBy(key).orderBy("confirmed_at", "date", "from_hash", "to_hash")
+    pair = F.struct("from_hash", "to_hash")
+    changes = history.where("kind = 'change'").select(*columns)
+    changes = changes.withColumn("_new", F.when(F.lag(pair).over(order).eqNullSafe(pair), 0).otherwise(1))
+    changes = changes.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = changes.groupBy(key, "_run").agg(F.first("kind").alias("kind"), F.min("date").alias("date"), F.max("confirmed_at").alias("confirmed_at"), F.first("from_hash").alias("from_hash"), F.first("to_hash").alias("to_hash"), F.first("hashes").alias("hashes"))
+    others = history.where("kind != 'change'").groupBy(key, "kind", "from_hash", "to_hash", "hashes").agg(F.min("date").alias("date"), F.min("confirmed_at").alias("confirmed_at"))
+    return one.select(*columns).unionByName(others.select(*columns))
+
+
 def streaks(observations: DataFrame, key: str, ts: str = "ts", outcome: str = "outcome", kinds: Sequence[str] = ("auth",)) -> DataFrame:
     """Runs of failures: (key, begin, end, failures); one ends with a success, or if it turns to or from ``kinds``."""
     order = Window.partitionBy(key).orderBy(ts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import diff, history
@@ -118,6 +118,37 @@ def confirmed_changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark.read.parquet(f"{out}/rows").where("kind != 'unstable'"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, ts, event_type AS h, 'v' || event_id % 4 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE event_type <> 'error'),
+m AS (SELECT user_id, i, h AS cur, p AS protocol, ts AS since, CAST(NULL AS VARCHAR) AS pend, CAST(NULL AS TIMESTAMP) AS pend_since FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, CASE WHEN o.h = m.pend THEN o.h ELSE m.cur END, CASE WHEN o.h = m.cur OR o.h = m.pend THEN o.p ELSE m.protocol END, CASE WHEN o.h = m.pend THEN o.ts ELSE m.since END,
+    CASE WHEN o.h = m.cur OR o.h = m.pend THEN NULL ELSE o.h END, CASE WHEN o.h = m.cur OR o.h = m.pend THEN NULL ELSE o.ts END FROM m JOIN o ON o.user_id = m.user_id AND o.i = m.i + 1),
+l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1),
+a AS (SELECT user_id, max(ts) AS last_checked, max(ts) FILTER (event_type <> 'error') AS last_ok FROM events GROUP BY user_id)
+SELECT user_id, cur AS hash, protocol, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, pend AS pending, strftime(pend_since, '%Y-%m-%d %H:%M:%S') AS pending_since, strftime(last_checked, '%Y-%m-%d %H:%M:%S') AS last_checked, strftime(last_ok, '%Y-%m-%d %H:%M:%S') AS last_ok
+FROM a LEFT JOIN l USING (user_id)""")
+def current_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each user after the last event; the protocol of an event says nothing of a change."""
+    events = table(spark, sf_dir, "events")
+    seen = observations(events).join(events.select("user_id", "ts", F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("protocol")), ["user_id", "ts"])
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return history.current(seen, "user_id").select("user_id", "hash", "protocol", day("since"), "pending", day("pending_since"), day("last_checked"), day("last_ok"))
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_type AS h, lag(event_type) OVER w AS b, coalesce(epoch_us(lead(ts) OVER w) - epoch_us(ts), 8) // 2 AS half FROM events WHERE event_type <> 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, 'change' AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, strftime(ts + to_microseconds(half), '%Y-%m-%d %H:%M:%S') AS confirmed_at, b AS from_hash, h AS to_hash FROM c WHERE b IS NOT NULL AND b <> h""")
+def settled_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn from one type of event to another, recorded three times before the next event by runs that died before they were through."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    seen = observations(table(spark, sf_dir, "events")).where("outcome = 'ok'").select("user_id", "hash", micros.alias("at"))
+    order = Window.partitionBy("user_id").orderBy("at")
+    turns = seen.select("user_id", "at", F.col("hash").alias("to_hash"), F.lag("hash").over(order).alias("from_hash"), F.coalesce(F.lead("at").over(order) - F.col("at"), F.lit(8)).alias("gap")).where("from_hash != to_hash")
+    again = turns.select("*", F.explode(F.array(F.lit(0).cast("long"), F.expr("gap div 4"), F.expr("gap div 2"))).alias("late"))
+    # the second of the three dates itself by its own run
+    date = F.when(F.col("late") == F.expr("gap div 4"), F.col("at") + F.col("late")).otherwise(F.col("at"))
+    rows = again.select("user_id", F.lit("change").alias("kind"), F.timestamp_micros(date).alias("date"), F.timestamp_micros(F.col("at") + F.col("late")).alias("confirmed_at"), "from_hash", "to_hash", F.lit(None).cast("array<string>").alias("hashes"))
+    return _shown(history.settled(rows, "user_id"))
+
+
 @query()
 def unstable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.replay(observations(table(spark, sf_dir, "events")), "user_id").where("kind = 'unstable'")
