@@ -149,7 +149,12 @@ def settled_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(history.settled(rows, "user_id"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, ts, event_type AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE event_type <> 'error'),
+m AS (SELECT user_id, i, ts, h AS cur, CAST(NULL AS VARCHAR) AS pend, CAST(NULL AS VARCHAR) AS left_from, CAST(NULL AS VARCHAR) AS a, h AS b FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.ts, CASE WHEN o.h = m.pend THEN o.h ELSE m.cur END, CASE WHEN o.h = m.cur OR o.h = m.pend THEN NULL ELSE o.h END, CASE WHEN o.h = m.pend THEN m.cur ELSE m.left_from END,
+    CASE WHEN o.h = m.pend THEN CASE WHEN m.left_from = o.h THEN m.cur END ELSE m.pend END, o.h
+  FROM m JOIN o ON o.user_id = m.user_id AND o.i = m.i + 1)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, least(a, b) || ',' || greatest(a, b) AS pair FROM m WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, least(a, b), greatest(a, b) ORDER BY ts) = 2""")
 def unstable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.replay(observations(table(spark, sf_dir, "events")), "user_id").where("kind = 'unstable'")
     return rows.select("user_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.array_join("hashes", ",").alias("pair"))
