@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import feed, history
+from . import feed, history, scan, tokens
 
 MAX_ROWS, MAX_ASKED, MAX_DAYS = 50, 100, 365
 
@@ -27,15 +27,43 @@ def same_vendor(vendor: Column, asked: str) -> Column:
     return (F.lower(vendor) == asked.lower()) | (slug == asked.lower())
 
 
+def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+
+
 def naming(records: DataFrame, asked: DataFrame) -> DataFrame:
-    """(asked, record columns): records that name an identifier; model ids without regard to case, and their snapshots."""
+    """(asked, record columns): records that an asked text names, by the rule by which code is scanned.
+
+    A signature stands in the text as a token; a model's without regard to case, also as a snapshot or as a variant that
+    the record's prose names. Longer signatures come first and what they cover is taken; what an exclude covers, or a text that
+    goes on as an exclude does, white space aside, names nothing, nor does a model's id in a partner's form alone. Null texts name nothing.
+    """
     model = F.col("kind") == "model"
-    named = records.withColumn("_signature", F.explode("signatures"))
-    named = named.withColumns({"_model": model, "_key": F.when(model, F.lower("_signature")).otherwise(F.col("_signature"))})
-    base = F.regexp_replace(F.lower("asked"), r"-(?:\d{8}|\d{4}-\d{2}-\d{2}|\d{4}|\d{3}|latest)\z", "")
-    key = lambda m, k: F.struct(F.lit(m).alias("_model"), k.alias("_key"))
-    keys = asked.select("asked", F.inline(F.array_distinct(F.array(key(False, F.col("asked")), key(True, F.lower("asked")), key(True, base)))))
-    return named.join(keys, ["_model", "_key"]).drop("_model", "_key", "_signature").dropDuplicates(["asked", "id"])
+    texts = lambda c: F.coalesce(_column(records, c, "array<string>"), F.array().cast("array<string>"))
+    own = lambda c: F.array_distinct(F.filter(F.transform(texts(c), lambda x: F.when(model, F.lower(x)).otherwise(x)), lambda x: x != ""))
+    prose = F.concat_ws(" ", *[_column(records, c) for c in ("summary", "detail", "surface")])
+    named = F.when(model, scan.record_names(prose)).otherwise(F.array().cast("array<string>"))
+    known = records.select(F.col("id").alias("record_id"), _column(records, "vendor").alias("vendor"), F.coalesce(model, F.lit(False)).alias("model"), own("signatures").alias("_own"), own("exclude").alias("_excludes"), named.alias("named"))
+    signatures = known.select("record_id", "vendor", "model", "_excludes", "named", F.posexplode("_own").alias("_order", "signature"), F.lit(False).alias("_out"))
+    excludes = known.select("record_id", "vendor", "model", "_excludes", "named", F.explode("_excludes").alias("signature")).withColumns({"_order": F.lit(0), "_out": F.lit(True)})
+    wanted = signatures.unionByName(excludes).withColumns({"written": F.col("signature"), "word": tokens.longest_word(F.col("signature"))})
+    lines = asked.select("asked").where("asked is not null").distinct()
+    side = lambda is_model, line: tokens.token_hits(lines.withColumn("line", line), wanted.where(F.col("model") == F.lit(is_model)), ["asked"], F.col("named"))
+    hits = side(True, F.lower("asked")).unionByName(side(False, F.col("asked")))
+    partner = F.lit(False)
+    for name, form in scan.PARTNERS.items():
+        partner = partner | F.coalesce(F.col("model") & (F.col("vendor") == name) & F.substr("line", F.col("stop") + 1).rlike(form), F.lit(False))
+    flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    goes_on = F.exists(F.filter(F.transform("_excludes", flat), lambda e: e.startswith(F.col("signature"))), lambda e: flat(F.substr("line", F.col("start") + 1)).startswith(e))
+    # a text's hits of one record are as many as the text has places at most, times the record's signatures
+    hit = F.struct((-F.char_length("signature")).alias("size"), F.col("_order").alias("order"), "start", "stop", "signature", goes_on.alias("goes_on"), partner.alias("partner"))
+    found = hits.groupBy("asked", "record_id").agg(F.array_sort(F.collect_list(F.when(~F.col("_out"), hit))).alias("_hits"), F.collect_list(F.when(F.col("_out"), F.struct("start", "stop"))).alias("_spans"))
+    free = F.filter("_hits", lambda h: ~h["goes_on"] & ~F.exists("_spans", lambda x: (x["start"] <= h["start"]) & (x["stop"] >= h["stop"])))
+    taken = lambda acc, h: F.exists(acc, lambda x: (x["signature"] != h["signature"]) & (x["start"] < h["stop"]) & (h["start"] < x["stop"]))
+    kept = F.aggregate(free, F.filter("_hits", lambda h: F.lit(False)), lambda acc, h: F.when(taken(acc, h), acc).otherwise(F.concat(acc, F.array(h))))
+    ours = F.filter(kept, lambda h: F.exists("_hits", lambda x: (x["signature"] == h["signature"]) & ~x["partner"]))
+    pairs = found.where(F.size(ours) > 0).select("asked", F.col("record_id").alias("id"))
+    return records.join(pairs, "id").select("asked", *records.columns)
 
 
 def check_identifiers(records: DataFrame, asked: DataFrame, today: str) -> DataFrame:

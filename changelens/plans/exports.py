@@ -35,6 +35,20 @@ def check_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.check_identifiers(known, asked, TODAY).select("asked", "records", "id", "effective", "severity")
 
 
+@query(RECORDS_SQL + """, a AS (SELECT p_partkey AS n, p_partkey % 6 AS form FROM part)
+SELECT CASE form WHEN 0 THEN 'vendor/PART-' || n WHEN 1 THEN 'part-' || n || '-20240101' ELSE 'part-' || n || '-mini' END AS asked, id FROM a JOIN r ON price % 500 = n WHERE form <= 2 AND n >= 10""")
+def asked_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' models as people write them: in capitals behind a vendor, as snapshots, as variants that the record names or excludes, inside other words."""
+    key = F.concat(F.lit("part-"), (F.col("price") % 500).cast("string"))
+    rows = records(spark, sf_dir).where(F.col("price") % 500 >= 10)
+    known = rows.select("id", "vendor", F.lit("model").alias("kind"), F.array(key).alias("signatures"), F.lit("also -mini and -old").alias("summary"), F.array(F.concat(key, F.lit("-old"))).alias("exclude"))
+    n = F.col("p_partkey").cast("string")
+    part = F.concat(F.lit("part-"), n)
+    forms = [F.concat(F.lit("vendor/PART-"), n), F.concat(part, F.lit("-20240101")), F.concat(part, F.lit("-mini")), F.concat(part, F.lit(".5")), F.concat(F.lit("x"), part), F.concat(part, F.lit("-old"))]
+    asked = table(spark, sf_dir, "part").select(F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int")).alias("asked"))
+    return service.naming(known, asked).select("asked", "id")
+
+
 @query(RECORDS_SQL + "SELECT id, vendor, '<entry><id>https://x/' || id || '.html</id><title>' || severity || ' &lt;' || kind || '&gt;</title><updated>' || strftime(effective, '%Y-%m-%dT00:00:00Z') || '</updated><link href=\"https://x/' || id || '.html\"/></entry>' AS element FROM r")
 def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).withColumn("summary", F.concat("severity", F.lit(" <"), "kind", F.lit(">")))
