@@ -48,8 +48,21 @@ def naming(records: DataFrame, asked: DataFrame) -> DataFrame:
     excludes = known.select("record_id", "vendor", "model", "_excludes", "named", F.explode("_excludes").alias("signature")).withColumns({"_order": F.lit(0), "_out": F.lit(True)})
     wanted = signatures.unionByName(excludes).withColumns({"written": F.col("signature"), "word": tokens.longest_word(F.col("signature"))})
     lines = asked.select("asked").where("asked is not null").distinct()
-    side = lambda is_model, line: tokens.token_hits(lines.withColumn("line", line), wanted.where(F.col("model") == F.lit(is_model)), ["asked"], F.col("named"))
-    hits = side(True, F.lower("asked")).unionByName(side(False, F.col("asked")))
+    # forms are looked for once, however many records share them; records come in afterwards
+    forms = wanted.select("model", "written", "word", "named").distinct()
+    few = forms.select("written").distinct().limit(tokens.SCAN_ROWS + 1).count() <= tokens.SCAN_ROWS
+    written = sorted(r.written for r in forms.select("written").distinct().collect()) if few else []
+
+    def side(is_model: bool, line: Column) -> DataFrame:
+        texts, mine = lines.withColumn("line", line), forms.where(F.col("model") == F.lit(is_model))
+        if few:
+            return texts.select("asked", "line", F.explode(tokens.held(F.col("line"), written)).alias("written")).join(mine.drop("word"), "written")
+        return tokens.candidates(texts, mine, ["asked"])
+
+    at = side(True, F.lower("asked")).unionByName(side(False, F.col("asked")), allowMissingColumns=True)
+    at = at.withColumn("start", F.explode(tokens.positions(F.col("line"), F.col("written"), F.col("model"), F.col("named"))))
+    at = at.withColumn("stop", F.col("start") + F.char_length("written"))
+    hits = at.select("asked", "line", "model", "written", "named", "start", "stop").join(wanted.drop("word"), ["model", "written", "named"])
     partner = F.lit(False)
     for name, form in scan.PARTNERS.items():
         partner = partner | F.coalesce(F.col("model") & (F.col("vendor") == name) & F.substr("line", F.col("stop") + 1).rlike(form), F.lit(False))
