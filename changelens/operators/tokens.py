@@ -3,7 +3,7 @@
 Signatures are a small dimension; lines are the large side. As far as the signatures are
 few (counted first), ``token_hits`` scans each line once with an automaton of all of them.
 More of them are joined: candidates are found by an equi-join on plain words, so that every
-line meets only signatures whose longest word it holds, and verifies them with
+line meets only signatures whose rarest word it holds (of words, the one that fewest signatures have), and verifies them with
 the exact pattern; signatures that may stand inside a word or have none are looked for
 by automata of bounded size beside the join. A word on a third of all lines is a skewed key of the large
 side only; the dimension's rows are broadcast as far as their size allows, and
@@ -25,6 +25,8 @@ from ..functions.text import token_end
 BROADCAST_ROWS = 50_000
 #: Rows of a signature table up to which lines are scanned for all of them at once.
 SCAN_ROWS = 20_000
+#: Compiled ends of tokens that a worker keeps.
+ENDS = 1_000
 #: Signatures of one automaton beside the join.
 SCAN_BLOCK = 20_000
 
@@ -43,13 +45,28 @@ def longest_word(text: Column) -> Column:
     return F.try_element_at(F.array_sort(words, lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(1))
 
 
+def by_rarest_word(signatures: DataFrame) -> DataFrame:
+    """Signatures (written, ...) with, as ``word``, that of their words which fewest of them have; of several the longest, then the first in order.
+
+    A word that many share (``model`` in ``model-1``, ``model-2``, ...) would bring every line with it to all of them.
+    Words with ``__`` are taken only if there is no other. None is null.
+    """
+    words = F.array_distinct(F.regexp_extract_all("written", F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    plain = F.filter(words, lambda w: ~w.contains("__"))
+    forms = signatures.select("written").distinct()
+    each = forms.select("written", F.explode(F.when(F.size(plain) > 0, plain).otherwise(words)).alias("_word"))
+    rarity = each.groupBy("_word").agg(F.count("*").alias("_n"))
+    best = each.join(rarity, "_word").groupBy("written").agg(F.min(F.struct("_n", -F.char_length("_word"), "_word")).alias("_best"))
+    return signatures.drop("word").join(best.select("written", F.col("_best._word").alias("word")), "written", "left").select(*signatures.columns)
+
+
 def line_words(lines: DataFrame, keep: Sequence[str], line: str = "line") -> DataFrame:
     """Each word of each line once."""
     return lines.select(*keep, line, F.explode(F.array_distinct(F.regexp_extract_all(F.col(line), F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word"))
 
 
 def candidates(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], line: str = "line") -> DataFrame:
-    """Lines that hold a signature as a substring, found by its longest word; ``signatures`` has (written, word, ...).
+    """Lines that hold a signature as a substring, found by its rarest word; ``signatures`` has (written, word, ...).
 
     A signature may begin or end inside a word of the line (``mcp__x__name``, names with
     underscores at their ends); those have their own key: any word that contains it. Signatures
@@ -57,6 +74,7 @@ def candidates(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], lin
     holds them, and are found by automata instead.
     """
     text = F.col("written")
+    signatures = by_rarest_word(signatures)
     keyed = F.coalesce(~(text.startswith("_") | text.endswith("_") | F.col("word").contains("__")), F.lit(False))
     found = _by_word(lines, signatures.where(keyed), keep, line)
     odd = signatures.where(~keyed)
@@ -105,14 +123,16 @@ def positions(line: Column, signature: Column, model: Column, named: Column) ->
 
     @F.arrow_udf("array<int>")
     def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        patterns: dict[tuple, re.Pattern[str]] = {}
+        ends: dict[str, re.Pattern[str]] = {}
         for texts, signatures, models, names in batches:
             out = []
             for text, s, is_model, n in zip(texts.to_pylist(), signatures.to_pylist(), models.to_pylist(), names.to_pylist(), strict=True):
-                key = s, is_model, tuple(n or ())
-                if key not in patterns:
-                    patterns[key] = re.compile(python_pattern(s, bool(is_model), n or ()))
-                out.append(token_positions(text, s, patterns[key]))
+                end = token_end(s, bool(is_model), n or ())
+                if end not in ends:
+                    if len(ends) >= ENDS:
+                        ends.clear()
+                    ends[end] = re.compile(end)
+                out.append(token_positions(text, s, ends[end], len(s)))
             yield pa.array(out, pa.list_(pa.int32()))
 
     return of(line, signature, model, named)
@@ -122,21 +142,24 @@ _JOINED = re.compile(r"mcp__[A-Za-z0-9_-]{0,100}__\Z")
 
 
 def python_pattern(signature: str, model: bool, named: Sequence[str]) -> str:
-    """The pattern without its look-behinds, which Python can't vary in length; ``token_positions`` does their work."""
+    """The pattern without its look-behinds, which Python can't vary in length; ``token_positions`` does their work.
+
+    Few ends differ (``token_end``): many signatures share a compiled one, to be matched behind where they stand.
+    """
     return re.escape(signature) + token_end(signature, model, named)
 
 
-def is_token(text: str, at: int, signature: str, pattern: re.Pattern[str]) -> bool:
-    """Whether the signature that stands at a place is a token there."""
+def is_token(text: str, at: int, signature: str, pattern: re.Pattern[str], skip: int = 0) -> bool:
+    """Whether the signature that stands at a place is a token there. skip: its length, if the pattern is that of its end alone."""
     before = text[at - 1] if at else " "
     free = not (signature[0].isascii() and signature[0].isalnum()) or not (before == "_" or before.isascii() and before.isalnum()) or _JOINED.search(text, 0, at)
-    return bool(free and pattern.match(text, at))
+    return bool(free and pattern.match(text, at + skip))
 
 
-def token_positions(text: str, signature: str, pattern: re.Pattern[str]) -> list[int]:
+def token_positions(text: str, signature: str, pattern: re.Pattern[str], skip: int = 0) -> list[int]:
     found, at = [], text.find(signature)
     while at >= 0:
-        if is_token(text, at, signature, pattern):
+        if is_token(text, at, signature, pattern, skip):
             found.append(at)
         at = text.find(signature, at + 1)
     return found

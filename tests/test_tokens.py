@@ -84,3 +84,16 @@ def test_context(spark):
 @pytest.mark.parametrize(("glob", "name", "hit"), [("*.py", "a/b.py", True), ("a?c", "abc", True), ("a?c", "ac", False), ("[!a]b", "cb", True), ("[!a]b", "ab", False), ("x.y", "xzy", False)])
 def test_globs(glob, name, hit):
     assert bool(re.match(glob_pattern(glob).replace("\\z", "\\Z"), name)) == hit
+
+
+def test_signatures_are_keyed_by_the_word_that_fewest_share(spark):
+    records = spark.createDataFrame([(str(i), [f"model-{i}"], "rest") for i in range(50)] + [("x", ["model__x", "model-7-old"], "rest")], "id string, signatures array<string>, kind string")
+    words = {r.written: r.word for r in tokens.by_rarest_word(tokens.signature_table(records)).collect()}
+    assert all(words[f"model-{i}"] == str(i) for i in range(50)) and words["model-7-old"] == "old" and words["model__x"] == "model__x"
+
+
+def test_a_compiled_end_serves_all_signatures_of_a_kind():
+    ends = {tokens.token_end(f"model-{i}") for i in range(1000)}
+    assert len(ends) == 1
+    for line, signature, hit in GENERIC:
+        assert bool(tokens.token_positions(line, signature, re.compile(tokens.token_end(signature)), len(signature))) == hit
