@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import lexing
 
 SPAN = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -160,6 +161,9 @@ def python_names(text: str) -> list[dict]:
 SCRIPTS = tuple(f".{s}" for s in lexing.SCRIPT)
 
 
+_DEPTH = {"open": 1, "close": -1}
+
+
 class _Script:
     """Names of a script, read token by token.
 
@@ -245,7 +249,7 @@ class _Script:
                 break
             elif not depth and t.value not in ("=", "|", "&") and code[i - 1].value not in (":", "|", "&") and "\n" in self.text[code[i - 1].end : t.start]:
                 break  # the line ends without a value
-            depth += {"open": 1, "close": -1}.get(t.kind, 0)
+            depth += _DEPTH.get(t.kind, 0)
             if depth < 0:
                 break
             i += 1
@@ -269,7 +273,7 @@ class _Script:
             return begun.value
         depth = 0
         for t in code[i + 1 :]:
-            depth += {"open": 1, "close": -1}.get(t.kind, 0)
+            depth += _DEPTH.get(t.kind, 0)
             if t.kind == "text" and not depth and not t.value.endswith("${"):
                 return self.text[begun.start : t.end]
         return self.text[begun.start :]
@@ -305,6 +309,12 @@ def script_names(path: str, text: str) -> list[dict]:
     return _Script(path, text).read()
 
 
+def _linked(rows: list[dict]) -> list[dict]:
+    """Without the loads of names that the file neither sets to a string nor imports."""
+    known = {r["name"] for r in rows if r["kind"] != "load"}
+    return [r for r in rows if r["kind"] != "load" or r["name"] in known]
+
+
 def names(files: DataFrame) -> DataFrame:
     """(file, name, kind, of, line, scope_start, scope_end) of Python files and scripts."""
 
@@ -312,7 +322,7 @@ def names(files: DataFrame) -> DataFrame:
     def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for paths, suffixes, texts in batches:
             rows = zip(paths.to_pylist(), suffixes.to_pylist(), texts.to_pylist(), strict=True)
-            yield pa.array([python_names(t or "") if s == ".py" else script_names(p or "", t or "") for p, s, t in rows], NAME)
+            yield pa.array([_linked(python_names(t or "")) if s == ".py" else script_names(p or "", t or "") for p, s, t in rows], NAME)
 
     known = files.where(F.col("suffix").isin(".py", *SCRIPTS))
     return known.select(F.col("path").alias("file"), F.inline(of(F.col("path"), F.col("suffix"), F.col("text"))))
@@ -323,31 +333,40 @@ def constant_uses(hits: DataFrame, files: DataFrame) -> DataFrame:
 
     The nearest constant of a name wins; the line of a direct hit is no use. Python and scripts.
     """
-    found = names(files)
+    return uses_of(checkpoint(hits.select("record_id", "signature", "file", "line").distinct()), files)
+
+
+def uses_of(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """``constant_uses`` of hits (record_id, signature, file, line) that are distinct and cheap to read again.
+
+    Files are lexed once, into a table of their names. Its joins sort both sides: what a text yields is larger than
+    the plan takes it for, so none of it may be broadcast.
+    """
+    found = checkpoint(names(files))
     consts = found.where("kind = 'const'").select("file", "name", F.col("of").alias("value"), F.col("line").alias("defined"), F.col("scope_start").alias("a"), F.col("scope_end").alias("b"))
     # a literal may go over several lines
     last = F.col("defined") + F.size(F.split("value", "\n")) - 1
     spread = consts.withColumn("at", F.explode(F.sequence(F.col("defined"), last)))
-    hit = spread.join(hits.select("record_id", "signature", "file", F.col("line").alias("at")).distinct(), ["file", "at"])
+    hit = spread.join(hits.withColumnRenamed("line", "at").hint("merge"), ["file", "at"])
     hit = hit.where(F.col("value").contains(F.col("signature"))).drop("at").distinct()
     loads = found.where("kind = 'load'").select("file", "name", "line", "bound")
     # a use in a script that is bound to a block's declaration is no other's
-    here = hit.join(loads, ["file", "name"]).where("if(bound is null, a is null or (line between a and b and file rlike '[.]py$'), bound = defined)")
+    here = hit.join(loads.hint("merge"), ["file", "name"]).where("if(bound is null, a is null or (line between a and b and file rlike '[.]py$'), bound = defined)")
     # a module is named by the end of its file's path
     module = F.regexp_replace(F.regexp_replace("file", rf"(?:/__init__)?\.py\z|(?:{'|'.join(s[1:] for s in SCRIPTS)})\z", ""), "/", ".")
     module = F.rtrim(module, F.lit("."))
-    last = F.element_at(F.split(module, r"\."), -1)
-    exported = hit.where("a is null").withColumns({"_module": module, "_key": last}).withColumnRenamed("file", "home").withColumnRenamed("name", "exported")
-    imports = found.where("kind = 'import'").select("file", "name", F.split_part("of", F.lit(":"), F.lit(1)).alias("from"), F.split_part("of", F.lit(":"), F.lit(2)).alias("exported"))
-    imports = imports.withColumn("_key", F.element_at(F.split("from", r"\."), -1))
     # a script names the whole path, and no other language's files
     script = lambda c: F.regexp_extract(c, r"\.[^./]*\z", 0).isin(*SCRIPTS)
+    key = lambda file, name: F.when(script(file), name).otherwise(F.element_at(F.split(name, r"\."), -1))
+    exported = hit.where("a is null").withColumns({"_module": module, "_key": key("file", module)}).withColumnRenamed("file", "home").withColumnRenamed("name", "exported")
+    imports = found.where("kind = 'import'").select("file", "name", F.split_part("of", F.lit(":"), F.lit(1)).alias("from"), F.split_part("of", F.lit(":"), F.lit(2)).alias("exported"))
+    imports = imports.withColumn("_key", key("file", F.col("from")))
     fits = (F.col("_module") == F.col("from")) | (~script("file") & F.col("_module").endswith(F.concat(F.lit("."), F.col("from"))))
-    linked = exported.join(imports, ["_key", "exported"]).where((script("file") == script("home")) & fits)
-    there = linked.select("record_id", "signature", "file", "name", "home", "defined").join(loads.where("bound is null"), ["file", "name"])
+    linked = exported.join(imports.hint("merge"), ["_key", "exported"]).where((script("file") == script("home")) & fits)
+    there = linked.select("record_id", "signature", "file", "name", "home", "defined").join(loads.where("bound is null").hint("merge"), ["file", "name"])
     columns = ["record_id", "signature", "file", "name", "line", F.col("home"), "defined"]
     both = here.withColumn("home", F.col("file")).select(*columns).unionByName(there.select(*columns))
-    direct = hits.select("record_id", "file", "line").distinct()
+    direct = hits.select("record_id", "file", "line").distinct().hint("merge")
     order = Window.partitionBy("record_id", "file", "line").orderBy((F.col("home") != F.col("file")).asc(), F.desc("defined"))
     best = both.join(direct, ["record_id", "file", "line"], "left_anti").withColumn("_place", F.row_number().over(order)).where("_place = 1")
     return best.select("record_id", "signature", "file", "line", F.concat("name", F.lit(" ("), "home", F.lit(":"), F.col("defined").cast("string"), F.lit(")")).alias("via"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint
 from . import code_context, tokens
 
 #: An id, and a suffix, as a record's text names them.
@@ -135,8 +136,8 @@ def not_called(hits: DataFrame, lines: DataFrame, excludes: str = "excludes") ->
 
 def sites(direct: DataFrame, files: DataFrame) -> DataFrame:
     """(record_id, signature, file, line, via): direct hits, one a line and signature, and the uses of constants that hold them."""
-    own = direct.select("record_id", "signature", "file", "line", F.lit("").alias("via")).distinct()
-    return own.unionByName(code_context.constant_uses(direct, files).select(*own.columns))
+    own = checkpoint(direct.select("record_id", "signature", "file", "line").distinct())
+    return own.withColumn("via", F.lit("")).unionByName(code_context.uses_of(own, files))
 
 
 def drift_signatures(events: DataFrame) -> DataFrame:

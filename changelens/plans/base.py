@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows of which a query makes whole texts, dealt out over all cores: on disk they are a file or two, which few tasks would read."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def severity_of(priority: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.substring(priority, 1, 1).cast("int"))
 

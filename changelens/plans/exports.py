@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..functions.dates import parse_date, since
 from ..operators import code_context, extract, feed, report, service, tokens
-from .base import RECORDS_SQL, TODAY, Catalog, records, table
+from .base import RECORDS_SQL, TODAY, Catalog, records, spread, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -119,7 +119,7 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a Python file that uses, lists, comments on and exports its brand."""
     brand, n = F.concat(F.lit('"'), "p_brand", F.lit('"')), F.col("p_partkey").cast("string")
     text = F.concat(F.lit("# "), "p_brand", F.lit("\nNAME"), n, F.lit(" = "), brand, F.lit("\nALL = ["), brand, F.lit(", 1]\ndef f(x):\n    return x.get(NAME"), n, F.lit(")\nf("), brand, F.lit(")\n"))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), n, F.lit(".py")).alias("path"), F.lit(".py").alias("suffix"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.concat(F.lit("src/p"), n, F.lit(".py")).alias("path"), F.lit(".py").alias("suffix"), text.alias("text"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:

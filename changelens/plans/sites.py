@@ -9,7 +9,7 @@ from ..functions.text import lines
 from ..operators import code_context, extract, feed, report, scan, tokens
 from ..sources import code
 from . import state
-from .base import RECORDS_SQL, TODAY, Catalog, records, table
+from .base import RECORDS_SQL, TODAY, Catalog, records, spread, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -56,7 +56,7 @@ def data_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excluded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as files with a call over several lines; calls with a status are excluded."""
     call = _pick(4, "x.list({\n  status: 1 })", "x.list({\n  other: 1 })", "y(x.list( {status : 2 }))", "x.list\n({ status: 3 })")
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.concat(F.lit("begin\n"), call, F.lit("\nend\n")).alias("text"))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("file"), F.concat(F.lit("begin\n"), call, F.lit("\nend\n")).alias("text"))
     rows = lines(files, "text", ["file"])
     records = spark.createDataFrame([("r", ["x.list"], "rest")], "id string, signatures array<string>, kind string")
     hits = tokens.token_hits(rows, tokens.signature_table(records), ["file", "line_no"]).withColumn("excludes", F.array(F.lit("x.list({ status:")))
@@ -103,7 +103,7 @@ def script_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("x = a / b\ny = c.replace(/[{'`]/g, '')\nif (y) {\n  const M = `", b, "`\n  const o = {\n    a: M\n  }\n}\n"),
     ]
     suffix = F.when(F.col("p_partkey") % 2 == 0, ".ts").otherwise(".js")
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), suffix).alias("path"), suffix.alias("suffix"), F.element_at(F.array(*forms), F.col("p_partkey").cast("int") % 6 + 1).alias("text"))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), suffix).alias("path"), suffix.alias("suffix"), F.element_at(F.array(*forms), F.col("p_partkey").cast("int") % 6 + 1).alias("text"))
     brands = table(spark, sf_dir, "part").select(b.alias("id"), F.array(b).alias("signatures"), F.lit("rest").alias("kind")).dropDuplicates(["id"])
     rows = lines(files, "text", ["path"]).select(F.col("path").alias("file"), F.col("line_no").alias("n"), "line")
     hits = tokens.token_hits(rows, tokens.signature_table(brands), ["file", "n"]).drop("line").withColumnRenamed("n", "line")
@@ -117,7 +117,7 @@ def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     brand = F.concat(F.lit("'"), "p_brand", F.lit("'"))
     home = F.concat(F.lit("export const NAME"), n, F.lit(" = "), brand, F.lit("\nfunction f() {\n  const inner = "), brand, F.lit("\n  return g(inner)\n}\ng(inner)\n"))
     away = F.concat(F.lit("import { NAME"), n, F.lit(" as Mine } from './p"), n, F.lit("'\ng({ Mine: 1 }, "), F.lit("Mine)\n"))
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
     own = parts.select(F.concat(F.lit("src/p"), n, F.lit(".ts")).alias("path"), F.lit(".ts").alias("suffix"), home.alias("text"))
     return own.unionByName(parts.select(F.concat(F.lit("src/q"), n, F.lit(".js")).alias("path"), F.lit(".js").alias("suffix"), away.alias("text")))
 
@@ -215,7 +215,7 @@ def notebook_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit("\n"), F.col("p_partkey").cast("int") % 5), F.lit('{\n "cells": [\n  {"cell_type": "markdown", "source": ["use '), b, F.lit('"]},\n  {\n   "cell_type": "code",\n   "source": [\n    "!x '), b, F.lit('\\n",\n    "f(\\"'), b,
         F.lit('\\")\\n",\n    "g"\n   ]\n  },\n  {"source": "a\\n'), b, F.lit('", "outputs": [{"source": "'), b, F.lit('"}], "cell_type": "code"}\n ]\n}\n'),
     )
-    notebooks = table(spark, sf_dir, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string"), F.lit(".ipynb")).alias("path"), F.lit(".ipynb").alias("suffix"), text.alias("text"))
+    notebooks = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string"), F.lit(".ipynb")).alias("path"), F.lit(".ipynb").alias("suffix"), text.alias("text"))
     brands = table(spark, sf_dir, "part").select(b.alias("id"), F.array(b).alias("signatures"), F.lit("rest").alias("kind")).dropDuplicates(["id"])
     hits = tokens.token_hits(code.code_lines(notebooks), tokens.signature_table(brands), ["path", "line_no", "cell", "raw_line"])
     return hits.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("p_partkey"), "signature", "line_no", "cell", "raw_line")

@@ -120,3 +120,16 @@ def test_constants_over_files(spark):
     hits = tokens.token_hits(rows, tokens.signature_table(records), ["file", "n"]).drop("line").withColumnRenamed("n", "line")
     got = {(r.file, r.line, r.via) for r in code_context.constant_uses(hits, table).collect()}
     assert got == {("src/a.ts", 4, "M (src/a.ts:3)"), ("src/a.ts", 6, "M (src/a.ts:1)"), ("src/b.js", 4, "N (src/a.ts:1)")}
+
+
+def test_uses_of_constants_broadcast_nothing(spark):
+    files = spark.createDataFrame([("src/a.ts", ".ts", "export const A = 'nova-4'\ng(A)\n"), ("src/b.js", ".js", "import { A } from './a'\ng(A)\n")], "path string, suffix string, text string")
+    hits = spark.createDataFrame([("r", "nova-4", "src/a.ts", 1)], "record_id string, signature string, file string, line int")
+    found = scan.sites(hits, files)
+    assert {(r.file, r.line, r.via) for r in found.collect()} == {("src/a.ts", 1, ""), ("src/a.ts", 2, "A (src/a.ts:1)"), ("src/b.js", 2, "A (src/a.ts:1)")}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loads_of_other_names_are_left_out():
+    rows = code_context._linked(code_context.python_names("from m import B\nA = 'x'\nf(A, B, c)\n"))
+    assert [(r["name"], r["kind"]) for r in rows] == [("B", "import"), ("A", "const"), ("A", "load"), ("B", "load")]
