@@ -49,9 +49,9 @@ def token_hits_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.groupBy("severity").agg(F.sum("n").alias("sites"), F.countDistinct("doc_id").alias("files"))
 
 
-@query(rf"WITH {_LINES} SELECT doc_id, sum(len(regexp_extract_all({_PLAIN_LINE}, '\bof the\b')))::BIGINT AS long_hits, sum(len(regexp_extract_all(replace({_PLAIN_LINE}, 'of the', 'Q'), '\bthe\b')))::BIGINT AS short_hits FROM l GROUP BY doc_id HAVING long_hits + short_hits > 0")
+@query(rf"WITH {_LINES} SELECT doc_id, sum(len(regexp_extract_all({_PLAIN_LINE}, '\bof the\b')))::BIGINT AS long_hits, sum(len(regexp_extract_all(regexp_replace({_PLAIN_LINE}, '\bof the\b', 'Q', 'g'), '\bthe\b')))::BIGINT AS short_hits FROM l GROUP BY doc_id HAVING long_hits + short_hits > 0")
 def longest_signature_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of ``of the``, and of ``the`` outside of them and of the excluded ``of the...``."""
+    """Hits of ``of the``, and of ``the`` outside of them; ``of the`` that begins inside a word (``proof the``) is no hit, and covers none."""
     found = spark.createDataFrame([("r", ["of the", "the"], "rest")], "id string, signatures array<string>, kind string")
     rows = tokens.token_hits(document_lines(spark, sf_dir), tokens.signature_table(found), ["doc_id", "line_no"])
     rows = tokens.longest_wins(rows, ["record_id", "doc_id", "line_no"])

@@ -1,8 +1,10 @@
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from changelens.catalog import ORACLES, QUERIES
 from changelens.functions.text import glob_pattern, token_pattern
 from changelens.operators import tokens
 
@@ -97,3 +99,12 @@ def test_a_compiled_end_serves_all_signatures_of_a_kind():
     assert len(ends) == 1
     for line, signature, hit in GENERIC:
         assert bool(tokens.token_positions(line, signature, re.compile(tokens.token_end(signature)), len(signature))) == hit
+
+
+def test_what_is_no_hit_covers_none(spark, tmp_path):
+    texts = [(1, "proof the end of the day\nthe theory of thesis"), (2, "of the of the the"), (3, "hoof the.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["longest_signature_wins"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLES["longest_signature_wins"]).fetchall()) == [(1, 1, 2), (2, 2, 1), (3, 0, 1)]
