@@ -65,9 +65,9 @@ def _alone(text: str, code: list[lexing.Token]) -> list[tuple[int, int]]:
     return out
 
 
-def comment_spans(suffix: str, text: str) -> list[dict]:
-    """Comments, and in Python strings that stand alone as statements (documentation), line by line."""
-    found = list(lexing.tokens(suffix, text))
+def comment_spans(suffix: str, text: str, found: list[lexing.Token] | None = None) -> list[dict]:
+    """Comments, and in Python strings that stand alone as statements (documentation), line by line. found: the text's tokens, if they are known."""
+    found = list(lexing.tokens(suffix, text)) if found is None else found
     places = [(t.start, t.end) for t in found if t.kind == "comment"]
     if suffix.lstrip(".") == "py":
         said = _statement_strings(text)
@@ -76,10 +76,10 @@ def comment_spans(suffix: str, text: str) -> list[dict]:
     return [row for a, b in sorted(places) for row in _by_line(text, a, b, starts, bisect.bisect_right(starts, a) - 1)]
 
 
-def list_spans(suffix: str, text: str) -> list[dict]:
+def list_spans(suffix: str, text: str, found: list[lexing.Token] | None = None) -> list[dict]:
     """Strings that are items of a list, set or map of literals at any depth, line by line: tables rather than uses."""
     starts, out, brackets = _line_starts(text), [], lexing.Brackets()
-    code = _code(suffix, text)
+    code = _code(suffix, text) if found is None else [t for t in found if t.kind != "comment"]
     tables: set[int] = set()  # where brackets open that are no subscripts and no bodies of calls
     for before, t, after in zip([None, *code], code, [*code[1:], None], strict=False):
         brackets.read(t)
@@ -104,6 +104,24 @@ def _spans(function) -> object:
     return of
 
 
+TIERS = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("comment", pa.bool_())]))
+
+
+def _tier_spans(suffix: Column, text: Column) -> Column:
+    """Comment and list spans of a file, which is lexed once."""
+
+    @F.arrow_udf("array<struct<line:int,start:int,stop:int,comment:boolean>>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for suffixes, texts in batches:
+            out = []
+            for s, t in zip(suffixes.to_pylist(), texts.to_pylist(), strict=True):
+                found = list(lexing.tokens(s or "", t or ""))
+                out.append([x | {"comment": True} for x in comment_spans(s or "", t or "", found)] + [x | {"comment": False} for x in list_spans(s or "", t or "", found)])
+            yield pa.array(out, TIERS)
+
+    return of(suffix, text)
+
+
 def spans(files: DataFrame, kind: str) -> DataFrame:
     """(file, line, start, stop) of the ``comment`` or ``list`` spans of files (path, suffix, text)."""
     find = _spans({"comment": comment_spans, "list": list_spans}[kind])
@@ -119,10 +137,14 @@ def covered(hits: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def tiers(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Hits outside comments, with ``tier``: listed for items of literal tables, else use."""
+    """Hits outside comments, with ``tier``: listed for items of literal tables, else use. Hits are found once, and each file that has some is lexed once."""
+    hits = checkpoint(hits)
     files = files.join(hits.select(F.col("file").alias("path")).distinct(), "path", "left_semi")  # others needn't be read
-    live = covered(hits, spans(files, "comment")).where("not covered").drop("covered")
-    return covered(live, spans(files, "list")).withColumn("tier", F.when(F.col("covered"), "listed").otherwise("use")).drop("covered")
+    found = files.select(F.col("path").alias("file"), F.inline(_tier_spans(F.col("suffix"), F.col("text"))))
+    by_line = found.groupBy("file", "line").agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("stop").alias("b"), "comment")).alias("_spans"))
+    joined = hits.join(by_line, ["file", "line"], "left")
+    held = lambda comment: F.coalesce(F.exists("_spans", lambda s: (s.comment == F.lit(comment)) & (s.a <= F.col("start")) & (s.b >= F.col("stop"))), F.lit(False))
+    return joined.where(~held(True)).withColumn("tier", F.when(held(False), "listed").otherwise("use")).drop("_spans")
 
 
 _NAMES = (("name", pa.string()), ("kind", pa.string()), ("of", pa.string()), ("line", pa.int32()), ("scope_start", pa.int32()), ("scope_end", pa.int32()), ("bound", pa.int32()))
