@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, history, service, snapshot
-from .base import Catalog, table
+from .base import Catalog, spread, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -20,7 +20,8 @@ def _side(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
     note = when(13, F.lit(', "description": "a number"'), F.lit(""))
     schema = F.concat(F.lit('{"type": "object", "properties": {"size": {"type": "integer", "enum": ['), n, F.lit("]"), note, F.lit('}, "p'), n, F.lit('": {"type": "string"}}, "required": ["size"]}'))
     name = F.concat("p_name", when(11, F.lit("-x"), F.lit("-")), F.col("p_partkey").cast("string"))
-    return table(spark, sf_dir, "part").select(
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), "p_partkey")
+    return parts.select(
         F.col("p_brand").alias("server"), name.alias("name"), when(5, F.lit("U"), F.lit("T")).alias("title"), F.col("p_type").alias("description"), schema.alias("input"),
         when(4, F.lit('{"type": "object"}'), none).alias("output"), F.concat(F.lit('{"readOnlyHint": '), when(7, F.lit("true"), F.lit("false")), F.lit("}")).alias("annotations"),
     )
@@ -72,7 +73,7 @@ def public_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as servers, their turns as versions of a tool; two of three turns have something put in."""
     extra = F.element_at(F.array(F.lit(" Mention it."), F.lit(" DON\u2019T\n mention it."), F.lit(" Sys\u200btem  prompts.")), F.col("turn").cast("int") % 3 + 1)
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("server"), F.col("turn").alias("name"), F.concat("text", extra).alias("text"))
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select(F.col("conv_id").alias("server"), F.col("turn").alias("name"), F.concat("text", extra).alias("text"))
 
 
 @query("""SELECT conv_id AS server, turn AS name, 'instruction_like_text' AS flag, CASE turn % 3 WHEN 1 THEN 'don''t mention' ELSE 'system prompt' END AS detail FROM conversations WHERE turn % 3 <> 0 AND text IS NOT NULL
