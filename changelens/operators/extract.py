@@ -46,10 +46,14 @@ def retirements(pages: DataFrame, text: str = "markdown") -> DataFrame:
     rows = table_rows(pages, ["source", "vendor"], text)
     lower = F.transform("header", F.lower)
     column = lambda want, but="(?!)": F.array_position(F.transform(lower, lambda h: h.rlike(want) & ~h.rlike(but)), F.lit(True)).cast("int")
-    rows = rows.withColumns({"_m": column("model", "replace|substitut|recommend"), "_d": column(r"(?=.*(?:shutdown|shut down|retire|deprecat|end))(?=.*date)|shutdown|retirement"), "_r": column("replace|substitut|recommend")})
+    # as rows of a generator, what a filter asks for isn't worked out again for it
+    places = F.struct(column("model", "replace|substitut|recommend").alias("_m"), column(r"(?=.*(?:shutdown|shut down|retire|deprecat|end))(?=.*date)|shutdown|retirement").alias("_d"), column("replace|substitut|recommend").alias("_r"))
+    rows = rows.select("source", "vendor", "section", "cells", "line_no", F.inline(F.array(places)))
     cell = lambda c: F.when(F.col(c) > 0, F.try_element_at("cells", F.col(c)))
     names = lambda c: F.when(F.size(F.regexp_extract_all(c, F.lit(CODE), F.lit(1))) > 0, F.regexp_extract_all(c, F.lit(CODE), F.lit(1))).otherwise(F.filter(F.split(F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\s*(?:,|<br\s*/?>|\bor\b)\s*"), lambda x: x.rlike(r"\A[a-zA-Z0-9][\w.:@/-]*\d[\w.:@/-]*\z")))
-    rows = rows.where("_m > 0 and _d > 0").select("vendor", "section", "line_no", "source", names(cell("_m")).alias("ids"), parse_date(cell("_d")).alias("shutdown"), F.coalesce(names(cell("_r")), F.array().cast("array<string>")).alias("replacements"))
+    rows = rows.where("_m > 0 and _d > 0")
+    read = F.struct(names(cell("_m")).alias("ids"), parse_date(cell("_d")).alias("shutdown"), F.coalesce(names(cell("_r")), F.array().cast("array<string>")).alias("replacements"))
+    rows = rows.select("vendor", "section", "line_no", "source", F.inline(F.array(read)))
     rows = rows.where(F.col("shutdown").isNotNull() & (F.size("ids") > 0))
     rows = rows.select("*", F.col("ids")[0].alias("model"), F.slice("ids", 2, F.size("ids")).alias("aliases"))
     dated = parse_date(F.coalesce("section", F.lit(""))).isNotNull()
