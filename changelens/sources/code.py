@@ -58,6 +58,11 @@ def code_lines(files: DataFrame) -> DataFrame:
 _JSON = re.compile(r"\"(?:[^\"\\]++|\\.)*+\"|[{}\[\],\n]|[^\s{}\[\],:\"]++", re.S)
 
 
+def _said(token: str) -> str:
+    """What a JSON string says."""
+    return json.loads(token, strict=False) if "\\" in token else token[1:-1]
+
+
 def _sources(raw: str) -> Iterator[tuple[int, str, list[tuple[str, int]]]]:
     """(number, type, [(source string, its line in the file)]) of each cell of a notebook: one pass over its JSON, which holds where it is as keys and items."""
     where: list[str | None] = []  # of each open object the key at hand, of each list None
@@ -80,12 +85,12 @@ def _sources(raw: str) -> Iterator[tuple[int, str, list[tuple[str, int]]]]:
         elif token == ",":
             keyed = False
         elif where and where[-1] is not None and not keyed:
-            where[-1], keyed = json.loads(token, strict=False), True
+            where[-1], keyed = _said(token), True
         elif where[:2] == ["cells", None] and token[0] == '"':
             if where[2:] == ["cell_type"]:
-                kind = json.loads(token, strict=False)
+                kind = _said(token)
             elif where[2:] in (["source"], ["source", None]):
-                parts.append((json.loads(token, strict=False), line))
+                parts.append((_said(token), line))
 
 
 def _cells(text: str) -> list[dict]:

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from changelens.operators import code_context, history, report
+from changelens.functions.dates import parse_date
+from changelens.operators import code_context, documents, extract, history, report
 from changelens.plans import surface
+from changelens.sources import code
 
 
 @pytest.fixture
@@ -51,3 +53,39 @@ def test_hits_are_found_and_files_lexed_once_for_tiers(spark, counted):
     assert {(r.file, r.line, r.tier) for r in found.collect()} == {("a.py", 2, "listed"), ("a.py", 3, "use"), ("c.py", 1, "use")}
     assert n.value == 4
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_text_is_flattened_once_for_all_forms_of_a_date(spark):
+    rows = spark.createDataFrame([("on 2024–01-02, or",), ("Sept. 3rd, 2024",), ("4 of 4th  May 2024",), ("2024-13-01 or May 5, 2024",), ("February 30, 2024 or 1 Mar 2024",), ("none",), (None,)], "x string")
+    found = rows.select(parse_date(F.col("x")).alias("d"))
+    assert [str(r.d) for r in found.collect()] == ["2024-01-02", "2024-09-03", "2024-05-04", "2024-05-05", "2024-03-01", "None", "None"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
+def test_filters_of_retirements_do_not_read_dates_again(spark):
+    page = "## Gone\n| Model | Shutdown date | Replacement |\n|--|--|--|\n| `m-1` | May 1, 2024 | `n-1` |\n| `m-2` | soon | `n-2` |\n"
+    found = extract.retirements(spark.createDataFrame([("s", "v", page)], "source string, vendor string, markdown string"))
+    assert [(r.model, str(r.shutdown), r.replacements) for r in found.collect()] == [("m-1", "2024-05-01", ["n-1"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if x.lstrip(" :+-").startswith("Filter") and ("transform(" in x or "gettimestamp" in x)]
+
+
+def test_plain_strings_of_a_notebook_are_not_parsed_one_by_one(monkeypatch):
+    text = '{"cells": [{"cell_type": "code", "source": ["a\\n", "b"]}, {"source": "c", "cell_type": "markdown"}]}'
+    asked, loads = [], code.json.loads
+    monkeypatch.setattr(code.json, "loads", lambda s, **options: asked.append(s) or loads(s, **options))
+    assert [(r["line"], r["cell"]) for r in code._cells(text)] == [("a", "cell 1, line 1"), ("b", "cell 1, line 2")]
+    assert asked == [text, '"a\\n"']
+
+
+def test_events_are_nested_once(spark, counted):
+    seen, n = counted
+    none = {c: None for c in ("old_len", "new_len", "old_sha256", "new_sha256")}
+    events = spark.createDataFrame([{"slug": "s", "at": f"d{i}", "type": "removed", "tool": "t", "path": "tool:t", "severity": "info", **none} for i in range(7)], "slug string, at string, type string, tool string, path string, severity string, old_len long, new_len long, old_sha256 string, new_sha256 string")
+    entries = spark.createDataFrame([("s", f"d{i}", "2024-01-01", "change", 1, None) for i in range(7)], "slug string, at string, date string, kind string, tool_count int, hashes array<string>")
+    flags = spark.createDataFrame([], "slug string, at string, flag string, tool string, detail string")
+    servers = spark.createDataFrame([("s", "n", "u", "", "")], "slug string, name string, url string, registry_name string, added string")
+    last = spark.createDataFrame([("s", "ok", "2024-01-01", 1, "", "")], "slug string, outcome string, status_since string, tool_count int, last_checked string, last_ok string")
+    found = documents.history_documents(servers, entries, events.withColumn("tool", seen("tool")), flags, last, today="2024-01-02", base="x", size=3).collect()
+    assert sorted((r.page, r.pages, len(r.entries), {e.events[0].tool for e in r.entries} == {"t"}) for r in found) == [(1, 3, 3, True), (2, 3, 3, True), (3, 3, 1, True)]
+    assert n.value == 7
