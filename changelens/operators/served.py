@@ -7,7 +7,7 @@ beyond a VARIANT's size has no rows here; ``unread`` names it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +38,7 @@ def member(value: Column, key: str) -> Column:
 
 def text(value: Column, key: str) -> Column:
     """A member that is a string; null for any other."""
-    found = member(value, key)
-    return F.when(_type(found) == "STRING", F.try_variant_get(found, "$", "string"))
+    return F.when(_type(member(value, key)) == "STRING", F.try_variant_get(value, f"$['{key}']", "string"))
 
 
 def whole(value: Column, key: str) -> Column:
@@ -68,33 +67,47 @@ def _fitting(value: Column, pattern: str) -> Column:
     return F.when(_sure(value.rlike(pattern)), value).otherwise("")
 
 
-def events(value: Column, key: str = "events") -> Column:
-    """Events of a known form: names and paths in safe form, texts as lengths and hashes."""
+#: What an event says as text; each is read once, and the rules look at what was read.
+EVENT_TEXTS = ("type", "severity", "tool", "path")
+
+
+def _known_event(said: Callable[[str], Column]) -> Column:
+    return _sure(said("type").rlike(EVENT_TYPE) & said("severity").isin(*SEVERITIES))
+
 
-    def one(e: Column) -> Column:
-        said = text(e, "type").isin(*TEXT_EVENTS)
-        lengths = [F.when(said, whole(e, c)).alias(c) for c in ("old_len", "new_len")]
-        hashes = [F.when(said, _fitting(text(e, c), HEX)).alias(c) for c in ("old_sha256", "new_sha256")]
-        tool = text(e, "tool")
-        return F.struct(text(e, "type").alias("type"), safe_tool(tool).alias("tool"), safe_path(text(e, "path"), tool).alias("path"), text(e, "severity").alias("severity"), *lengths, *hashes)
+def _event(said: Callable[[str], Column], value: Column) -> list[Column]:
+    """The columns of an event: names and paths in safe form, texts as lengths and hashes."""
+    about = said("type").isin(*TEXT_EVENTS)
+    lengths = [F.when(about, whole(value, c)).alias(c) for c in ("old_len", "new_len")]
+    hashes = [F.when(about, _fitting(text(value, c), HEX)).alias(c) for c in ("old_sha256", "new_sha256")]
+    return [said("type").alias("type"), safe_tool(said("tool")).alias("tool"), safe_path(said("path"), said("tool")).alias("path"), said("severity").alias("severity"), *lengths, *hashes]
 
-    known = F.filter(items(value, key), lambda e: _sure(text(e, "type").rlike(EVENT_TYPE) & text(e, "severity").isin(*SEVERITIES)))
-    return F.transform(known, one)
+
+def events(value: Column, key: str = "events") -> Column:
+    """Events of a known form: names and paths in safe form, texts as lengths and hashes."""
+    read = F.transform(items(value, key), lambda e: F.struct(*[text(e, c).alias(c) for c in EVENT_TEXTS], e.alias("value")))
+    known = F.filter(read, lambda x: _known_event(lambda c: x[c]))
+    return F.transform(known, lambda x: F.struct(*_event(lambda c: x[c], x["value"])))
 
 
 def flags(value: Column, key: str = "flags") -> Column:
     """Flags of a known name; a detail that isn't one of the known forms is left empty."""
-    known = F.filter(items(value, key), lambda f: _sure(text(f, "flag").isin(*FLAGS)))
-    return F.transform(known, lambda f: F.struct(text(f, "flag").alias("flag"), safe_tool(text(f, "tool")).alias("tool"), _fitting(text(f, "detail"), FLAG_DETAIL).alias("detail")))
+    read = F.transform(items(value, key), lambda f: F.struct(*[text(f, c).alias(c) for c in ("flag", "tool", "detail")]))
+    known = F.filter(read, lambda f: _sure(f["flag"].isin(*FLAGS)))
+    return F.transform(known, lambda f: F.struct(f["flag"].alias("flag"), safe_tool(f["tool"]).alias("tool"), _fitting(f["detail"], FLAG_DETAIL).alias("detail")))
+
+
+def _known_entry(date: Column, kind: Column) -> Column:
+    return _sure(date.rlike(DAY) & kind.isin("first_seen", "change", "unstable"))
 
 
 def entries(value: Column, key: str = "entries") -> Column:
     """A history's entries: changes with events and flags, first sights with a count and flags, unstable pairs with hashes."""
 
-    def one(e: Column) -> Column:
-        kind = text(e, "kind")
+    def one(x: Column) -> Column:
+        kind, e = x["kind"], x["value"]
         return F.struct(
-            text(e, "date").alias("date"),
+            x["date"].alias("date"),
             kind.alias("kind"),
             F.when(kind == "first_seen", whole(e, "tool_count")).alias("tool_count"),
             F.when(kind == "change", events(e)).alias("events"),
@@ -102,8 +115,8 @@ def entries(value: Column, key: str = "entries") -> Column:
             F.when(kind == "unstable", F.filter(strings(e, "hashes"), lambda h: h.rlike(HEX))).alias("hashes"),
         )
 
-    known = F.filter(items(value, key), lambda e: _sure(text(e, "date").rlike(DAY) & text(e, "kind").isin("first_seen", "change", "unstable")))
-    return F.transform(known, one)
+    read = F.transform(items(value, key), lambda e: F.struct(text(e, "date").alias("date"), text(e, "kind").alias("kind"), e.alias("value")))
+    return F.transform(F.filter(read, lambda x: _known_entry(x["date"], x["kind"])), one)
 
 
 def _read(served: DataFrame, key: Sequence[str], body: str) -> DataFrame:
@@ -125,26 +138,41 @@ def newest_read(served: DataFrame, key: Sequence[str], at: str, body: str = "bod
     return good.groupBy(*key).agg(F.max(F.struct(F.col(at), F.col(body))).alias("_x")).select(*key, "_x.*")
 
 
+def _each(rows: DataFrame, value: str, key: str, place: str, item: str) -> DataFrame:
+    """rows without ``value``, a row for each item of its member that is a list; none for any other.
+
+    An object and a list are taken apart by ``variant_explode``, as casting a list to an array builds each of its items anew.
+    """
+    keep, apart = [c for c in rows.columns if c != value], lambda c: rows.sparkSession.tvf.variant_explode(F.col(c).outer()).toDF("_at", "_key", "_value")
+    members = rows.lateralJoin(apart(value)).where(F.col("_key") == key).select(*keep, F.col("_value").alias(item))
+    return members.lateralJoin(apart(item)).where("_key is null").select(*keep, F.col("_at").alias(place), F.col("_value").alias(item))
+
+
+def _servers(served: DataFrame, key: Sequence[str], body: str, index: Column) -> DataFrame:
+    """(key, _index, place, slug, _url, _s): a row for each server whose slug and https address are in order."""
+    s = F.col("_s")
+    rows = _each(_read(served, key, body).select(*key, index.alias("_index"), "_v"), "_v", "servers", "place", "_s")
+    rows = rows.select(*key, "_index", "place", text(s, "slug").alias("slug"), text(s, "url").alias("_url"), "_s")
+    return rows.where(_sure(F.col("slug").rlike(SLUG) & F.col("_url").rlike(r"\Ahttps://\S+\z")))
+
+
 def histories(served: DataFrame, key: Sequence[str], body: str = "body", origin: str = "", index: str = "mcp-servers") -> DataFrame:
     """(key, place, slug, name, url, registry_name, status, status_since, tool_count, last_checked, first_seen, last_change, open_flags, page_url, entries).
 
     One row for each server of each text whose slug and https address are in order, ``place`` being its place in the list (from 0).
     Stamps and days of another form are empty, an unknown status is ``failing``; a slug said twice is two rows.
     """
-    v = F.col("_v")
-    given = text(v, "index_url")
+    given = text(F.col("_v"), "index_url")
     at = F.when(_sure(given.rlike(r"\Ahttps?://")), given).otherwise(F.lit(f"{origin}/{index}/"))
-    rows = _read(served, key, body).select(*key, _slashed(at).alias("_index"), F.posexplode(items(v, "servers")).alias("place", "_s"))
-    s = F.col("_s")
-    slug, status = text(s, "slug"), text(s, "status")
-    rows = rows.where(_sure(slug.rlike(SLUG) & text(s, "url").rlike(r"\Ahttps://\S+\z")))
-    name = plain_text(text(s, "name"), 100)
+    rows = _servers(served, key, body, _slashed(at))
+    s, slug = F.col("_s"), F.col("slug")
+    status, name = text(s, "status"), plain_text(text(s, "name"), 100)
     return rows.select(
         *key,
         "place",
-        slug.alias("slug"),
+        "slug",
         F.when(name == "", slug).otherwise(name).alias("name"),
-        plain_text(text(s, "url"), 300).alias("url"),
+        plain_text(F.col("_url"), 300).alias("url"),
         plain_text(text(s, "registry_name"), 200).alias("registry_name"),
         F.when(_sure(status.isin(*STATUSES)), status).otherwise("failing").alias("status"),
         *[_fitting(text(s, c), STAMP).alias(c) for c in ("status_since", "last_checked")],
@@ -156,6 +184,21 @@ def histories(served: DataFrame, key: Sequence[str], body: str = "body", origin:
     )
 
 
+def history_events(served: DataFrame, key: Sequence[str], body: str = "body") -> DataFrame:
+    """(key, place, slug, entry, date, event, type, tool, path, severity, old_len, new_len, old_sha256, new_sha256).
+
+    One row for each event that ``histories`` has in its entries, ``entry`` and ``event`` being the places in the lists as they were
+    served (from 0). Lists are taken apart row by row, so that no list of a server's events is made.
+    """
+    e, x, place = F.col("_e"), F.col("_x"), [*key, "place", "slug"]
+    rows = _each(_servers(served, key, body, F.lit("")).select(*place, "_s"), "_s", "entries", "entry", "_e")
+    rows = rows.select(*place, "entry", text(e, "date").alias("date"), text(e, "kind").alias("_kind"), "_e").where(_known_entry(F.col("date"), F.col("_kind")) & (F.col("_kind") == "change"))
+    place += ["entry", "date"]
+    rows = _each(rows.select(*place, "_e"), "_e", "events", "event", "_x").select(*place, "event", *[text(x, c).alias(f"_{c}") for c in EVENT_TEXTS], "_x")
+    said = lambda c: F.col(f"_{c}")
+    return rows.where(_known_event(said)).select(*place, "event", *_event(said, x))
+
+
 RECORD_TEXTS = ("vendor", "summary", "detail", "fix_hint", "kind", "surface", "scope", "verified_on", "review", "source_url")
 RECORD_LISTS = ("signatures", "exclude", "files", "named")
 

@@ -81,3 +81,39 @@ def test_feed_records(spark):
     rows = served.feed_records(docs(spark, {"home_page_url": "https://h", "items": [*bad, {"url": "", "_x": record}, {"url": "https://u", "_x": record}]}), ["k"], "_x").collect()
     assert [(r.place, r.record_url) for r in rows] == [(len(bad), "https://h/records/r"), (len(bad) + 1, "https://u")]
     assert (rows[0].signatures, rows[0].context, rows[0].repo_context, rows[0].summary) == (["a"], [["x"], ["y", "z"]], [], "")
+
+
+ODD = [
+    {"servers": [{"slug": "a", "url": "https://a", "entries": [
+        {"date": "2024-01-01", "kind": "noise", "events": [{"type": "removed", "severity": "info", "tool": "n"}]}, 5, None,
+        {"date": "2024-01-02", "kind": "change", "events": [None, {"type": "removed", "severity": "loud"}, {"type": "title_changed", "severity": "info", "tool": "x y", "path": "tool:x y.title", "old_len": 2, "old_sha256": H}, [], {"type": "removed", "severity": "breaking", "tool": 7, "path": "a"}]},
+        {"date": "2024-01-03", "kind": "unstable", "events": [{"type": "removed", "severity": "info"}]}, {"date": "2024-01-04", "kind": "change", "events": {"type": "removed", "severity": "info"}}]}]},
+    {"servers": [{"slug": "A", "url": "https://a"}, {"slug": "b", "url": "https://b", "entries": {"date": "2024-01-01", "kind": "change"}}, {"slug": "c", "url": "https://c"}, {"slug": "c", "url": "https://c", "entries": [{"date": "2024-01-05", "kind": "change", "events": [{"type": "removed", "severity": "info", "path": ""}]}]}]},
+    {"servers": {"slug": "a", "url": "https://a"}}, "{", None, "[]", '{"servers": [], "servers": []}', '"x"', [{"servers": []}],
+]
+
+
+def test_events_are_those_of_the_histories(spark):
+    df = docs(spark, *ODD).withColumnsRenamed({"k": "key", "body": "value"})  # names that taking lists apart gives, too
+    want = [(r.key, r.place, r.slug, e.date, *x) for r in served.histories(df, ["key"], "value").collect() for e in r.entries for x in e.events or ()]
+    got = served.history_events(df, ["key"], "value")
+    assert sorted(map(str, want)) == sorted(str((*r[:3], r.date, *r[6:])) for r in got.collect())
+    assert sorted((r.key, r.place, r.entry, r.event, r.tool) for r in got.collect()) == [(0, 0, 3, 2, sha("x y")), (0, 0, 3, 4, ""), (1, 3, 0, 0, "")]
+
+
+def plan(df):
+    session = df.sparkSession
+    session.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        session.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_served_events_parse_a_text_once_and_build_no_list_anew(spark, sf_dir):
+    from changelens.catalog import QUERIES
+
+    for name in ("served_events", "served_servers"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert text.count("parseJson(") == 1 and "$['servers']" not in text, name
+    assert "$['events']" not in plan(QUERIES["served_events"](spark, sf_dir))
