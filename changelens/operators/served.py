@@ -157,10 +157,11 @@ def _servers(served: DataFrame, key: Sequence[str], body: str, index: Column) ->
 
 
 def histories(served: DataFrame, key: Sequence[str], body: str = "body", origin: str = "", index: str = "mcp-servers") -> DataFrame:
-    """(key, place, slug, name, url, registry_name, status, status_since, tool_count, last_checked, first_seen, last_change, open_flags, page_url, entries).
+    """(key, place, slug, name, url, registry_name, status, status_since, tool_count, last_checked, first_seen, last_change, open_flags, page_url, entries, entry_count).
 
     One row for each server of each text whose slug and https address are in order, ``place`` being its place in the list (from 0).
     Stamps and days of another form are empty, an unknown status is ``failing``; a slug said twice is two rows.
+    ``entry_count`` is the number of ``entries``; asked for alone, it is told without making them.
     """
     given = text(F.col("_v"), "index_url")
     at = F.when(_sure(given.rlike(r"\Ahttps?://")), given).otherwise(F.lit(f"{origin}/{index}/"))
@@ -181,6 +182,7 @@ def histories(served: DataFrame, key: Sequence[str], body: str = "body", origin:
         F.filter(strings(s, "open_flags"), lambda f: f.isin(*FLAGS)).alias("open_flags"),
         F.concat("_index", slug, F.lit("/")).alias("page_url"),
         entries(s).alias("entries"),
+        F.size(F.filter(items(s, "entries"), lambda e: _known_entry(text(e, "date"), text(e, "kind")))).alias("entry_count"),
     )
 
 

@@ -117,3 +117,12 @@ def test_served_events_parse_a_text_once_and_build_no_list_anew(spark, sf_dir):
         text = plan(QUERIES[name](spark, sf_dir))
         assert text.count("parseJson(") == 1 and "$['servers']" not in text, name
     assert "$['events']" not in plan(QUERIES["served_events"](spark, sf_dir))
+
+
+def test_entries_are_counted_without_being_made(spark, sf_dir):
+    from changelens.catalog import QUERIES
+
+    rows = served.histories(docs(spark, *ODD), ["k"]).orderBy("k", "place").collect()
+    assert [(r.slug, r.entry_count, len(r.entries)) for r in rows] == [("a", 3, 3), ("b", 0, 0), ("c", 0, 0), ("c", 1, 1)]
+    text = plan(QUERIES["served_servers"](spark, sf_dir))
+    assert "$['kind']" in text and "$['events']" not in text and "$['flags']" not in text
