@@ -29,6 +29,8 @@ SENTENCE = (40, 8, 4)
 AFTER_KEY, BEFORE_OPENER = 5, 2
 #: Fixed value: lines that a call is followed for.
 CALL_LINES = 6
+#: Lines of a file that are looked at together; the next ones that a call may reach are with them.
+CALL_BLOCK = 10_000
 
 
 def record_names(text: Column) -> Column:
@@ -115,21 +117,27 @@ def calls(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.array([call_text(x, at) for x, at in zip(lines.to_pylist(), starts.to_pylist(), strict=True)], pa.string())
 
 
-def not_called(hits: DataFrame, lines: DataFrame, excludes: str = "excludes") -> DataFrame:
+def not_called(hits: DataFrame, lines: DataFrame, excludes: str = "excludes", partitions: int | None = None) -> DataFrame:
     """Drop hits whose call begins as an excluded one does, white space aside, also if its arguments stand on later lines.
 
     hits: (file, line_no, start, signature, ``excludes`` array, ...); lines: (file, line_no, line). Only hits whose
-    signature begins such a call look further lines up.
+    signature begins such a call look further lines up. Lines and those hits are dealt out once, by blocks of a file, to
+    ``partitions`` (else as Spark is set), and a window goes over them: none of what texts yield is broadcast, however small a plan takes it to be.
     """
     flat = F.transform(F.coalesce(F.col(excludes), F.array().cast("array<string>")), lambda e: F.regexp_replace(e, r"(?U)\s+", ""))
     mine = F.filter(flat, lambda e: e.startswith(F.col("signature")))
     marked = hits.withColumns({"_mine": mine, "_hit": F.struct(*hits.columns)})
-    asked = marked.where(F.size("_mine") > 0)
-    place = ["file", "line_no", "start", "signature"]
-    ahead = asked.select(*place, F.explode(F.sequence(F.col("line_no"), F.col("line_no") + CALL_LINES - 1)).alias("_at")).distinct()
-    ahead = ahead.join(lines.select("file", F.col("line_no").alias("_at"), F.col("line").alias("_line")), ["file", "_at"])
-    ahead = ahead.groupBy(*place).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]).alias("_lines"))
-    read = asked.select(*place, "_mine", "_hit").join(ahead, place).withColumn("_call", calls(F.col("_lines"), F.col("start")))
+    asked = marked.where((F.size("_mine") > 0) & F.col("file").isNotNull() & F.col("line_no").isNotNull() & F.col("start").isNotNull())
+    block = lambda at: F.floor(at / CALL_BLOCK)
+    # a block's first lines are with the block before, too
+    blocks = F.array_distinct(F.array(block(F.col("line_no")), block(F.greatest(F.col("line_no") - CALL_LINES + 1, F.lit(0)))))
+    held = lines.where("file is not null").select("file", "line_no", F.explode(blocks).alias("_block"), "line")
+    held = held.select("file", "_block", F.col("line_no").cast("long").alias("_at"), F.struct(F.col("line_no").alias("at"), "line").alias("_line"), F.lit(None).cast(asked.select(F.struct("start", "_mine", "_hit").alias("x")).schema["x"].dataType).alias("_asked"))
+    wanted = asked.select("file", block(F.col("line_no")).alias("_block"), F.col("line_no").cast("long").alias("_at"), F.lit(None).cast(held.schema["_line"].dataType).alias("_line"), F.struct("start", "_mine", "_hit").alias("_asked"))
+    rows, by = held.unionByName(wanted), ["file", "_block"]
+    ahead = Window.partitionBy(*by).orderBy("_at").rangeBetween(0, CALL_LINES - 1)
+    rows = (rows.repartition(partitions, *by) if partitions else rows).withColumn("_lines", F.collect_list("_line").over(ahead)).where(F.col("_asked").isNotNull() & (F.size("_lines") > 0))
+    read = rows.select("_asked.*", F.transform(F.array_sort("_lines"), lambda x: x["line"]).alias("_lines")).withColumn("_call", calls(F.col("_lines"), F.col("start")))
     kept = read.where(~F.exists("_mine", lambda e: F.col("_call").startswith(e))).select("_hit.*")
     return marked.where(F.size("_mine") == 0).select("_hit.*").unionByName(kept)
 

@@ -39,10 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Narrow rows of which a query makes whole texts, dealt out over all cores: on disk they are a file or two, which few tasks would read."""
+#: Narrow rows of which a task makes texts, at most.
+SPREAD_ROWS = 100_000
+
+
+def parts(df: DataFrame, rows: int) -> int:
+    """To how many parts so many narrow rows are dealt out: to all cores, and to more as there are more rows, so that a task's share has a bound."""
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-rows // SPREAD_ROWS))
+
+
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Narrow rows of which a query makes whole texts, dealt out over all cores: on disk they are a file or two, which few tasks would read.
+
+    rows: how many there are about, if counting ``df`` is dear; a table's rows are counted from its files' footers.
+    """
+    return df.repartition(parts(df, df.count() if rows is None else rows), *keys)
 
 
 def severity_of(priority: Column) -> Column:

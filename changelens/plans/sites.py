@@ -9,7 +9,7 @@ from ..functions.text import lines
 from ..operators import code_context, extract, feed, report, scan, tokens
 from ..sources import code
 from . import state
-from .base import RECORDS_SQL, TODAY, Catalog, records, spread, table
+from .base import RECORDS_SQL, TODAY, Catalog, parts, records, spread, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -56,11 +56,13 @@ def data_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excluded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as files with a call over several lines; calls with a status are excluded."""
     call = _pick(4, "x.list({\n  status: 1 })", "x.list({\n  other: 1 })", "y(x.list( {status : 2 }))", "x.list\n({ status: 3 })")
-    files = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("file"), F.concat(F.lit("begin\n"), call, F.lit("\nend\n")).alias("text"))
+    keys = table(spark, sf_dir, "part").select("p_partkey")
+    n = keys.count()
+    files = spread(keys, "p_partkey", rows=n).select(F.col("p_partkey").alias("file"), F.concat(F.lit("begin\n"), call, F.lit("\nend\n")).alias("text"))
     rows = lines(files, "text", ["file"])
     records = spark.createDataFrame([("r", ["x.list"], "rest")], "id string, signatures array<string>, kind string")
     hits = tokens.token_hits(rows, tokens.signature_table(records), ["file", "line_no"]).withColumn("excludes", F.array(F.lit("x.list({ status:")))
-    return scan.not_called(hits, rows).select(F.col("file").alias("p_partkey"), "line_no")
+    return scan.not_called(hits, rows, partitions=parts(keys, n)).select(F.col("file").alias("p_partkey"), "line_no")
 
 
 @query("""SELECT p_partkey, 'mcp' AS signature, 0::INTEGER AS start FROM part

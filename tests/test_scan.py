@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions.text import token_pattern
 from changelens.operators import code_context, extract, feed, scan, tokens
+from changelens.plans import base
 
 
 def test_names_of_a_record(spark):
@@ -71,6 +72,25 @@ def test_excluded_calls(spark):
     assert scan.not_called(hits.withColumn("excludes", F.lit(None).cast("array<string>")), lines).count() == 5
 
 
+def test_excluded_calls_over_blocks_without_a_join(spark, monkeypatch):
+    text = ["x.list({", "", "", "", "", "status: 1 })", "x.list({", "", "", "", "", "", "status: 1 })", "x.list( x.list({ status: 2 }))"]
+    lines = spark.createDataFrame([(f, i, line) for f in ("f", "g") for i, line in enumerate(text, 1)] + [(None, 1, "x.list({")], "file string, line_no int, line string")
+    rows = [(f, i, m.start(), "x.list", id_) for f in ("f", "g", None) for i, line in enumerate(text, 1) for m in re.finditer("x.list", line) for id_ in ("a", "b")] + [("h", 1, 0, "x.list", "a")]
+    hits = spark.createDataFrame(rows, "file string, line_no int, start int, signature string, record_id string").withColumn("excludes", F.array(F.lit("x.list({ status:")))
+    want = sorted((f, i, at, id_) for f in ("f", "g") for i, at in ((7, 0), (14, 0)) for id_ in ("a", "b"))
+    for block in (6, 7, 10_000):  # a call ends in the next block at the latest
+        monkeypatch.setattr(scan, "CALL_BLOCK", block)
+        assert sorted((r.file, r.line_no, r.start, r.record_id) for r in scan.not_called(hits, lines, partitions=3).collect()) == want, block
+    assert "Join" not in scan.not_called(hits, lines)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_rows_are_dealt_out_to_more_parts(spark):
+    rows = spark.range(10)
+    few = base.parts(rows, 10)
+    assert base.spread(rows, "id").rdd.getNumPartitions() == few
+    assert base.parts(rows, 100 * few * base.SPREAD_ROWS) == 100 * few == base.spread(rows, "id", rows=100 * few * base.SPREAD_ROWS).rdd.getNumPartitions()
+
+
 SCRIPTS = {
     "src/ids.ts": "export const MODEL: string = 'nova-4';\nconst other = \"nova-4\";\nfunction f() {\n  const inner = `nova-4`; // {\n  if (a) { call(inner) }\n  return { inner: 1, b: c ? inner : 2 };\n}\ncall(inner);\n",
     "src/use.js": "import { MODEL as M, x } from './ids';\n// M\ncall(M);\nconst o = { M: 1 };\no.M = 2;\nswitch (v) {\n  case M: call(1)\n}\n",
