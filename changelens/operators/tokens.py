@@ -2,7 +2,10 @@
 
 Signatures are a small dimension; lines are the large side. As far as the signatures are
 few (counted first), ``token_hits`` scans each line once with an automaton of all of them.
-More of them are joined: candidates are found by an equi-join on plain words, so that every
+More of them are joined. Signatures have few outlines (words and numbers as such, and what stands between, before and
+behind them); what in a line has one of those and ends like a token is joined to the signatures as a
+whole text, so that neither side is sent more than once. Signatures of rarer outlines, and those with named variants, have candidates
+by an equi-join on plain words, so that every
 line meets only signatures whose rarest word it holds (of words, the one that fewest signatures have), and verifies them with
 the exact pattern; signatures that may stand inside a word or have none are looked for
 by automata of bounded size beside the join. A word on a third of all lines is a skewed key of the large
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,14 +33,16 @@ SCAN_ROWS = 20_000
 ENDS = 1_000
 #: Signatures of one automaton beside the join.
 SCAN_BLOCK = 20_000
+#: Outlines of signatures by which lines are cut, those that most signatures have.
+OUTLINES = 1_000
 
 
 def signature_table(records: DataFrame) -> DataFrame:
     """(record_id, signature, word, model): a row for each signature and, if dots are escaped in code, its escaped form."""
     rows = records.select(F.col("id").alias("record_id"), F.explode("signatures").alias("signature"), (F.col("kind") == "model").alias("model"))
-    plain = rows.withColumn("written", F.col("signature"))
-    escaped = rows.where(F.col("signature").contains(".")).withColumn("written", F.replace("signature", F.lit("."), F.lit("\\.")))
-    return plain.unionByName(escaped).withColumn("word", longest_word(F.col("written")))
+    escaped = F.replace("signature", F.lit("."), F.lit("\\."))
+    written = F.when(F.col("signature").contains("."), F.array("signature", escaped)).otherwise(F.array("signature"))
+    return rows.withColumn("written", F.explode(written)).withColumn("word", longest_word(F.col("written")))
 
 
 def longest_word(text: Column) -> Column:
@@ -139,6 +145,8 @@ def positions(line: Column, signature: Column, model: Column, named: Column) ->
 
 
 _JOINED = re.compile(r"mcp__[A-Za-z0-9_-]{0,100}__\Z")
+#: Characters that it takes at most.
+MCP_CHARS = 107
 
 
 def python_pattern(signature: str, model: bool, named: Sequence[str]) -> str:
@@ -196,13 +204,122 @@ def scan(line: Column, wanted: Sequence[tuple[str, bool]]) -> Column:
     return of(line)
 
 
-def token_hits(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], named: Column | None = None) -> DataFrame:
+def outline(text: Column) -> Column:
+    """A signature with ``w`` for each of its words and ``0`` for each number; null if it has none, or ``_`` at an end, as it may then stand inside a word."""
+    marked = F.regexp_replace(F.regexp_replace(text, "[0-9]*+[A-Za-z_][A-Za-z0-9_]*", "w"), "[0-9]+", "0")
+    return F.when(~(text.startswith("_") | text.endswith("_")) & text.rlike("[A-Za-z0-9_]"), marked)
+
+
+def outline_tree(outlines: Sequence[str]) -> dict:
+    """Outlines word by word: the kind of a word, what stands behind it, the kind of the next; under None what stands before and behind a whole one."""
+    tree: dict = {}
+    for text in outlines:
+        before, *rest = re.split("([w0])", text)
+        nodes = tree
+        for kind, gap in zip(rest[::2], rest[1::2], strict=True):
+            node = nodes.setdefault(kind, {})
+            nodes = node.setdefault(gap, {})
+        if not nodes:
+            del node[gap]
+        node.setdefault(None, []).append((before, gap))
+    return tree
+
+
+_WORDS = re.compile("([A-Za-z0-9_]+)")
+_INNER = re.compile("(?<=__)[A-Za-z0-9]")
+_END, _MODEL_END = re.compile(token_end("x")), re.compile(token_end("x", True))
+
+
+def line_spans(text: str, tree: dict) -> Iterator[tuple[int, int, bool]]:
+    """(start, stop, model): what in a text has one of the outlines and is a token; whether it would be one as a model's id."""
+    pieces = _WORDS.split(text)  # every other one is a word
+    ends = list(accumulate(map(len, pieces)))
+    words, gaps, firsts, stops = pieces[1::2], pieces[2::2], ends[::2], ends[1::2]
+    kinds = ["0" if word.isdigit() else "w" for word in words]
+    last = len(words) - 1
+    for i, word in enumerate(words):
+        first = firsts[i]
+        starts = ((first, kinds[i]),)
+        if "__" in word:  # mcp__server__ may stand before a signature
+            inner = [m.start() for m in _INNER.finditer(text, first, stops[i])]
+            starts += tuple((at, "0" if text[at : stops[i]].isdigit() else "w") for at in inner if at > first and _JOINED.search(text, max(0, at - MCP_CHARS), at))
+        for at, kind in starts:
+            node, k = tree.get(kind), i
+            while node:
+                if None in node:
+                    stop = stops[k]
+                    for before, after in node[None]:
+                        if before:
+                            if at > first or not text.endswith(before, 0, at):
+                                continue
+                        elif text[at] == "_":
+                            continue
+                        if after:
+                            if text.startswith(after, stop):
+                                yield at - len(before), stop + len(after), True
+                        elif text[stop - 1] != "_" and _END.match(text, stop):
+                            yield at - len(before), stop, bool(_MODEL_END.match(text, stop))
+                if k == last or (nodes := node.get(gaps[k])) is None:
+                    break
+                k += 1
+                node = nodes.get(kinds[k])
+
+
+def spans(line: Column, outlines: Sequence[str]) -> Column:
+    """What in a line has one of the outlines and is a token."""
+
+    @F.arrow_udf("array<struct<written:string,start:int,model:boolean>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tree = outline_tree(outlines)
+        for batch in batches:
+            ends, written, starts, models = [0], [], [], []
+            for text in batch.to_pylist():
+                for start, stop, model in line_spans(text or "", tree):
+                    written.append(text[start:stop])
+                    starts.append(start)
+                    models.append(model)
+                ends.append(len(starts))
+            fields = [pa.array(written, pa.string()), pa.array(starts, pa.int32()), pa.array(models, pa.bool_())]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["written", "start", "model"]))
+
+    return of(line)
+
+
+def _by_outline(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], forms: DataFrame) -> DataFrame:
+    """``token_hits`` of many signatures: their outlines are counted, and what has one in a line is joined to them as a whole text."""
+    counts = forms.groupBy(outline(F.col("written")).alias("outline")).count()
+    counted = counts.orderBy(F.col("outline").isNull().desc(), F.desc("count"), "outline").limit(OUTLINES + 2).collect()
+    usual = [r for r in counted if r.outline is not None][:OUTLINES]
+    few = len(counted) <= OUTLINES and sum(r["count"] for r in counted) <= BROADCAST_ROWS
+    columns = [c for c in signatures.columns if c not in ("written", "word")]
+    wanted = signatures.select(*columns, F.col("written").alias("_written"))
+    found = lines.select(*keep, "line", F.explode(spans(F.col("line"), [r.outline for r in usual])).alias("_span"))
+    found = found.select(*keep, "line", F.col("_span.written").alias("_text"), F.col("_span.start").alias("start"), F.col("_span.model").alias("_as_model"))
+    wanted = F.broadcast(wanted) if few else wanted.hint("merge")  # plans take texts made of few columns for small tables
+    hits = found.join(wanted, (F.col("_text") == F.col("_written")) & (F.col("_as_model") | ~F.coalesce("model", F.lit(False))))
+    hits = hits.select(*keep, "line", *columns, "start", (F.col("start") + F.char_length("_text")).alias("stop"))
+    if len(usual) < len(counted):  # signatures without an outline, or with a rarer one
+        shape = outline(F.col("written"))
+        rest = signatures.where(shape.isNull() | ~shape.isin([r.outline for r in usual]))
+        hits = hits.unionByName(_verified(candidates(lines, rest, keep), F.array().cast("array<string>")))
+    return hits
+
+
+def _verified(found: DataFrame, named: Column) -> DataFrame:
+    """A row for each place of a candidate's line at which its signature is a token."""
+    hits = found.withColumn("start", F.explode(positions(F.col("line"), F.col("written"), F.col("model"), named)))
+    return hits.withColumn("stop", F.col("start") + F.char_length("written")).drop("written")
+
+
+def token_hits(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], named: Column | None = None, forms: DataFrame | None = None) -> DataFrame:
     """A row for each occurrence: ``keep``, the signature's columns, line, start, stop.
 
-    Up to ``SCAN_ROWS`` signatures are looked for by one automaton in each line; more of them,
-    and those with named variants, by the join of words.
+    Up to ``SCAN_ROWS`` signatures are looked for by one automaton in each line; more of them
+    by the join of whole texts, and those with named variants by the join of words.
+    forms: rows with all the ``written`` that signatures have, repeated or not, if a signature table is dear to read; it is counted and its outlines are.
     """
-    if named is None and signatures.count() <= SCAN_ROWS:
+    forms = signatures if forms is None else forms
+    if named is None and forms.limit(SCAN_ROWS + 1).count() <= SCAN_ROWS:
         wanted = [(r.written, r.model) for r in signatures.select("written", "model").distinct().collect() if r.written]
         if wanted:
             found = lines.select(*keep, "line", F.explode(scan(F.col("line"), wanted)).alias("_hit"))
@@ -210,10 +327,9 @@ def token_hits(lines: DataFrame, signatures: DataFrame, keep: Sequence[str], nam
             hits = found.join(small, (F.col("_hit.written") == F.col("_written")) & (F.col("_hit.model") == F.col("_model")))
             hits = hits.withColumns({"start": F.col("_hit.start"), "stop": F.col("_hit.start") + F.char_length("_written"), "model": F.col("_model")})
             return hits.drop("_hit", "_written", "_model")
-    found = candidates(lines, signatures, keep)
-    at = positions(F.col("line"), F.col("written"), F.col("model"), named if named is not None else F.array().cast("array<string>"))
-    hits = found.withColumn("start", F.explode(at))
-    return hits.withColumn("stop", F.col("start") + F.char_length("written")).drop("written")
+    if named is None:
+        return _by_outline(lines, signatures, keep, forms)
+    return _verified(candidates(lines, signatures, keep), named)
 
 
 def longest_wins(hits: DataFrame, keys: Sequence[str]) -> DataFrame:

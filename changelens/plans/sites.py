@@ -82,12 +82,13 @@ SELECT o_orderkey, s AS signature, CASE x[1] WHEN '0' THEN 4 ELSE 12 + length(o_
 def many_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that name two line items, and a third as a part of another name, for a record of each line item: more signatures than an automaton takes."""
     item = lambda key, n: F.concat(F.lit("L"), F.col(key).cast("string"), F.lit("-"), n)
-    names = table(spark, sf_dir, "lineitem").select(item("l_orderkey", F.col("l_linenumber").cast("string")).alias("s")).distinct()
-    wanted = names.select(F.col("s").alias("id"), F.array("s").alias("signatures"), F.lit("rest").alias("kind"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    name = item("l_orderkey", F.col("l_linenumber").cast("string"))
+    wanted = lambda rows: tokens.signature_table(rows.select(name.alias("id"), F.array(name).alias("signatures"), F.lit("rest").alias("kind")))
     key = "o_orderkey"
     line = F.concat(F.lit("see "), item(key, F.lit("1")), F.lit(" and "), item(key, F.lit("2")), F.lit(", not "), item(key, F.lit("3x")))
     rows = table(spark, sf_dir, "orders").select(key, line.alias("line"))
-    return tokens.token_hits(rows, tokens.signature_table(wanted), [key]).select(key, "signature", "start")
+    return tokens.token_hits(rows, wanted(items.distinct()), [key], forms=wanted(items)).select(key, "signature", "start")
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, p_brand AS b, p_partkey % 6 AS m FROM part), u AS (SELECT k, b, unnest(CASE m WHEN 0 THEN [2] WHEN 1 THEN [4, 5] WHEN 2 THEN [3] WHEN 3 THEN [2] WHEN 4 THEN [4, 5] ELSE [6] END) AS line, m FROM t)
